@@ -1,0 +1,4 @@
+"""Registered queries of the catalog engine and their DuckDB equivalents."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
