@@ -67,8 +67,8 @@ def running_offsets(df: DataFrame, group: list[str], bucket: str, order: list[Co
     totals = df.groupBy(*keys).agg(F.sum("_size").alias("_total"))
     before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    cond = [df[k].eqNullSafe(totals[k]) for k in keys]
-    joined = df.join(totals, cond).select(*[df[c] for c in df.columns], "_base")
+    totals = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_base")
+    joined = df.join(totals, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
     rows = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_size").over(rows), F.lit(0))).drop("_base", "_size")
 

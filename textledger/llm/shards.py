@@ -91,7 +91,7 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
         lo, hi = ends[f"min_{n}"] or 0.0, ends[f"max_{n}"] or 0.0
         base = base.withColumn(n, (F.col(n) - lo) / ((hi - lo) or 1.0))
     leaves = shards or max(1, -(-(ends["w"] or 1) // target_bytes))
-    rows, todo, next_leaf = base.withColumn("_node", F.lit(0)), {0: (0, leaves)}, {}
+    rows, todo = base.withColumn("_node", F.lit(0)), {0: (0, leaves)}
     while any(m > 1 for _, m in todo.values()):
         found = _ranges(rows, names)
         plan = {}
@@ -113,7 +113,6 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
         dim = F.coalesce(*[F.when(F.col("_dim") == n, F.col(n)) for n in names], F.lit(0.0))
         rows = rows.join(frame, "_node").withColumn("_node", (F.col("_node") * 2 + (_order_key(dim) >= F.col("_cut")).cast("int")).cast("int")).drop("_dim", "_cut")
         todo = ahead
-    del next_leaf
     frame = F.broadcast(rows.sparkSession.createDataFrame([(n, f) for n, (f, _) in todo.items()], "_node int, shard int"))  # a row per leaf
     placed = rows.join(frame, "_node").select("doc_id", "size", "text_crc32", "shard")
     placed = settle(order_buckets(placed, "doc_id", "_bucket"), "placed")
