@@ -67,26 +67,32 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[:half], "<u4"), np.frombuffer(data[half:], "<f4")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, threshold: float, vectors: Callable) -> DataFrame:
-    """Of the distinct pairs ``a, b`` those whose similarity is ``threshold`` or more.
+def vectors_of(ids: DataFrame, rows: DataFrame, vectors: Callable) -> DataFrame:
+    """The settled vectors ``doc_id, vector`` of the texts whose ``doc_id`` is in ``ids``.
 
-    Only texts that occur in a pair are turned into vectors.
+    The ids are as many as the input makes them, so they are never broadcast:
+    texts are shuffled once, whatever the size.
     """
 
     def pack(batches):
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_pack(v) for v in vectors(column(batch, "text", ""))], pa.binary())], names=["doc_id", "vector"])
 
+    wanted = rows.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    return settle(wanted.dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(pack, "doc_id long, vector binary"), "vectors")
+
+
+def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Of the distinct pairs ``a, b`` those whose similarity is ``threshold`` or more."""
+
     def compare(batches):
         for batch in slices(batches, 512):
             x, y = batch.column("x"), batch.column("y")
             ok = [similarity(_unpack(x[i].as_py()), _unpack(y[i].as_py())) >= threshold for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    packed = settle(rows.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "doc_id long, vector binary"), "vectors")
     x, y = packed.select(F.col("doc_id").alias("a"), F.col("vector").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("vector").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -155,7 +161,9 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
     many = big.join(first, "bucket").select(*_pairs("doc_id", "leader")).union(big.join(second, ["bucket", "sub"]).select(*_pairs("doc_id", "leader")))
 
     tested = settle(some.union(many).where("a <> b").distinct(), "pairs")
-    links = settle(verify(tested, rows, threshold, vectors), "links")
+    # Every text of a large bucket meets a leader, so later rounds find their vectors here too.
+    packed = vectors_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), rows, vectors)
+    links = verify(tested, packed, threshold)
     labels = components(links)
     while True:
         named = big.join(labels, big["doc_id"] == labels["node"], "left").select(*big.columns, F.coalesce("label", "doc_id").alias("class"))
@@ -166,7 +174,7 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
         fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
-        found = settle(verify(fresh, rows, threshold, vectors), "links")
+        found = verify(fresh, packed, threshold)
         tested = tested.union(fresh)
         if found.isEmpty():
             break
