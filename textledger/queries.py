@@ -1,4 +1,416 @@
-"""Registered queries of the catalog engine and their DuckDB equivalents."""
+"""Registered queries of the catalog engine and their DuckDB equivalents.
+
+The catalog's parts are played by the given tables: versions A and B of a
+catalog are ``documents`` with a tenth of the rows missing from each and a
+tenth changed in B; logs are ``events``; stores and reports are the others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions.tokens import format_signature
+from .operators import ladder as L
+from .operators import stats as S
+from .operators import versions as V
+from .plans import names as N
+from .plans import rules as R
+from .streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with DuckDB SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- versions ---------------------------------------------------------------
+
+_OLD = "SELECT CAST(doc_id AS VARCHAR) AS identity, text AS source FROM documents WHERE doc_id % 10 <> 1"
+_NEW = "SELECT CAST(doc_id AS VARCHAR) AS identity, CASE WHEN doc_id % 10 = 3 THEN text || ' v2' ELSE text END AS source FROM documents WHERE doc_id % 10 <> 2"
+_DIFF = f"""SELECT coalesce(a.identity, b.identity) AS identity,
+  CASE WHEN a.identity IS NULL THEN 'NEW' WHEN b.identity IS NULL THEN 'REMOVED' WHEN a.source = b.source THEN 'UNCHANGED' ELSE 'MODIFIED' END AS kind
+  FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.identity = b.identity"""
+
+
+def _versions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("identity"), F.col("doc_id"), F.col("text"))
+    old = docs.where("doc_id % 10 <> 1").select("identity", F.col("text").alias("source"))
+    new = docs.where("doc_id % 10 <> 2").select("identity", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" v2"))).otherwise(F.col("text")).alias("source"))
+    return old, new
+
+
+def _changes(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return V.diff(V.snapshot(old, "source"), V.snapshot(new, "source"))
+
+
+@query(_DIFF)
+def diff_versions(spark, sf_dir):
+    return _changes(spark, sf_dir)
+
+
+@query(f"SELECT k.kind, count(d.identity) AS n FROM (VALUES ('NEW'), ('MODIFIED'), ('REMOVED'), ('UNCHANGED')) k(kind) LEFT JOIN ({_DIFF}) d ON d.kind = k.kind GROUP BY k.kind")
+def diff_counts(spark, sf_dir):
+    return V.kind_counts(_changes(spark, sf_dir))
+
+
+@query("SELECT identity, sha256(source) AS value_sha256 FROM (" + _NEW + ")")
+def snapshot_hashes(spark, sf_dir):
+    return V.snapshot(_versions(spark, sf_dir)[1], "source")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS occurrence, lang || ':' || source || '#' || CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS VARCHAR) AS identity FROM documents")
+def occurrences(spark, sf_dir):
+    return V.with_identity(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id").select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), "identity")
+
+
+@query("SELECT lang, CAST(sum(c) AS BIGINT) AS records, count(*) FILTER (c > 1) AS duplicate_keys, CAST(sum(c - 1) AS BIGINT) AS duplicate_occurrences FROM (SELECT lang, source, count(*) c FROM documents GROUP BY ALL) GROUP BY lang")
+def duplicate_stats(spark, sf_dir):
+    return V.duplicate_stats(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(f"SELECT a.identity, sha256(a.source) AS old_value, sha256(b.source) AS new_value FROM ({_OLD}) a JOIN ({_NEW}) b ON a.identity = b.identity WHERE a.source <> b.source")
+def version_conflicts(spark, sf_dir):
+    old, new = (V.snapshot(v, "source") for v in _versions(spark, sf_dir))
+    return V.conflicts(old, new, "identity", "value_sha256")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), b AS (SELECT DISTINCT o_orderkey AS k FROM orders), c AS (SELECT DISTINCT c_custkey AS k FROM customer)
+SELECT 'lineitem' AS store, (SELECT count(*) FROM o WHERE k NOT IN (SELECT k FROM b)) AS only_here, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM o)) AS missing_here
+UNION ALL SELECT 'customer', (SELECT count(*) FROM c WHERE k NOT IN (SELECT k FROM b)), (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM c))""")
+def reconcile_keys(spark, sf_dir):
+    t = lambda name, col: table(spark, sf_dir, name).select(F.col(col).alias("k"))
+    return V.reconcile({"orders": t("orders", "o_orderkey"), "lineitem": t("lineitem", "l_orderkey"), "customer": t("customer", "c_custkey")}, "orders", "k")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn FROM orders) WHERE rn <= 3")
+def retain_newest(spark, sf_dir):
+    return V.newest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("SELECT o_orderstatus, max([CAST(year(o_orderdate) AS INT), CAST(month(o_orderdate) AS INT), CAST(day(o_orderdate) AS INT), CAST(o_orderkey % 20 AS INT)]) AS version FROM orders GROUP BY o_orderstatus")
+def version_max(spark, sf_dir):
+    text = F.concat_ws(".", F.date_format("o_orderdate", "yyyy.MM.dd"), (F.col("o_orderkey") % 20).cast("string"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.max(V.version_array(text)).alias("version"))
+
+
+# --- ladder -----------------------------------------------------------------
+
+_CHANGED = f"SELECT d.identity, d.kind, n.source FROM ({_DIFF}) d JOIN ({_NEW}) n ON n.identity = d.identity WHERE d.kind IN ('NEW', 'MODIFIED')"
+_RESOLVED = f"""
+WITH changed AS ({_CHANGED}), texts AS (SELECT CAST(doc_id AS VARCHAR) AS key, text AS value FROM documents),
+manual AS (SELECT CAST(doc_id AS VARCHAR) AS key, 'manual ' || CAST(doc_id AS VARCHAR) AS value FROM labels WHERE quality = 1 AND doc_id % 2 = 0),
+approved AS (SELECT key, sha256(value) AS sha FROM texts)
+SELECT c.identity, c.kind,
+  CASE WHEN m.key IS NOT NULL AND a.key IS NOT NULL THEN 'manual' WHEN a.key IS NOT NULL AND trim(t.value) <> '' AND c.identity NOT LIKE '%1' THEN 'memory' WHEN g.source IS NOT NULL THEN 'glossary-value' END AS origin,
+  sha256(CASE WHEN m.key IS NOT NULL AND a.key IS NOT NULL THEN m.value WHEN a.key IS NOT NULL AND trim(t.value) <> '' AND c.identity NOT LIKE '%1' THEN t.value WHEN g.source IS NOT NULL THEN g.value END) AS value_sha256
+FROM changed c LEFT JOIN approved a ON a.key = c.identity AND a.sha = sha256(c.source)
+LEFT JOIN manual m ON m.key = c.identity LEFT JOIN texts t ON t.key = c.identity
+LEFT JOIN (SELECT source, min(value) AS value FROM (SELECT text || ' v2' AS source, 'glossary ' || CAST(doc_id AS VARCHAR) AS value FROM documents WHERE doc_id % 20 = 3) GROUP BY source) g ON g.source = c.source"""
+
+
+def _changed(spark, sf_dir):
+    new = _versions(spark, sf_dir)[1]
+    return _changes(spark, sf_dir).where(F.col("kind").isin("NEW", "MODIFIED")).join(new, "identity").withColumn("key", F.col("identity"))
+
+
+def _stores(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    key = F.col("doc_id").cast("string").alias("key")
+    approvals = docs.select(key, F.sha2("text", 256).alias("source_sha256"))
+    manual = labels.where("quality = 1 and doc_id % 2 = 0").select(key, F.concat(F.lit("manual "), F.col("doc_id").cast("string")).alias("value"))
+    memory = docs.where("doc_id % 10 <> 1").select(key, F.col("text").alias("value"))
+    glossary = docs.where("doc_id % 20 = 3").select(F.concat("text", F.lit(" v2")).alias("key"), F.concat(F.lit("glossary "), F.col("doc_id").cast("string")).alias("value")).groupBy("key").agg(F.min("value").alias("value"))
+    return [L.Store("manual", manual, approvals=approvals), L.Store("memory", memory, approvals=approvals, skip_blank=True), L.Store("glossary-value", glossary, on="source")]
+
+
+@query(f"SELECT kind, coalesce(origin, 'UNRESOLVED') AS origin, count(*) AS n FROM ({_RESOLVED}) GROUP BY ALL")
+def ladder_origins(spark, sf_dir):
+    out = L.resolve(_changed(spark, sf_dir), _stores(spark, sf_dir))
+    return out.groupBy("kind", F.coalesce("origin", F.lit("UNRESOLVED")).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT identity, origin, value_sha256 FROM ({_RESOLVED})")
+def ladder_values(spark, sf_dir):
+    return L.resolve(_changed(spark, sf_dir), _stores(spark, sf_dir)).select("identity", "origin", F.sha2("value", 256).alias("value_sha256"))
+
+
+@query(f"SELECT identity FROM ({_RESOLVED}) WHERE origin IS NULL")
+def ladder_unresolved(spark, sf_dir):
+    return L.unresolved(_changed(spark, sf_dir), _stores(spark, sf_dir)).select("identity")
+
+
+@query(f"SELECT kind, count(*) FILTER (origin = 'manual') AS manual, count(*) FILTER (origin = 'memory') AS memory, count(*) FILTER (origin = 'glossary-value') AS glossary_value, CAST(0 AS BIGINT) AS provider FROM ({_RESOLVED}) GROUP BY kind")
+def ladder_pivot(spark, sf_dir):
+    out = L.origin_pivot(L.resolve(_changed(spark, sf_dir), _stores(spark, sf_dir)), "kind", ["manual", "memory", "glossary-value", "provider"])
+    return out.withColumnRenamed("glossary-value", "glossary_value")
+
+
+@query(f"""SELECT p.identity, CASE WHEN d.kind IS NULL THEN 'UNKNOWN' WHEN d.kind NOT IN ('NEW', 'MODIFIED') THEN 'NOT_CHANGED' ELSE 'BLANK' END AS reason
+FROM (SELECT CAST(doc_id * 2 AS VARCHAR) AS identity, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'x' END AS value FROM documents) p LEFT JOIN ({_DIFF}) d ON d.identity = p.identity
+WHERE d.kind IS NULL OR d.kind NOT IN ('NEW', 'MODIFIED') OR trim(p.value) = ''""")
+def proposal_violations(spark, sf_dir):
+    proposals = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).cast("string").alias("identity"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("x").alias("value"))
+    return L.violations(proposals, _changes(spark, sf_dir))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 10 <> 3 AND doc_id % 10 <> 1 THEN 'PREPARED' WHEN doc_id % 4 = 0 OR doc_id % 10 = 1 THEN 'MEMORY' ELSE 'SOURCE' END AS choice,
+sha256(CASE WHEN doc_id % 10 <> 3 AND doc_id % 10 <> 1 THEN 'P' || text WHEN doc_id % 4 = 0 OR doc_id % 10 = 1 THEN 'M' || text WHEN doc_id % 10 = 3 THEN text || ' v2' ELSE text END) AS merged FROM documents WHERE doc_id % 10 <> 2""")
+def three_way_merge(spark, sf_dir):
+    old, new = (v.select(F.col("identity").alias("key"), F.col("source").alias("value")) for v in _versions(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    memory = docs.where("doc_id % 4 = 0 or doc_id % 10 = 1").select(F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("M"), "text").alias("value"))
+    ready = docs.select(F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("P"), "text").alias("value"))
+    return L.three_way(new, old, ready, memory).select("key", "choice", F.sha2("merged", 256).alias("merged"))
+
+
+@query("""SELECT m.doc_id, k.reused FROM documents m JOIN (SELECT text, min(source) AS reused FROM documents WHERE doc_id % 5 <> 0 GROUP BY text HAVING count(DISTINCT source) = 1) k ON k.text = m.text WHERE m.doc_id % 5 = 0""")
+def reuse_targets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return L.reuse(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0").select("doc_id", "text"), "text", "source").select("doc_id", "reused")
+
+
+@query("""SELECT c_name, replacement FROM (SELECT c.c_name, s.replacement, row_number() OVER (PARTITION BY c.c_name ORDER BY s.ord) rn FROM customer c
+JOIN (SELECT n_nationkey AS ord, 'Customer#0000000' || CAST(n_nationkey % 10 AS VARCHAR) AS prefix, CASE n_nationkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS source, n_name AS replacement FROM nation) s
+ON s.source = c.c_mktsegment AND starts_with(c.c_name, s.prefix)) WHERE rn = 1""")
+def scoped_repairs(spark, sf_dir):
+    segment = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    scopes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("Customer#0000000"), (F.col("n_nationkey") % 10).cast("string")).alias("prefix"), segment.alias("source"), F.col("n_name").alias("replacement"))
+    return L.scoped(table(spark, sf_dir, "customer"), scopes, "c_name", "c_mktsegment").select("c_name", "replacement")
+
+
+@query("""SELECT d.doc_id, s.replacement FROM documents d JOIN (SELECT text, min_by(r, doc_id) AS replacement FROM (SELECT doc_id, text, 'seed ' || CAST(doc_id AS VARCHAR) AS r FROM documents WHERE doc_id % 3 = 0) GROUP BY text) s ON s.text = d.text""")
+def seeded_repairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seeds = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("seed_key"), F.concat(F.lit("seed "), F.col("doc_id").cast("string")).alias("replacement"))
+    return L.seeded(docs, seeds, "doc_id", "text").select("doc_id", "replacement")
+
+
+@query("""SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN n.v IS NULL THEN 'KEPT' WHEN o.v IS NULL THEN 'ADDED' ELSE 'REPLACED' END AS action
+FROM (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders GROUP BY 1) n ON o.k = n.k""")
+def overlay_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("v"))
+    return L.upsert(old, new, "k", "v")
+
+
+# --- counts and state -------------------------------------------------------
+
+
+@query("SELECT coalesce(event_type, 'TOTAL') AS event_type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
+def status_counts(spark, sf_dir):
+    return S.counts_with_total(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT severity, code, count(*) AS n FROM (SELECT event_type AS code, CASE WHEN value < 10 THEN 'LOW' WHEN value < 50 THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM events) GROUP BY GROUPING SETS ((severity), (code), ())")
+def severity_and_code(spark, sf_dir):
+    severity = F.when(F.col("value") < 10, "LOW").when(F.col("value") < 50, "MEDIUM").otherwise("HIGH")
+    return S.grouping_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), severity.alias("severity")), "severity", "code")
+
+
+_LATEST = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events WHERE event_type IN ('signup', 'purchase', 'view', 'click')) WHERE rn = 1 AND event_type <> 'click'"
+
+
+def _live_args() -> dict:
+    return {"key": "user_id", "order": [F.col("ts"), F.col("event_id")], "status": "event_type", "live": ["signup", "purchase", "view"], "tombstone": "click"}
+
+
+@query(_LATEST)
+def latest_state(spark, sf_dir):
+    return S.latest_state(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), **_live_args()).select("user_id", "event_id", "event_type")
+
+
+@query(_LATEST)
+def latest_state_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parque[t]")
+    return live.run_latest(stream.select("user_id", "ts", "event_id", "event_type"), **_live_args()).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT sha256(text) AS text_sha256, lang, min(doc_id) AS first_member, count(*) AS members FROM documents GROUP BY text, lang")
+def work_units(spark, sf_dir):
+    return S.units(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id").select(F.sha2("text", 256).alias("text_sha256"), "lang", "first_member", "members")
+
+
+@query("""SELECT sha256(text) AS text_sha256, count(*) AS variants, string_agg(source || ' (' || CAST(n AS VARCHAR) || ')', '; ' ORDER BY source) AS listing
+FROM (SELECT text, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY text HAVING count(*) > 1""")
+def inconsistent_targets(spark, sf_dir):
+    return S.inconsistent(table(spark, sf_dir, "documents"), "text", "source").select(F.sha2("text", 256).alias("text_sha256"), "variants", "listing")
+
+
+@query("SELECT event_type, user_id, n, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS rank FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)) WHERE rank <= 5")
+def profile_top(spark, sf_dir):
+    return S.top_by_count(table(spark, sf_dir, "events"), "event_type", "user_id", 5).select("event_type", "user_id", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS users, min_by(event_id, ts) AS first_event FROM events GROUP BY event_type")
+def profile_status(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("users"), F.min_by("event_id", "ts").alias("first_event"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'signup') AS saved, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS others FROM events")
+def outcome_counts(spark, sf_dir):
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").agg(F.count_if(t == "signup").alias("saved"), F.count_if(t == "error").alias("errors"), F.count_if(~t.isin("signup", "error")).alias("others"))
+
+
+@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 8")
+def repeated_words(spark, sf_dir):
+    return S.repeated_words(table(spark, sf_dir, "documents"), "doc_id", X.words(F.col("text")), 8)
+
+
+@query("""WITH p AS (SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1),
+x AS (SELECT conv_id * 1000 + turn AS pair, unnest(regexp_extract_all(a, '\\p{L}+')) AS item, 1 AS d FROM p UNION ALL SELECT conv_id * 1000 + turn, unnest(regexp_extract_all(b, '\\p{L}+')), -1 FROM p)
+SELECT pair, item, CAST(sum(d) AS BIGINT) AS more FROM x GROUP BY ALL HAVING sum(d) > 0""")
+def lost_words(spark, sf_dir):
+    p = _pairs(spark, sf_dir).withColumn("pair", F.col("conv_id") * 1000 + F.col("turn"))
+    return S.multiset_difference(p, "pair", X.words(F.col("source")), X.words(F.col("target")))
+
+
+# --- texts ------------------------------------------------------------------
+
+
+def _pairs(spark, sf_dir):
+    """Each turn with the one after it, as a source and its target."""
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    return c.select("conv_id", "turn", "role", F.col("text").alias("source")).join(after, ["conv_id", "turn"])
+
+
+@query("SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM documents) GROUP BY lang")
+def word_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("lang", F.explode(X.words(F.col("text"))).alias("word")).groupBy("lang").agg(F.count("*").alias("words"), F.count_distinct("word").alias("distinct_words"))
+
+
+_GUESS = "CASE " + " ".join(f"WHEN regexp_matches(text, '(^|[^\\p{{L}}])({w})([^\\p{{L}}]|$)') THEN '{lang}'" for lang, w in X.LANGUAGE_WORDS) + " ELSE 'en' END"
+
+
+@query(f"SELECT lang, {_GUESS} AS guess, count(*) AS n FROM documents GROUP BY ALL")
+def language_guesses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang", X.language_guess(F.col("text")).alias("guess")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<[^>]*>')) AS tags, sha256(array_to_string(regexp_extract_all(html, '<[^>]*>'), chr(10))) AS tags_sha256, sha256(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS visible_sha256 FROM pages")
+def markup_tokens(spark, sf_dir):
+    t = X.tags(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(t).cast("long").alias("tags"), F.sha2(F.array_join(t, "\n"), 256).alias("tags_sha256"), F.sha2(X.visible(F.col("html")), 256).alias("visible_sha256"))
+
+
+@query("""SELECT page_id, CASE WHEN host IN ('bit.ly', 'tinyurl.com', 't.co', 'goo.gl') THEN 'SHORTENER' WHEN regexp_matches(path, '\\.(exe|zip|jar|msi|7z|rar)$') AND host NOT IN ('spam-farm.example.org') THEN 'BINARY' ELSE 'OK' END AS verdict
+FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
+def url_policy(spark, sf_dir):
+    host, path = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", X.url_verdict(host, path, ["spam-farm.example.org"]).alias("verdict"))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN contains(p_name, 'red widget') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(p_name, 'red') AND contains(p_name, 'widget') ORDER BY rank, length(p_name), p_partkey LIMIT 1000")
+def search_ranked(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where(X.all_terms(F.col("p_name"), ["red", "widget"]))
+    return rows.select("p_partkey", "p_name", X.search_rank(F.col("p_name"), "red widget").alias("rank")).orderBy("rank", F.length("p_name"), "p_partkey").limit(1000)
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'de' ORDER BY source, doc_id LIMIT 50 OFFSET 20")
+def paging(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", "source").orderBy("source", "doc_id").offset(20).limit(50)
+
+
+@query("SELECT p_partkey, trim(regexp_replace(p_name || ' / ' || p_brand, '[^A-Za-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r'), chr(10), chr(92) || 'n')) AS field_sha256, true AS restored FROM documents")
+def escaped_fields(spark, sf_dir):
+    field = X.escape_field(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(field, 256).alias("field_sha256"), (X.unescape_field(field) == F.col("text")).alias("restored"))
+
+
+@query("""SELECT conv_id, turn, NOT ((sw >= 8 AND tw < ceil(sw * 25 / 100)) OR (sl >= 45 AND tl < ceil(sl * 35 / 100))) AS complete FROM (
+SELECT u.conv_id, u.turn, len(regexp_extract_all(u.text, '\\p{L}+')) AS sw, len(regexp_extract_all(v.text, '\\p{L}+')) AS tw, length(u.text) AS sl, length(v.text) AS tl FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1)""")
+def completeness(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", X.complete(F.col("source"), F.col("target")).alias("complete"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(p_name || ' ' || p_type, 'red widget', 'crimson gadget'), 'widget', 'gadget'), 'red', 'ruby') AS replaced FROM part")
+def phrase_cascade(spark, sf_dir):
+    rules = [("red", "ruby"), ("widget", "gadget"), ("red widget", "crimson gadget")]
+    return table(spark, sf_dir, "part").select("p_partkey", X.cascade(F.concat("p_name", F.lit(" "), "p_type"), rules).alias("replaced"))
+
+
+def _rules():
+    return [
+        R.Rule("UNTRANSLATED_COPY", test=F.col("source") == F.col("target")),
+        R.Rule("REPEATED_PUNCTUATION", "WARNING", target=r"!!|\?\?|,,|;;"),
+        R.Rule("SPACE_BEFORE_PUNCTUATION", "WARNING", target=r" [,.;:!?]"),
+        R.Rule("EXTRA_SPACES", "WARNING", target=r"  ", not_source=r"  "),
+        R.Rule("NUMBER_MISMATCH", source=r"[0-9]", not_target=r"[0-9]"),
+        R.Rule("SHORT_TARGET", "INFO", test=F.length("target") * 4 < F.length("source")),
+    ]
+
+
+_CODES = """SELECT conv_id, turn, unnest(list_filter([
+ CASE WHEN a = b THEN 'UNTRANSLATED_COPY' END, CASE WHEN regexp_matches(b, '!!|\\?\\?|,,|;;') THEN 'REPEATED_PUNCTUATION' END, CASE WHEN regexp_matches(b, ' [,.;:!?]') THEN 'SPACE_BEFORE_PUNCTUATION' END,
+ CASE WHEN contains(b, '  ') AND NOT contains(a, '  ') THEN 'EXTRA_SPACES' END, CASE WHEN regexp_matches(a, '[0-9]') AND NOT regexp_matches(b, '[0-9]') THEN 'NUMBER_MISMATCH' END,
+ CASE WHEN length(b) * 4 < length(a) THEN 'SHORT_TARGET' END], lambda x: x IS NOT NULL)) AS code
+ FROM (SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1)"""
+
+
+@query(f"SELECT code, CASE WHEN code IN ('UNTRANSLATED_COPY', 'NUMBER_MISMATCH') THEN 'ERROR' WHEN code = 'SHORT_TARGET' THEN 'INFO' ELSE 'WARNING' END AS severity, count(*) AS n FROM ({_CODES}) GROUP BY ALL")
+def deep_codes(spark, sf_dir):
+    found = R.findings(_pairs(spark, sf_dir).withColumn("k", F.col("conv_id").cast("string")), _rules(), "k", "source", "target")
+    return found.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p.conv_id, p.turn, (SELECT c.code FROM ({_CODES}) c WHERE c.conv_id = p.conv_id AND c.turn = p.turn ORDER BY list_position(['UNTRANSLATED_COPY', 'REPEATED_PUNCTUATION', 'SPACE_BEFORE_PUNCTUATION', 'EXTRA_SPACES', 'NUMBER_MISMATCH', 'SHORT_TARGET'], c.code) LIMIT 1) AS problem FROM (SELECT u.conv_id, u.turn FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1) p")
+def quality_gate(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", R.first_problem(_rules(), F.col("conv_id").cast("string"), F.col("source"), F.col("target")).alias("problem"))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def name_scan(spark, sf_dir):
+    return N.contained(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query()
+def longest_names(spark, sf_dir):
+    """Leftmost-longest matches of one- and two-word names drawn from the parts, in conversations."""
+    terms = table(spark, sf_dir, "conversations").where("turn = 1").select(F.array_join(F.slice(X.words(F.col("text")), 1, 2), " ").alias("name")).union(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("k"), "text")
+    return N.longest_matches(rows, "k", "text", terms, "name", 2)
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey, CASE WHEN open_now > 0 AND same > 0 THEN 'EXISTING_PR_REUSED' WHEN open_now = 0 AND done > 0 THEN 'NO_CHANGES' ELSE 'PREPARE_NEW_PR' END AS decision, outdated FROM (
+SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS open_now, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS same, count(*) FILTER (o_orderstatus = 'F') AS done,
+coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'), []) AS outdated FROM orders GROUP BY o_custkey)""")
+def gate_decisions(spark, sf_dir):
+    open_, same = F.col("o_orderstatus") == "O", F.col("o_orderpriority") == "1-URGENT"
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(open_).alias("o"), F.count_if(open_ & same).alias("s"), F.count_if(F.col("o_orderstatus") == "F").alias("d"), F.array_sort(F.collect_list(F.when(open_ & ~same, F.col("o_orderkey")))).alias("outdated"))
+    return g.select("o_custkey", F.when((F.col("o") > 0) & (F.col("s") > 0), "EXISTING_PR_REUSED").when((F.col("o") == 0) & (F.col("d") > 0), "NO_CHANGES").otherwise("PREPARE_NEW_PR").alias("decision"), "outdated")
+
+
+@query()
+def format_signatures(spark, sf_dir):
+    """Pages whose markup structure changes when every other page's last tag is dropped."""
+    pages = table(spark, sf_dir, "pages").withColumn("target", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "<[^>]*>(?=[^<]*$)", "")).otherwise(F.col("html")))
+    return pages.select("page_id", (format_signature("html") == format_signature("target")).alias("format_ok"))
