@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, extra: tuple[s
     drawn = drawn.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)))
     taken = drawn.mapInArrow(_slots, "shard int, slot long, src int, pass long, block long, words long")
     pieces = placed.where("size > 0").select("row", "src", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))).alias("block"))
-    joined = taken.join(pieces, ["src", "block"])
+    # The slots grow with the input, though they are spread out from a short list: never broadcast them.
+    joined = taken.hint("merge").join(pieces, ["src", "block"])
     start, end = F.col("block") * BLOCK, F.col("block") * BLOCK + F.col("words")
     joined = joined.select("shard", "slot", "src", "pass", "row", F.greatest(start - F.col("first"), F.lit(0)).alias("from"), F.least(end - F.col("first"), F.col("size")).alias("to"))
     return placed, joined.where(F.col("from") < F.col("to"))
