@@ -56,20 +56,44 @@ def targets(sizes: dict, weights=WEIGHTS, repeats: int = REPEATS) -> dict:
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of 0..n-1 at ``index``: a four-round Feistel network, walked until it lands below n."""
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..n-1 at ``index`` (or its inverse): a four-round Feistel network, walked until it lands below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     low = np.uint64((1 << half) - 1)
     x, todo = index.astype(np.uint64), np.ones(len(index), bool)
+    mixed_ = lambda v, r: mix64(v + np.uint64((key * 4 + r) % 2**64)) & low
     while todo.any():
         left, right = x[todo] >> np.uint64(half), x[todo] & low
         for r in range(4):
-            left, right = right, left ^ (mix64(right + np.uint64((key * 4 + r) % 2**64)) & low)
+            if back:
+                left, right = right ^ mixed_(left, 3 - r), left
+            else:
+                left, right = right, left ^ mixed_(right, r)
         x[todo] = (left << np.uint64(half)) | right
         todo &= x >= np.uint64(n)
     return x.astype(np.int64)
 
 
+def _key(src: int) -> int:
+    return SEED + 7919 * src
+
+
+def slots_for(words: int, size: int, src: int) -> tuple[int, int]:
+    """How many slots take exactly ``words`` of a source of ``size`` words, and how many words the last one takes."""
+    if not words:
+        return 0, 0
+    blocks, (passes, rest) = -(-size // BLOCK), divmod(words, size)
+    tail = size - (blocks - 1) * BLOCK
+    if not rest:
+        return passes * blocks, BLOCK
+    tail_at = int(permuted(np.array([blocks - 1]), blocks, _key(src), back=True)[0])
+    n = -(-rest // BLOCK)
+    got = lambda k: k * BLOCK - (BLOCK - tail) * (tail_at < k)
+    while got(n) < rest:
+        n += 1
+    return passes * blocks + n, rest - got(n - 1)
+
+
 def shard_counts(slots: list[int], seed: int = SEED):
     """For each output shard in turn: how many slots of each source it draws."""
     rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
@@ -90,7 +114,7 @@ def _slots(batches):
         r = batch.to_pylist()[0]
         for begin in range(0, r["n"], 1 << 16):
             at = np.arange(r["first"] + begin, r["first"] + min(r["n"], begin + (1 << 16)), dtype=np.int64)
-            block = permuted(at % r["blocks"], r["blocks"], SEED + 7919 * r["src"])
+            block = permuted(at % r["blocks"], r["blocks"], _key(r["src"]))
             words = np.where(at == r["slots"] - 1, r["last"], BLOCK)
             same = lambda v, t: pa.array(np.full(len(at), v), t)
             yield pa.RecordBatch.from_arrays([same(r["shard"], pa.int32()), pa.array(at), same(r["src"], pa.int32()), pa.array(at // r["blocks"]), pa.array(block), pa.array(words.astype(np.int64))], names=["shard", "slot", "src", "pass", "block", "words"])
@@ -117,13 +141,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, extra: tuple[s
     placed = settle(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
 
     plan, blocks = [], [-(-sizes[s] // BLOCK) for s in names]
-    words = [round(goal[s]) for s in names]
-    slots = [min(-(-w // BLOCK), repeats * b) for w, b in zip(words, blocks)]
+    need = [slots_for(round(goal[s]), sizes[s], i) for i, s in enumerate(names)]
+    slots = [n for n, _ in need]
     used = [0] * len(names)
     for shard, draw in shard_counts(slots):
         for i, n in enumerate(draw.tolist()):
             if n:
-                plan.append((shard, i, used[i], n, slots[i], blocks[i], words[i] - (slots[i] - 1) * BLOCK if slots[i] * BLOCK >= words[i] else BLOCK))
+                plan.append((shard, i, used[i], n, slots[i], blocks[i], need[i][1]))
                 used[i] += n
     drawn = spark.createDataFrame(plan, "shard int, src int, first long, n long, slots long, blocks long, last long")
     drawn = drawn.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)))
