@@ -95,6 +95,31 @@ def test_near_classes(spark, docs, none, texts):
     assert weighted.dedup(none).count() == 0
 
 
+def test_large_bucket_loses_no_link(spark):
+    """One bucket of 36 triples of near texts around a common passage: most never meet as leaders."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common, texts = " ".join(word() for _ in range(40)), []
+    for _ in range(36):
+        own = [word() for _ in range(120)]
+        texts += [common + " " + " ".join(own[:k] + [word()] + own[k + 1 :]) for k in (3, 60, 119)]
+    rows = links.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    banded = links.settle(rows.select("doc_id", "text_key", F.expr(f"array_repeat(1L, {links.BANDS})").alias("bands")), "bands")
+    got = {r["doc_id"]: r["class_id"] for r in links.classes_by_bands(rows, banded, 0.8, links.plain_vectors).collect()}
+    want = _brute_classes(links.plain_vectors(texts), texts)
+    assert [got[i] for i in range(len(texts))] == want == [i - i % 3 for i in range(len(texts))]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), min_size=1, max_size=25), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), min_size=1, max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_prefixes_of_similar_vectors_meet(x, y):
+    a, b = ((np.array(sorted(d), np.uint32), np.array([d[k] for k in sorted(d)], np.float32)) for d in (dict(x), dict(y)))
+    for t in (0.2, 0.5, 0.8):
+        if links.similarity(a, b) >= t:
+            assert set(links.prefix(a, t)) & set(links.prefix(b, t))
+            assert set(links.prefix(a, t, lambda h: h % 7)) & set(links.prefix(b, t, lambda h: h % 7))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, j) for j in range(51, 60)] + [(70, 70)]
     got = dict(map(tuple, links.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, runs, settle, shingles, slices
+from .common import column, mix64, runs, settle, shingles, slices
 
 #: Samples in a band; two texts of similarity s agree in one band with probability s ** BAND_ROWS.
 BAND_ROWS = 4
@@ -19,6 +19,8 @@ BANDS = 16
 SMALL_BUCKET = 8
 #: Texts of a large bucket that share a second leader.
 SUB_GROUP = 32
+#: Rounds of new leaders; what they leave apart is compared by prefixes.
+ROUNDS = 3
 BANDED = "doc_id long, text_key string, bands array<long>"
 
 
@@ -123,11 +125,53 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def prefix(vector: tuple[np.ndarray, np.ndarray], threshold: float, rarity: Callable | None = None) -> np.ndarray:
+    """The shingles of a vector of which two vectors as similar as ``threshold`` must share one.
+
+    In one order for all vectors (rarest first), these are the first ones after
+    which less than ``threshold`` of the weight is left. The overlap of similar
+    vectors is at least that part of the heavier one, so it reaches into both
+    prefixes.
+    """
+    hashes, weights = vector
+    if not len(hashes):
+        return hashes
+    order = np.lexsort((hashes, -rarity(hashes))) if rarity else np.argsort(mix64(hashes.astype(np.uint64)))
+    total = float(weights.sum(dtype=np.float64))
+    left = total - np.cumsum(weights[order], dtype=np.float64)
+    return hashes[order[: np.count_nonzero(left >= threshold * total * (1 - 1e-6)) + 1]]
+
+
+def across(members: DataFrame, packed: DataFrame, threshold: float, rarity: Callable | None = None) -> DataFrame:
+    """Candidates ``a, b`` among ``members`` (``doc_id, class``) of different classes, by their prefixes.
+
+    No pair as similar as ``threshold`` is missing. Per shingle, only members
+    outside its most frequent class are joined with the others, and only where
+    the lighter of two texts has ``threshold`` of the other's weight.
+    """
+
+    def mark(batches):
+        for batch in slices(batches):
+            vectors = [_unpack(v) for v in column(batch, "vector")]
+            marks = [prefix(v, threshold, rarity).astype(np.int64) for v in vectors]
+            weights = [float(v[1].sum(dtype=np.float64)) for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class"), pa.array(weights), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "class", "weight", "marks"])
+
+    marked = members.join(packed, "doc_id").select("doc_id", "class", "vector").mapInArrow(mark, "doc_id long, class long, weight double, marks array<long>")
+    marked = settle(marked.select("doc_id", "class", "weight", F.explode("marks").alias("shingle")), "prefixes")
+    mixed = marked.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("lead"), F.count("*").alias("classes"))
+    mixed = settle(marked.join(mixed.where("classes > 1").select("shingle", "lead"), "shingle"), "mixed-prefixes")
+    odd = mixed.where("class <> lead").select("shingle", F.col("doc_id").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"))
+    met = odd.join(mixed.select("shingle", F.col("doc_id").alias("y"), F.col("class").alias("cy"), F.col("weight").alias("wy")), "shingle")
+    low = threshold * (1 - 1e-6)
+    return met.where((F.col("cx") != F.col("cy")) & (F.col("wx") >= low * F.col("wy")) & (F.col("wy") >= low * F.col("wx"))).select(*_pairs("x", "y")).distinct()
+
+
 def _pairs(left: str, right: str):
     return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
 
 
-def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable) -> DataFrame:
+def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable, rarity: Callable | None = None) -> DataFrame:
     """Classes of exact and near copies from a settled table of bands.
 
     1. Equal texts are represented by their least id.
@@ -138,7 +182,12 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
        among its copies. So candidates grow with the members, not their square.
     3. Candidates are verified exactly and joined to classes. Large buckets
        that still hold several classes get new leaders from among the classes
-       other than the last leader's, until a round links nothing new.
+       other than the last leader's, for ROUNDS rounds or until one links
+       nothing new. This only makes the next step small.
+    4. Members of large buckets that still hold several classes are compared
+       across classes wherever their prefixes meet (see ``across``), so that no
+       link between classes of a bucket is lost. ``rarity`` tells how rare
+       shingles are, to order them.
 
     Returns ``doc_id, class_id, n_links``; ``n_links`` counts the verified
     links of the document's text to other texts.
@@ -165,21 +214,28 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
     packed = vectors_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), rows, vectors)
     links = verify(tested, packed, threshold)
     labels = components(links)
-    while True:
+    for left in range(ROUNDS, -1, -1):
         named = big.join(labels, big["doc_id"] == labels["node"], "left").select(*big.columns, F.coalesce("label", "doc_id").alias("class"))
         open_ = named.groupBy("bucket").agg(F.max_by("class", "rank").alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "lead")
         rest = named.join(open_, "bucket")
+        if not left:
+            break
         leaders = rest.where("class <> lead").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "class"), "rank").alias("next"))
         fresh = rest.join(leaders, "bucket").where(F.col("class") != F.col("next.class")).select(*_pairs("doc_id", "next.doc_id")).distinct()
         fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = verify(fresh, packed, threshold)
         tested = tested.union(fresh)
+        found = verify(fresh, packed, threshold)
         if found.isEmpty():
             break
         links = links.union(found)
         labels = components(links)
+    members = settle(rest.select("doc_id", "class").distinct(), "open-members")
+    if not members.isEmpty():
+        last = settle(across(members, packed, threshold, rarity).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verify(last, packed, threshold)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = heads.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("text_key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

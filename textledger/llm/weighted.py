@@ -119,7 +119,7 @@ def weighted_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield banded_batch(batch, salted)
 
     banded = settle(rows.mapInArrow(bands, BANDED), "icws-bands")
-    return classes_by_bands(rows, banded, threshold, lambda texts: TfIdf(shared.value)(texts))
+    return classes_by_bands(rows, banded, threshold, lambda texts: TfIdf(shared.value)(texts), lambda hashes: shared.value[hashes % DF_SLOTS])
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
