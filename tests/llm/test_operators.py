@@ -110,14 +110,22 @@ def test_large_bucket_loses_no_link(spark):
     assert [got[i] for i in range(len(texts))] == want == [i - i % 3 for i in range(len(texts))]
 
 
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), min_size=1, max_size=25), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), min_size=1, max_size=25))
-@settings(max_examples=200, deadline=None)
-def test_prefixes_of_similar_vectors_meet(x, y):
-    a, b = ((np.array(sorted(d), np.uint32), np.array([d[k] for k in sorted(d)], np.float32)) for d in (dict(x), dict(y)))
-    for t in (0.2, 0.5, 0.8):
-        if links.similarity(a, b) >= t:
-            assert set(links.prefix(a, t)) & set(links.prefix(b, t))
-            assert set(links.prefix(a, t, lambda h: h % 7)) & set(links.prefix(b, t, lambda h: h % 7))
+def test_prefixes_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(12):
+        base = {int(k): float(w) for k, w in zip(rng.choice(400, 40, False), rng.integers(1, 9, 40))}
+        for cut in (0, 2, 4, 8):
+            drop = set(list(base)[:cut])
+            vectors.append({k: w for k, w in base.items() if k not in drop} | {int(k): 3.0 for k in rng.choice(400, cut // 2, False)})
+    vectors = [(np.array(sorted(v), np.uint32), np.array([v[k] for k in sorted(v)], np.float32)) for v in vectors] + [(np.zeros(0, np.uint32), np.zeros(0, np.float32))]
+    packed = spark.createDataFrame([(i, links._pack(v)) for i, v in enumerate(vectors)], "doc_id long, vector binary")
+    members = packed.select("doc_id", F.col("doc_id").alias("class"))
+    for t in (0.5, 0.8):
+        got = {(r["b"], r["a"]) for r in links.across(members, packed, t).collect()}
+        similar = {(i, j) for j in range(len(vectors)) for i in range(j) if links.similarity(vectors[i], vectors[j]) >= t}
+        assert similar and similar <= got
+        assert len(got) < 3 * len(similar)
 
 
 def test_components(spark):

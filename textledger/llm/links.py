@@ -8,9 +8,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, mix64, runs, settle, shingles, slices
+from .common import column, runs, settle, shingles, slices
 
 #: Samples in a band; two texts of similarity s agree in one band with probability s ** BAND_ROWS.
 BAND_ROWS = 4
@@ -125,53 +126,52 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def prefix(vector: tuple[np.ndarray, np.ndarray], threshold: float, rarity: Callable | None = None) -> np.ndarray:
-    """The shingles of a vector of which two vectors as similar as ``threshold`` must share one.
+def prefixes(members: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """The shingles of ``members`` of which two texts as similar as ``threshold`` share one: ``doc_id, shingle, rest``.
 
-    In one order for all vectors (rarest first), these are the first ones after
-    which less than ``threshold`` of the weight is left. The overlap of similar
-    vectors is at least that part of the heavier one, so it reaches into both
-    prefixes.
+    A text's shingles stand in one order for all texts, those of fewest members
+    first; ``rest`` is the weight from the shingle on. Similar texts overlap in
+    ``threshold`` of the heavier one's weight at least, all of it from their
+    first common shingle on: so that one has so much ``rest``, and the others
+    need not be kept. Neither need shingles of a single member.
     """
-    hashes, weights = vector
-    if not len(hashes):
-        return hashes
-    order = np.lexsort((hashes, -rarity(hashes))) if rarity else np.argsort(mix64(hashes.astype(np.uint64)))
-    total = float(weights.sum(dtype=np.float64))
-    left = total - np.cumsum(weights[order], dtype=np.float64)
-    return hashes[order[: np.count_nonzero(left >= threshold * total * (1 - 1e-6)) + 1]]
 
+    def unpack(batches):
+        for batch in slices(batches, 64):
+            vectors = [_unpack(v) for v in column(batch, "vector")]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(v[0]) for v in vectors])
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([v[0] for v in vectors]).astype(np.int64)), pa.array(np.concatenate([v[1] for v in vectors]))], names=["doc_id", "shingle", "weight"])
+
+    rows = settle(members.select("doc_id").join(packed, "doc_id").select("doc_id", "vector").mapInArrow(unpack, "doc_id long, shingle long, weight float"), "member-shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    own = W.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(W.currentRow, W.unboundedFollowing)  # one text
+    placed = rows.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rest", F.sum(F.col("weight").cast("double")).over(own))
+    whole = placed.withColumn("whole", F.max("rest").over(W.partitionBy("doc_id")))
+    return whole.where((F.col("rest") >= F.col("whole") * threshold * (1 - 1e-6)) & (F.col("n") > 1)).select("doc_id", "shingle", "rest", "whole")
 
-def across(members: DataFrame, packed: DataFrame, threshold: float, rarity: Callable | None = None) -> DataFrame:
+
+def across(members: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """Candidates ``a, b`` among ``members`` (``doc_id, class``) of different classes, by their prefixes.
 
     No pair as similar as ``threshold`` is missing. Per shingle, only members
     outside its most frequent class are joined with the others, and only where
-    the lighter of two texts has ``threshold`` of the other's weight.
+    what either text has left from the shingle on is the overlap they need.
     """
-
-    def mark(batches):
-        for batch in slices(batches):
-            vectors = [_unpack(v) for v in column(batch, "vector")]
-            marks = [prefix(v, threshold, rarity).astype(np.int64) for v in vectors]
-            weights = [float(v[1].sum(dtype=np.float64)) for v in vectors]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class"), pa.array(weights), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "class", "weight", "marks"])
-
-    marked = members.join(packed, "doc_id").select("doc_id", "class", "vector").mapInArrow(mark, "doc_id long, class long, weight double, marks array<long>")
-    marked = settle(marked.select("doc_id", "class", "weight", F.explode("marks").alias("shingle")), "prefixes")
+    marked = settle(prefixes(members, packed, threshold).join(members, "doc_id"), "prefixes")
     mixed = marked.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("lead"), F.count("*").alias("classes"))
     mixed = settle(marked.join(mixed.where("classes > 1").select("shingle", "lead"), "shingle"), "mixed-prefixes")
-    odd = mixed.where("class <> lead").select("shingle", F.col("doc_id").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"))
-    met = odd.join(mixed.select("shingle", F.col("doc_id").alias("y"), F.col("class").alias("cy"), F.col("weight").alias("wy")), "shingle")
-    low = threshold * (1 - 1e-6)
-    return met.where((F.col("cx") != F.col("cy")) & (F.col("wx") >= low * F.col("wy")) & (F.col("wy") >= low * F.col("wx"))).select(*_pairs("x", "y")).distinct()
+    odd = mixed.where("class <> lead").select("shingle", F.col("doc_id").alias("x"), F.col("class").alias("cx"), F.col("whole").alias("wx"), F.col("rest").alias("rx"))
+    met = odd.join(mixed.select("shingle", F.col("doc_id").alias("y"), F.col("class").alias("cy"), F.col("whole").alias("wy"), F.col("rest").alias("ry")), "shingle")
+    need = (F.col("wx") + F.col("wy")) * (threshold / (1 + threshold) * (1 - 1e-6))
+    return met.where((F.col("cx") != F.col("cy")) & (F.col("rx") >= need) & (F.col("ry") >= need)).select(*_pairs("x", "y")).distinct()
 
 
 def _pairs(left: str, right: str):
     return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
 
 
-def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable, rarity: Callable | None = None) -> DataFrame:
+def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable) -> DataFrame:
     """Classes of exact and near copies from a settled table of bands.
 
     1. Equal texts are represented by their least id.
@@ -186,8 +186,7 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
        nothing new. This only makes the next step small.
     4. Members of large buckets that still hold several classes are compared
        across classes wherever their prefixes meet (see ``across``), so that no
-       link between classes of a bucket is lost. ``rarity`` tells how rare
-       shingles are, to order them.
+       link between classes of a bucket is lost.
 
     Returns ``doc_id, class_id, n_links``; ``n_links`` counts the verified
     links of the document's text to other texts.
@@ -231,7 +230,7 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
         labels = components(links)
     members = settle(rest.select("doc_id", "class").distinct(), "open-members")
     if not members.isEmpty():
-        last = settle(across(members, packed, threshold, rarity).join(tested, ["a", "b"], "left_anti"), "pairs")
+        last = settle(across(members, packed, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = verify(last, packed, threshold)
         if not found.isEmpty():
             links = links.union(found)
