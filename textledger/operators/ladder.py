@@ -98,3 +98,14 @@ def seeded(rows: DataFrame, seeds: DataFrame, key: str, source: str) -> DataFram
     """A correction given for one key goes to all rows with that key's source text; ``seeds`` has ``seed_key, replacement``."""
     texts = seeds.join(rows.select(F.col(key).alias("seed_key"), F.col(source).alias("_text")), "seed_key").groupBy("_text").agg(F.min_by("replacement", "seed_key").alias("replacement"))
     return rows.join(texts, F.col(source) == F.col("_text")).drop("_text")
+
+
+def drop_prefixes(rows: DataFrame, key: str, prefixes: list[str], keep: DataFrame | None = None) -> DataFrame:
+    """``rows`` without those whose key starts with a prefix, unless ``keep`` lists the key. Rows without a key stay."""
+    hit = F.lit(False)
+    for p in prefixes:
+        hit = hit | F.coalesce(F.col(key).startswith(p), F.lit(False))
+    if keep is None:
+        return rows.where(~hit)
+    listed = keep.select(F.col(key).alias("_kept")).distinct()
+    return rows.join(listed, F.col(key) == F.col("_kept"), "left").where(~hit | F.col("_kept").isNotNull()).drop("_kept")

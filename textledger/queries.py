@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.tokens import format_signature
+from .operators import chunks as C
 from .operators import ladder as L
+from .operators import packing as P
 from .operators import stats as S
 from .operators import versions as V
 from .plans import names as N
@@ -414,3 +416,26 @@ def format_signatures(spark, sf_dir):
     """Pages whose markup structure changes when every other page's last tag is dropped."""
     pages = table(spark, sf_dir, "pages").withColumn("target", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "<[^>]*>(?=[^<]*$)", "")).otherwise(F.col("html")))
     return pages.select("page_id", (format_signature("html") == format_signature("target")).alias("format_ok"))
+
+
+@query("SELECT doc_id, CAST(greatest(ceil(strlen(text) / 1024.0), 1) AS BIGINT) AS pieces, sha256(text) AS data_sha256, true AS ok FROM documents WHERE text IS NOT NULL")
+def chunk_reassembly(spark, sf_dir):
+    """Documents cut to chunks of 1 KiB, each distinct chunk stored once, and put together again from the store."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    chunks = C.cut(files, "doc_id", "data", 1024)
+    names = files.select("doc_id", F.sha2("data", 256).alias("file_sha256"))
+    manifest = chunks.select("doc_id", "seq", "sha").join(names, "doc_id")
+    whole = C.reassemble(manifest, C.store(chunks), "doc_id")
+    return whole.select("doc_id", "pieces", F.sha2("data", 256).alias("data_sha256"), F.col("problem").isNull().alias("ok"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT (starts_with(c_name, 'Customer#0000000') OR c_name LIKE 'Customer#00000012%') OR c_name IN (SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING')")
+def prefix_deletes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return L.drop_prefixes(c, "c_name", ["Customer#0000000", "Customer#00000012"], c.where("c_mktsegment = 'BUILDING'")).select("c_custkey", "c_name")
+
+
+@query()
+def work_batches(spark, sf_dir):
+    """Documents in batches of 32 rows and 3,000 characters of one language; texts over 1,400 characters are alone."""
+    return P.pack(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")
