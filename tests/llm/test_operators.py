@@ -95,6 +95,32 @@ def test_near_classes(spark, docs, none, texts):
     assert weighted.dedup(none).count() == 0
 
 
+def test_frequencies_are_exact(spark, docs, texts, monkeypatch):
+    """Weights from exact counts, over several blocks, with more distinct shingles than any small table has slots."""
+    rng = np.random.default_rng(11)
+    many = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 3000)) for _ in range(120)]
+    many = [t + " one passage that all of these texts share" for t in many] + texts
+    counts = {}
+    for own in (np.unique(h[a:b]) for t in many for h, (a, b) in [weighted.shingles([t or ""])]):
+        for h in own.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    monkeypatch.setattr(weighted, "BLOCK_CHARS", 200_000)
+    rows = links.keyed(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(3))
+    banded, n = weighted.counted_bands(rows)
+    got = {r["doc_id"]: np.frombuffer(r["dfs"], "<u4").tolist() for r in banded.collect()}
+    assert n == len(many) == len(got)
+    for i, t in enumerate(many):
+        own, tf = np.unique(weighted.shingles([t or ""])[0], return_counts=True)
+        assert got[i] == [counts[h] for h in own.tolist()]
+        ids, weights = weighted.counted_vectors([t or ""], [np.array(got[i], "<u4").tobytes()], n)[0]
+        want = {}
+        for h, k in zip(own.tolist(), tf.tolist()):
+            want[h >> 32] = want.get(h >> 32, 0) + k * np.log1p((n + 1) / (counts[h] + 1))
+        assert np.allclose(weights, [want[x] for x in ids.tolist()])
+    written, _ = weighted.document_frequencies(rows)
+    assert {r["shingle"] & (2**64 - 1): r["n"] for r in written.collect()} == {h: c for h, c in counts.items() if c > 1}
+
+
 def test_large_bucket_loses_no_link(spark):
     """One bucket of 36 triples of near texts around a common passage: most never meet as leaders."""
     rng = random.Random(5)

@@ -70,19 +70,27 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[:half], "<u4"), np.frombuffer(data[half:], "<f4")
 
 
-def vectors_of(ids: DataFrame, rows: DataFrame, vectors: Callable) -> DataFrame:
+def vectors_of(ids: DataFrame, rows: DataFrame, vectors: Callable, known: DataFrame | None = None) -> DataFrame:
     """The settled vectors ``doc_id, vector`` of the texts whose ``doc_id`` is in ``ids``.
 
+    ``known`` (``doc_id, text_key, dfs``) has what ``vectors`` needs besides the text.
+
     The ids are as many as the input makes them, so they are never broadcast:
     texts are shuffled once, whatever the size.
     """
 
     def pack(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_pack(v) for v in vectors(column(batch, "text", ""))], pa.binary())], names=["doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_pack(v) for v in vectors(*[column(batch, c, "") for c in given])], pa.binary())], names=["doc_id", "vector"])
 
-    wanted = rows.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    return settle(wanted.dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(pack, "doc_id long, vector binary"), "vectors")
+    given, ids = ["text"], ids.distinct()
+    if known is None:
+        wanted = rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    else:
+        given.append("dfs")
+        mine = known.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        wanted = rows.join(mine.hint("shuffle_hash"), ["doc_id", "text_key"])
+    return settle(wanted.dropDuplicates(["doc_id"]).select("doc_id", *given).mapInArrow(pack, "doc_id long, vector binary"), "vectors")
 
 
 def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +179,7 @@ def _pairs(left: str, right: str):
     return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
 
 
-def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable) -> DataFrame:
+def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable, known: DataFrame | None = None) -> DataFrame:
     """Classes of exact and near copies from a settled table of bands.
 
     1. Equal texts are represented by their least id.
@@ -210,7 +218,7 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
 
     tested = settle(some.union(many).where("a <> b").distinct(), "pairs")
     # Every text of a large bucket meets a leader, so later rounds find their vectors here too.
-    packed = vectors_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), rows, vectors)
+    packed = vectors_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), rows, vectors, known)
     links = verify(tested, packed, threshold)
     labels = components(links)
     for left in range(ROUNDS, -1, -1):

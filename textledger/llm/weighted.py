@@ -1,10 +1,11 @@
 """Near-duplicate removal by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle's weight is its count in the text times its inverse document
-frequency. Frequencies are counted over all documents in a table of fixed size
-(shingle hash modulo ``DF_SLOTS``), so the table that tasks share is bounded;
-where shingles share a slot their frequency is overestimated, which matters
-little: the table serves to tell passages that very many documents share.
+frequency, and document frequencies are exact: texts are written in blocks,
+each block deals its sorted 64-bit shingle hashes to ``cells`` by their first
+bits, all cells of the same bits are counted together, and each cell gets back
+the counts in the order of its shingles. So every text has the frequencies of
+its own shingles, and no table of all shingles is shared.
 
 Nulls: a null text is in a class of its own; an empty text or one without
 words is near none, and equal texts (empty ones too) are always one class.
@@ -13,57 +14,159 @@ Repeated rows are kept, in one class. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keyed_sum, mix64, runs, settle, shingles, slices
-from .links import BAND_ROWS, BANDED, BANDS, banded_batch, classes_by_bands, keyed
+from .common import column, mix64, runs, settle, shingles, slices
+from .links import BAND_ROWS, BANDS, banded_batch, classes_by_bands, keyed
 
-DF_SLOTS = 1 << 18
-_BLOCK = 1 << 12
+#: Texts of a block have about so many code points together (a longer text is alone).
+BLOCK_CHARS = 4_000_000
+#: Shingles are counted in at least so many groups, and in more where a group's texts would pass GROUP_CHARS.
+GROUPS = 256
+GROUP_CHARS = 16_000_000
 SAMPLES = BAND_ROWS * BANDS
 _DRAWS = 1 << 14
 SEED = 20240602
 
+_BLOCKS = "block long, doc_id array<long>, text_key array<string>, text array<string>"
+_CELLS = "block long, part long, data binary"
+_COUNTED = "doc_id long, text_key string, bands array<long>, dfs binary"
+
+
+def _distinct(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct shingles (64-bit hashes, ascending) and how often it has them."""
+    for i, j in runs(texts):
+        hashes, bounds = shingles(texts[i:j])
+        for a, b in zip(bounds, bounds[1:]):
+            yield np.unique(hashes[a:b], return_counts=True)
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts have a shingle in each slot, and how many texts there are, over all of ``docs``."""
 
-    def count(batches):
-        table, n = np.zeros(DF_SLOTS, np.int64), 0
+def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written table ``shingle, n`` of the shingles that 2 or more texts have, and how many texts there are.
+
+    Plain counting by shingle, to compare with: ``weighted_classes`` counts in cells.
+    """
+
+    def emit(batches):
         for batch in slices(batches):
-            texts = column(batch, "text", "")
-            n += len(texts)
-            for i, j in runs(texts):
-                hashes, bounds = shingles(texts[i:j])
-                owner = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(bounds))
-                slot = (hashes >> np.uint64(32)).astype(np.int64) % DF_SLOTS
-                table += np.bincount(np.unique(owner * DF_SLOTS + slot) % DF_SLOTS, minlength=DF_SLOTS)
-        yield from keyed_sum.emit(table, n, _BLOCK)
+            found = [h for h, _ in _distinct(column(batch, "text", ""))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    pairs = docs.select("text").mapInArrow(emit, "shingle long")
+    return settle(pairs.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "frequencies"), docs.count()
+
+
+def idf(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n + 1) / (counts + 1.0))
 
-    return keyed_sum.total(docs.select("text").mapInArrow(count, keyed_sum.SCHEMA), DF_SLOTS, _BLOCK)
 
+def idf_table(counts: DataFrame, n: int) -> tuple[dict[int, int], int]:
+    """``document_frequencies`` of a small table as a dictionary."""
+    return {r["shingle"]: r["n"] for r in counts.collect()}, n
 
-def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p((n + 1) / (counts + 1)).astype(np.float32)
+
+def _vector(own: np.ndarray, tf: np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's weighted shingles: 32-bit hashes (ascending) and weights."""
+    weights = tf * idf(df, n)
+    short = (own >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.diff(short.astype(np.int64), prepend=-1))
+    return short[first], (np.add.reduceat(weights, first) if len(first) else weights).astype(np.float32)
 
 
 class TfIdf:
-    """Turns texts into weighted shingle vectors: 32-bit hashes (ascending) and weights."""
+    """Turns texts into weighted shingle vectors by a dictionary of frequencies (see ``idf_table``)."""
 
-    def __init__(self, idf: np.ndarray):
-        self.idf = idf
+    def __init__(self, table: tuple[dict[int, int], int]):
+        self.counts, self.n = table
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for i, j in runs(texts):
-            hashes, bounds = shingles(texts[i:j])
-            for a, b in zip(bounds, bounds[1:]):
-                own, tf = np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32), return_counts=True)
-                out.append((own, (tf * self.idf[own % DF_SLOTS]).astype(np.float32)))
-        return out
+        return [_vector(own, tf, np.array([self.counts.get(h, 1) for h in own.view(np.int64).tolist()], np.int64), self.n) for own, tf in _distinct(texts)]
+
+
+def counted_vectors(texts: list[str], dfs: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weighted shingle vectors of texts whose shingles' frequencies are known, in the order of the hashes."""
+    return [_vector(own, tf, np.frombuffer(df, "<u4"), n) for (own, tf), df in zip(_distinct(texts), dfs)]
+
+
+def _fold(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte of all: their high bytes are zeros."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unfold(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _entries(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts' distinct shingles, and all of them laid end to end."""
+    own = [h for h, _ in _distinct(texts)]
+    return own, np.concatenate(own)
+
+
+def _blocks(batches):
+    from pyspark import TaskContext
+
+    block, ids, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string()))], names=["block", "doc_id", "text_key", "text"])
+
+    for batch in slices(batches):
+        for i, key, text in zip(column(batch, "doc_id"), column(batch, "text_key"), column(batch, "text", "")):
+            if ids and size + len(text) > BLOCK_CHARS:
+                yield row()
+                block, ids, keys, texts, size = block + 1, [], [], [], 0
+            ids.append(i)
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+    if ids:
+        yield row()
+
+
+def _cells(bits: int):
+    def cells(batches):
+        for batch in slices(batches, 1):
+            block = batch.column("block")[0].as_py()
+            hashes = np.sort(_entries(batch.column("text")[0].as_py())[1])
+            parts = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.flatnonzero(np.diff(parts, prepend=-1))
+            for a, b in zip(at, np.append(at[1:], len(parts))):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts[a]], pa.int64()), pa.array([_fold(hashes[a:b])], pa.binary())], names=["block", "part", "data"])
+
+    return cells
+
+
+def _count(cells: pa.Table) -> pa.Table:
+    """For all cells of a part: how many texts have each entry's shingle."""
+    found = [_unfold(x) for x in cells.column("data").to_pylist()]
+    _, which, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    counts = np.split(n[which].astype("<u4"), np.cumsum([len(x) for x in found])[:-1])
+    return pa.Table.from_arrays([cells.column("block").combine_chunks(), cells.column("part").combine_chunks(), pa.array([x.tobytes() for x in counts], pa.binary())], names=["block", "part", "data"])
+
+
+def _banded(n: int):
+    def banded(block: pa.Table, counts: pa.Table) -> pa.Table:
+        """Band hashes and frequencies of a block's texts, of which ``counts`` holds the cells."""
+        texts = block.column("text")[0].as_py()
+        own, hashes = _entries(texts)
+        replies = sorted(zip(counts.column("part").to_pylist(), counts.column("data").to_pylist()))
+        flat = np.zeros(len(hashes), "<u4")
+        flat[np.argsort(hashes, kind="stable")] = np.frombuffer(b"".join(x for _, x in replies), "<u4")
+        dfs = [x.tobytes() for x in np.split(flat, np.cumsum([len(x) for x in own])[:-1])]
+        samples = np.concatenate([consistent_samples(counted_vectors(texts[i:j], dfs[i:j], n)) for i, j in runs(texts)])
+        bare = np.flatnonzero(~samples.any(axis=1))  # no words: near nothing else
+        first = np.uint64(((block.column("block")[0].as_py() + 1) << 24) % 2**64)
+        samples[bare] = mix64(first + np.arange(1, len(bare) + 1, dtype=np.uint64))[:, None]
+        rows = pa.RecordBatch.from_arrays([pa.array(block.column(c)[0].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("text_key", pa.string()))], names=["doc_id", "text_key"])
+        return pa.Table.from_batches([banded_batch(rows, samples)]).append_column("dfs", pa.array(dfs, pa.binary()))
+
+    return banded
 
 
 def _draws():
@@ -102,24 +205,22 @@ def consistent_samples(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return out
 
 
+def counted_bands(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The settled ``doc_id, text_key, bands, dfs`` of all texts (``dfs``: exact frequencies of their shingles), and their number."""
+    blocks = settle(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
+    size = blocks.select(F.size("doc_id").alias("n"), F.expr("aggregate(text, 0L, (s, t) -> s + length(t))").alias("chars")).agg(F.sum("n"), F.sum("chars")).first()
+    n, chars = size[0] or 0, size[1] or 0
+    bits = (max(GROUPS, chars // GROUP_CHARS) - 1).bit_length()
+    counts = blocks.select("block", "text").mapInArrow(_cells(bits), _CELLS).groupBy("part").applyInArrow(_count, _CELLS)
+    return settle(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_banded(n), _COUNTED), "icws-bands"), n
+
+
 def weighted_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Near-duplicate classes: ``doc_id, class_id, n_links`` (see ``links.classes_by_bands``)."""
     rows = keyed(docs)
-    table = TfIdf(idf_table(*document_frequencies(rows)))
-    shared = docs.sparkSession.sparkContext.broadcast(table.idf)  # DF_SLOTS numbers
-
-    def bands(batches):
-        tfidf = TfIdf(shared.value)
-        for batch in slices(batches):
-            texts = column(batch, "text", "")
-            samples = [consistent_samples(tfidf(texts[i:j])) for i, j in runs(texts)]
-            salted = np.concatenate(samples)
-            bare = np.flatnonzero(~salted.any(axis=1))  # no words: near nothing else
-            salted[bare] = mix64(np.arange(1, len(bare) + 1, dtype=np.uint64))[:, None]
-            yield banded_batch(batch, salted)
-
-    banded = settle(rows.mapInArrow(bands, BANDED), "icws-bands")
-    return classes_by_bands(rows, banded, threshold, lambda texts: TfIdf(shared.value)(texts))
+    banded, n = counted_bands(rows)
+    dfs = banded.where("text_key is not null").select("doc_id", "text_key", "dfs")
+    return classes_by_bands(rows, banded.drop("dfs"), threshold, lambda texts, known: counted_vectors(texts, known, n), dfs)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
