@@ -307,6 +307,18 @@ def test_encoder_equals_the_library(some):
     assert [x.tolist() for x in e.encode(some)] == want
 
 
+def test_encoder_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    some = ["a<|endoftext|>b", "", "one two", "<|endoftext|>", "x <|endoftext|>\n<|endoftext|> y", "<|endoftext", "|>"]
+    for texts in (some, some[:1], some[3:5]):
+        got = [x.tolist() for x in e.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert e.encode(some)[0].tolist() == [64, 50256, 65, 0]
+    assert some[0] == "a<|endoftext|>b"
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 70000), min_size=1, max_size=1500), st.data())
 def test_wavelet(ids, data):

@@ -67,14 +67,16 @@ class Encoder:
     pattern always ends a word: before a blank or line feed that follows a
     visible character, before a mark that follows a letter, after a line feed
     between visible characters. The library encodes each distinct piece once;
-    its ids are remembered. Other tokenizers encode whole texts.
+    its ids are remembered. Texts that contain an added token (as
+    ``<|endoftext|>``), and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        added = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         pre = t.pre_tokenizer
         self.cuts = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and t.normalizer is None and isinstance(t.model, models.BPE)
         self.model, self.letters = t.model, _byte_letters()
@@ -152,7 +154,16 @@ class Encoder:
         out = []
         for i, j in runs(texts, _RUN):
             if self.cuts:
-                ids, counts = self._run(texts[i:j])
+                some = texts[i:j]
+                whole = [k for k, t in enumerate(some) if self.added and self.added.search(t)]
+                for k in whole:
+                    some[k] = ""
+                ids, counts = self._run(some)
+                if whole:
+                    parts = np.split(ids, np.cumsum(counts)[:-1])
+                    for k, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i + k] for k in whole], add_special_tokens=False)):
+                        parts[k] = np.array(found.ids, np.uint32)
+                    ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
             else:
                 found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:j], add_special_tokens=False)]
                 counts = np.fromiter(map(len, found), np.int64, len(found))
