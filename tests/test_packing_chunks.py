@@ -1,6 +1,7 @@
 """Chunks, packing and deletes on small cases."""
 
 import hashlib
+import random
 
 from textledger.operators import chunks as C
 from textledger.operators import ladder as L
@@ -32,6 +33,38 @@ def test_batches_equal_plain_packing(spark):
             assert [b for _, b in mine] == want
 
 
+def end_to_end(sizes):
+    """The reference's loop: batches as lists, long texts tightening the limits."""
+    out, pending = [], []
+    for x in sizes:
+        has_long = x > 120 or any(y > 120 for y in pending)
+        if x > 1400 or len(pending) >= (8 if has_long else 32) or (pending and sum(pending) + x > (5000 if has_long else 3000)):
+            if pending:
+                out.append(pending)
+            pending = []
+        if x > 1400:
+            out.append([x])
+        else:
+            pending.append(x)
+    return out + [pending] if pending else out
+
+
+def test_whole_categories_are_packed_from_end_to_end(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = {"a": lambda i: rng.choice([5, 60, 119]), "b": lambda i: rng.choice([0, 90, 120, 121, 700, 1400, 1401]), None: lambda i: rng.choice([3, 3, 3, 3, 3, 500 if i % 50 else 2000])}
+    rows = [(i * 3 if cat == "a" else i, cat, "x" * kinds[cat](i)) for cat in kinds for i in range(1000)] + [(None, "a", "xy"), (None, "a", None)]
+    work = spark.createDataFrame(rows, "id long, cat string, body string").repartition(3)
+    for chunk in (64, 100, P.CHUNK):
+        monkeypatch.setattr(P, "CHUNK", chunk)
+        got = P.pack_whole(work, "cat", "id", "body").collect()
+        assert len(got) == len(rows)
+        for cat in kinds:
+            mine = sorted((r["id"] is not None, r["id"] or 0, r["batch"]) for r in got if r["cat"] == cat)
+            lengths = [n for _, _, n in sorted((i is not None, i or 0, len(t or "")) for i, c, t in rows if c == cat)]
+            assert [b for *_, b in mine] == [n for n, b in enumerate(end_to_end(lengths)) for _ in b]
+    assert P.pack_whole(work.limit(0), "cat", "id", "body").count() == 0
+
+
 def test_pack_nulls_and_empty(spark):
     work = spark.createDataFrame([(None, None, None), (1, None, ""), (1, None, "")], "id long, cat string, body string")
     assert sorted((r["span"], r["batch"]) for r in P.pack(work, "cat", "id", "body").collect()) == [(-1, 0), (0, 0), (0, 0)]

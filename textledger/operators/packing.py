@@ -6,20 +6,99 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def batch_numbers(sizes: Iterable[int], rows: int, chars: int, alone: int) -> Iterator[int]:
-    """Batch number of each item, in order: a batch closes when the next item would pass a limit; items over ``alone`` have their own."""
-    number, n, total = -1, 0, 0
+#: Rows in a chunk of a category; chunks are packed apart and then put together.
+CHUNK = 4096
+
+
+def batch_numbers(sizes: Iterable[int], rows: int, chars: int, alone: int, long: int = 120, long_rows: int = 8, long_chars: int = 5000) -> Iterator[int]:
+    """Batch number of each item, in order: a batch closes when the next item would pass a limit; items over ``alone`` have their own.
+
+    With any item over ``long``, the next one included, ``long_rows`` (``rows`` if that is less) and ``long_chars`` are the limits.
+    """
+    number, n, total, some = -1, 0, 0, False
     shut = True
     for size in sizes:
-        if shut or size > alone or n == rows or total + size > chars:
-            number, n, total = number + 1, 0, 0
+        some = some or size > long
+        if shut or size > alone or n >= (min(rows, long_rows) if some else rows) or total + size > (long_chars if some else chars):
+            number, n, total, some = number + 1, 0, 0, size > long
         n, total, shut = n + 1, total + size, size > alone
         yield number
 
 
+def chunk_map(sizes: list[int], own: int, rows: int, chars: int, alone: int, **limits: int) -> tuple[list[int], list[int]]:
+    """What a chunk does to packing, for each place of its first batch start from 0 to ``rows``.
+
+    ``sizes`` are those of the chunk's ``own`` rows and the ``rows`` that follow
+    (fewer at the end). Returns how far behind the chunk's end the next batch
+    starts, and how many batches start in the chunk.
+    """
+    out, begun = [0] * own, [0] * own
+    for i in range(own - 1, -1, -1):
+        ahead = sizes[i : i + rows + 1]
+        j = i + next((k for k, number in enumerate(batch_numbers(ahead, rows, chars, alone, **limits)) if number), len(ahead))
+        out[i], begun[i] = (j - own, 1) if j >= own else (out[j], begun[j] + 1)
+    first = range(rows + 1)
+    return [out[i] if i < own else i - own for i in first], [begun[i] if i < own else 0 for i in first]
+
+
+def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int = 32, chars: int = 3000, alone: int = 1400) -> DataFrame:
+    """``category, key, batch``: greedy batches in ascending order of the integer ``key``, each category packed from end to end.
+
+    A category is cut into chunks of ``CHUNK`` rows. Where a batch starts in a
+    chunk decides all later starts in it, and the first start is at most
+    ``rows`` behind the chunk's begin: so each chunk is packed from each of
+    these, and one pass over the chunks' maps (a row each) picks the right one.
+    Only keys and lengths are shuffled. A null text counts as empty; null keys
+    come first.
+    """
+    sized = work.select(
+        F.col(category).alias("category"),
+        F.col(key).cast("long").alias("key"),
+        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.floor(F.col(key) / CHUNK).cast("long"), F.lit(-(2**63))).alias("span"),
+    )
+    spans = sized.groupBy("category", "span").agg(F.count("*").alias("n"))
+    before = W.partitionBy("category").orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # a row per span
+    spans = spans.select(F.col("category").alias("_category"), F.col("span").alias("_span"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = W.partitionBy("category", "span").orderBy(F.col("key").asc_nulls_first(), "size")
+    placed = sized.withColumn("at", F.row_number().over(order)).join(spans, F.col("category").eqNullSafe(F.col("_category")) & (F.col("span") == F.col("_span")))
+    placed = placed.withColumn("at", F.col("base") + F.col("at") - 1).select("category", "key", "size", "at", F.expr(f"at div {CHUNK}").alias("chunk"))
+
+    kind = placed.schema["category"].dataType.simpleString()
+
+    def maps(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        own = int((frame["at"] // CHUNK == frame["chunk"]).sum())
+        ends, begun = chunk_map(frame["size"].tolist(), own, rows, chars, alone)
+        return pd.DataFrame({"category": [frame["category"].iloc[0]], "chunk": [frame["chunk"].iloc[0]], "ends": [ends], "begun": [begun]})
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, first, base, out = frame.sort_values("chunk"), 0, 0, []
+        for ends, begun in zip(frame["ends"], frame["begun"]):
+            out.append((first, base))
+            first, base = int(ends[first]), base + int(begun[first])
+        return frame.assign(first=[x for x, _ in out], base=[x for _, x in out])[["category", "chunk", "first", "base"]]
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        first, base = int(frame["first"].iloc[0]), int(frame["base"].iloc[0])
+        sizes = frame["size"].tolist()
+        batch = [base - 1] * min(first, len(sizes)) + [base + x for x in batch_numbers(sizes[first:], rows, chars, alone)]
+        return frame.assign(batch=batch)[["category", "key", "batch"]]
+
+    halo = placed.where((F.col("at") % CHUNK <= rows) & (F.col("chunk") > 0)).withColumn("chunk", F.col("chunk") - 1)
+    done = placed.unionByName(halo).groupBy("category", "chunk").applyInPandas(maps, f"category {kind}, chunk long, ends array<long>, begun array<long>")
+    starts = done.groupBy("category").applyInPandas(chain, f"category {kind}, chunk long, first long, base long")  # a row per chunk
+    starts = starts.withColumnsRenamed({"category": "_category", "chunk": "_chunk"})
+    joined = placed.join(starts, F.col("category").eqNullSafe(F.col("_category")) & (F.col("chunk") == F.col("_chunk"))).select("category", "key", "size", "at", "chunk", "first", "base")
+    out = joined.groupBy("category", "chunk").applyInPandas(fill, f"category {kind}, key long, batch long")
+    return out.select(F.col("category").alias(category), F.col("key").alias(key), "batch")
+
+
 def pack(work: DataFrame, category: str, key: str, text: str, rows: int = 32, chars: int = 3000, alone: int = 1400, span: int = 4096) -> DataFrame:
     """``category, key, span, batch``: greedy batches in ascending order of the integer ``key``, each of one category.
 
