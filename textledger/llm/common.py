@@ -15,9 +15,15 @@ RUN_CHARS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one is set only where none is."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own;
+    on a cluster that would be a wrong path for executors, so it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,27 +37,44 @@ def settle(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def order_buckets(df: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Add ``out``: a bucket number that rises with the integer column ``key`` (nulls first).
+def bucket_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
+    """Points that cut the integer column ``key`` into ``buckets`` (the shuffle's partitions) of about equally many rows."""
+    n = buckets or partitions(df.sparkSession)
+    probs = [i / n for i in range(1, n)]
+    return sorted(set(df.approxQuantile(key, probs, 1 / (4 * n)))) if probs else []
 
-    Buckets hold about equally many rows. The cut points, one per bucket, are all
-    that reaches the driver. Equal keys share a bucket.
-    """
+
+def in_bucket(df: DataFrame, key: str, cuts: list[float], out: str) -> DataFrame:
+    """Add ``out``: the number of the bucket between ``cuts`` that ``key`` falls into (nulls: the first). Equal keys share a bucket."""
     from pyspark.ml.feature import Bucketizer
 
-    n = buckets or partitions(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(df.approxQuantile(key, probs, 1 / (4 * n)))) if probs else []
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    tmp = f"_{out}_key"
+    tmp, number = spare(df, f"{out}_key"), spare(df, f"{out}_number")
     keyed = df.withColumn(tmp, F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
-    split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=f"_{out}")
-    return split.transform(keyed).withColumn(out, F.col(f"_{out}").cast("int")).drop(tmp, f"_{out}")
+    split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=number)
+    return split.transform(keyed).withColumn(out, F.col(number).cast("int")).drop(tmp, number)
+
+
+def order_buckets(df: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Add ``out``: a bucket number that rises with the integer column ``key`` (nulls first).
+
+    Buckets hold about equally many rows. The cut points, one per bucket, are all
+    that reaches the driver. Equal keys share a bucket.
+    """
+    return in_bucket(df, key, bucket_cuts(df, key, buckets), out)
 
 
 def running_offsets(df: DataFrame, group: list[str], bucket: str, order: list[Column], size: Column, out: str) -> DataFrame:
@@ -118,6 +141,15 @@ def mix64(h: np.ndarray) -> np.ndarray:
 _POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
+def place_weights(offset: np.ndarray) -> np.ndarray:
+    """An odd-looking factor for each place in a word or piece; none comes again, however long it is."""
+    weights = _POWERS[offset & 1023]
+    far = np.flatnonzero(offset > 1023)
+    if len(far):
+        weights[far] += mix64(offset[far].astype(np.uint64))
+    return weights
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs of letters and digits, lower case), and each text's bounds in them."""
     low = fold_table()[codes_of(texts)]
@@ -128,7 +160,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     lengths = np.diff(first, append=len(at))
     offset = np.arange(len(at)) - np.repeat(first, lengths)
-    values = low[at].astype(np.uint64) * _POWERS[offset & 1023]
+    values = low[at].astype(np.uint64) * place_weights(offset)
     hashes = mix64(np.add.reduceat(values, first))
     bounds = np.concatenate(([0], np.searchsorted(at[first], ends)))
     return hashes, bounds
