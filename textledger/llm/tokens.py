@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _POWERS, column, mix64, order_buckets, runs, settle, slices
+from .common import column, mix64, order_buckets, place_weights, runs, settle, slices
 
 END_ID = 0
 SHARD_TOKENS = 1 << 19
-#: Pieces of text whose ids a worker remembers, at most; with more it begins anew.
-REMEMBERED = 1_000_000
+#: Code points of the pieces whose ids a worker remembers, about at most; with more it begins anew.
+REMEMBERED = 8_000_000
+#: A text with a longer piece than this is encoded whole.
+LONGEST = 1024
 _RUN = 1_000_000
 _GROUP = 512
 
@@ -67,8 +69,10 @@ class Encoder:
     pattern always ends a word: before a blank or line feed that follows a
     visible character, before a mark that follows a letter, after a line feed
     between visible characters. The library encodes each distinct piece once;
-    its ids are remembered. Texts that contain an added token (as
-    ``<|endoftext|>``), and all texts of other tokenizers, are encoded whole.
+    its ids are remembered. A piece is found by a hash and then compared code
+    point by code point; a text with a piece that differs is encoded whole. So
+    are texts that contain an added token (as ``<|endoftext|>``) or a piece of
+    more than ``LONGEST`` code points, and all texts of other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -83,8 +87,9 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.keys, self.offs, self.lens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.keys = np.zeros(0, np.uint64)
+        self.offs, self.lens, self.froms, self.sizes = (np.zeros(0, np.int64) for _ in range(4))  # of the ids, of the code points
+        self.pool, self.codes = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
@@ -98,8 +103,22 @@ class Encoder:
             out[i] = found.ids
         return out
 
-    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each has."""
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remember the ids of pieces with new ``hashes`` (ascending)."""
+        found = self._ids(pieces)
+        lens, sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, pieces))
+        keys = np.concatenate((self.keys, hashes))
+        by = np.argsort(keys, kind="stable")  # two sorted runs
+        self.keys = keys[by]
+        self.offs = np.concatenate((self.offs, len(self.pool) + np.cumsum(lens) - lens))[by]
+        self.lens = np.concatenate((self.lens, lens))[by]
+        self.froms = np.concatenate((self.froms, len(self.codes) + np.cumsum(sizes) - sizes))[by]
+        self.sizes = np.concatenate((self.sizes, sizes))[by]
+        self.pool = np.concatenate((self.pool, np.fromiter((i for f in found for i in f), np.uint32, int(lens.sum()))))
+        self.codes = np.concatenate((self.codes, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)))
+
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts, how many each has, and the texts for which they do not hold."""
         joined = "\n".join(texts) + "\n"
         c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # the separators
@@ -115,62 +134,54 @@ class Encoder:
         begins[ends + 1] = True
         at = np.flatnonzero(begins)
         size, at = np.diff(at), at[:-1]
-        values = (c.astype(np.uint64) + np.uint64(1)) * _POWERS[(np.arange(len(c)) - np.repeat(at, size)) & 1023]
+        values = (c.astype(np.uint64) + np.uint64(1)) * place_weights(np.arange(len(c)) - np.repeat(at, size))
         h = mix64(np.add.reduceat(values, at) + size.astype(np.uint64))
-        text = ~np.isin(at, ends, assume_unique=True)
+        text = ~np.isin(at, ends, assume_unique=True) & (size <= LONGEST)
+        long = np.searchsorted(ends, at[size > LONGEST])
         at, size, h = at[text], size[text], h[text]
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64), np.unique(long)
         order = np.argsort(h)
         sorted_h = h[order]
         new = np.diff(sorted_h, prepend=sorted_h[:1] - np.uint64(1)) != 0
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
         uniq, rep = sorted_h[new], order[new]
-        if len(self.keys) > REMEMBERED:
+        if len(self.codes) > REMEMBERED:
             self._forget()
         spot = np.searchsorted(self.keys, uniq)
         spot[spot == len(self.keys)] = 0
         missing = np.flatnonzero(self.keys[spot] != uniq) if len(self.keys) else np.arange(len(uniq))
         if len(missing):
-            found = self._ids([joined[a : a + n] for a, n in zip(at[rep[missing]].tolist(), size[rep[missing]].tolist())])
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for f in found for i in f), np.uint32, int(lens.sum()))
-            keys = np.concatenate((self.keys, uniq[missing]))
-            by = np.argsort(keys, kind="stable")  # two sorted runs
-            self.keys = keys[by]
-            self.offs = np.concatenate((self.offs, len(self.pool) + np.cumsum(lens) - lens))[by]
-            self.lens = np.concatenate((self.lens, lens))[by]
-            self.pool = np.concatenate((self.pool, flat))
+            self._learn(uniq[missing], [joined[a : a + n] for a, n in zip(at[rep[missing]].tolist(), size[rep[missing]].tolist())])
             spot = np.searchsorted(self.keys, uniq)
-        n = self.lens[spot][which] if len(which) else np.zeros(0, np.int64)
-        off = self.offs[spot][which] if len(which) else n
+        entry = spot[which]
+        same = np.minimum(size, self.sizes[entry])
+        upto = np.cumsum(same)
+        inner = np.arange(int(upto[-1])) - np.repeat(upto - same, same)
+        differs = np.add.reduceat(c[np.repeat(at, same) + inner] != self.codes[np.repeat(self.froms[entry], same) + inner], upto - same, dtype=np.int64)
+        other = np.searchsorted(ends, at[(differs > 0) | (size != self.sizes[entry])])
+        n, off = self.lens[entry], self.offs[entry]
         upto = np.cumsum(n)
-        total = int(upto[-1]) if len(n) else 0
-        ids = self.pool[np.repeat(off - (upto - n), n) + np.arange(total)]
-        pieces = np.searchsorted(at, ends)
-        return ids, np.diff(np.concatenate(([0], upto))[pieces], prepend=0)
+        ids = self.pool[np.repeat(off - (upto - n), n) + np.arange(int(upto[-1]))]
+        return ids, np.diff(np.concatenate(([0], upto))[np.searchsorted(at, ends)], prepend=0), np.unique(np.concatenate((long, other)))
 
     def encode(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
         """The ids of each text, and the end id after them."""
         out = []
         for i, j in runs(texts, _RUN):
+            some = texts[i:j]
             if self.cuts:
-                some = texts[i:j]
-                whole = [k for k, t in enumerate(some) if self.added and self.added.search(t)]
-                for k in whole:
-                    some[k] = ""
-                ids, counts = self._run(some)
-                if whole:
-                    parts = np.split(ids, np.cumsum(counts)[:-1])
-                    for k, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i + k] for k in whole], add_special_tokens=False)):
-                        parts[k] = np.array(found.ids, np.uint32)
-                    ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+                added = {k for k, t in enumerate(some) if self.added and self.added.search(t)}
+                ids, counts, others = self._run(["" if k in added else t for k, t in enumerate(some)])
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                whole = sorted(added.union(others.tolist()))
             else:
-                found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:j], add_special_tokens=False)]
-                counts = np.fromiter(map(len, found), np.int64, len(found))
-                ids = np.fromiter((x for f in found for x in f), np.uint32, int(counts.sum()))
-            stops = np.cumsum(counts)
-            whole = np.insert(ids, stops, end).astype(np.uint32)
-            out += np.split(whole, (stops + np.arange(1, len(counts) + 1))[:-1])
+                parts, whole = [np.zeros(0, np.uint32)] * len(some), list(range(len(some)))
+            if whole:
+                for k, found in zip(whole, self.tokenizer.encode_batch_fast([some[k] for k in whole], add_special_tokens=False)):
+                    parts[k] = np.array(found.ids, np.uint32)
+            out += [np.append(x, np.uint32(end)) for x in parts]
         return out
 
 
@@ -340,5 +351,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
     parts = shards.select("bucket", "part", "n_tokens")
     inner = W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.join(base, "bucket").select("bucket", "part", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).alias("before"))
-    placed = shards.join(F.broadcast(offsets), ["bucket", "part"])  # three numbers per shard of SHARD_TOKENS tokens
+    placed = shards.join(offsets, ["bucket", "part"])  # the offsets grow with the input: Spark picks the join by their size
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, bucket int, part int")
