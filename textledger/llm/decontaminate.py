@@ -8,9 +8,15 @@ with one automaton, then verified up a tree of halves of the item (one of the
 halves of a match has at most half of its edits, and so on down to the piece)
 with Myers' bit-parallel edit distance.
 
-Nulls: a null text or item matches nothing, as do items of fewer than
-``MIN_CHARS`` characters. Equal items all match. Repeated rows each give their
-own results. An empty table gives an empty result. Extra columns are ignored.
+An item of fewer than ``MIN_CHARS`` characters is looked for without edits and
+between word borders (in scripts without blanks, where items have no such
+borders, anywhere).
+
+Nulls: a null text or item matches nothing, nor does an item without a letter
+or digit. Equal items all match. Repeated rows each give their own results, and
+``clean`` judges every row by its own text, whatever its id. Very long texts are
+searched whole. An empty table gives an empty result. Extra columns, of any
+name, are ignored (``clean`` returns them).
 """
 
 from __future__ import annotations
@@ -25,10 +31,13 @@ from pyspark.sql import functions as F
 from .common import column, slices
 
 ERROR_RATE = 0.1
+#: Items of fewer characters allow no edits.
 MIN_CHARS = 20
 #: Items are matched in blocks of at most so many characters, a pass over the documents each.
 BLOCK_CHARS = 4_000_000
 _GAPS = re.compile(r"[\W_]+")
+#: Scripts that are written without blanks: CJK and kana, Thai, Lao, Burmese, Khmer.
+_UNSPACED = re.compile("[\u2e80-\ua4cf\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 
 
 def normal(text: str) -> str:
@@ -84,6 +93,13 @@ class Matcher:
         hits: dict[str, list] = {}
         for item_id, raw in items:
             text = normal(raw)
+            if not text:
+                continue
+            if len(text) < MIN_CHARS:
+                bound = text if _UNSPACED.search(text) else f" {text} "
+                hits.setdefault(bound, []).append((len(self.items), 0, []))
+                self.items.append((item_id, bound, 0))
+                continue
             budget = int(len(text) * rate)
             for p in range(budget + 1):
                 nodes = chain(len(text), budget, p)
@@ -94,9 +110,9 @@ class Matcher:
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
-    def search(self, raw: str) -> list[tuple[int, int]]:
-        """(item_id, least distance) of every item that occurs in the text."""
-        text, best, tried = normal(raw), {}, set()
+    def search(self, raw: str, any_: bool = False) -> list[tuple[int, int]]:
+        """(item_id, least distance) of every item that occurs in the text (with ``any_``, of one of them)."""
+        text, best, tried = f" {normal(raw)} ", {}, set()
         for end, (size, where) in self.auto.iter(text) if self.items else ():
             for item, offset, nodes in where:
                 if best.get(item, 1) == 0:
@@ -117,21 +133,35 @@ class Matcher:
                     if not nodes:
                         distance = 0
                     best[item] = min(distance, best.get(item, budget))
+                    if any_:
+                        return [(self.items[item][0], distance)]
         return sorted((self.items[i][0], d) for i, d in best.items())
 
 
 _SCHEMA = "doc_id long, item_id long, distance int"
 
 
+def _blocks(items: DataFrame, rate: float) -> list:
+    """The items, as broadcast blocks of at most ``BLOCK_CHARS`` characters (or one item)."""
+    spark = items.sparkSession
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
+    blocks, block, size = [], [], 0
+    for item_id, text in rows.toLocalIterator():
+        if block and size + len(text) > BLOCK_CHARS:
+            blocks.append(spark.sparkContext.broadcast((block, rate)))
+            block, size = [], 0
+        block.append((item_id, text))
+        size += len(text)
+    return blocks + ([spark.sparkContext.broadcast((block, rate))] if block else [])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """``doc_id, item_id, distance`` for each item that occurs in a document with at most its budget of edits.
 
     Documents are scanned where they lie: no shuffle. The items come in blocks
     of bounded size; each block is one pass over the documents.
     """
-    spark = docs.sparkSession
-    result = spark.createDataFrame([], _SCHEMA)
-    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
+    result = docs.sparkSession.createDataFrame([], _SCHEMA)
 
     def search_with(shared):
         def search(batches):
@@ -142,22 +172,22 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) ->
 
         return search
 
-    def scan(block):
-        shared = spark.sparkContext.broadcast((block, rate))  # BLOCK_CHARS at most, or one item
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search_with(shared), _SCHEMA)
-
-    block, size = [], 0
-    for item_id, text in rows.toLocalIterator():
-        if len(normal(text)) < MIN_CHARS:
-            continue
-        if block and size + len(text) > BLOCK_CHARS:
-            result, block, size = result.union(scan(block)), [], 0
-        block.append((item_id, text))
-        size += len(text)
-    return result.union(scan(block)) if block else result
+    for shared in _blocks(items, rate):
+        result = result.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search_with(shared), _SCHEMA))
+    return result
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without those that hold an item."""
-    bad = contaminated(docs, items, rate).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` whose text holds no item. Each block of items filters the rows where they lie."""
+
+    def keep_with(shared):
+        def keep(batches):
+            matcher = Matcher(*shared.value)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not matcher.search(t, any_=True) for t in column(batch, "text", "")], pa.bool_()))
+
+        return keep
+
+    for shared in _blocks(items, rate):
+        docs = docs.mapInArrow(keep_with(shared), docs.schema)
+    return docs
