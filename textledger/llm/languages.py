@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import codes_of, column, keyed_sum, mix64, runs, slices
 
+#: Slots of each language's table, however many languages there are: a task holds languages * SLOTS counts.
 SLOTS = 1 << 15
-#: Languages times slots is at most this; more languages get fewer slots each.
-TABLE = 1 << 23
 _BLOCK = 1 << 12
 PRIOR = 0.5
 STEPS = 12
@@ -108,11 +107,9 @@ class Model:
 
 
 def learn(rows: DataFrame) -> Model:
-    """Count trigrams by language over all rows of ``text, lang``; the table of counts is bounded by ``TABLE``."""
+    """Count trigrams by language over all rows of ``text, lang``."""
     langs = sorted(r[0] for r in rows.where("lang is not null and text is not null").select("lang").distinct().collect())
     slots = SLOTS
-    while slots > 64 and slots * len(langs) > TABLE:
-        slots >>= 1
     number = {x: i for i, x in enumerate(langs)}
     size = slots * len(langs)
 
