@@ -13,25 +13,31 @@ only the words that the target still lacks. Blocks are joined by index.
 Size counts ``[^ \\t-\\r]+`` runs. A null text has none and is never taken. Equal
 ids are ordered by text checksum and size; repeated rows are documents of their
 own. An empty table, or one without words, takes nothing. Reruns agree. The
-number of sources must be such that a row for each fits the driver.
+number of sources must be such that a row for each fits the driver; of shards
+there may be any number: the driver draws for ``GROUPS`` groups of them, and
+each group draws for its shards in a task. Very long texts are cut by words
+like others. Extra columns are carried by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, order_buckets, running_offsets, settle, slices
+from .common import column, mix64, order_buckets, running_offsets, settle, slices, spare
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 64
 #: Slots of an output shard, about.
 SHARD_SLOTS = 1 << 14
+#: Groups of shards that the driver draws for, at most.
+GROUPS = 1024
 SEED = 20240603
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,41 +100,54 @@ def slots_for(words: int, size: int, src: int) -> tuple[int, int]:
     return passes * blocks + n, rest - got(n - 1)
 
 
-def shard_counts(slots: list[int], seed: int = SEED):
-    """For each output shard in turn: how many slots of each source it draws."""
-    rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
-    shards = max(1, round(left.sum() / SHARD_SLOTS))
-    for s in range(shards):
-        if s == shards - 1:
-            draw = left.copy()
-        else:
-            want = int(left.sum() // (shards - s))
-            draw = np.minimum(rng.multinomial(want, left / left.sum()), left) if left.sum() else left * 0
-        left -= draw
-        yield s, draw
+def shard_counts(slots: list[int], shares: list[int], seed) -> Iterator[np.ndarray]:
+    """For each share (a shard, or a group of so many) in turn: how many slots of each source it draws of what is left."""
+    rng, left, ahead = np.random.default_rng(seed), np.array(slots, np.int64), sum(shares)
+    for share in shares:
+        want = int(left.sum() * share // ahead)
+        draw = left.copy() if share == ahead else np.minimum(rng.multinomial(want, left / max(left.sum(), 1)) if want else left * 0, left)
+        left, ahead = left - draw, ahead - share
+        yield draw
+
+
+def shard_groups(slots: list[int]) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+    """At most GROUPS groups of shards: number, first shard, shards, each source's first slot and slots in it."""
+    shards = max(1, round(sum(slots) / SHARD_SLOTS))
+    groups = min(shards, GROUPS)
+    shares = [shards // groups + (g < shards % groups) for g in range(groups)]
+    first, used = 0, np.zeros(len(slots), np.int64)
+    for g, (share, draw) in enumerate(zip(shares, shard_counts(slots, shares, SEED))):
+        yield g, first, share, used.tolist(), draw.tolist()
+        first, used = first + share, used + draw
 
 
 def _slots(batches):
-    """Rows of shard, source number, first slot, slots, blocks and words of the last slot, to slots with their block."""
+    """Groups of shards (see ``shard_groups``; by source also all slots, blocks and words of the last slot) to slots with their block."""
     for batch in slices(batches, 1):
         r = batch.to_pylist()[0]
-        for begin in range(0, r["n"], 1 << 16):
-            at = np.arange(r["first"] + begin, r["first"] + min(r["n"], begin + (1 << 16)), dtype=np.int64)
-            block = permuted(at % r["blocks"], r["blocks"], _key(r["src"]))
-            words = np.where(at == r["slots"] - 1, r["last"], BLOCK)
-            same = lambda v, t: pa.array(np.full(len(at), v), t)
-            yield pa.RecordBatch.from_arrays([same(r["shard"], pa.int32()), pa.array(at), same(r["src"], pa.int32()), pa.array(at // r["blocks"]), pa.array(block), pa.array(words.astype(np.int64))], names=["shard", "slot", "src", "pass", "block", "words"])
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        used = np.array(r["first"], np.int64)
+        for shard, draw in enumerate(shard_counts(r["n"], [1] * r["shards"], (SEED, r["group"])), r["first_shard"]):
+            for src in np.flatnonzero(draw).tolist():
+                blocks = r["blocks"][src]
+                for begin in range(0, int(draw[src]), 1 << 16):
+                    at = used[src] + np.arange(begin, min(draw[src], begin + (1 << 16)), dtype=np.int64)
+                    block = permuted(at % blocks, blocks, _key(src))
+                    words = np.where(at == r["slots"][src] - 1, r["last"][src], BLOCK)
+                    same = lambda v, t: pa.array(np.full(len(at), v), t)
+                    yield pa.RecordBatch.from_arrays([same(shard, pa.int32()), pa.array(at), same(src, pa.int32()), pa.array(at // blocks), pa.array(block), pa.array(words.astype(np.int64))], names=["shard", "slot", "src", "pass", "block", "words"])
+            used += draw
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The plan of a mix: documents with their place, and the pieces of them that slots take.
 
     Documents: ``row, doc_id, size, src, source_size, target, first`` (words of
     the source before it). Pieces: ``shard, slot, src, pass, row, from, to``
-    (words of the document).
+    (words of the document). ``row`` names a column that numbers the rows of
+    ``docs``; without it they are numbered here.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("crc"), *extra)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("crc"), *([F.col(row).alias("row")] if row else []))
     base = settle(order_buckets(base, "doc_id", "bucket"), "sizes")
     sums = {r["source"]: r["w"] for r in base.groupBy("source").agg(F.sum("size").alias("w")).collect()}  # a row per source
     names = sorted((s for s in sums if s is not None), key=lambda s: s.encode("utf-8", "surrogatepass")) + [None] * (None in sums)
@@ -138,18 +157,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, extra: tuple[s
     order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("size")]
     placed = base.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")  # a row per source
     placed = running_offsets(placed, ["src"], "bucket", order, F.col("size"), "first").drop("bucket", "crc")
-    placed = settle(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
+    placed = settle(placed if row else placed.withColumn("row", F.monotonically_increasing_id()), "placed")
 
-    plan, blocks = [], [-(-sizes[s] // BLOCK) for s in names]
+    blocks = [-(-sizes[s] // BLOCK) for s in names]
     need = [slots_for(round(goal[s]), sizes[s], i) for i, s in enumerate(names)]
-    slots = [n for n, _ in need]
-    used = [0] * len(names)
-    for shard, draw in shard_counts(slots):
-        for i, n in enumerate(draw.tolist()):
-            if n:
-                plan.append((shard, i, used[i], n, slots[i], blocks[i], need[i][1]))
-                used[i] += n
-    drawn = spark.createDataFrame(plan, "shard int, src int, first long, n long, slots long, blocks long, last long")
+    slots, last = [n for n, _ in need], [w for _, w in need]
+    plan = [(*group, slots, blocks, last) for group in shard_groups(slots)]  # GROUPS rows at most
+    drawn = spark.createDataFrame(plan, "group int, first_shard int, shards int, first array<long>, n array<long>, slots array<long>, blocks array<long>, last array<long>")
     drawn = drawn.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)))
     taken = drawn.mapInArrow(_slots, "shard int, slot long, src int, pass long, block long, words long")
     pieces = placed.where("size > 0").select("row", "src", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))).alias("block"))
@@ -193,14 +207,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import LongType
 
     names = docs.columns
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    placed, pieces = mix(numbered, extra=("_row",))
-    spans = pieces.join(placed.select("row", "_row"), "row").groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_spans"))
-    rows = numbered.join(spans.drop("pass"), "_row").select(*names, "_spans")
+    row, taken = spare(docs, "row"), spare(docs, "spans")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, pieces = mix(numbered, row=row)
+    spans = pieces.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(taken))
+    rows = numbered.join(spans.select(F.col("row").alias(row), taken), row).select(*names, taken)
 
     def apply(batches):
         for batch in slices(batches):
-            texts, spans = column(batch, "text", ""), column(batch, "_spans")
+            texts, spans = column(batch, "text", ""), column(batch, taken)
             new = [cut(t, [(s["from"], s["to"]) for s in x]) for t, x in zip(texts, spans)]
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array(new, pa.string())
