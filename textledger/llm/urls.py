@@ -4,9 +4,12 @@ Rules name a host (and all its subdomains) and the beginning of a path; the
 longest that fits decides. The URLs that rules decide are the labelled ones:
 trees are trained on them and judge the rest. Features are native column
 expressions: lengths, depth, digit ratio, entropy of characters, parameter
-counts and smoothed block rates of host suffixes.
+counts and smoothed block rates of host suffixes. A labelled URL's rates are
+those of the labelled URLs outside its fold, so the trees never see a rate that
+holds the label they are to learn.
 
-A null url, or one without ``://``, has an empty host and path and fits no
+Equal rules: the longest decides, of equally long ones the last. Very long urls
+are measured whole. A null url, or one without ``://``, has an empty host and path and fits no
 rule. If the labelled URLs are none or of one kind, all others get that kind
 (allow, if there are none). Repeated rows are kept. Extra columns are ignored.
 """
@@ -26,6 +29,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TREES, DEPTH, SEED = 20, 4, 20240604
 SMOOTH = 10.0
+#: Folds of the labelled URLs, by checksum.
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -79,30 +84,40 @@ def lexical(url: Column) -> dict[str, Column]:
     }
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` for every page; ``score`` is the trees' probability of block."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    base = base.withColumn("host", host).withColumn("path", path)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = base.withColumn("rule", rule).withColumn("ruled", verdict)
+def features_of(rows: DataFrame) -> DataFrame:
+    """Add the features to rows of ``url, host, path`` and ``label`` (1.0 block, 0.0 allow, null unknown); ``fold`` tells the parts of the labelled rows."""
     suffixes = {"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "first": F.substring_index(F.substring("path", 2, 2**31 - 1), "/", 1)}
-    for name, value in (lexical(F.col("url")) | suffixes).items():
-        rows = rows.withColumn(name, value if name in suffixes else value.cast("double"))
-    rows = settle(rows.drop("url"), "urls")
-    seen = rows.agg(F.sum((F.col("ruled") == "block").cast("long")).alias("b"), F.sum((F.col("ruled") == "allow").cast("long")).alias("a")).first()
-    blocked, allowed = seen["b"] or 0, seen["a"] or 0
-    if not blocked or not allowed:
-        fixed = "block" if blocked else "allow"
-        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(fixed)).alias("verdict"), F.lit(float(bool(blocked))).alias("score"))
-    labelled = rows.where("ruled is not null")
-    base_rate = blocked / (blocked + allowed)
+    measured = {n: v.cast("double") for n, v in lexical(F.col("url")).items()}
+    fold = F.crc32(F.coalesce("url", F.lit(""))) % FOLDS
+    rows = settle(rows.withColumns(measured | suffixes | {"fold": fold}).drop("url"), "urls")
+    labelled = rows.where("label is not null")
+    seen = labelled.agg(F.avg("label").alias("rate")).first()["rate"]
     for name in suffixes:
-        rates = labelled.groupBy(name).agg(((F.sum((F.col("ruled") == "block").cast("double")) + SMOOTH * base_rate) / (F.count("*") + SMOOTH)).alias(f"{name}_rate"))
-        rows = rows.join(rates, name, "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(base_rate)))
-    rows = settle(rows.drop(*suffixes), "url-features")
-    train = rows.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+        parts = labelled.groupBy(name, "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+        whole = parts.groupBy(name).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("b", "n").alias("x")))).alias("own"))  # FOLDS entries
+        rows = rows.join(whole, name, "left")
+        own = F.when(F.col("label").isNotNull(), F.col("own")[F.col("fold")])
+        b, n = (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in ("b", "n"))
+        rows = rows.withColumn(f"{name}_rate", (b + SMOOTH * (seen or 0.0)) / (n + SMOOTH)).drop("b", "n", "own")
+    return settle(rows.drop(*suffixes), "url-features")
+
+
+def trees_of(train: DataFrame):
+    """Boosted trees over the features of labelled rows."""
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, featuresCol="x", predictionCol="guess")
-    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), trees]).fit(train)
-    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), trees]).fit(train)
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict, score`` for every page; ``score`` is the trees' probability of block."""
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    rows = features_of(base.withColumns({"rule": rule, "ruled": ruled, "label": (ruled == "block").cast("double")}))
+    train = rows.where("label is not null")
+    seen = train.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    if seen["lo"] == seen["hi"]:
+        fixed = "block" if seen["hi"] else "allow"
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(fixed)).alias("verdict"), F.lit(float(seen["hi"] or 0)).alias("score"))
+    scored = trees_of(train).transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("guess") == 1, "block").otherwise("allow")).alias("verdict"), "score")
