@@ -9,7 +9,8 @@ then text checksum, then id, so equal texts part only where a group is larger
 than the tolerance.
 
 Nulls: a null text has size 1; null or NaN dimensions count as 0. Empty table: no rows.
-Repeated rows are kept. Null ids come first. Extra columns are ignored.
+A very long text is never cut: its shard is so much larger. Repeated rows are
+kept. Null ids come first. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
         frame = F.broadcast(rows.sparkSession.createDataFrame(steps, "_node int, _dim string, _cut long"))  # a row per node
         dim = F.coalesce(*[F.when(F.col("_dim") == n, F.col(n)) for n in names], F.lit(0.0))
         rows = rows.join(frame, "_node").withColumn("_node", (F.col("_node") * 2 + (_order_key(dim) >= F.col("_cut")).cast("int")).cast("int")).drop("_dim", "_cut")
+        rows = settle(rows, "level")  # a level's passes read it as it is
         todo = ahead
     frame = F.broadcast(rows.sparkSession.createDataFrame([(n, f) for n, (f, _) in todo.items()], "_node int, shard int"))  # a row per leaf
     placed = rows.join(frame, "_node").select("doc_id", "size", "text_crc32", "shard")
@@ -121,7 +123,6 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
 
 
 def document_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Shards of documents by their size, text checksum and language."""
+    """Shards of documents by their length and language."""
     lang = F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return kd_shards(docs, {"length": F.log(F.octet_length(text) + F.lit(1.0)), "language": lang, "content": F.crc32(text)}, shards=shards)
+    return kd_shards(docs, {"length": F.log(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + F.lit(1.0)), "language": lang}, shards=shards)
