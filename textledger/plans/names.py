@@ -1,39 +1,140 @@
-"""Dictionary matching over word windows."""
+"""Dictionary matching: names in texts, by containment, at word borders, or by the longest run of words.
+
+Names are a dictionary that may be large: they are matched in blocks of at most
+``BLOCK_CHARS`` characters, each an automaton that goes with the code to the
+rows, where they lie; each block is one pass, so nothing is shuffled and no
+name is left out. Null texts and null or empty names match nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from ..functions import language as X
+
+BLOCK_CHARS = 8_000_000
+
+
+def name_blocks(names: DataFrame, *columns: str) -> Iterator[list[tuple]]:
+    """Distinct rows of ``columns``, the last of which is the name, in blocks of bounded size."""
+    block, size = [], 0
+    for row in names.select(*columns).where(F.length(columns[-1]) > 0).distinct().toLocalIterator():
+        if block and size + len(row[-1]) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(tuple(row))
+        size += len(row[-1])
+    if block:
+        yield block
+
+
+def _automaton(words: dict):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for word, what in words.items():
+        found.add_word(word, (len(word), what))
+    found.make_automaton()
+    return found
 
-from ..functions import text as X
 
+def contained(rows: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str) -> DataFrame:
+    """``key, name_key`` of every text and name it contains, each pair once for a row."""
+    schema = StructType([rows.schema[key], names.schema[name_key]])
+    out = rows.sparkSession.createDataFrame([], schema)
+    for block in name_blocks(names, name_key, name):
+        shared = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS at most, or one name
 
-def contained(rows: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str, anchor: int = 5) -> DataFrame:
-    """Names that texts contain, by an equi-join on the name's first ``anchor`` blank-separated words, then an exact test.
+        def find(batches, shared=shared):
+            by: dict[str, list] = {}
+            for number, word in shared.value:
+                by.setdefault(word, []).append(number)
+            auto = _automaton(by)
+            for batch in batches:
+                hits = [sorted({n for _, (_, numbers) in auto.iter(t) for n in numbers}) if t else [] for t in batch.column(text).to_pylist()]
+                rows_ = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                found = pa.array([n for h in hits for n in h], to_arrow_type(schema[name_key].dataType))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(rows_), found], names=[key, name_key])
 
-    Names have at least ``anchor`` words. No pair of a text and a name meets
-    unless they share those words.
+        out = out.union(rows.select(key, text).mapInArrow(find, schema))
+    return out
+
+
+def longest_at_borders(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the spans ``hits`` those that begin and end at word borders, from the left, the longest at each place, none overlapping."""
+    fits = [(a, -b) for a, b in hits if not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())]
+    out, free = [], 0
+    for a, b in sorted(set(fits)):
+        if a >= free:
+            out.append((a, -b))
+            free = -b
+    return out
+
+
+def scan(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``key, start, end, name``: names at word borders in each text, ignoring case, leftmost and longest, none overlapping.
+
+    Blocks of names are matched apart; what they find is put together by text
+    and chosen from once.
     """
-    split = F.split(F.col(text), r"\s+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(split) - anchor + 1, F.lit(0)))
-    grams = F.when(F.size(split) >= anchor, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(split, i, anchor), " "))))
-    at = rows.select(key, text, F.explode(F.array_distinct(grams)).alias("_g"))
-    heads = names.select(name_key, F.col(name).alias("_name"), F.xxhash64(F.array_join(F.slice(F.split(F.col(name), r"\s+"), 1, anchor), " ")).alias("_g"))
-    hits = at.select(key, "_g").join(heads, "_g").drop("_g").distinct()
-    return hits.join(rows.select(key, text), key).where(F.col(text).contains(F.col("_name"))).select(key, name_key)
+    kind = rows.schema[key].dataType.simpleString()
+    found = None
+    for block in name_blocks(names, name):
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        def find(frames, shared=shared):
+            auto = _automaton({w.lower(): w for (w,) in shared.value})
+            for frame in frames:
+                hits = []
+                for t in frame[text]:
+                    low = (t or "").lower()
+                    own = [(end + 1 - n, end + 1) for end, (n, _) in auto.iter(low)] if len(low) == len(t or "") else []
+                    hits.append([list(x) for x in longest_at_borders(t, own)] if own else [])
+                yield pd.DataFrame({key: frame[key], text: frame[text], "hits": hits})
+
+        part = rows.select(key, text).mapInPandas(find, f"`{key}` {kind}, `{text}` string, hits array<array<int>>")
+        found = part if found is None else found.union(part)
+    schema = f"`{key}` {kind}, start int, end int, name string"
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema)
+
+    def choose(frames):
+        for frame in frames:
+            out = []
+            for k, t, hits in zip(frame[key], frame[text], frame["hits"]):
+                out += [(k, a, b, t[a:b]) for a, b in longest_at_borders(t, [tuple(h) for h in hits])]
+            yield pd.DataFrame(out, columns=[key, "start", "end", "name"])
+
+    together = found.where(F.size("hits") > 0).groupBy(key, text).agg(F.flatten(F.collect_list("hits")).alias("hits"))  # one text
+    return together.mapInPandas(choose, schema)
 
 
-def longest_matches(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, widest: int) -> DataFrame:
-    """Leftmost-longest, non-overlapping dictionary names of up to ``widest`` words in each text.
+def longest_matches(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, widest: int = 8) -> DataFrame:
+    """Leftmost-longest, non-overlapping dictionary names of up to ``widest`` words in each text: ``key, names`` in text order.
 
-    Word windows are joined with the names; matches are folded from the left,
-    the longest at each place first. Returns ``key, names`` in text order.
+    Words may hold apostrophes and hyphens; a name also matches where its last
+    word has a suffix behind an apostrophe. Word windows are joined with the
+    names by their words; matches are folded from the left. The words of a text
+    are taken out once: the explode of one array keeps them a column, which the
+    optimizer does not put back into the windows' expressions.
     """
-    w = X.words(F.col(text))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("name")))).otherwise(F.array().cast("array<struct<at:int,n:int,name:string>>"))))
-    windows = rows.select(key, F.explode(spans).alias("s")).select(key, "s.at", "s.n", "s.name")
-    hits = windows.join(names.select(F.col(name).alias("name")).distinct(), "name")
-    sorted_ = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "name"))).alias("m"))  # one text's matches
+    words = rows.select(key, F.explode(F.array(X.joined_words(F.col(text)))).alias("w"))
+    firsts = F.sequence(F.lit(1), F.size("w"))
+    window = lambda i, n: F.array_join(F.slice("w", i, n), " ")
+    spans = F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), window(i, n).alias("name")))))
+    windows = words.where(F.size("w") > 0).select(key, F.explode(spans).alias("s")).select(key, "s.at", "s.n", "s.name")
+    bare = F.regexp_replace("name", r"['’]\p{L}+$", "")
+    windows = windows.select(key, "at", "n", F.explode(F.array_distinct(F.array("name", bare))).alias("name"))
+    known = names.select(F.array_join(X.joined_words(F.col(name)), " ").alias("name")).where("name <> ''").distinct()
+    hits = windows.join(known, "name")
+    sorted_ = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("less"), "name"))).alias("m"))  # one text's matches
     start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("names"))
     step = lambda acc, m: F.when(m["at"] >= acc["free"], F.struct((m["at"] - m["less"]).alias("free"), F.concat(acc["names"], F.array(m["name"])).alias("names"))).otherwise(acc)
     return sorted_.select(key, F.aggregate("m", start, step)["names"].alias("names"))
