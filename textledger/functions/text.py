@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 TAG = r"<[^>]*>"
 WORDS = r"\p{L}+"
 
-# Function words that tell a source language, tested in this order.
+# Words that tell a source language, tested in this order; Cyrillic letters come before them.
 LANGUAGE_WORDS = (
-    ("fr", "le|la|les|des|une|est|que|avec|dans|sur"),
-    ("es", "el|los|las|una|con|para|por|del|como"),
-    ("de", "der|die|das|und|nicht|mit|ist|von|ein"),
+    ("fr", "je|tu|vous|nous|les|des|une|est|sont|pas|pour|avec|dans|sur|que|qui|votre|guilde|quête|joueur|amis|pensez|faire|permet"),
+    ("es", "el|la|los|las|una|es|son|para|con|que|por|donde|gracias|amigos"),
+    ("de", "der|die|das|und|ist|sind|für|mit|nicht|wo|danke"),
+    ("pt", "os|uma|não|para|com|onde|obrigado|amigos"),
 )
+CYRILLIC = "[А-Яа-я]"
 
 # Link shorteners and suffixes of binaries.
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl")
@@ -36,16 +38,16 @@ def visible(text: Column) -> Column:
 
 
 def language_guess(text: Column) -> Column:
-    """The first language one of whose words occurs, else English."""
+    """Russian for a Cyrillic letter, else the first language one of whose words occurs (in any case), else English."""
     out = F.lit("en")
     for lang, words_ in reversed(LANGUAGE_WORDS):
-        out = F.when(text.rlike(rf"(^|[^\p{{L}}])({words_})([^\p{{L}}]|$)"), lang).otherwise(out)
-    return out
+        out = F.when(text.rlike(rf"(?i)(^|[^\p{{L}}])({words_})([^\p{{L}}]|$)"), lang).otherwise(out)
+    return F.when(text.rlike(CYRILLIC), "ru").otherwise(out)
 
 
 def all_terms(text: Column, terms: list[str]) -> Column:
-    """Whether every term occurs (case as given)."""
-    return reduce(lambda a, b: a & b, [text.contains(t) for t in terms])
+    """Whether every term occurs, whatever its case; several columns are searched as one text joined by line feeds."""
+    return reduce(lambda a, b: a & b, [F.lower(text).contains(t.lower()) for t in terms])
 
 
 def search_rank(value: Column, query: str) -> Column:
@@ -66,8 +68,10 @@ def gibberish(text: Column) -> Column:
     return (F.length(text) >= 12) & (F.regexp_count(text, F.lit(r"\p{L}")) <= 6) & ~text.rlike("[A-Za-z]{2,}")
 
 
-def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), F.lit("-"))
+def slug(text: Column, hashed: int = 0) -> Column:
+    """Letters and digits with hyphens between, and ``hashed`` digits of the text's SHA-256 behind it if asked for."""
+    plain = F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), F.lit("-"))
+    return F.concat(plain, F.lit("-"), F.left(F.sha2(text, 256), F.lit(hashed))) if hashed else plain
 
 
 def escape_field(text: Column) -> Column:
@@ -95,6 +99,7 @@ def cascade(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def url_verdict(host: Column, path: Column, allowed: list[str]) -> Column:
-    """``SHORTENER``, ``BINARY`` (a binary suffix off the allowed hosts) or ``OK``."""
+    """``SHORTENER``, ``BINARY`` (a binary suffix off the allowed hosts) or ``OK``, whatever the case of host and suffix."""
+    host, path = F.lower(host), F.lower(path)
     binary = reduce(lambda a, b: a | b, [path.endswith(s) for s in BINARY_SUFFIXES])
-    return F.when(host.isin(*SHORTENERS), "SHORTENER").when(binary & ~host.isin(*allowed), "BINARY").otherwise("OK")
+    return F.when(host.isin(*SHORTENERS), "SHORTENER").when(binary & ~host.isin(*[h.lower() for h in allowed]), "BINARY").otherwise("OK")

@@ -9,12 +9,37 @@ from pyspark.sql import functions as F
 KINDS = ("NEW", "MODIFIED", "REMOVED", "UNCHANGED")
 
 
-def with_identity(records: DataFrame, entry: str = "entry", key: str = "key", line: str = "line_no") -> DataFrame:
-    """Add ``occurrence`` (1-based per entry and key, in line order) and ``identity`` = ``entry:key#occurrence``."""
-    nth = F.row_number().over(W.partitionBy(entry, key).orderBy(line))
+def with_identity(records: DataFrame, entry: str = "entry", key: str = "key", line: str = "line_no", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``occurrence`` (1-based per entry and key, in line order) and ``identity`` = ``entry:key#occurrence``.
+
+    ``scope`` are columns that tell packages apart, each numbered for itself. A
+    group is the repeats of one key; see ``with_wide_identity`` for keys of very many.
+    """
+    group = [*scope, entry, key]
+    nth = F.row_number().over(W.partitionBy(*group).orderBy(line))
     return records.withColumn("occurrence", nth).withColumn("identity", F.concat(F.col(entry), F.lit(":"), F.col(key), F.lit("#"), F.col("occurrence").cast("string")))
 
 
+def with_wide_identity(records: DataFrame, entry: str, key: str, line: str, parts: int = 64) -> DataFrame:
+    """``with_identity`` where a few keys have very many rows: numbers within ranges of ``line``, then the ranges' counts before them.
+
+    ``line`` is an integer column; it is cut into ``parts`` ranges of about
+    equally many rows, so no task sorts more than one range of a key.
+    """
+    probs = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(records.approxQuantile(line, probs, 1 / (4 * parts))))
+    part = F.lit(0)
+    if cuts:
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(line)))
+    rows = records.withColumn("_part", part)
+    sizes = rows.groupBy(entry, key, "_part").agg(F.count("*").alias("_n"))  # a row per key and range
+    before = W.partitionBy(entry, key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select(entry, key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(W.partitionBy(entry, key, "_part").orderBy(line))
+    out = rows.withColumn("_nth", nth).join(bases, [entry, key, "_part"]).withColumn("occurrence", F.col("_base") + F.col("_nth"))
+    return out.select(*records.columns, "occurrence", F.concat(F.col(entry), F.lit(":"), F.col(key), F.lit("#"), F.col("occurrence").cast("string")).alias("identity"))
+
+
 def snapshot(records: DataFrame, value: str = "value") -> DataFrame:
     """``identity, value_sha256``: what a later diff needs of a version."""
     return records.select("identity", F.sha2(value, 256).alias("value_sha256"))

@@ -20,6 +20,7 @@ class Rule:
     not_source: str | None = None
     not_target: str | None = None
     test: Column | None = None
+    reason: str = ""
 
 
 def condition(rule: Rule, key: Column, source: Column, target: Column) -> Column:
@@ -36,11 +37,11 @@ def first_problem(rules: list[Rule], key: Column, source: Column, target: Column
     return F.coalesce(*[F.when(condition(r, key, source, target), F.lit(r.code)) for r in rules])
 
 
-def findings(rows: DataFrame, rules: list[Rule], key: str, source: str, target: str) -> DataFrame:
+def findings(rows: DataFrame, rules: list[Rule], key: str, source: str, target: str, empty_severity: str = "ERROR") -> DataFrame:
     """One row per rule that fires: ``key, code, severity``. An empty target is found alone."""
     k, s, t = F.col(key), F.col(source), F.col(target)
     empty = F.trim(F.coalesce(t, F.lit(""))) == ""
     hit = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
     many = F.array_compact(F.array(*[F.when(condition(r, k, s, t), hit(r.code, r.severity)) for r in rules]))
-    found = F.when(empty, F.array(hit("EMPTY_TARGET", "ERROR"))).otherwise(many)
+    found = F.when(empty, F.array(hit("EMPTY_TARGET", empty_severity))).otherwise(many)
     return rows.select(k.alias("key"), F.explode(found).alias("f")).select("key", "f.code", "f.severity")

@@ -1,56 +1,119 @@
 """Readers for catalogs, stores and logs.
 
 All read through Spark's own file sources, so they work on any store Spark can
-reach, and every reader has a fixed schema.
+reach, and every reader has a fixed schema. A zipped catalog is opened in the
+task that has its bytes; lines leave it in batches.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..operators.versions import with_identity
 
-RECORDS = "package string, entry string, line_no long, key string, value string, problem string"
+LINES = "package string, entry string, line_no long, raw string, newline string, key string, value string, problem string"
+#: Lines that leave a package at once.
+BATCH = 20_000
+#: Where lines end: at any line boundary of Unicode, or at line feeds only.
+LINE_ENDS = {"unicode": re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), "feed": re.compile("\r\n|\n")}
 
 
-def package_lines(data: bytes, package: str) -> Iterator[tuple]:
-    """Key/value lines of all text entries of one package, malformed lines marked by ``problem``."""
+def entry_lines(text: str, ends: re.Pattern) -> Iterator[tuple]:
+    """``line_no, raw, newline, key, value, problem`` of every line: raw and newline together are the text.
+
+    Blank lines and comments (``#`` or ``!`` in the first column) have no key;
+    the key is what stands before the first equals sign, the value all behind it.
+    """
+    at = 0
+    for n, m in enumerate([*ends.finditer(text), None], 1):
+        raw, newline = (text[at : m.start()], m[0]) if m else (text[at:], "")
+        if not m and not raw:
+            break
+        key, eq, value = raw.partition("=")
+        if not raw.strip() or raw[0] in "#!":
+            yield n, raw, newline, None, None, None
+        elif not eq:
+            yield n, raw, newline, None, None, "NO_EQUALS"
+        else:
+            yield n, raw, newline, key, value, None if key else "EMPTY_KEY"
+        at = m.end() if m else len(text)
+
+
+def package_lines(data: bytes, package: str, entries: list[str], fallback: bool = False, strict: bool = False, ends: str = "unicode") -> Iterator[tuple]:
+    """Lines of the named entries of one package. Other entries are not looked at.
+
+    ``fallback`` takes only the first of the entries that is there. An entry
+    that is not there, is there twice, or is no UTF-8 is an error if ``strict``;
+    else it gives nothing, its last copy, or replacement characters.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for entry in z.namelist():
-            text = z.read(entry).decode("utf-8-sig")
-            for n, line in enumerate(text.splitlines(), 1):
-                if not line.strip() or line.lstrip()[0] in "#!":
-                    continue
-                key, eq, value = line.partition("=")
-                problem = None if eq and key else ("NO_EQUALS" if not eq else "EMPTY_KEY")
-                yield package, entry, n, key if eq else None, value if eq else line, problem
+        have = z.namelist()
+        wanted = [e for e in entries if e in have]
+        if strict and (len(wanted) < len(entries) and not (fallback and wanted)):
+            raise ValueError(f"{package}: no entry {sorted(set(entries) - set(wanted))}")
+        for entry in wanted[:1] if fallback else wanted:
+            if strict and have.count(entry) > 1:
+                raise ValueError(f"{package}: entry {entry} is there {have.count(entry)} times")
+            text = z.read(entry).decode("utf-8", "strict" if strict else "replace")
+            bom = text[:1] == "\ufeff"
+            for n, raw, *rest in entry_lines(text[bom:], LINE_ENDS[ends]):
+                yield package, entry, n, ("\ufeff" if bom and n == 1 else "") + raw, *rest
+
+
+def read_lines(spark: SparkSession, path: str, entries: list[str], fallback: bool = False, mode: str = "PERMISSIVE", ends: str = "unicode", keyed_by: str | None = None) -> DataFrame:
+    """Every line of the named entries with its number, text and line end, which is what a lossless rewrite needs.
+
+    ``FAILFAST`` makes any malformed line, empty key or faulty entry an error
+    when read. ``keyed_by`` reads packages from a table's columns instead of
+    files: its name, with ``package`` and ``content``.
+    """
+    names = [c.split()[0] for c in LINES.split(", ")]
+
+    def expand(frames):
+        for frame in frames:
+            for name, data in zip(frame["package"], frame["content"]):
+                rows = []
+                for row in package_lines(bytes(data), name, entries, fallback, mode == "FAILFAST", ends):
+                    if mode == "FAILFAST" and row[-1]:
+                        raise ValueError(f"{name}: {row[1]} line {row[2]}: {row[-1]}")
+                    rows.append(row)
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    if keyed_by:
+        files = spark.read.parquet(path) if keyed_by == "parquet" else spark.table(keyed_by)
+    else:
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("package"), "content")
+    return files.select("package", "content").mapInPandas(expand, LINES)
 
 
-def read_packages(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """Records of zipped catalogs with occurrence and identity.
+def read_packages(spark: SparkSession, path: str, entries: list[str], mode: str = "PERMISSIVE", **options) -> DataFrame:
+    """Records of zipped catalogs: ``package, entry, line_no, key, value, occurrence, identity``, numbered by package.
 
-    ``PERMISSIVE`` skips lines without ``=`` and keeps empty keys;
-    ``FAILFAST`` makes any malformed line or empty key an error when read.
+    ``PERMISSIVE`` skips lines without ``=`` and keeps empty keys, ``DROPMALFORMED`` skips those too, ``FAILFAST`` fails.
     """
+    rows = read_lines(spark, path, entries, mode=mode, **options)
+    rows = rows.where("key is not null" if mode != "DROPMALFORMED" else "key <> ''")
+    return with_identity(rows.drop("problem", "raw", "newline"), scope=("package",))
 
-    def expand(frames):
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame(list(package_lines(bytes(data), name)), columns=[c.split()[0] for c in RECORDS.split(", ")])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(expand, RECORDS)
-    if mode == "FAILFAST":
-        checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("malformed line "), F.col("line_no").cast("string"), F.lit(": "), "problem")).cast("string")).otherwise(F.col("key"))
-        rows = rows.withColumn("key", checked)
-    else:
-        rows = rows.where("problem is null or problem = 'EMPTY_KEY'")
-    return with_identity(rows.drop("problem"))
+def last_values(records: DataFrame) -> DataFrame:
+    """``package, key, value``: of repeated keys the value of the last line (entries in order of name)."""
+    return records.groupBy("package", "key").agg(F.max_by("value", F.struct("entry", "line_no")).alias("value"))
+
+
+def keys_of(records: DataFrame) -> DataFrame:
+    return records.select("key").distinct()
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
@@ -59,13 +122,30 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json(text, "map<string,string>")).alias("key", "value"))
 
 
+GLOSSARY = "keys map<string,string>, values map<string,string>, phrases map<string,string>"
+
+
+def read_glossary(spark: SparkSession, path: str, overrides: DataFrame | None = None) -> DataFrame:
+    """A glossary of three maps as rows ``kind, term, value`` (kinds keys, values, phrases); ``overrides`` of the same form win."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    whole = spark.read.text(path, wholetext=True).select(F.from_json(text, GLOSSARY).alias("g"))
+    rows = None
+    for kind in ("keys", "values", "phrases"):
+        part = whole.select(F.lit(kind).alias("kind"), F.explode(f"g.{kind}").alias("term", "value"))
+        rows = part if rows is None else rows.union(part)
+    if overrides is None:
+        return rows
+    kept = rows.join(overrides.select("kind", "term"), ["kind", "term"], "left_anti").select("kind", "term", "value")
+    return kept.unionByName(overrides.select("kind", "term", "value"))
+
+
 def read_status(spark: SparkSession, path: str, columns: list[str], strict: bool = False) -> DataFrame:
     """An escaped TSV report without quoting; rows of another width are dropped, or are an error if ``strict``."""
     from ..functions.text import unescape_field
 
-    fields = F.split("value", "\t", -1)
-    rows = spark.read.text(path).select(fields.alias("f"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
-    rows = rows.where(~F.col("line").startswith(columns[0] + "\t"))
+    line = F.regexp_replace("value", "^\ufeff", "")
+    rows = spark.read.text(path).select(line.alias("line")).where(~F.col("line").startswith(columns[0] + "\t"))
+    rows = rows.select(F.split("line", "\t", -1).alias("f"))
     wide = F.size("f") == len(columns)
     if strict:
         rows = rows.withColumn("f", F.when(wide, F.col("f")).otherwise(F.raise_error(F.lit("wrong number of fields")).cast("array<string>")))
@@ -77,8 +157,50 @@ def read_status(spark: SparkSession, path: str, columns: list[str], strict: bool
 LOG = ["ts", "method", "key", "category", "status", "source", "target", "detail"]
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """Live-log lines (``value``): eight fields at least, beginning with a date; others are dropped."""
+def parse_log(lines: DataFrame, keep_malformed: bool = False) -> DataFrame:
+    """Live-log lines (``value``): eight fields at least, beginning with a date.
+
+    Others are dropped, or come with ``malformed`` true and no fields if ``keep_malformed``.
+    """
     f = F.split("value", "\t", len(LOG))
-    rows = lines.where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2} ")).select(f.alias("f"), *[c for c in lines.columns if c != "value"]).where(F.size("f") == len(LOG))
-    return rows.select(*[F.col("f")[i].alias(c) for i, c in enumerate(LOG)], *[c for c in lines.columns if c != "value"])
+    rest = [c for c in lines.columns if c != "value"]
+    ok = F.coalesce(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2} ") & (F.size(f) == len(LOG)), F.lit(False))
+    rows = lines.select(F.when(ok, f).alias("f"), (~ok).alias("malformed"), *rest)
+    fields = [F.col("f")[i].alias(c) for i, c in enumerate(LOG)]
+    return rows.select(*fields, "malformed", *rest) if keep_malformed else rows.where("not malformed").select(*fields, *rest)
+
+
+def latest_methods(log: DataFrame, order: list, saved: str) -> DataFrame:
+    """``key, method, ts`` of the last line of each key with the status ``saved``."""
+    return log.where(F.col("status") == saved).groupBy("key").agg(F.max_by(F.struct("method", "ts"), F.struct(*order)).alias("r")).select("key", "r.method", "r.ts")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a fixed schema; lines that are no JSON are skipped."""
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def repeated_json_keys(texts: pd.Series) -> pd.Series:
+    """Keys that an object of a JSON text has twice, sorted; null where the text is no JSON."""
+    import json
+
+    def find(text):
+        twice = set()
+
+        def pairs(items):
+            seen = set()
+            for k, _ in items:
+                if k in seen:
+                    twice.add(k)
+                seen.add(k)
+            return dict(items)
+
+        try:
+            json.loads(text.lstrip("\ufeff"), object_pairs_hook=pairs)
+        except ValueError:
+            return None
+        return sorted(twice)
+
+    return texts.map(find, na_action="ignore")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir`` (set here only where it is unset)."""
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``; a local session, as in tests, is given one where it has none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="spark-shared-")
