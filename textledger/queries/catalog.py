@@ -7,39 +7,18 @@ tenth changed in B; logs are ``events``; stores and reports are the others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text as X
-from .functions.tokens import format_signature
-from .operators import chunks as C
-from .operators import ladder as L
-from .operators import packing as P
-from .operators import stats as S
-from .operators import versions as V
-from .plans import names as N
-from .plans import rules as R
-from .streaming import live
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with DuckDB SQL for the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..functions import text as X
+from ..functions.tokens import format_signature
+from ..operators import chunks as C
+from ..operators import ladder as L
+from ..operators import packing as P
+from ..operators import stats as S
+from ..operators import versions as V
+from ..plans import names as N
+from ..streaming import live
+from .registry import query, table
 
 # --- versions ---------------------------------------------------------------
 
@@ -79,7 +58,7 @@ def snapshot_hashes(spark, sf_dir):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS occurrence, lang || ':' || source || '#' || CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS VARCHAR) AS identity FROM documents")
 def occurrences(spark, sf_dir):
-    return V.with_identity(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id").select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), "identity")
+    return V.with_wide_identity(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id").select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), "identity")
 
 
 @query("SELECT lang, CAST(sum(c) AS BIGINT) AS records, count(*) FILTER (c > 1) AS duplicate_keys, CAST(sum(c - 1) AS BIGINT) AS duplicate_occurrences FROM (SELECT lang, source, count(*) c FROM documents GROUP BY ALL) GROUP BY lang")
@@ -272,9 +251,9 @@ def outcome_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count_if(t == "signup").alias("saved"), F.count_if(t == "error").alias("errors"), F.count_if(~t.isin("signup", "error")).alias("others"))
 
 
-@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 8")
+@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 4")
 def repeated_words(spark, sf_dir):
-    return S.repeated_words(table(spark, sf_dir, "documents"), "doc_id", X.words(F.col("text")), 8)
+    return S.repeated_words(table(spark, sf_dir, "documents"), "doc_id", X.words(F.col("text")), 4)
 
 
 @query("""WITH p AS (SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1),
@@ -300,7 +279,7 @@ def word_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("lang", F.explode(X.words(F.col("text"))).alias("word")).groupBy("lang").agg(F.count("*").alias("words"), F.count_distinct("word").alias("distinct_words"))
 
 
-_GUESS = "CASE " + " ".join(f"WHEN regexp_matches(text, '(^|[^\\p{{L}}])({w})([^\\p{{L}}]|$)') THEN '{lang}'" for lang, w in X.LANGUAGE_WORDS) + " ELSE 'en' END"
+_GUESS = f"CASE WHEN regexp_matches(text, '{X.CYRILLIC}') THEN 'ru' " + " ".join(f"WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}])({w})([^\\p{{L}}]|$)') THEN '{lang}'" for lang, w in X.LANGUAGE_WORDS) + " ELSE 'en' END"
 
 
 @query(f"SELECT lang, {_GUESS} AS guess, count(*) AS n FROM documents GROUP BY ALL")
@@ -321,9 +300,9 @@ def url_policy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.url_verdict(host, path, ["spam-farm.example.org"]).alias("verdict"))
 
 
-@query("SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN contains(p_name, 'red widget') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(p_name, 'red') AND contains(p_name, 'widget') ORDER BY rank, length(p_name), p_partkey LIMIT 1000")
+@query("SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN contains(p_name, 'red widget') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'widget') ORDER BY rank, length(p_name), p_partkey LIMIT 1000")
 def search_ranked(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where(X.all_terms(F.col("p_name"), ["red", "widget"]))
+    rows = table(spark, sf_dir, "part").where(X.all_terms(F.col("p_name"), ["Red", "widget"]))
     return rows.select("p_partkey", "p_name", X.search_rank(F.col("p_name"), "red widget").alias("rank")).orderBy("rank", F.length("p_name"), "p_partkey").limit(1000)
 
 
@@ -355,35 +334,6 @@ def phrase_cascade(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.cascade(F.concat("p_name", F.lit(" "), "p_type"), rules).alias("replaced"))
 
 
-def _rules():
-    return [
-        R.Rule("UNTRANSLATED_COPY", test=F.col("source") == F.col("target")),
-        R.Rule("REPEATED_PUNCTUATION", "WARNING", target=r"!!|\?\?|,,|;;"),
-        R.Rule("SPACE_BEFORE_PUNCTUATION", "WARNING", target=r" [,.;:!?]"),
-        R.Rule("EXTRA_SPACES", "WARNING", target=r"  ", not_source=r"  "),
-        R.Rule("NUMBER_MISMATCH", source=r"[0-9]", not_target=r"[0-9]"),
-        R.Rule("SHORT_TARGET", "INFO", test=F.length("target") * 4 < F.length("source")),
-    ]
-
-
-_CODES = """SELECT conv_id, turn, unnest(list_filter([
- CASE WHEN a = b THEN 'UNTRANSLATED_COPY' END, CASE WHEN regexp_matches(b, '!!|\\?\\?|,,|;;') THEN 'REPEATED_PUNCTUATION' END, CASE WHEN regexp_matches(b, ' [,.;:!?]') THEN 'SPACE_BEFORE_PUNCTUATION' END,
- CASE WHEN contains(b, '  ') AND NOT contains(a, '  ') THEN 'EXTRA_SPACES' END, CASE WHEN regexp_matches(a, '[0-9]') AND NOT regexp_matches(b, '[0-9]') THEN 'NUMBER_MISMATCH' END,
- CASE WHEN length(b) * 4 < length(a) THEN 'SHORT_TARGET' END], lambda x: x IS NOT NULL)) AS code
- FROM (SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1)"""
-
-
-@query(f"SELECT code, CASE WHEN code IN ('UNTRANSLATED_COPY', 'NUMBER_MISMATCH') THEN 'ERROR' WHEN code = 'SHORT_TARGET' THEN 'INFO' ELSE 'WARNING' END AS severity, count(*) AS n FROM ({_CODES}) GROUP BY ALL")
-def deep_codes(spark, sf_dir):
-    found = R.findings(_pairs(spark, sf_dir).withColumn("k", F.col("conv_id").cast("string")), _rules(), "k", "source", "target")
-    return found.groupBy("code", "severity").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT p.conv_id, p.turn, (SELECT c.code FROM ({_CODES}) c WHERE c.conv_id = p.conv_id AND c.turn = p.turn ORDER BY list_position(['UNTRANSLATED_COPY', 'REPEATED_PUNCTUATION', 'SPACE_BEFORE_PUNCTUATION', 'EXTRA_SPACES', 'NUMBER_MISMATCH', 'SHORT_TARGET'], c.code) LIMIT 1) AS problem FROM (SELECT u.conv_id, u.turn FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1) p")
-def quality_gate(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("conv_id", "turn", R.first_problem(_rules(), F.col("conv_id").cast("string"), F.col("source"), F.col("target")).alias("problem"))
-
-
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def name_scan(spark, sf_dir):
     return N.contained(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -391,10 +341,13 @@ def name_scan(spark, sf_dir):
 
 @query()
 def longest_names(spark, sf_dir):
-    """Leftmost-longest matches of one- and two-word names drawn from the parts, in conversations."""
-    terms = table(spark, sf_dir, "conversations").where("turn = 1").select(F.array_join(F.slice(X.words(F.col("text")), 1, 2), " ").alias("name")).union(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("k"), "text")
-    return N.longest_matches(rows, "k", "text", terms, "name", 2)
+    """Leftmost-longest matches, of up to eight words, of whole user turns' first eight words and of part names, in all conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    starts = turns.where("turn = 1").select(F.array_join(F.slice(X.words(F.col("text")), 1, 8), " ").alias("name"))
+    pairs = turns.where("turn = 1").select(F.array_join(F.slice(X.words(F.col("text")), 2, 2), " ").alias("name"))
+    terms = starts.union(pairs).union(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
+    rows = turns.select(F.concat_ws("/", "conv_id", "turn").alias("k"), "text")
+    return N.longest_matches(rows, "k", "text", terms, "name")
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
