@@ -8,6 +8,10 @@ it kept. All but the last return the columns of ``documents``:
 3. decontaminate: documents that hold a benchmark item go;
 4. mix: sources are brought to their target weights, a row per document and pass with the words taken;
 5. tokens: the mix is encoded, written as wavelet matrices and read back.
+
+In all stages rows are judged by their own text: repeated or null ids lose no
+row, extra columns of any name are kept up to the last stage, very long texts
+are taken whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +32,29 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the threshold go. A null text counts as empty; repeated rows score alike; without labels all stay."""
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 4 != 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(train).select("doc_id", "quality")
     return quality.keep_good(docs, quality.learn(docs.where(train).select("doc_id", "text"), labels))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies stays: least id (null last), then least text digest. Rows without a text all stay."""
     return weighted.dedup(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark item go; null or empty texts and items match nothing; repeated rows share their fate."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their targets. Rows without words are never taken; equal ids are ordered by text checksum; null is a source."""
     return mixing.mixed(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every row in ascending order of id (null first), then text. A null text is the end id alone; repeated rows are each written."""
     return tokens.read_documents(tokens.write_shards(docs, TOKENIZER)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -57,11 +67,27 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+
+    With the ``run_id`` of a run that failed, stages that it finished are read,
+    not made again; without one, every call is a new run.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
-        docs = spark.read.parquet(f"{where}/{name}")
+        path = f"{where}/{name}"
+        if not (run_id and finished(spark, path)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if run_id:
+                spark.range(1).write.mode("overwrite").parquet(f"{path}.done")
+        docs = spark.read.parquet(path)
     return docs
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether the mark of a finished stage was written."""
+    try:
+        return spark.read.schema("id long").parquet(f"{path}.done").count() == 1
+    except AnalysisException:
+        return False
