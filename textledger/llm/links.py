@@ -1,4 +1,13 @@
-"""From signature bands to verified links to classes of near duplicates."""
+"""From signature bands to verified links to classes of near duplicates.
+
+Rows are told apart by their texts: equal texts are one node, with a number of
+its own (``rep``), whatever their ids, so repeated and null ids lose nothing.
+Nulls: a null text is in a class of its own; a null id counts behind all
+others. Empty texts and texts without words equal each other only where they
+are the same text. Very long texts are compared whole. Ties go to the least id,
+then to the least text digest. Repeated rows share a class. An empty table
+gives no classes. Other columns of the input are not looked at.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +32,8 @@ SUB_GROUP = 32
 #: Rounds of new leaders; what they leave apart is compared by prefixes.
 ROUNDS = 3
 BANDED = "doc_id long, text_key string, bands array<long>"
+#: Stands for a null id where ids are compared.
+NO_ID = -(2**63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -30,6 +41,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.md5(F.col("text")))
 
 
+def _at(doc_id: str = "doc_id"):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
+
 def banded_batch(batch, samples: np.ndarray) -> pa.RecordBatch:
     """Fold samples (texts x at least BANDS * BAND_ROWS) into band hashes."""
     rows = [
@@ -70,27 +85,25 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[:half], "<u4"), np.frombuffer(data[half:], "<f4")
 
 
-def vectors_of(ids: DataFrame, rows: DataFrame, vectors: Callable, known: DataFrame | None = None) -> DataFrame:
-    """The settled vectors ``doc_id, vector`` of the texts whose ``doc_id`` is in ``ids``.
+def vectors_of(wanted: DataFrame, rows: DataFrame, vectors: Callable, known: DataFrame | None = None) -> DataFrame:
+    """The settled vectors ``rep, vector`` of the texts ``wanted`` (``rep, at, text_key``; ``at`` is the least id that has the text).
 
     ``known`` (``doc_id, text_key, dfs``) has what ``vectors`` needs besides the text.
 
-    The ids are as many as the input makes them, so they are never broadcast:
-    texts are shuffled once, whatever the size.
+    The texts are as many as the input makes them, so none are broadcast: those
+    wanted are shuffled once, whatever the size, one row of each.
     """
 
     def pack(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_pack(v) for v in vectors(*[column(batch, c, "") for c in given])], pa.binary())], names=["doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([_pack(v) for v in vectors(*[column(batch, c, "") for c in given])], pa.binary())], names=["rep", "vector"])
 
-    given, ids = ["text"], ids.distinct()
-    if known is None:
-        wanted = rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    else:
+    given, key = ["text"], ["at", "text_key"]
+    if known is not None:
         given.append("dfs")
-        mine = known.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        wanted = rows.join(mine.hint("shuffle_hash"), ["doc_id", "text_key"])
-    return settle(wanted.dropDuplicates(["doc_id"]).select("doc_id", *given).mapInArrow(pack, "doc_id long, vector binary"), "vectors")
+        wanted = known.select(_at().alias("at"), "text_key", "dfs").join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
+    found = rows.select(_at().alias("at"), "text_key", "text").join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
+    return settle(found.select("rep", *given).mapInArrow(pack, "rep long, vector binary"), "vectors")
 
 
 def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
@@ -102,7 +115,7 @@ def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
             ok = [similarity(_unpack(x[i].as_py()), _unpack(y[i].as_py())) >= threshold for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    x, y = packed.select(F.col("doc_id").alias("a"), F.col("vector").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("vector").alias("y"))
+    x, y = packed.select(F.col("rep").alias("a"), F.col("vector").alias("x")), packed.select(F.col("rep").alias("b"), F.col("vector").alias("y"))
     return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
@@ -135,7 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefixes(members: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """The shingles of ``members`` of which two texts as similar as ``threshold`` share one: ``doc_id, shingle, rest``.
+    """The shingles of ``members`` of which two texts as similar as ``threshold`` share one: ``rep, shingle, rest``.
 
     A text's shingles stand in one order for all texts, those of fewest members
     first; ``rest`` is the weight from the shingle on. Similar texts overlap in
@@ -147,30 +160,30 @@ def prefixes(members: DataFrame, packed: DataFrame, threshold: float) -> DataFra
     def unpack(batches):
         for batch in slices(batches, 64):
             vectors = [_unpack(v) for v in column(batch, "vector")]
-            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(v[0]) for v in vectors])
+            ids = np.repeat(batch.column("rep").to_numpy(), [len(v[0]) for v in vectors])
             if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([v[0] for v in vectors]).astype(np.int64)), pa.array(np.concatenate([v[1] for v in vectors]))], names=["doc_id", "shingle", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([v[0] for v in vectors]).astype(np.int64)), pa.array(np.concatenate([v[1] for v in vectors]))], names=["rep", "shingle", "weight"])
 
-    rows = settle(members.select("doc_id").join(packed, "doc_id").select("doc_id", "vector").mapInArrow(unpack, "doc_id long, shingle long, weight float"), "member-shingles")
+    rows = settle(members.select("rep").join(packed, "rep").select("rep", "vector").mapInArrow(unpack, "rep long, shingle long, weight float"), "member-shingles")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    own = W.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(W.currentRow, W.unboundedFollowing)  # one text
+    own = W.partitionBy("rep").orderBy("n", "shingle").rowsBetween(W.currentRow, W.unboundedFollowing)  # one text
     placed = rows.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rest", F.sum(F.col("weight").cast("double")).over(own))
-    whole = placed.withColumn("whole", F.max("rest").over(W.partitionBy("doc_id")))
-    return whole.where((F.col("rest") >= F.col("whole") * threshold * (1 - 1e-6)) & (F.col("n") > 1)).select("doc_id", "shingle", "rest", "whole")
+    whole = placed.withColumn("whole", F.max("rest").over(W.partitionBy("rep")))
+    return whole.where((F.col("rest") >= F.col("whole") * threshold * (1 - 1e-6)) & (F.col("n") > 1)).select("rep", "shingle", "rest", "whole")
 
 
 def across(members: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """Candidates ``a, b`` among ``members`` (``doc_id, class``) of different classes, by their prefixes.
+    """Candidates ``a, b`` among ``members`` (``rep, class``) of different classes, by their prefixes.
 
     No pair as similar as ``threshold`` is missing. Per shingle, only members
     outside its most frequent class are joined with the others, and only where
     what either text has left from the shingle on is the overlap they need.
     """
-    marked = settle(prefixes(members, packed, threshold).join(members, "doc_id"), "prefixes")
+    marked = settle(prefixes(members, packed, threshold).join(members, "rep"), "prefixes")
     mixed = marked.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("lead"), F.count("*").alias("classes"))
     mixed = settle(marked.join(mixed.where("classes > 1").select("shingle", "lead"), "shingle"), "mixed-prefixes")
-    odd = mixed.where("class <> lead").select("shingle", F.col("doc_id").alias("x"), F.col("class").alias("cx"), F.col("whole").alias("wx"), F.col("rest").alias("rx"))
-    met = odd.join(mixed.select("shingle", F.col("doc_id").alias("y"), F.col("class").alias("cy"), F.col("whole").alias("wy"), F.col("rest").alias("ry")), "shingle")
+    odd = mixed.where("class <> lead").select("shingle", F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("whole").alias("wx"), F.col("rest").alias("rx"))
+    met = odd.join(mixed.select("shingle", F.col("rep").alias("y"), F.col("class").alias("cy"), F.col("whole").alias("wy"), F.col("rest").alias("ry")), "shingle")
     need = (F.col("wx") + F.col("wy")) * (threshold / (1 + threshold) * (1 - 1e-6))
     return met.where((F.col("cx") != F.col("cy")) & (F.col("rx") >= need) & (F.col("ry") >= need)).select(*_pairs("x", "y")).distinct()
 
@@ -179,56 +192,76 @@ def _pairs(left: str, right: str):
     return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
 
 
+def _open_buckets(placed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets that hold several classes, and the sub-groups of these buckets with the class in the lead.
+
+    ``placed`` has a row per member and bucket. Labels are joined to one row per
+    member, and all that is known of a bucket reaches its members by sub-group,
+    so neither a text of many buckets nor a bucket of many texts is one key.
+    """
+    members = placed.groupBy("rep").agg(F.first("rank").alias("rank"), F.collect_list(F.struct("bucket", "sub")).alias("places"))  # BANDS at most
+    named = members.join(labels, members["rep"] == labels["node"], "left").select("rep", "rank", F.coalesce("label", "rep").alias("class"), F.explode("places").alias("p"))
+    named = settle(named.select("rep", "rank", "class", "p.bucket", "p.sub"), "named")
+    groups = named.groupBy("bucket", "sub").agg(F.max_by("class", "rank").alias("lead"), F.max("rank").alias("rank"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    several = groups.groupBy("bucket").agg(F.max_by("lead", "rank").alias("lead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket", "lead")
+    subs = settle(groups.select("bucket", "sub").join(several, "bucket"), "open-buckets")
+    return settle(named.join(subs, ["bucket", "sub"]), "open"), subs
+
+
 def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vectors: Callable, known: DataFrame | None = None) -> DataFrame:
     """Classes of exact and near copies from a settled table of bands.
 
-    1. Equal texts are represented by their least id.
-    2. A bucket is a band value that several representatives share. In a small
-       bucket all pairs are candidates. In a large one every member meets the
-       bucket's leader and that of a random sub-group: leaders are the texts
-       with the most company over all bands, which is what an original has
-       among its copies. So candidates grow with the members, not their square.
+    1. Equal texts are one node, ``rep``.
+    2. A bucket is a band value that several nodes share. In a small bucket all
+       pairs are candidates. In a large one every member meets the bucket's
+       leader and that of a random sub-group: leaders are the texts with the
+       most company over all bands, which is what an original has among its
+       copies. So candidates grow with the members, not their square.
     3. Candidates are verified exactly and joined to classes. Large buckets
        that still hold several classes get new leaders from among the classes
        other than the last leader's, for ROUNDS rounds or until one links
-       nothing new. This only makes the next step small.
+       nothing new; the others are done with. This only makes the next step small.
     4. Members of large buckets that still hold several classes are compared
        across classes wherever their prefixes meet (see ``across``), so that no
        link between classes of a bucket is lost.
 
-    Returns ``doc_id, class_id, n_links``; ``n_links`` counts the verified
-    links of the document's text to other texts.
+    Returns a row per distinct text: ``text_key, class, least, lead`` with
+    ``least`` the text's least id and ``lead`` the class's first text as
+    ``{no_id, doc_id, text_key}`` (least id, then least digest).
     """
-    heads = settle(banded.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep")), "heads")
-    reps = banded.join(heads.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
-    exploded = reps.dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("bands")).select("doc_id", F.xxhash64("pos", "col").alias("bucket"))
+    with_text = banded.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min(_at()).alias("at"), F.any_value("bands").alias("bands"))
+    heads = settle(with_text.withColumn("rep", F.monotonically_increasing_id()), "heads")
+    exploded = heads.select("rep", F.posexplode("bands")).select("rep", F.xxhash64("pos", "col").alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(exploded.join(counts, "bucket"), "buckets")
 
     small = shared.where(F.col("n") <= SMALL_BUCKET)
-    lists = small.groupBy("bucket").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # at most SMALL_BUCKET
+    lists = small.groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("ids"))  # at most SMALL_BUCKET
     some = lists.select(F.posexplode("ids").alias("i", "b"), "ids").select("b", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("a")).select("a", "b")
 
     big = shared.where(F.col("n") > SMALL_BUCKET)
-    central = big.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    big = settle(big.join(central, "doc_id").withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("n") / SUB_GROUP))).withColumn("rank", F.struct(F.col("company"), -F.col("doc_id"))), "big-buckets")
-    first = big.groupBy("bucket").agg(F.max_by("doc_id", "rank").alias("leader"))
-    second = big.groupBy("bucket", "sub").agg(F.max_by("doc_id", "rank").alias("leader"))
-    many = big.join(first, "bucket").select(*_pairs("doc_id", "leader")).union(big.join(second, ["bucket", "sub"]).select(*_pairs("doc_id", "leader")))
+    central = big.groupBy("rep").agg(F.sum("n").alias("company"))
+    big = big.join(central, "rep").withColumn("sub", F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / SUB_GROUP)))
+    big = settle(big.select("rep", "bucket", "sub", F.struct(F.col("company"), -F.col("rep")).alias("rank")), "big-buckets")
+    subs = big.groupBy("bucket", "sub").agg(F.max_by("rep", "rank").alias("second"), F.max("rank").alias("rank"))
+    first = subs.groupBy("bucket").agg(F.max_by("second", "rank").alias("leader"))
+    many = big.join(subs.join(first, "bucket").select("bucket", "sub", "leader", "second"), ["bucket", "sub"])
+    many = many.select("rep", F.explode(F.array("leader", "second")).alias("leader")).select(*_pairs("rep", "leader"))
 
     tested = settle(some.union(many).where("a <> b").distinct(), "pairs")
     # Every text of a large bucket meets a leader, so later rounds find their vectors here too.
-    packed = vectors_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), rows, vectors, known)
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(heads.select("rep", "at", "text_key"), "rep")
+    packed = vectors_of(wanted, rows, vectors, known)
     links = verify(tested, packed, threshold)
     labels = components(links)
+    open_ = big
     for left in range(ROUNDS, -1, -1):
-        named = big.join(labels, big["doc_id"] == labels["node"], "left").select(*big.columns, F.coalesce("label", "doc_id").alias("class"))
-        open_ = named.groupBy("bucket").agg(F.max_by("class", "rank").alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "lead")
-        rest = named.join(open_, "bucket")
+        open_, subs = _open_buckets(open_, labels)
         if not left:
             break
-        leaders = rest.where("class <> lead").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "class"), "rank").alias("next"))
-        fresh = rest.join(leaders, "bucket").where(F.col("class") != F.col("next.class")).select(*_pairs("doc_id", "next.doc_id")).distinct()
+        leaders = open_.where("class <> lead").groupBy("bucket").agg(F.max_by(F.struct("rep", "class"), "rank").alias("next"))
+        met = open_.join(subs.join(leaders, "bucket").select("bucket", "sub", "next"), ["bucket", "sub"])
+        fresh = met.where(F.col("class") != F.col("next.class")).select(*_pairs("rep", "next.rep")).distinct()
         fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(fresh)
         found = verify(fresh, packed, threshold)
@@ -236,14 +269,18 @@ def classes_by_bands(rows: DataFrame, banded: DataFrame, threshold: float, vecto
             break
         links = links.union(found)
         labels = components(links)
-    members = settle(rest.select("doc_id", "class").distinct(), "open-members")
+    members = settle(open_.select("rep", "class").distinct(), "open-members")
     if not members.isEmpty():
         last = settle(across(members, packed, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = verify(last, packed, threshold)
         if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = heads.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("text_key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return banded.select("doc_id", "text_key").join(known, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            labels = components(links.union(found))
+    named = heads.select("rep", "text_key", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("text_key", "least", F.coalesce("label", "rep").alias("class"))
+    lead = F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "text_key")
+    return named.join(named.groupBy("class").agg(F.min(lead).alias("lead")), "class")
+
+
+def class_ids(banded: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, text_key, class_id`` for every row of ``banded``: the least id of the row's class (null if the class has none)."""
+    known = classes.select("text_key", F.col("lead.doc_id").alias("class_id"), F.lit(True).alias("known"))
+    return banded.select("doc_id", "text_key").join(known, "text_key", "left").select("doc_id", "text_key", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))

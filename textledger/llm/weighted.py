@@ -9,7 +9,9 @@ its own shingles, and no table of all shingles is shared.
 
 Nulls: a null text is in a class of its own; an empty text or one without
 words is near none, and equal texts (empty ones too) are always one class.
-Repeated rows are kept, in one class. Extra columns are ignored.
+Rows count by their texts, so rows of one id with different texts, and rows
+without an id, are compared like all others. Repeated rows are one class.
+Extra columns, of any name, are ignored (``dedup`` returns them).
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, runs, settle, shingles, slices
-from .links import BAND_ROWS, BANDS, banded_batch, classes_by_bands, keyed
+from .common import column, mix64, runs, settle, shingles, slices, spare
+from .links import BAND_ROWS, BANDS, NO_ID, banded_batch, class_ids, classes_by_bands, keyed
 
 #: Texts of a block have about so many code points together (a longer text is alone).
 BLOCK_CHARS = 4_000_000
@@ -30,7 +32,7 @@ BLOCK_CHARS = 4_000_000
 GROUPS = 256
 GROUP_CHARS = 16_000_000
 SAMPLES = BAND_ROWS * BANDS
-_DRAWS = 1 << 14
+_DRAWS = 1 << 16
 SEED = 20240602
 
 _BLOCKS = "block long, doc_id array<long>, text_key array<string>, text array<string>"
@@ -170,7 +172,11 @@ def _banded(n: int):
 
 
 def _draws():
-    """Tables of Gamma(2,1), log Gamma(2,1) and uniform draws, addressed by a hash of shingle and sample number."""
+    """Quantiles of Gamma(2,1), log Gamma(2,1) and uniform draws, and a salt for each sample.
+
+    A hash of shingle and sample number addresses each table by 16 bits of its
+    own, so two shingles share all three draws with a chance of 2**-48.
+    """
     rng = np.random.default_rng(SEED)
     r, c, beta = rng.gamma(2, 1, _DRAWS), rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS)
     salts = rng.integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,7 +189,6 @@ def consistent_samples(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     Two vectors agree in a sample with their weighted Jaccard similarity as the probability.
     """
     r, lc, beta, salts = _draws()
-    shift = np.uint64(64 - _DRAWS.bit_length() + 1)
     out = np.zeros((len(vectors), SAMPLES), np.uint64)
     sizes = np.array([len(v[0]) for v in vectors])
     some = np.flatnonzero(sizes)
@@ -194,10 +199,13 @@ def consistent_samples(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
     owner = np.repeat(np.arange(len(some)), sizes[some])
     for k in range(SAMPLES):
-        at = (ids * salts[k]) >> shift
-        rk = r[at]
-        level = np.floor(logs / rk + beta[at])
-        score = lc[at] - rk * (level - beta[at] + 1)
+        at = ids * salts[k]
+        at ^= at >> np.uint64(32)
+        at *= salts[k - 1]
+        at = at.view(np.uint16).reshape(-1, 4)  # the low quarter is mixed least
+        rk, bk = r[at[:, 3]], beta[at[:, 1]]
+        level = np.floor(logs / rk + bk)
+        score = lc[at[:, 2]] - rk * (level - bk + 1)
         hit = np.flatnonzero(score == np.minimum.reduceat(score, starts)[owner])
         hit = hit[np.lexsort((ids[hit], owner[hit]))]  # ties: the least hash
         hit = hit[np.unique(owner[hit], return_index=True)[1]]
@@ -215,16 +223,28 @@ def counted_bands(rows: DataFrame) -> tuple[DataFrame, int]:
     return settle(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_banded(n), _COUNTED), "icws-bands"), n
 
 
-def weighted_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Near-duplicate classes: ``doc_id, class_id, n_links`` (see ``links.classes_by_bands``)."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs)
     banded, n = counted_bands(rows)
     dfs = banded.where("text_key is not null").select("doc_id", "text_key", "dfs")
-    return classes_by_bands(rows, banded.drop("dfs"), threshold, lambda texts, known: counted_vectors(texts, known, n), dfs)
+    banded = banded.drop("dfs")
+    return banded, classes_by_bands(rows, banded, threshold, lambda texts, known: counted_vectors(texts, known, n), dfs)
+
+
+def weighted_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Near-duplicate classes, a row per document: ``doc_id, class_id``, the least id of its class (see ``links``)."""
+    return class_ids(*_classes(docs, threshold)).select("doc_id", "class_id")
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class left: the one with the least id (of repeated ids one row)."""
-    lead = weighted_classes(docs, threshold).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(lead.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """``docs`` with one document of each class left: that of the least id, then of the least text digest.
+
+    Of rows that are equal in id and text, any one stays. Rows without a text
+    all stay.
+    """
+    at, key = spare(docs, "at"), spare(docs, "text_key")
+    classes = _classes(docs, threshold)[1]
+    lead = classes.where(F.col("text_key") == F.col("lead.text_key")).select(F.coalesce("least", F.lit(NO_ID)).alias(at), F.col("text_key").alias(key))
+    rows = docs.where("text is not null").withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.md5("text")})
+    kept = rows.join(lead, [at, key], "left_semi").dropDuplicates([at, key]).drop(at, key)
+    return kept.unionByName(docs.where("text is null"))
