@@ -4,7 +4,8 @@ Definitions: words are runs of letters and digits in lower case; a shingle is
 five words. A null text counts as empty. A text with fewer than five words has
 one shingle of all its words; texts without words have the same, maximal
 signature (so their likeness is 1). Repeated rows and equal ids are kept, each
-with a result; equal ids are ordered by text. Other columns are ignored.
+with a result; equal ids are ordered by text. Very long texts are taken whole.
+An empty table gives no rows. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, order_buckets, runs, settle, shingles, slices
-from .links import BANDED, banded_batch, classes_by_bands, keyed, plain_vectors
+from .common import bucket_cuts, column, in_bucket, runs, settle, shingles, slices
+from .links import BANDED, banded_batch, class_ids, classes_by_bands, keyed, plain_vectors
 
 PERMUTATIONS = 128
 SEED = 20240601
@@ -58,46 +59,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def _compare(batches):
-    """Rows come ordered; each is followed by the next document (at a bucket's end by a copy marked as ghost)."""
-    held = None  # the last row: id, ghost, text, signature
+    """Rows come ordered by id; each text is followed by the next document (at a bucket's end by a copy marked as ghost).
+
+    Before the texts of an id come their classes: rows of digest and class.
+    """
+    held, at, classes = None, None, {}  # the last text: id, ghost, text, signature, class; the id whose classes are known
     for batch in slices(batches):
-        ids, ghosts, texts = column(batch, "_id"), column(batch, "_ghost"), column(batch, "_text", "")
-        sigs = signatures(texts)
-        rows = ([held] if held else []) + list(zip(ids, ghosts, texts, sigs))
+        new = []
+        for i, ghost, text, named in zip(column(batch, "_id"), column(batch, "_ghost"), column(batch, "_text"), column(batch, "_class")):
+            if named is not None:
+                if i != at:
+                    at, classes = i, {}
+                classes[text] = named
+            else:
+                key = None if text is None or ghost else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                new.append((i, ghost, text or "", classes.get(key, i) if i == at else i))
+        if not new:
+            continue
+        sigs = signatures([r[2] for r in new])
+        rows = ([held] if held else []) + [(*r, s) for r, s in zip(new, sigs)]
         held = rows[-1]
         pairs = [(r, s) for r, s in zip(rows, rows[1:]) if not r[1]]
         if not pairs:
             continue
         changed = [edited(r[2], s[2]) for r, s in pairs]
         other = signatures(changed)
-        own, after = np.array([r[3] for r, _ in pairs]), np.array([s[3] for _, s in pairs])
+        own, after = np.array([r[4] for r, _ in pairs]), np.array([s[4] for _, s in pairs])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r, _ in pairs], pa.int64()),
                 pa.array([len(r[2]) for r, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]),
-                pa.array([text_hex(r[3]) for r, _ in pairs]),
+                pa.array([text_hex(r[4]) for r, _ in pairs]),
                 pa.array([text_hex(s) for s in other]),
                 pa.array(likeness(own, other)),
                 pa.array(likeness(own, after)),
+                pa.array([r[3] for r, _ in pairs], pa.int64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
         )
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
-    """Fingerprint every text, its edited form, and compare both with the next document by id.
+    """Fingerprint every text, its edited form, compare both with the next document by id, and name its near-duplicate class.
 
-    Texts are shuffled once, into buckets of rising ids. Each bucket also gets
-    a copy of the next bucket's first row, so no task needs another's rows.
+    Classes come from the banded signatures (``near_classes``). Texts are
+    shuffled once, into buckets of rising ids, and the classes with them. Each
+    bucket also gets a copy of the next bucket's first row, so no task needs
+    another's rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    rows = order_buckets(rows, "_id", "_bucket")
+    cuts = bucket_cuts(rows, "_id")
+    rows = in_bucket(rows, "_id", cuts, "_bucket")
     key = F.coalesce(F.col("_id"), F.lit(-(2**63)))
     first = dict(rows.groupBy("_bucket").agg(F.min(key)).collect())  # one row per bucket
     if not first:
@@ -105,14 +123,18 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     order = sorted(first)
     lead = [(first[b], order[i - 1]) for i, b in enumerate(order)]  # a first key, and the bucket before it
     lead = F.broadcast(spark.createDataFrame(lead, "_first long, _before int"))  # one row per bucket
+    named = near_classes(docs).where("class_id <> doc_id or (doc_id is null and class_id is not null)").distinct()
+    named = named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("class_id").alias("_class"))
+    named = in_bucket(named, "_id", cuts, "_b").withColumn("_ghost", F.lit(False))
     spread = (
         rows.withColumn("_first", key)
         .join(lead, "_first", "left")
         .withColumn("_own", F.explode(F.when(F.col("_before").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
-        .select("_id", "_text", F.when(F.col("_own"), F.col("_bucket")).otherwise(F.col("_before")).alias("_b"), (~F.col("_own")).alias("_ghost"))
+        .select("_id", "_text", F.lit(None).cast("long").alias("_class"), F.when(F.col("_own"), F.col("_bucket")).otherwise(F.col("_before")).alias("_b"), (~F.col("_own")).alias("_ghost"))
     )
-    dealt = spread.repartitionById(max(1, max(order) + 1), "_b").sortWithinPartitions("_b", "_ghost", F.col("_id").asc_nulls_first(), "_text")
-    return dealt.select("_id", "_ghost", "_text").mapInArrow(_compare, _SCHEMA)
+    spread = spread.unionByName(named.select(*spread.columns))
+    dealt = spread.repartitionById(max(1, max(order) + 1), "_b").sortWithinPartitions("_b", "_ghost", F.col("_id").asc_nulls_first(), F.col("_class").isNull(), "_text")
+    return dealt.select("_id", "_ghost", "_text", "_class").mapInArrow(_compare, _SCHEMA)
 
 
 def _bands(batches):
@@ -123,9 +145,8 @@ def _bands(batches):
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Near-duplicate classes by banded MinHash and exact Jaccard over shingle sets.
 
-    Returns ``doc_id, class_id, n_links``: the class is named by its least id;
-    ``n_links`` counts the verified links of the document's text.
+    Returns ``doc_id, text_key, class_id`` for every row; the class is named by its least id.
     """
     rows = keyed(docs)
     banded = settle(rows.mapInArrow(_bands, BANDED), "minhash-bands")
-    return classes_by_bands(rows, banded, threshold, plain_vectors)
+    return class_ids(banded, classes_by_bands(rows, banded, threshold, plain_vectors))
