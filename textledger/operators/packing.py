@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,9 +45,11 @@ def chunk_map(sizes: list[int], own: int, rows: int, chars: int, alone: int, **l
     return [out[i] if i < own else i - own for i in first], [begun[i] if i < own else 0 for i in first]
 
 
-def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int = 32, chars: int = 3000, alone: int = 1400) -> DataFrame:
+def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int = 32, chars: int = 3000, alone: int = 1400, size: Column | None = None, **limits: int) -> DataFrame:
     """``category, key, batch``: greedy batches in ascending order of the integer ``key``, each category packed from end to end.
 
+    A row's size is its text's length, or ``size``; ``limits`` are those of ``batch_numbers``.
+
     A category is cut into chunks of ``CHUNK`` rows. Where a batch starts in a
     chunk decides all later starts in it, and the first start is at most
     ``rows`` behind the chunk's begin: so each chunk is packed from each of
@@ -58,7 +60,7 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
     sized = work.select(
         F.col(category).alias("category"),
         F.col(key).cast("long").alias("key"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.length(text) if size is None else size, F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.floor(F.col(key) / CHUNK).cast("long"), F.lit(-(2**63))).alias("span"),
     )
     spans = sized.groupBy("category", "span").agg(F.count("*").alias("n"))
@@ -73,7 +75,7 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
     def maps(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at")
         own = int((frame["at"] // CHUNK == frame["chunk"]).sum())
-        ends, begun = chunk_map(frame["size"].tolist(), own, rows, chars, alone)
+        ends, begun = chunk_map(frame["size"].tolist(), own, rows, chars, alone, **limits)
         return pd.DataFrame({"category": [frame["category"].iloc[0]], "chunk": [frame["chunk"].iloc[0]], "ends": [ends], "begun": [begun]})
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +89,7 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
         frame = frame.sort_values("at")
         first, base = int(frame["first"].iloc[0]), int(frame["base"].iloc[0])
         sizes = frame["size"].tolist()
-        batch = [base - 1] * min(first, len(sizes)) + [base + x for x in batch_numbers(sizes[first:], rows, chars, alone)]
+        batch = [base - 1] * min(first, len(sizes)) + [base + x for x in batch_numbers(sizes[first:], rows, chars, alone, **limits)]
         return frame.assign(batch=batch)[["category", "key", "batch"]]
 
     halo = placed.where((F.col("at") % CHUNK <= rows) & (F.col("chunk") > 0)).withColumn("chunk", F.col("chunk") - 1)
@@ -99,6 +101,17 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
     return out.select(F.col("category").alias(category), F.col("key").alias(key), "batch")
 
 
+#: The limits of the two modes: fast, and with the quality model.
+FAST = {"rows": 32, "chars": 3000, "alone": 1400, "long": 120, "long_rows": 8, "long_chars": 5000}
+QUALITY = {"rows": 10, "chars": 2200, "alone": 1400, "long": 120, "long_rows": 4, "long_chars": 1800}
+
+
+def pack_lines(work: DataFrame, category: str, key: str, text: str, rows: int = 20, chars: int = 1400) -> DataFrame:
+    """Batches that travel as lines of one text: a text of several lines is alone, and each row costs its line feed."""
+    cost = F.when(F.col(text).rlike("[\r\n]"), chars + 1).otherwise(F.length(text) + 1)
+    return pack_whole(work, category, key, text, rows, chars, chars, size=cost, long=10**9)
+
+
 def pack(work: DataFrame, category: str, key: str, text: str, rows: int = 32, chars: int = 3000, alone: int = 1400, span: int = 4096) -> DataFrame:
     """``category, key, span, batch``: greedy batches in ascending order of the integer ``key``, each of one category.
 

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions import language as X
+from ..functions.tokens import MASK_FROM, MASK_TO, mask, unmasked_text
 
 BLOCK_CHARS = 8_000_000
 
@@ -116,6 +117,29 @@ def scan(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> D
     return together.mapInPandas(choose, schema)
 
 
+def protect(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``key, masked, tokens``: tokens and names (found as by ``scan``) as private characters, for texts that go to a provider.
+
+    ``restore`` undoes it. Texts without names have their tokens masked only.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    found = scan(rows, key, text, names, name).groupBy(key).agg(F.collect_list(F.array("start", "end")).alias("hits"))  # one text
+
+    def cover(frames):
+        for frame in frames:
+            out = [(None, None) if t is None else mask(t, [tuple(h) for h in (hits if hits is not None else [])]) for t, hits in zip(frame[text], frame["hits"])]
+            yield pd.DataFrame({key: frame[key], "masked": [m for m, _ in out], "tokens": [list(x) if x is not None else None for _, x in out]})
+
+    return rows.select(key, text).join(found, key, "left").mapInPandas(cover, f"`{key}` {kind}, masked string, tokens array<string>")
+
+
+def restored(masked: Column, tokens: Column) -> Column:
+    """The text with names and tokens back (null if any is lost or doubled); letters that a provider set right behind a name stand behind an apostrophe."""
+    apart = F.regexp_replace(masked, f"([{chr(MASK_FROM)}-{chr(MASK_TO)}])(\\p{{L}})", "$1'$2")
+    named = F.exists(tokens, lambda t: t.rlike(r"\p{L}$"))
+    return unmasked_text(F.when(named, apart).otherwise(masked), tokens)
+
+
 def longest_matches(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, widest: int = 8) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary names of up to ``widest`` words in each text: ``key, names`` in text order.
 

@@ -388,7 +388,28 @@ def prefix_deletes(spark, sf_dir):
     return L.drop_prefixes(c, "c_name", ["Customer#0000000", "Customer#00000012"], c.where("c_mktsegment = 'BUILDING'")).select("c_custkey", "c_name")
 
 
-@query()
+def _batches_sql(size: str, rows: int, chars: int, alone: int, long: int, long_rows: int, long_chars: int) -> str:
+    return f"""WITH RECURSIVE s AS (SELECT lang, doc_id, {size} AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+p AS (SELECT lang, doc_id, rn, CAST(0 AS BIGINT) AS batch, 1 AS n, CAST(size AS BIGINT) AS total, size > {long} AS some, size > {alone} AS shut FROM s WHERE rn = 1
+UNION ALL SELECT lang, d, rn + 1, CASE WHEN cut THEN batch + 1 ELSE batch END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN size ELSE total + size END, CASE WHEN cut THEN size > {long} ELSE more END, size > {alone}
+FROM (SELECT *, shut OR size > {alone} OR n >= CASE WHEN more THEN {min(rows, long_rows)} ELSE {rows} END OR total + size > CASE WHEN more THEN {long_chars} ELSE {chars} END AS cut
+FROM (SELECT p.*, s.doc_id AS d, s.size, p.some OR s.size > {long} AS more FROM p JOIN s ON s.lang = p.lang AND s.rn = p.rn + 1)))
+SELECT lang, doc_id, batch FROM p"""
+
+
+@query(_batches_sql("length(text)", **P.FAST))
 def work_batches(spark, sf_dir):
     """Documents in batches of 32 rows and 3,000 characters of one language (8 and 5,000 with any text over 120 characters); texts over 1,400 characters are alone."""
-    return P.pack_whole(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")
+    return P.pack_whole(table(spark, sf_dir, "documents"), "lang", "doc_id", "text", **P.FAST)
+
+
+@query(_batches_sql("length(text)", **P.QUALITY))
+def quality_batches(spark, sf_dir):
+    """The same with the quality model's limits."""
+    return P.pack_whole(table(spark, sf_dir, "documents"), "lang", "doc_id", "text", **P.QUALITY)
+
+
+@query(_batches_sql("CASE WHEN regexp_matches(text, '[\\r\\n]') THEN 1401 ELSE length(text) + 1 END", 20, 1400, 1400, 10**9, 8, 5000))
+def line_batches(spark, sf_dir):
+    """Batches of single lines, 20 rows and 1,400 characters; texts of several lines are alone."""
+    return P.pack_lines(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")

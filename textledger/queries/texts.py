@@ -253,3 +253,12 @@ def border_names(spark, sf_dir):
     names = spark.createDataFrame([("die",), ("und",)], "name string")
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
     return N.scan(rows, "k", "text", names, "name").groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, 1 + CASE WHEN regexp_matches(p_name, '(^| )red ring($| )') THEN 1 WHEN regexp_matches(p_name, '(^| )red($| )') OR regexp_matches(p_name, '(^| )ring($| )') THEN 1 ELSE 0 END AS tokens, p_name || '[#1]' AS restored FROM part")
+def protected_names(spark, sf_dir):
+    """Names and tokens hidden from a provider, and back again."""
+    names = spark.createDataFrame([("red",), ("ring",), ("red ring",)], "name string")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("[#1]")).alias("text"))
+    hidden = N.protect(rows, "p_partkey", "text", names, "name")
+    return hidden.select("p_partkey", F.size("tokens").alias("tokens"), N.restored(F.col("masked"), F.col("tokens")).alias("restored"))

@@ -1,12 +1,21 @@
-"""Streaming: the live state of keys, kept as a table that each micro-batch updates."""
+"""Streaming: live state of keys, texts seen before, log and chat lines, results as JSON lines.
+
+Streams are Structured Streaming from source to sink. What is kept between
+micro-batches is in Spark's state store, or in tables below
+``spark.checkpoint.dir`` that a replayed batch writes again as they were.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts of the live state; a micro-batch writes only those that it has keys of.
+BUCKETS = 64
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``; a local session, as in tests, is given one where it has none."""
@@ -25,28 +34,78 @@ def latest_rows(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in log.columns if c != key]), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
-def run_latest(stream: DataFrame, key: str, order: list[Column], status: str, live: list[str], tombstone: str) -> DataFrame:
-    """Run ``stream`` over what is there now and return the state: the last state row of each key, tombstoned keys gone.
+class LiveState:
+    """The last row of each key, in ``BUCKETS`` parts by hash; an index per batch says which batch wrote each part last.
 
-    A micro-batch merges its last rows (tombstones too, so late older rows
-    cannot revive a key) with the state written before and writes the next
-    version in full; a batch that is replayed writes the same version again.
+    Tombstones are kept, so late older rows cannot revive a key. Batch ``n``
+    reads index ``n - 1`` and the parts it touches, and writes these parts and
+    index ``n``; run again it writes the same. Older versions of parts may be
+    deleted by the caller once no reader needs them.
     """
+
+    def __init__(self, base: str, schema, key: str, order: list[Column]):
+        self.base, self.schema, self.key, self.order = base, schema, key, order
+
+    def index(self, spark: SparkSession, number: int) -> dict[int, int]:
+        """Part to the batch that wrote it (at most ``BUCKETS`` entries)."""
+        try:
+            return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch long").parquet(f"{self.base}/index-{number}").collect()}
+        except AnalysisException:
+            return {}
+
+    def rows(self, spark: SparkSession, parts: dict[int, int]) -> DataFrame:
+        paths = [f"{self.base}/state-{n}/_bucket={b}" for b, n in sorted(parts.items())]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+        known = self.index(spark, number - 1)
+        touched = {r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()}  # BUCKETS at most
+        if touched:
+            old = self.rows(spark, {b: n for b, n in known.items() if b in touched})
+            rows = latest_rows(batch.select(*self.schema.names).unionByName(old), self.key, self.order).select(*self.schema.names)
+            rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.base}/state-{number}")
+        index = known | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(index.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index-{number}")
+
+    def last(self, spark: SparkSession, number: int) -> DataFrame:
+        return self.rows(spark, self.index(spark, number))
+
+
+def run_latest(stream: DataFrame, key: str, order: list[Column], status: str, live: list[str], tombstone: str) -> DataFrame:
+    """Run ``stream`` over what is there now and return the state: the last state row of each key, tombstoned keys gone."""
     spark = stream.sparkSession
     base = shared_folder(spark)
     states = stream.where(F.col(status).isin(*live, tombstone))
-    schema = states.schema
-    done: dict[str, int] = {}
+    state = LiveState(base, states.schema, key, order)
+    query = states.writeStream.foreachBatch(state.merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    numbers = [p["batchId"] for p in query.recentProgress]
+    return state.last(spark, max(numbers, default=-1)).where(F.col(status) != tombstone)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{base}/state-{number - 1}"))
-        latest_rows(rows, key, order).select(*schema.names).write.mode("overwrite").parquet(f"{base}/state-{number}")
-        done["last"] = number
 
-    query = states.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if "last" not in done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/state-{done['last']}").where(F.col(status) != tombstone)
+def limited(spark: SparkSession, path: str, schema, files: int, pattern: str = "*.parquet") -> DataFrame:
+    """A stream of a folder's Parquet files, at most ``files`` of them in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(path)
+
+
+def unseen(stream: DataFrame, keys: list[str], time: str | None = None, keep: str = "1 hour") -> DataFrame:
+    """Rows whose ``keys`` were not seen before: at all, or within ``keep`` of event time where ``time`` is given, which bounds the state."""
+    if time is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark(keys)
+
+
+CHAT = r"^(\d{2}:\d{2}:\d{2}),\d{3} - \[([^\]]*)\] ([^:]*?) : (.*)$"
+
+
+def chat_messages(lines: DataFrame) -> DataFrame:
+    """``time, channel, sender, text`` of chat lines (``value``); other lines are dropped."""
+    part = lambda i: F.regexp_extract("value", CHAT, i)
+    return lines.where(F.col("value").rlike(CHAT)).select(part(1).alias("time"), part(2).alias("channel"), part(3).alias("sender"), part(4).alias("text"))
+
+
+def run_json_lines(stream: DataFrame, path: str) -> None:
+    """Append what is there now to JSON lines below ``path``; a run again goes on where the last one ended."""
+    stream.writeStream.format("json").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
