@@ -4,7 +4,7 @@ Rules name a host (and all its subdomains) and the beginning of a path; the
 longest that fits decides. The URLs that rules decide are the labelled ones:
 trees are trained on them and judge the rest. Features are native column
 expressions: lengths, depth, digit ratio, entropy of characters, parameter
-counts and smoothed block rates of host suffixes. A labelled URL's rates are
+counts and smoothed block rates of host suffixes and path beginnings. A labelled URL's rates are
 those of the labelled URLs outside its fold, so the trees never see a rate that
 holds the label they are to learn.
 
@@ -29,6 +29,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TREES, DEPTH, SEED = 20, 4, 20240604
 SMOOTH = 10.0
+#: Characters of the path that have a rate, with the host's last label.
+LEAD = 5
 #: Folds of the labelled URLs, by checksum.
 FOLDS = 5
 
@@ -55,7 +57,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "tld_rate", "domain_rate", "first_rate"]
+FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "tld_rate", "domain_rate", "first_rate", "lead_rate"]
 
 
 def lexical(url: Column) -> dict[str, Column]:
@@ -86,7 +88,7 @@ def lexical(url: Column) -> dict[str, Column]:
 
 def features_of(rows: DataFrame) -> DataFrame:
     """Add the features to rows of ``url, host, path`` and ``label`` (1.0 block, 0.0 allow, null unknown); ``fold`` tells the parts of the labelled rows."""
-    suffixes = {"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "first": F.substring_index(F.substring("path", 2, 2**31 - 1), "/", 1)}
+    suffixes = {"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "first": F.substring_index(F.substring("path", 2, 2**31 - 1), "/", 1), "lead": F.concat_ws(" ", F.substring_index("host", ".", -1), F.left("path", F.lit(LEAD)))}
     measured = {n: v.cast("double") for n, v in lexical(F.col("url")).items()}
     fold = F.crc32(F.coalesce("url", F.lit(""))) % FOLDS
     rows = settle(rows.withColumns(measured | suffixes | {"fold": fold}).drop("url"), "urls")
