@@ -49,8 +49,8 @@ def hash_sets(approvals: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def invalidated_keys(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``namespace, keys``: the union of what is invalidated, sorted."""
-    return old.unionByName(new).groupBy("namespace").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    """``namespace, key``: the union of what is invalidated, each once (a row each: a namespace may have any number)."""
+    return old.unionByName(new).where("key is not null").distinct()
 
 
 def edit(store: DataFrame, approvals: DataFrame, invalidated: DataFrame, edits: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame, DataFrame]:

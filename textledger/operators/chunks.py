@@ -39,3 +39,35 @@ def reassemble(manifest: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
     wrong = F.when(F.col("missing") > 0, "MISSING_CHUNK").when(F.col("bad") > 0, "BAD_CHUNK").when(F.sha2("data", 256) != F.col("file_sha256"), "BAD_FILE")
     out = out.withColumn("problem", wrong)
     return out.select(name, F.when(F.col("problem").isNull(), F.col("data")).alias("data"), "pieces", "problem")
+
+
+def locate(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """Where each wanted chunk (``name, seq, sha, size``) lies: ``bundle, offset`` of its first listing, and what is wrong.
+
+    ``listed`` has ``bundle, offset, sha, size``; of several listings of a chunk
+    the one of the least bundle and offset counts. ``problem`` is ``ABSENT``
+    without one, ``SIZE_DIFFERS`` where sizes disagree, else null.
+    """
+    first = listed.groupBy("sha").agg(F.min(F.struct("bundle", "offset", "size")).alias("at"))
+    out = wanted.join(first, "sha", "left")
+    problem = F.when(F.col("at").isNull(), "ABSENT").when(F.col("at.size") != F.col("size"), "SIZE_DIFFERS")
+    return out.select("name", "seq", "sha", "size", F.col("at.bundle").alias("bundle"), F.col("at.offset").alias("offset"), problem.alias("problem"))
+
+
+def fetch(located: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The bytes of located chunks, cut out of their bundles (``bundle, data``): ``sha, piece``, each chunk once.
+
+    A bundle is joined to its own chunks' places, gathered beforehand, so its bytes move once.
+    """
+    places = located.where("problem is null").select("bundle", "offset", "size", "sha").distinct()
+    lists = places.groupBy("bundle").agg(F.collect_set(F.struct("offset", "size", "sha")).alias("places"))  # one bundle's chunks
+    found = bundles.join(lists, "bundle").select("data", F.explode("places").alias("p"))
+    return found.select("p.sha", F.expr("substring(data, p.offset + 1, p.size)").alias("piece")).dropDuplicates(["sha"])
+
+
+def file_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, problem`` of a manifest (``path, sha``) against files (``path, sha``): ``MISSING``, ``CHANGED``, and ``UNLISTED`` files."""
+    have = files.select("path", F.col("sha").alias("_sha"), F.lit(True).alias("_there"))
+    out = manifest.withColumn("_listed", F.lit(True)).join(have, "path", "full_outer")
+    problem = F.when(F.col("_there").isNull(), "MISSING").when(F.col("_listed").isNull(), "UNLISTED").when(F.lower("sha") != F.lower("_sha"), "CHANGED")
+    return out.select("path", problem.alias("problem")).where("problem is not null")

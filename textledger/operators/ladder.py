@@ -77,6 +77,11 @@ def protect(changed: DataFrame, stores: list[Store], protected: Column, at: int,
     return rest.select(*changed.columns, F.coalesce("_first", "value").alias("value"), F.coalesce("_from", "origin").alias("origin"))
 
 
+def effective(resolved: DataFrame) -> DataFrame:
+    """``identity, value``: what a reader sees, the resolved value or else the source itself."""
+    return resolved.select("identity", F.coalesce("value", "source").alias("value"))
+
+
 def unresolved(changed: DataFrame, stores: list[Store]) -> DataFrame:
     """The changed records that no rung serves (nothing is sent to a provider before this is known)."""
     return resolve(changed, stores).where("origin is null").select(*changed.columns)

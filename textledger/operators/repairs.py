@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as X
+from .stats import first_members
 
 
 def reuse_checked(memory: DataFrame, missing: DataFrame, same_form) -> DataFrame:
@@ -101,7 +102,7 @@ def phrase_parts(rows: DataFrame, key: str, value: str, query: list[str], per_wo
     words = sorted(set(query))
     spark = rows.sparkSession
     asked = spark.createDataFrame([(w,) for w in words], "word string")
-    hits = rows.select(F.col(key).alias("key"), F.lower(F.trim(value)).alias("word")).join(F.broadcast(asked), "word").groupBy("word").agg(F.slice(F.array_sort(F.collect_set("key")), 1, per_word).alias("keys"))
-    found = hits.select("word", F.explode("keys").alias("key"))
+    hits = rows.select(F.col(key).alias("key"), F.lower(F.trim(value)).alias("word")).join(F.broadcast(asked), "word")
+    found = first_members(hits, ["word"], "key", per_word, "keys").select("word", F.explode("keys").alias("key"))
     gate = found.agg((F.count_distinct("word") == len(words)) & (F.count("*") >= 2)).first()[0]
     return found if gate else found.where("false")

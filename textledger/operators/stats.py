@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts of a group, by hash, where a group may be very large.
+PARTS = 64
+
 
 def counts_with_total(rows: DataFrame, by: str) -> DataFrame:
     """Counts by a column and their sum as ``TOTAL``, in one aggregation."""
@@ -25,23 +28,42 @@ def latest_state(log: DataFrame, key: str, order: list[Column], status: str, liv
     return last.where(F.col(f"_row.{status}") != tombstone).select(key, "_row.*")
 
 
-def units(rows: DataFrame, by: list[str], member: str) -> DataFrame:
-    """Distinct groups to be worked on once: first member and how many rows share each."""
-    return rows.groupBy(*by).agg(F.min(member).alias("first_member"), F.count("*").alias("members"))
+def first_members(rows: DataFrame, by: list[str], member: str, k: int, out: str = "first") -> DataFrame:
+    """``by, out``: the first ``k`` distinct members of each group, in order.
+
+    Two steps, so a group of any size is never gathered: the first ``k`` within
+    parts of a group by hash, then the first ``k`` of those.
+    """
+    part = F.pmod(F.xxhash64(member), F.lit(PARTS)).alias("_part")
+    each = rows.where(F.col(member).isNotNull()).select(*by, F.col(member).alias("_member"), part).distinct()
+    rank = F.row_number().over(W.partitionBy(*by, "_part").orderBy("_member"))
+    few = each.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    return few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("_member")), 1, k).alias(out))
+
+
+def units(rows: DataFrame, by: list[str], member: str, members: int = 0) -> DataFrame:
+    """Distinct groups to be worked on once: first member and how many rows share each.
+
+    With ``members``, also the first so many members in order, as ``listed``; the rest is found by joining on ``by``.
+    """
+    counts = rows.groupBy(*by).agg(F.min(member).alias("first_member"), F.count("*").alias("members"))
+    return counts.join(first_members(rows, by, member, members, "listed"), by) if members else counts
 
 
 def inconsistent(rows: DataFrame, source: str, target: str) -> DataFrame:
-    """Sources with more than one target: the targets with their counts, sorted by target."""
-    per = rows.where(F.trim(target) != "").groupBy(source, target).agg(F.count("*").alias("n"))
+    """Trimmed sources with more than one target: the targets with their counts, sorted by target."""
+    per = rows.where(F.trim(target) != "").groupBy(F.trim(source).alias(source), target).agg(F.count("*").alias("n"))
     listed = per.groupBy(source).agg(F.count("*").alias("variants"), F.array_sort(F.collect_list(F.struct(target, "n"))).alias("v")).where("variants > 1")
     return listed.select(source, "variants", F.array_join(F.transform("v", lambda x: F.concat(x[target], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ").alias("listing"))
 
 
 def top_by_count(rows: DataFrame, group: str, item: str, n: int) -> DataFrame:
-    """The ``n`` most frequent items of each group, ties by item."""
-    per = rows.groupBy(group, item).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), item))
-    return per.withColumn("rank", rank).where(F.col("rank") <= n)
+    """The ``n`` most frequent items of each group, ties by item; a group's items are ranked in parts first, so few reach one task."""
+    per = rows.groupBy(group, item).agg(F.count("*").alias("n")).withColumn("_part", F.pmod(F.xxhash64(item), F.lit(PARTS)))
+    order = (F.desc("n"), F.col(item))
+    few = per.withColumn("rank", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order))).where(F.col("rank") <= n)
+    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return few.drop("_part").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def repeated_words(rows: DataFrame, key: str, words: Column, least: int) -> DataFrame:

@@ -55,6 +55,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "identity", "full_outer").select("identity", _kind(F.col("_old"), F.col("_new")).alias("kind"))
 
 
+def changed_hashes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The three-class form: ``identity, kind`` of what is new, modified or removed; the same hashes on both sides give no row."""
+    return diff(old, new).where("kind <> 'UNCHANGED'")
+
+
 def kind_counts(changes: DataFrame) -> DataFrame:
     """Counts of all four kinds, zeros kept."""
     spark = changes.sparkSession

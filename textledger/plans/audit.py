@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as X
+from ..operators.stats import first_members
 from .rules import Rule, condition
 
 
@@ -115,7 +116,8 @@ def by_severity(findings: DataFrame, order: list[str]) -> DataFrame:
 
 def first_k(rows: DataFrame, group: str, item: str, k: int) -> DataFrame:
     """``group, n, first``: how many distinct items a group has, and its first ``k`` in order."""
-    return rows.groupBy(group).agg(F.count_distinct(item).alias("n"), F.slice(F.array_sort(F.collect_set(item)), 1, k).alias("first"))
+    counts = rows.groupBy(group).agg(F.count_distinct(item).alias("n"))
+    return counts.join(first_members(rows, [group], item, k), group, "left")
 
 
 def residue_histogram(rows: DataFrame, reason: str, pattern: str) -> DataFrame:
@@ -164,6 +166,19 @@ def stamp(text: Column) -> Column:
     return F.when(text.rlike(STAMP), F.try_to_timestamp(text))
 
 
+def response_text(json: Column) -> Column:
+    """The translated text of a provider's answer in any of three shapes, or null: an object with a result, a list of parts, a list of candidates.
+
+    Parts of a list are joined; the marks that HTML names are put back.
+    """
+    parts = F.from_json(F.get_json_object(json, "$[0]"), "array<array<string>>")
+    joined = F.when(F.trim(json).startswith("["), F.array_join(F.transform(parts, lambda p: F.coalesce(F.get(p, F.lit(0)), F.lit(""))), ""))
+    text = F.coalesce(F.get_json_object(json, "$.responseData.translatedText"), F.get_json_object(json, "$.translations[0].text"), joined)
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(mark))
+    return text
+
+
 def template(fields: dict[str, Column]) -> Column:
     """A body of lines ``Label: `value```."""
     return F.array_join(F.array(*[F.concat(F.lit(f"{label}: `"), value, F.lit("`")) for label, value in fields.items()]), "\n")

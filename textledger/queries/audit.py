@@ -314,3 +314,31 @@ def language_probe(spark, sf_dir):
     """Whether a known line of a language occurs at all; the search stops at the first."""
     found = table(spark, sf_dir, "conversations").where(F.col("text").contains("nicht")).limit(1)
     return found.agg((F.count("*") > 0).alias("present"))
+
+
+@query("SELECT event_id, event_type || ' <' || user_id || '> & (x)' AS text FROM events")
+def response_texts(spark, sf_dir):
+    """Providers' answers in three shapes of JSON."""
+    said = F.concat("event_type", F.lit(" <"), F.col("user_id").cast("string"), F.lit("> & (x)"))
+    escaped = F.replace(F.replace(F.replace(said, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = F.to_json(F.struct(F.struct(escaped.alias("translatedText")).alias("responseData")))
+    two = F.to_json(F.struct(F.array(F.struct(said.alias("text"))).alias("translations")))
+    half = F.concat("event_type", F.lit(" <"))
+    three = F.concat(F.lit('[[["'), half, F.lit('","a"],["'), F.substring(said, F.length(half) + 1, F.length(said)), F.lit('",null]],"x"]'))
+    kind = F.col("event_id") % 3
+    return table(spark, sf_dir, "events").select("event_id", A.response_text(F.when(kind == 0, one).when(kind == 1, two).otherwise(three)).alias("text"))
+
+
+DESKTOP = [
+    R.Rule("MISSING", target=r"^\s*$"),
+    R.Rule("PROTECTED", "OK", key="^(.*00)?0$"),
+    R.Rule("FORM_BROKEN", target=r"<b>", not_source=r"<b>"),
+    R.Rule("SUSPECT", target="birşey"),
+]
+
+
+@query(f"SELECT k, CASE WHEN trim(b) = '' THEN 'MISSING' WHEN k % 1000 = 0 THEN 'PROTECTED' WHEN contains(b, '<b>') AND NOT contains(a, '<b>') THEN 'FORM_BROKEN' WHEN contains(b, 'birşey') THEN 'SUSPECT' ELSE 'DONE' END AS status FROM {_FAULTY}")
+def desktop_statuses(spark, sf_dir):
+    """The desktop's rule table: other order, other rules, the same engine."""
+    rows = faulty(spark, sf_dir)
+    return rows.select("k", A.analyze(DESKTOP, F.col("k").cast("string"), F.col("a"), F.col("b"))["status"].alias("status"))

@@ -46,6 +46,11 @@ def diff_versions(spark, sf_dir):
     return _changes(spark, sf_dir)
 
 
+@query(f"SELECT identity, kind FROM ({_DIFF}) WHERE kind <> 'UNCHANGED'")
+def changed_hashes(spark, sf_dir):
+    return V.changed_hashes(*(V.snapshot(v, "source") for v in _versions(spark, sf_dir)))
+
+
 @query(f"SELECT k.kind, count(d.identity) AS n FROM (VALUES ('NEW'), ('MODIFIED'), ('REMOVED'), ('UNCHANGED')) k(kind) LEFT JOIN ({_DIFF}) d ON d.kind = k.kind GROUP BY k.kind")
 def diff_counts(spark, sf_dir):
     return V.kind_counts(_changes(spark, sf_dir))
@@ -132,6 +137,11 @@ def ladder_values(spark, sf_dir):
     return L.resolve(_changed(spark, sf_dir), _stores(spark, sf_dir)).select("identity", "origin", F.sha2("value", 256).alias("value_sha256"))
 
 
+@query(f"SELECT r.identity, coalesce(r.value_sha256, sha256(c.source)) AS value_sha256 FROM ({_RESOLVED}) r JOIN ({_CHANGED}) c ON c.identity = r.identity")
+def effective_values(spark, sf_dir):
+    return L.effective(L.resolve(_changed(spark, sf_dir), _stores(spark, sf_dir))).select("identity", F.sha2("value", 256).alias("value_sha256"))
+
+
 @query(f"SELECT identity FROM ({_RESOLVED}) WHERE origin IS NULL")
 def ladder_unresolved(spark, sf_dir):
     return L.unresolved(_changed(spark, sf_dir), _stores(spark, sf_dir)).select("identity")
@@ -224,13 +234,14 @@ def latest_state_stream(spark, sf_dir):
     return live.run_latest(stream.select("user_id", "ts", "event_id", "event_type"), **_live_args()).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT sha256(text) AS text_sha256, lang, min(doc_id) AS first_member, count(*) AS members FROM documents GROUP BY text, lang")
+@query("SELECT sha256(text) AS text_sha256, lang, min(doc_id) AS first_member, count(*) AS members, list_sort(list(doc_id))[1:10] AS listed FROM documents GROUP BY text, lang")
 def work_units(spark, sf_dir):
-    return S.units(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id").select(F.sha2("text", 256).alias("text_sha256"), "lang", "first_member", "members")
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_sha256"), "lang", "doc_id")
+    return S.units(rows, ["text_sha256", "lang"], "doc_id", 10)
 
 
 @query("""SELECT sha256(text) AS text_sha256, count(*) AS variants, string_agg(source || ' (' || CAST(n AS VARCHAR) || ')', '; ' ORDER BY source) AS listing
-FROM (SELECT text, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY text HAVING count(*) > 1""")
+FROM (SELECT trim(text) AS text, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY text HAVING count(*) > 1""")
 def inconsistent_targets(spark, sf_dir):
     return S.inconsistent(table(spark, sf_dir, "documents"), "text", "source").select(F.sha2("text", 256).alias("text_sha256"), "variants", "listing")
 
@@ -364,7 +375,7 @@ def gate_decisions(spark, sf_dir):
     return g.select("o_custkey", F.when((F.col("o") > 0) & (F.col("s") > 0), "EXISTING_PR_REUSED").when((F.col("o") == 0) & (F.col("d") > 0), "NO_CHANGES").otherwise("PREPARE_NEW_PR").alias("decision"), "outdated")
 
 
-@query()
+@query("SELECT page_id, page_id % 2 = 1 OR NOT regexp_matches(html, '<[^>]*>[^<]*$') AS format_ok FROM pages")
 def format_signatures(spark, sf_dir):
     """Pages whose markup structure changes when every other page's last tag is dropped."""
     pages = table(spark, sf_dir, "pages").withColumn("target", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "<[^>]*>(?=[^<]*$)", "")).otherwise(F.col("html")))
@@ -382,6 +393,28 @@ def chunk_reassembly(spark, sf_dir):
     return whole.select("doc_id", "pieces", F.sha2("data", 256).alias("data_sha256"), F.col("problem").isNull().alias("ok"))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'MISSING_CHUNK' END AS problem, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS data_sha256 FROM documents WHERE doc_id % 7 <> 0 OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY left(text, 300) HAVING count(*) = 1)""")
+def bundle_reassembly(spark, sf_dir):
+    """Documents cut to chunks, chunks laid into bundles, found again by bundle and byte range; bundles of every seventh document are lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"), F.left("text", F.lit(300)).alias("_begin"))
+    once = docs.groupBy("_begin").agg(F.count("*").alias("n")).where("n = 1").select("_begin")
+    kept = docs.where("doc_id % 7 <> 0").unionByName(docs.where("doc_id % 7 = 0").join(once, "_begin").select(*docs.columns))
+    cut = C.cut(kept, "name", "data", 1024).withColumn("size", F.octet_length("piece"))
+    bundles = docs.where("doc_id % 7 <> 0").select(F.concat(F.lit("b"), "name").alias("bundle"), F.concat(F.lit("head").cast("binary"), "data").alias("data"), "name")
+    listed = cut.where("cast(name as long) % 7 <> 0").select(F.concat(F.lit("b"), "name").alias("bundle"), (F.col("seq") * 1024 + 4).alias("offset"), "sha", "size")
+    located = C.locate(cut.select("name", "seq", "sha", "size"), listed)
+    files = kept.select("name", F.sha2("data", 256).alias("file_sha256"))
+    whole = C.reassemble(cut.select("name", "seq", "sha").join(files, "name"), C.fetch(located, bundles), "name")
+    return whole.select("name", "problem", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'MISSING' WHEN doc_id % 5 = 1 THEN 'UNLISTED' ELSE 'CHANGED' END AS problem FROM documents WHERE doc_id % 5 < 3")
+def manifest_problems(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha"))
+    manifest = docs.where("doc_id % 5 <> 1").select("path", F.when(F.col("doc_id") % 5 == 2, "other").otherwise(F.upper("sha")).alias("sha"))
+    return C.file_problems(manifest, docs.where("doc_id % 5 <> 0").select("path", "sha"))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT (starts_with(c_name, 'Customer#0000000') OR c_name LIKE 'Customer#00000012%') OR c_name IN (SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING')")
 def prefix_deletes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

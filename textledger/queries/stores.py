@@ -45,7 +45,7 @@ def approval_sets(spark, sf_dir):
     return V.hash_sets(old, new)
 
 
-@query("SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'manual' ELSE 'memory' END AS namespace, list_sort(list(DISTINCT c_mktsegment)) AS keys FROM customer GROUP BY 1")
+@query("SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'manual' ELSE 'memory' END AS namespace, c_mktsegment AS key FROM customer")
 def invalidated_sets(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, "manual").otherwise("memory").alias("namespace"), F.col("c_mktsegment").alias("key"))
     return V.invalidated_keys(c, c.limit(0))
@@ -98,6 +98,19 @@ def audit_ladder(spark, sf_dir):
     return L.protect(_changed(spark, sf_dir), stores, n % 17 == 0, 3).select("identity", "origin")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, sha256(CASE WHEN doc_id % 10 = 3 AND doc_id % 4 = 0 THEN 'M' || doc_id WHEN doc_id % 10 = 3 THEN text || ' v2' ELSE 'P' || doc_id END) AS value_sha256 FROM (SELECT doc_id, replace(replace(text, chr(13), ' '), chr(10), ' ') AS text FROM documents) WHERE doc_id % 10 NOT IN (1, 2)")
+def adaptive_rewrite(spark, sf_dir):
+    """A catalog rewritten by a three-way merge: prepared values where the source is still the baseline's, else memory, else as it was."""
+    flat = F.regexp_replace("text", "[\\r\\n]", " ")
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 not in (1, 2)").select("doc_id", F.col("doc_id").cast("string").alias("key"), flat.alias("value"))
+    now = docs.withColumn("value", F.when(F.col("doc_id") % 10 == 3, F.concat("value", F.lit(" v2"))).otherwise(F.col("value")))
+    own = F.concat("key", F.lit("="), "value")
+    lines = now.select(F.lit("p").alias("package"), F.lit("main").alias("entry"), F.col("doc_id").alias("line_no"), own.alias("raw"), F.lit("\n").alias("newline"), "key", "value", F.lit(None).cast("string").alias("problem"))
+    ready, memory = docs.select("key", F.concat(F.lit("P"), "key").alias("value")), docs.where("doc_id % 4 = 0").select("key", F.concat(F.lit("M"), "key").alias("value"))
+    out = W.rewrite_adaptively(lines, docs.select("key", "value"), ready, memory)
+    return out.select(F.substring_index("raw", "=", 1).alias("key"), F.sha2(F.expr("substring(raw, locate('=', raw) + 1)"), 256).alias("value_sha256"))
+
+
 # --- repairs ----------------------------------------------------------------
 
 

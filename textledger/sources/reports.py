@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_field
+from ..operators.ladder import three_way
 from ..operators.versions import with_identity
 
 
@@ -63,6 +64,18 @@ def rewrite_by_policy(lines: DataFrame, resolved: DataFrame, form_ok) -> tuple[D
     return rewrite(lines, judged.where("reason is null").select("identity", "value")), skipped.select("key", "r.identity", "r.reason")
 
 
+def rewrite_adaptively(lines: DataFrame, baseline: DataFrame, prepared: DataFrame, memory: DataFrame, **more) -> DataFrame:
+    """Rewrite lines by a three-way merge on keys (see ``ladder.three_way``); lines whose value stays are not touched.
+
+    A key that repeats in the lines is merged by its last value, as readers see it, and written so in all its places.
+    """
+    records = with_identity(lines.where("key is not null"), scope=("package",)).select("package", "identity", "key", "value", "entry", "line_no")
+    now = records.groupBy("key").agg(F.max_by("value", F.struct("entry", "line_no")).alias("value"))
+    merged = three_way(now, baseline, prepared, memory, **more).where("choice <> 'SOURCE'").select("key", F.col("merged").alias("_new"))
+    new = records.join(merged, "key").where(~F.col("value").eqNullSafe(F.col("_new"))).select("identity", F.col("_new").alias("value")).distinct()
+    return rewrite(lines, new)
+
+
 def tsv(rows: DataFrame, columns: list[str]) -> Column:
     """One escaped line a row; nulls are empty."""
     return F.array_join(F.array(*[escape_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]), "\t")
