@@ -19,9 +19,9 @@ LANGUAGE_WORDS = (
 )
 CYRILLIC = "[А-Яа-я]"
 
-# Link shorteners and suffixes of binaries.
-SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl")
-BINARY_SUFFIXES = (".exe", ".zip", ".jar", ".msi", ".7z", ".rar")
+# Hosts of link shorteners and suffixes of binaries.
+SHORTENERS = ("bit.ly", "cutt.ly", "goo.gl", "is.gd", "lnkd.in", "ow.ly", "rb.gy", "t.co", "tiny.cc", "tinyurl.com")
+BINARY_SUFFIXES = (".7z", ".appimage", ".argosmodel", ".bin", ".com", ".dll", ".dmg", ".exe", ".jar", ".msi", ".pkg", ".rar", ".scr", ".tar", ".tar.gz", ".tgz", ".whl", ".zip")
 
 
 def words(text: Column) -> Column:
@@ -99,7 +99,7 @@ def cascade(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def url_verdict(host: Column, path: Column, allowed: list[str]) -> Column:
-    """``SHORTENER``, ``BINARY`` (a binary suffix off the allowed hosts) or ``OK``, whatever the case of host and suffix."""
+    """``SHORTENER``, ``BINARY`` (a binary suffix, off the allowed hosts and their subdomains) or ``OK``, whatever the case of host and suffix."""
     host, path = F.lower(host), F.lower(path)
     binary = reduce(lambda a, b: a | b, [path.endswith(s) for s in BINARY_SUFFIXES])
-    return F.when(host.isin(*SHORTENERS), "SHORTENER").when(binary & ~host.isin(*[h.lower() for h in allowed]), "BINARY").otherwise("OK")
+    return F.when(host.isin(*SHORTENERS), "SHORTENER").when(binary & ~reduce(lambda a, b: a | b, [(host == h.lower()) | host.endswith("." + h.lower()) for h in allowed]), "BINARY").otherwise("OK")

@@ -150,8 +150,8 @@ def release_problems(row: DataFrame, tag: str) -> DataFrame:
 
 
 # The forms of game versions, patch versions and time stamps.
-GAME_VERSION = r"^[0-9]+(?:\.[0-9]+){1,3}$"
-PATCH_VERSION = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}\.[0-9]+$"
+GAME_VERSION = r"^[0-9]+(?:\.[0-9]+){1,10}(?:_[0-9]+(?:\.[0-9]+){1,10})?$"
+PATCH_VERSION = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}\.(?:0|[1-9][0-9]*)$"
 STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
 
 

@@ -304,11 +304,13 @@ def markup_tokens(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(t).cast("long").alias("tags"), F.sha2(F.array_join(t, "\n"), 256).alias("tags_sha256"), F.sha2(X.visible(F.col("html")), 256).alias("visible_sha256"))
 
 
-@query("""SELECT page_id, CASE WHEN host IN ('bit.ly', 'tinyurl.com', 't.co', 'goo.gl') THEN 'SHORTENER' WHEN regexp_matches(path, '\\.(exe|zip|jar|msi|7z|rar)$') AND host NOT IN ('spam-farm.example.org') THEN 'BINARY' ELSE 'OK' END AS verdict
-FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
+@query(f"""SELECT page_id, CASE WHEN host IN {X.SHORTENERS} THEN 'SHORTENER' WHEN regexp_matches(path, '({'|'.join(s.replace('.', '[.]') for s in X.BINARY_SUFFIXES)})$') AND NOT (host = 'example.org' OR host LIKE '%.example.org') THEN 'BINARY' ELSE 'OK' END AS verdict
+FROM (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 't.co' ELSE lower(regexp_extract(url, '://([^/?#]*)', 1)) END AS host, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) || CASE WHEN page_id % 4 = 0 THEN '.tar.gz' ELSE '' END AS path FROM pages)""")
 def url_policy(spark, sf_dir):
-    host, path = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", X.url_verdict(host, path, ["spam-farm.example.org"]).alias("verdict"))
+    """Page addresses, some of them made shorteners or binaries."""
+    host = F.when(F.col("page_id") % 9 == 0, "T.co").otherwise(F.regexp_extract("url", "://([^/?#]*)", 1))
+    path = F.concat(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.when(F.col("page_id") % 4 == 0, ".TAR.gz").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", X.url_verdict(host, path, ["Example.org"]).alias("verdict"))
 
 
 @query("SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN contains(p_name, 'red widget') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'widget') ORDER BY rank, length(p_name), p_partkey LIMIT 1000")
