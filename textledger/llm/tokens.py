@@ -351,5 +351,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
     parts = shards.select("bucket", "part", "n_tokens")
     inner = W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.join(base, "bucket").select("bucket", "part", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).alias("before"))
-    placed = shards.join(offsets, ["bucket", "part"])  # the offsets grow with the input: Spark picks the join by their size
+    # Three numbers per shard. They grow with the input, so the join is Spark's choice, by the size of the written table.
+    placed = shards.join(settle(offsets, "offsets"), ["bucket", "part"])
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, bucket int, part int")
