@@ -29,8 +29,8 @@ BANDS = 16
 SMALL_BUCKET = 8
 #: Texts of a large bucket that share a second leader.
 SUB_GROUP = 32
-#: Rounds of new leaders; what they leave apart is compared by prefixes.
-ROUNDS = 3
+#: Rounds of new leaders; what they leave apart is compared by prefixes, so more of them would only shift work.
+ROUNDS = 1
 BANDED = "doc_id long, text_key string, bands array<long>"
 #: Stands for a null id where ids are compared.
 NO_ID = -(2**63)
@@ -119,20 +119,22 @@ def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _starred(edges: DataFrame) -> bool:
+    """Whether the edges ``a, b`` (a > b) are stars: no ``a`` has two edges or is a ``b`` too."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges ``a, b``: ``node, label`` with the least member as label.
 
     Alternating large-star and small-star steps, each written to the shared
-    folder, until the edges stay as they are. A hub's neighbours are never
-    gathered: only minima are, by partial aggregation.
+    folder, until the edges are stars around least members. A hub's neighbours
+    are never gathered: only minima are, by partial aggregation.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = _checksum(edges)
-    while seen[0]:
+    while not _starred(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -140,10 +142,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         edges = settle(small, "edges")
-        now = _checksum(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -166,10 +164,11 @@ def prefixes(members: DataFrame, packed: DataFrame, threshold: float) -> DataFra
 
     rows = settle(members.select("rep").join(packed, "rep").select("rep", "vector").mapInArrow(unpack, "rep long, shingle long, weight float"), "member-shingles")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    own = W.partitionBy("rep").orderBy("n", "shingle").rowsBetween(W.currentRow, W.unboundedFollowing)  # one text
-    placed = rows.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rest", F.sum(F.col("weight").cast("double")).over(own))
-    whole = placed.withColumn("whole", F.max("rest").over(W.partitionBy("rep")))
-    return whole.where((F.col("rest") >= F.col("whole") * threshold * (1 - 1e-6)) & (F.col("n") > 1)).select("rep", "shingle", "rest", "whole")
+    own = W.partitionBy("rep")  # one text
+    before = own.orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(counts, "shingle", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "weight": F.col("weight").cast("double")})
+    whole = placed.withColumns({"before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "whole": F.sum("weight").over(own)}).withColumn("rest", F.col("whole") - F.col("before"))
+    return whole.where((F.col("rest") >= F.col("whole") * (threshold * (1 - 1e-6))) & (F.col("n") > 1)).select("rep", "shingle", "rest", "whole")
 
 
 def across(members: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
