@@ -203,6 +203,32 @@ def slices(batches: Iterable, rows: int = 256) -> Iterator:
             yield batch.slice(i, rows)
 
 
+def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its column ``text`` as compressed bytes, for shuffles that texts make up most of; nulls stay."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    names = df.columns
+
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            data = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if c == text else batch.column(c) for c in names], names=names)
+
+    return df.mapInArrow(pack, StructType([StructField(f.name, BinaryType()) if f.name == text else f for f in df.schema]))
+
+
+def unsqueezed(data: list) -> list[str]:
+    """The texts of a column made by ``squeezed``, nulls as empty texts."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    return ["" if x is None else open_.decompress(x).decode("utf-8", "surrogatepass") for x in data]
+
+
 class keyed_sum:
     """Sum a numpy table of fixed size over all partitions: blocks of it are summed by Spark."""
 

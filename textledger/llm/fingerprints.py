@@ -4,7 +4,7 @@ Definitions: words are runs of letters and digits in lower case; a shingle is
 five words. A null text counts as empty. A text with fewer than five words has
 one shingle of all its words; texts without words have the same, maximal
 signature (so their likeness is 1). Repeated rows and equal ids are kept, each
-with a result; equal ids are ordered by text. Very long texts are taken whole.
+with a result; equal ids are ordered by their texts' digests. Very long texts are taken whole.
 An empty table gives no rows. Other columns, of any name, are ignored.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_cuts, column, in_bucket, runs, settle, shingles, slices
+from .common import bucket_cuts, column, in_bucket, runs, settle, shingles, slices, squeezed, unsqueezed
 from .links import BANDED, banded_batch, class_ids, classes_by_bands, keyed, plain_vectors
 
 PERMUTATIONS = 128
@@ -67,17 +67,16 @@ def _compare(batches):
 
     Before the texts of an id come their classes: rows of digest and class.
     """
-    held, at, classes = None, None, {}  # the last text: id, ghost, text, signature, class; the id whose classes are known
+    held, at, classes = None, None, {}  # the last text: id, ghost, text, class, signature; the id whose classes are known
     for batch in slices(batches):
         new = []
-        for i, ghost, text, named in zip(column(batch, "_id"), column(batch, "_ghost"), column(batch, "_text"), column(batch, "_class")):
+        for i, ghost, key, text, named in zip(*[column(batch, c) for c in ("_id", "_ghost", "_key")], unsqueezed(column(batch, "_text")), column(batch, "_class")):
             if named is not None:
                 if i != at:
                     at, classes = i, {}
-                classes[text] = named
+                classes[key] = named
             else:
-                key = None if text is None or ghost else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
-                new.append((i, ghost, text or "", classes.get(key, i) if i == at else i))
+                new.append((i, ghost, text, classes.get(key, i) if i == at else i))
         if not new:
             continue
         sigs = signatures([r[2] for r in new])
@@ -108,7 +107,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprint every text, its edited form, compare both with the next document by id, and name its near-duplicate class.
 
     Classes come from the banded signatures (``near_classes``). Texts are
-    shuffled once, into buckets of rising ids, and the classes with them. Each
+    shuffled once, compressed, into buckets of rising ids, and the classes with them. Each
     bucket also gets a copy of the next bucket's first row, so no task needs
     another's rows.
     """
@@ -124,17 +123,19 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     lead = [(first[b], order[i - 1]) for i, b in enumerate(order)]  # a first key, and the bucket before it
     lead = F.broadcast(spark.createDataFrame(lead, "_first long, _before int"))  # one row per bucket
     named = near_classes(docs).where("class_id <> doc_id or (doc_id is null and class_id is not null)").distinct()
-    named = named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("class_id").alias("_class"))
-    named = in_bucket(named, "_id", cuts, "_b").withColumn("_ghost", F.lit(False))
+    named = named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("class_id").alias("_class"))
+    named = in_bucket(named, "_id", cuts, "_b").withColumns({"_ghost": F.lit(False), "_text": F.lit(None).cast("binary")})
+    packed = squeezed(rows.select("_id", F.md5("_text").alias("_key"), "_text"), "_text")
     spread = (
-        rows.withColumn("_first", key)
+        in_bucket(packed, "_id", cuts, "_bucket")
+        .withColumn("_first", key)
         .join(lead, "_first", "left")
         .withColumn("_own", F.explode(F.when(F.col("_before").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
-        .select("_id", "_text", F.lit(None).cast("long").alias("_class"), F.when(F.col("_own"), F.col("_bucket")).otherwise(F.col("_before")).alias("_b"), (~F.col("_own")).alias("_ghost"))
+        .select("_id", "_key", "_text", F.lit(None).cast("long").alias("_class"), F.when(F.col("_own"), F.col("_bucket")).otherwise(F.col("_before")).alias("_b"), (~F.col("_own")).alias("_ghost"))
     )
     spread = spread.unionByName(named.select(*spread.columns))
-    dealt = spread.repartitionById(max(1, max(order) + 1), "_b").sortWithinPartitions("_b", "_ghost", F.col("_id").asc_nulls_first(), F.col("_class").isNull(), "_text")
-    return dealt.select("_id", "_ghost", "_text", "_class").mapInArrow(_compare, _SCHEMA)
+    dealt = spread.repartitionById(max(1, max(order) + 1), "_b").sortWithinPartitions("_b", "_ghost", F.col("_id").asc_nulls_first(), F.col("_class").isNull(), "_key")
+    return dealt.select("_id", "_ghost", "_key", "_text", "_class").mapInArrow(_compare, _SCHEMA)
 
 
 def _bands(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, runs, settle, shingles, slices
+from .common import column, runs, settle, shingles, slices, squeezed, unsqueezed
 
 #: Samples in a band; two texts of similarity s agree in one band with probability s ** BAND_ROWS.
 BAND_ROWS = 4
@@ -90,20 +90,21 @@ def vectors_of(wanted: DataFrame, rows: DataFrame, vectors: Callable, known: Dat
 
     ``known`` (``doc_id, text_key, dfs``) has what ``vectors`` needs besides the text.
 
-    The texts are as many as the input makes them, so none are broadcast: those
-    wanted are shuffled once, whatever the size, one row of each.
+    The texts are as many as the input makes them, so none are broadcast: texts
+    are shuffled once, compressed, whatever the size, and one row of each is kept.
     """
 
     def pack(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([_pack(v) for v in vectors(*[column(batch, c, "") for c in given])], pa.binary())], names=["rep", "vector"])
+            given = [unsqueezed(column(batch, "text")), *[column(batch, c, b"") for c in more]]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([_pack(v) for v in vectors(*given)], pa.binary())], names=["rep", "vector"])
 
-    given, key = ["text"], ["at", "text_key"]
+    more, key = [], ["at", "text_key"]
     if known is not None:
-        given.append("dfs")
+        more.append("dfs")
         wanted = known.select(_at().alias("at"), "text_key", "dfs").join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
-    found = rows.select(_at().alias("at"), "text_key", "text").join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
-    return settle(found.select("rep", *given).mapInArrow(pack, "rep long, vector binary"), "vectors")
+    found = squeezed(rows.select(_at().alias("at"), "text_key", "text")).join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
+    return settle(found.select("rep", "text", *more).mapInArrow(pack, "rep long, vector binary"), "vectors")
 
 
 def verify(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
