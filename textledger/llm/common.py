@@ -96,6 +96,22 @@ def running_offsets(df: DataFrame, group: list[str], bucket: str, order: list[Co
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_size").over(rows), F.lit(0))).drop("_base", "_size")
 
 
+#: Fewer keys than this have more than one in so many of the rows.
+HOT_KEYS = 256
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row per ``key`` and in ``n`` how many of the rows have it.
+
+    Keys that one in HOT_KEYS of the rows or more have are at most HOT_KEYS, so
+    these are broadcast and their rows stay where they are; only the others are
+    shuffled. ``rows`` is read three times: settle it first.
+    """
+    least = F.lit(max(rows.count() // HOT_KEYS, 2))
+    hot, cold = F.broadcast(table.where(F.col("n") >= least)), table.where(F.col("n") < least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+
+
 def runs(texts: list[str], chars: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` that hold about ``chars`` code points each (a longer text is alone)."""
     begin = total = 0

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, fingerprints, languages, mixing, quality, shards, tokens, urls, weighted
+from . import chats, decontaminate, filters, fingerprints, languages, mixing, quality, shards, tokens, urls, weighted
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -80,7 +80,11 @@ def op10_wavelet_tokens(spark, sf_dir):
     return tokens.read_documents(tokens.write_shards(_table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens)}
+def op11_filter_audit(spark, sf_dir):
+    return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens, op11_filter_audit)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -99,6 +103,44 @@ ORACLES = {
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
         FROM g""",
+    "op11_filter_audit": r"""
+        WITH words AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ), least AS (SELECT text, min(doc_id) AS least FROM words GROUP BY text
+        ), marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+        ), bits AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END)
+                 + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+                 + (CASE WHEN 100 * length(regexp_replace(words.text, '[^A-Z]', '', 'g')) > 5 * length(words.text) THEN 4 ELSE 0 END)
+                 + (CASE WHEN regexp_matches(words.text, '[#$%&*|]') THEN 8 ELSE 0 END)
+                 + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS bits
+          FROM words JOIN least USING (text) LEFT JOIN marks USING (doc_id)
+        ), kinds AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM bits GROUP BY part, bits
+        ), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b
+        ), orders AS (
+          SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS o
+          FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+          SELECT filter_order, CAST(s AS INT) AS step, o[s] AS own, coalesce(list_sum(o[:s - 1]), 0)::INT AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS s)
+        ), sums AS (
+          SELECT part, own, before,
+                 coalesce(sum(n) FILTER (bits & (own | before) = 0), 0) AS kept,
+                 coalesce(sum(n) FILTER (bits & own > 0 AND bits & before = 0), 0) AS removed,
+                 coalesce(sum(n) FILTER (bits & own > 0 AND bits & before > 0), 0) AS redundant,
+                 coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (bits & own > 0 AND bits & before = 0), 0) AS good_lost,
+                 coalesce(sum(toxic) FILTER (bits & own > 0 AND bits & before = 0), 0) AS toxic_lost
+          FROM kinds, (SELECT DISTINCT own, before FROM steps) GROUP BY part, own, before
+        ), shares AS (SELECT part, own, sum(removed) AS shapley FROM steps JOIN sums USING (own, before) GROUP BY part, own)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(shapley AS BIGINT) AS shapley
+        FROM steps JOIN sums USING (own, before) JOIN shares USING (part, own)""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
