@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, filters, fingerprints, languages, mixing, quality, shards, tokens, urls, weighted
+from . import chats, decontaminate, filters, fingerprints, languages, manifest, mixing, quality, shards, tokens, urls, weighted
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -84,7 +84,11 @@ def op11_filter_audit(spark, sf_dir):
     return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens, op11_filter_audit)}
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens, op11_filter_audit, op12_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -103,6 +107,46 @@ ORACLES = {
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
         FROM g""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE texts AS (
+          SELECT *, xor(list_reduce(flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                             lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384), 4294967295), 4294967295) % 3 = 0 AS tampered
+          FROM documents
+        ), fields AS (
+          SELECT doc_id, lang, tampered, text,
+                 list_reduce([coalesce(octet_length(encode(x)) || ':' || x, '-') FOR x IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)]], lambda a, b: a || b) AS head
+          FROM texts
+        ), leaves AS (
+          SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                 CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed,
+                 row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx
+          FROM fields
+        ), levels AS (
+          SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM leaves GROUP BY lang
+          UNION ALL
+          SELECT lang, level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1:i + 8], ''))) FROM levels WHERE len(nodes) > 1
+        ), subroots AS (
+          SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS seat FROM levels WHERE len(nodes) = 1
+        ), tops AS (
+          SELECT 0 AS level, list(subroot ORDER BY seat) AS nodes FROM subroots
+          UNION ALL
+          SELECT level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1:i + 8], ''))) FROM tops WHERE len(nodes) > 1
+        ), steps AS (
+          SELECT doc_id, 0 AS part, level, nodes, idx // CAST(pow(8, level) AS BIGINT) AS i FROM leaves l JOIN levels v ON v.lang IS NOT DISTINCT FROM l.lang WHERE len(nodes) > 1
+          UNION ALL
+          SELECT doc_id, 1, level, nodes, seat // CAST(pow(8, level) AS BIGINT) FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang, tops WHERE len(nodes) > 1
+        ), sides AS (
+          SELECT doc_id, part, level, array_to_string(nodes[i - i % 8 + 1:i], '') AS l, array_to_string(nodes[i + 2:i - i % 8 + 8], '') AS r FROM steps
+        ), paths AS (
+          SELECT doc_id, string_agg(l || r, '' ORDER BY part, level) AS proof, list({'l': l, 'r': r} ORDER BY part, level) AS sides FROM sides GROUP BY doc_id
+        ), folds AS (
+          SELECT l.doc_id, 0 AS k, coalesce(changed, leaf) AS node, coalesce(sides, []) AS sides FROM leaves l LEFT JOIN paths p USING (doc_id)
+          UNION ALL
+          SELECT doc_id, k + 1, sha256(sides[k + 1].l || node || sides[k + 1].r), sides FROM folds WHERE k < len(sides)
+        )
+        SELECT l.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, node AS folded_root, node = root AS verified
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths USING (doc_id)
+        JOIN folds f ON f.doc_id = l.doc_id AND f.k = len(f.sides), (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1)""",
     "op11_filter_audit": r"""
         WITH words AS (
           SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
