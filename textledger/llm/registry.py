@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, filters, fingerprints, languages, manifest, mixing, quality, shards, tokens, urls, weighted
+from . import chats, decontaminate, filters, fingerprints, languages, manifest, mixing, quality, shards, simhash, tokens, urls, weighted
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,7 +88,11 @@ def op12_merkle_manifest(spark, sf_dir):
     return manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens, op11_filter_audit, op12_merkle_manifest)}
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_kd_shards, op4_language_mixture, op5_chat_tree, op6_pu_quality, op7_weighted_sampling, op8_source_mix, op9_url_trees, op10_wavelet_tokens, op11_filter_audit, op12_merkle_manifest, op13_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
