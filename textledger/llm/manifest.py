@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: a leaf per document, a tree per language, one root, and a proof for each leaf.
 
 Leaf coordinates come from ranks, not from a sort. Every language's ids are
-merged into compressed bitmaps, one container per 65,536 ids (ascending
+merged into compressed bitmaps, one container per 8,192 ids (ascending
 16-bit numbers where there are few, else bits with a popcount directory), and
 a leaf's place is the number of ids in the containers before plus its rank in
 its own. Then slots are filled by coordinate: the leaves of one subtree of
@@ -31,8 +31,10 @@ from .common import lookup, running_offsets, settle, slices
 #: Children of a node, levels of a subtree that one task builds, and so the leaves of a subtree.
 WIDTH, LEVELS = 8, 4
 BLOCK = WIDTH**LEVELS
-#: Ids of a container, the most that are kept as numbers, and bits that share an entry of the directory.
-SPAN, SPARSE, GROUP = 1 << 16, 4096, 512
+#: Ids of a container (as bits of the id), from how many on it is kept as bits, and bits that share an entry of the directory.
+SPAN_BITS, GROUP = 13, 512
+SPAN = 1 << SPAN_BITS
+SPARSE = SPAN // 16
 #: Where null ids are counted: a container before all others.
 NO_ID = -(2**63)
 
@@ -68,7 +70,7 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def _squeeze(lows: np.ndarray) -> bytes:
-    """Ascending distinct 16-bit numbers, as they are or as 65,536 bits, whichever is shorter."""
+    """Ascending distinct 16-bit numbers, as they are or as SPAN bits, whichever is shorter."""
     if len(lows) < SPARSE:
         return lows.astype("<u2").tobytes()
     bits = np.zeros(SPAN, np.uint8)
@@ -95,7 +97,7 @@ def _pieces(batches):
         names = batch.column("part").dictionary_encode()
         order = np.lexsort((ids, names.indices.to_numpy()))
         ids, code = ids[order], names.indices.to_numpy()[order]
-        hi = ids >> 16
+        hi = ids >> SPAN_BITS
         at = np.flatnonzero((np.diff(hi, prepend=hi[:1] - 1) != 0) | (np.diff(code, prepend=code[:1] - 1) != 0)) if len(ids) else []
         data, again = [], []
         for a, b in zip(at, np.append(at[1:], len(ids))):
@@ -193,7 +195,7 @@ def placed(rows: DataFrame) -> DataFrame:
     the order of their digests, which only tells rows of one id apart.
     """
     found = containers(rows)
-    own = rows.where("doc_id is not null").withColumns({"hi": F.shiftright("doc_id", 16), "is_row": F.lit(True)})
+    own = rows.where("doc_id is not null").withColumns({"hi": F.shiftright("doc_id", SPAN_BITS), "is_row": F.lit(True)})
     dealt = own.unionByName(found.where(F.col("hi") != NO_ID).withColumn("is_row", F.lit(False)), allowMissingColumns=True)
     dealt = dealt.repartition("part", "hi").sortWithinPartitions("part", "hi", "is_row", "leaf", F.col("changed").asc_nulls_first())
     ranked = dealt.drop("hi", "n").mapInArrow(_ranked, _PLACED)
