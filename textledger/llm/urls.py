@@ -4,7 +4,8 @@ Rules name a host (and all its subdomains) and the beginning of a path; the
 longest that fits decides. The URLs that rules decide are the labelled ones:
 trees are trained on them and judge the rest. Features are native column
 expressions: lengths, depth, digit ratio, entropy of characters, parameter
-counts and smoothed block rates of host suffixes and path beginnings. A labelled URL's rates are
+counts and smoothed block rates of suffixes: the host's last one, two and three labels and the
+file ending of the path. How a path begins is no feature, as rules are told by it. A labelled URL's rates are
 those of the labelled URLs outside its fold, so the trees never see a rate that
 holds the label they are to learn.
 
@@ -25,12 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TREES, DEPTH, SEED = 20, 4, 20240604
 SMOOTH = 10.0
-#: Characters of the path that have a rate, with the host's last label.
-LEAD = 5
 #: Folds of the labelled URLs, by checksum.
 FOLDS = 5
 
@@ -57,7 +56,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "tld_rate", "domain_rate", "first_rate", "lead_rate"]
+FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "tld_rate", "domain_rate", "host_rate", "ending_rate"]
 
 
 def lexical(url: Column) -> dict[str, Column]:
@@ -88,7 +87,8 @@ def lexical(url: Column) -> dict[str, Column]:
 
 def features_of(rows: DataFrame) -> DataFrame:
     """Add the features to rows of ``url, host, path`` and ``label`` (1.0 block, 0.0 allow, null unknown); ``fold`` tells the parts of the labelled rows."""
-    suffixes = {"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "first": F.substring_index(F.substring("path", 2, 2**31 - 1), "/", 1), "lead": F.concat_ws(" ", F.substring_index("host", ".", -1), F.left("path", F.lit(LEAD)))}
+    suffixes = {n: F.substring_index("host", ".", -k) for n, k in (("tld", 1), ("domain", 2), ("host", 3))}
+    suffixes = {f"{n}_suffix": c for n, c in suffixes.items()} | {"ending_suffix": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1)}
     measured = {n: v.cast("double") for n, v in lexical(F.col("url")).items()}
     fold = F.crc32(F.coalesce("url", F.lit(""))) % FOLDS
     rows = settle(rows.withColumns(measured | suffixes | {"fold": fold}).drop("url"), "urls")
@@ -100,7 +100,7 @@ def features_of(rows: DataFrame) -> DataFrame:
         rows = rows.join(whole, name, "left")
         own = F.when(F.col("label").isNotNull(), F.col("own")[F.col("fold")])
         b, n = (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in ("b", "n"))
-        rows = rows.withColumn(f"{name}_rate", (b + SMOOTH * (seen or 0.0)) / (n + SMOOTH)).drop("b", "n", "own")
+        rows = rows.withColumn(f"{name.removesuffix('_suffix')}_rate", (b + SMOOTH * (seen or 0.0)) / (n + SMOOTH)).drop("b", "n", "own")
     return settle(rows.drop(*suffixes), "url-features")
 
 
