@@ -135,14 +135,14 @@ def components(edges: DataFrame) -> DataFrame:
     are never gathered: only minima are, by partial aggregation.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    ends = lambda x, y, m, n: F.explode(F.array(F.struct(F.col(x).alias("a"), F.col(y).alias("b")), F.struct(F.col(m).alias("a"), F.col(n).alias("b")))).alias("e")
     while not _starred(edges):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(ends("a", "b", "b", "a")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = settle(small, "edges")
+        small = large.join(least, "a").select(ends("a", "m", "b", "m")).select("e.a", "e.b")
+        edges = settle(small.where("a <> b").distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 

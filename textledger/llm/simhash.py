@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keyed_sum, lookup, settle, slices
+from .common import column, lookup, settle, slices
 from .links import components
 
 SHINGLE, SEED = 3, 42
@@ -93,15 +93,19 @@ def bit_groups(nodes: DataFrame) -> list[list[int]]:
     """Groups of GROUP bits with the most correlation inside, by how often each two bits are set together in all ``nodes``."""
 
     def together(batches):
-        table, n = np.zeros((BITS, BITS)), 0
+        table = np.zeros((BITS, BITS))
         for batch in batches:
             bits = _bits(batch).astype(np.float64)
             table += bits.T @ bits
-            n += len(bits)
-        yield from keyed_sum.emit(table.astype(np.int64).ravel(), n, BITS)
-
-    table, n = keyed_sum.total(nodes.select("fp").mapInArrow(together, keyed_sum.SCHEMA), BITS * BITS, BITS)
-    both = table.reshape(BITS, BITS) / max(n, 1)
+        x, y = np.triu_indices(BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(table[x, y].astype(np.int64))], names=["x", "y", "n"])
+
+    found = nodes.select("fp").mapInArrow(together, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()  # a row per two bits
+    n = nodes.count()
+    table = np.zeros((BITS, BITS), np.int64)
+    for r in found:
+        table[r["x"], r["y"]] = table[r["y"], r["x"]] = r["n"]
+    both = table / max(n, 1)
     one = np.diag(both)
     spread = np.sqrt(one * (1 - one))
     corr = np.abs(both - np.outer(one, one)) / np.maximum(np.outer(spread, spread), 1e-9)
@@ -118,20 +122,15 @@ def bit_groups(nodes: DataFrame) -> list[list[int]]:
 
 def histograms(nodes: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
     """How many nodes have each value of each group."""
-    size = 1 << GROUP
-
-    def count(batches):
-        table, n = np.zeros(len(groups) * size, np.int64), 0
-        for batch in batches:
-            bits = _bits(batch)
-            for g, group in enumerate(groups):
-                values = bits[:, group] @ (1 << np.arange(GROUP))
-                table += np.bincount(values + g * size, minlength=len(table))
-            n += len(bits)
-        yield from keyed_sum.emit(table, n, size // 16)
-
-    table, _ = keyed_sum.total(nodes.select("fp").mapInArrow(count, keyed_sum.SCHEMA), len(groups) * size, size // 16)
-    return list(table.reshape(len(groups), size))
+    table = F.array(*[F.lit(_mask(g)).cast("long") for g in groups])
+    values = nodes.select(F.posexplode(F.transform(table, lambda m: F.col("fp").bitwiseAND(m))).alias("group", "value"))
+    found = values.groupBy("group", "value").agg(F.count("*").alias("n")).toPandas()  # 1 << GROUP values of each group at most
+    out = []
+    for g, group in enumerate(groups):
+        own = found[found["group"] == g]
+        bits = np.unpackbits(own["value"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.bincount(bits[:, group] @ (1 << np.arange(GROUP)), own["n"].to_numpy(), minlength=1 << GROUP).astype(np.int64))
+    return out
 
 
 def distances(histogram: np.ndarray) -> np.ndarray:
@@ -312,7 +311,7 @@ def links(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     keys = nodes.select("fp", F.posexplode(F.transform(table, lambda m: F.col("fp").bitwiseAND(m)))).select("fp", F.xxhash64("pos", "col").alias("key"))
     counts = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     shared = settle(lookup(keys, counts, "key").where("n is not null"), "buckets")
-    small = shared.where(F.col("n") <= TILE).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    small = shared.where(F.col("n") <= TILE).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     found = small.mapInArrow(_probe, "a long, b long")
     big = settle(shared.where(F.col("n") > TILE).select("key", "fp", "n"), "big-buckets")
     leaders = big.join(nodes.select("fp", "docs"), "fp").groupBy("key").agg(F.max_by("fp", F.struct("docs", "fp")).alias("leader"), F.count("*").alias("n"))
@@ -321,10 +320,13 @@ def links(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     labels = components(first)
     if big.isEmpty():
         return labels
+    # From here on components are nodes, named by their labels.
     more = settle(across(big.select("key", "fp"), labels).distinct(), "links")
     if more.isEmpty():
         return labels
-    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    merged = components(more).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return known.union(merged.select("label", "to").join(labels.select(F.col("node").alias("label")), "label", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
