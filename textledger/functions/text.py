@@ -87,10 +87,6 @@ def unescape_field(text: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
-def percentages(text: Column) -> Column:
-    return F.array_sort(F.regexp_extract_all(text, F.lit(r"\d+ ?%|% ?\d+"), F.lit(0)))
-
-
 def cascade(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Literal replacements, longest first (ties in the order given); later rules see what earlier ones wrote."""
     for old, new in sorted(rules, key=lambda r: -len(r[0])):

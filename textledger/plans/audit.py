@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as X
+from ..functions.numbers import percentages
 from ..operators.stats import first_members
 from .rules import Rule, condition
 
@@ -77,13 +78,12 @@ def gate_problem(gate: Gate, source: Column, target: Column) -> Column:
 
 def generated_problem(gate: Gate, source: Column, target: Column, same_form: Column) -> Column:
     """Why a generated value is not accepted, or null: empty, model artifacts, form, percentages, too short, or a gate problem."""
-    percent = lambda t: F.array_sort(F.transform(F.regexp_extract_all(t, F.lit("[0-9]+ ?%|% ?[0-9]+"), F.lit(0)), lambda x: F.regexp_replace(x, "[ %]", "")))
     count = lambda t: F.regexp_count(t, F.lit(r"\p{L}+"))
     return F.coalesce(
         F.when(F.trim(F.coalesce(target, F.lit(""))) == "", "EMPTY"),
         F.when(target.rlike(gate.artifacts), "ARTIFACT"),
         F.when(~same_form, "FORM"),
-        F.when(percent(source) != percent(target), "PERCENTAGE"),
+        F.when(percentages(source) != percentages(target), "PERCENTAGE"),
         F.when((count(source) >= 8) & (count(target) < F.ceil(count(source) * gate.least_words)), "SHORT"),
         gate_problem(gate, source, target),
     )

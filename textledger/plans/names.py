@@ -1,33 +1,38 @@
 """Dictionary matching: names in texts, by containment, at word borders, or by the longest run of words.
 
 Names are a dictionary that may be large: they are matched in blocks of at most
-``BLOCK_CHARS`` characters, each an automaton that goes with the code to the
-rows, where they lie; each block is one pass, so nothing is shuffled and no
-name is left out. Null texts and null or empty names match nothing.
+``BLOCK_CHARS`` characters (a key's names stay together), each a matcher that
+goes with the code to the rows, where they lie. A row passes all blocks in one
+stage and takes along, for every place, the longest name found so far: no
+shorter one at that place can be chosen, whichever block it is in. Only behind
+the last block are overlaps decided, so the blocks' size changes no result, and
+nothing is shuffled. Null texts and null or empty names match nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from ..functions import language as X
-from ..functions.tokens import MASK_FROM, MASK_TO, mask, unmasked_text
+from ..functions.tokens import mask, spans, unmask_parts
 
 BLOCK_CHARS = 8_000_000
 
 
 def name_blocks(names: DataFrame, *columns: str) -> Iterator[list[tuple]]:
-    """Distinct rows of ``columns``, the last of which is the name, in blocks of bounded size."""
+    """Distinct rows of ``columns``, the last of which is the name, in blocks of bounded size that part no rows of equal first columns."""
     block, size = [], 0
-    for row in names.select(*columns).where(F.length(columns[-1]) > 0).distinct().toLocalIterator():
-        if block and size + len(row[-1]) > BLOCK_CHARS:
+    found = names.select(*columns).where(F.length(columns[-1]) > 0).distinct()
+    for row in found.orderBy(*columns).toLocalIterator():
+        if block and size + len(row[-1]) > BLOCK_CHARS and (len(columns) == 1 or block[-1][:-1] != tuple(row)[:-1]):
             yield block
             block, size = [], 0
         block.append(tuple(row))
@@ -68,97 +73,201 @@ def contained(rows: DataFrame, key: str, text: str, names: DataFrame, name_key:
     return out
 
 
-def longest_at_borders(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the spans ``hits`` those that begin and end at word borders, from the left, the longest at each place, none overlapping."""
-    fits = [(a, -b) for a, b in hits if not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())]
+def folded(text: str) -> tuple[str, list[int] | None]:
+    """The case-folded text, and for each of its places (and its end) the place of the text, or -1 within a letter that folds to several; None where they are the same."""
+    low = text.casefold()
+    if len(low) == len(text):
+        return low, None
+    places: list[int] = []
+    for i, c in enumerate(text):
+        places += [i, *[-1] * (len(c.casefold()) - 1)]
+    return low, [*places, len(text)]
+
+
+def _at_borders(text: str, a: int, b: int) -> bool:
+    inside = (a and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+    return not inside
+
+
+def border_hits(text: str, auto) -> dict[int, int]:
+    """Begin and end of the longest dictionary name that begins at each place, ignoring case, at word borders."""
+    low, places = folded(text)
+    best: dict[int, int] = {}
+    for end, (n, _) in auto.iter(low):
+        a, b = end + 1 - n, end + 1
+        if places:
+            a, b = places[a], places[b]
+        if a >= 0 and b > best.get(a, 0) and _at_borders(text, a, b):
+            best[a] = b
+    return best
+
+
+def leftmost(best: dict[int, int]) -> list[tuple[int, int]]:
+    """Of spans by begin those that are left when each takes its place from the left, none overlapping."""
     out, free = [], 0
-    for a, b in sorted(set(fits)):
+    for a in sorted(best):
         if a >= free:
-            out.append((a, -b))
-            free = -b
+            out.append((a, best[a]))
+            free = best[a]
     return out
 
 
-def scan(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """``key, start, end, name``: names at word borders in each text, ignoring case, leftmost and longest, none overlapping.
+def _passed(rows: DataFrame, key: str, text: str, blocks: Iterator[list[tuple]], build: Callable, find: Callable, choose: Callable, last: str) -> DataFrame | None:
+    """``key, text, found``: rows past all blocks of names.
 
-    Blocks of names are matched apart; what they find is put together by text
-    and chosen from once.
+    ``build`` makes a matcher of a block, ``find`` gives ``{place: longest}`` of
+    a text, and ``choose`` makes of it what the last block writes (type ``last``).
     """
     kind = rows.schema[key].dataType.simpleString()
-    found = None
-    for block in name_blocks(names, name):
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-
-        def find(frames, shared=shared):
-            auto = _automaton({w.lower(): w for (w,) in shared.value})
+    frame = rows.select(key, text).withColumn("found", F.lit(None).cast("map<int,int>"))
+    block = next(blocks, None)
+    if block is None:
+        return None
+    while block is not None:
+        after = next(blocks, None)
+        shared = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS, or the names of one key
+
+        def step(frames, shared=shared, done=after is None):
+            matcher = build(shared.value)
             for frame in frames:
-                hits = []
-                for t in frame[text]:
-                    low = (t or "").lower()
-                    own = [(end + 1 - n, end + 1) for end, (n, _) in auto.iter(low)] if len(low) == len(t or "") else []
-                    hits.append([list(x) for x in longest_at_borders(t, own)] if own else [])
-                yield pd.DataFrame({key: frame[key], text: frame[text], "hits": hits})
-
-        part = rows.select(key, text).mapInPandas(find, f"`{key}` {kind}, `{text}` string, hits array<array<int>>")
-        found = part if found is None else found.union(part)
-    schema = f"`{key}` {kind}, start int, end int, name string"
+                out = []
+                for t, old in zip(frame[text], frame["found"]):
+                    best = dict(old) if old is not None else {}
+                    for place, n in (find(t, matcher) if t else {}).items():
+                        best[place] = max(n, best.get(place, 0))
+                    out.append(choose(t, best) if done else best)
+                yield pd.DataFrame({key: frame[key], text: frame[text], "found": out})
+
+        frame = frame.mapInPandas(step, f"`{key}` {kind}, `{text}` string, found {last if after is None else 'map<int,int>'}")
+        block = after
+    return frame
+
+
+def _scanned(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame | None:
+    build = lambda block: _automaton({w.casefold(): None for (w,) in block})
+    return _passed(rows, key, text, name_blocks(names, name), build, border_hits, lambda t, best: [list(x) for x in leftmost(best)], "array<array<int>>")
+
+
+def scan(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``key, start, end, name``: names at word borders in each text, ignoring case, leftmost and longest, none overlapping; places are the text's own."""
+    found = _scanned(rows, key, text, names, name)
     if found is None:
-        return rows.sparkSession.createDataFrame([], schema)
+        return rows.sparkSession.createDataFrame([], f"`{key}` {rows.schema[key].dataType.simpleString()}, start int, end int, name string")
+    each = found.select(key, text, F.explode("found").alias("h")).select(key, text, F.col("h")[0].alias("start"), F.col("h")[1].alias("end"))
+    return each.select(key, "start", "end", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("name"))
+
+
+_GENITIVE = re.compile(r"['’]s(?![^\W_])", re.IGNORECASE)
 
-    def choose(frames):
-        for frame in frames:
-            out = []
-            for k, t, hits in zip(frame[key], frame[text], frame["hits"]):
-                out += [(k, a, b, t[a:b]) for a, b in longest_at_borders(t, [tuple(h) for h in hits])]
-            yield pd.DataFrame(out, columns=[key, "start", "end", "name"])
 
-    together = found.where(F.size("hits") > 0).groupBy(key, text).agg(F.flatten(F.collect_list("hits")).alias("hits"))  # one text
-    return together.mapInPandas(choose, schema)
+def genitive(name: str) -> str:
+    """The Turkish genitive suffix of a name, by its last vowel."""
+    vowels = [c for c in name.casefold() if c in "aeıioöuü"]
+    last = vowels[-1] if vowels else "a"
+    sound = "iüuı"[("ei".find(last) < 0) + ("eiöü".find(last) < 0) + ("eiöüou".find(last) < 0)]
+    return "'" + ("n" if name[-1:].casefold() in set("aeıioöuü") else "") + sound + "n"
 
 
 def protect(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """``key, masked, tokens``: tokens and names (found as by ``scan``) as private characters, for texts that go to a provider.
 
-    ``restore`` undoes it. Texts without names have their tokens masked only.
+    A name's English genitive is hidden with it and comes back as the Turkish
+    one. ``restored`` undoes it. Texts without names have their tokens masked only.
     """
     kind = rows.schema[key].dataType.simpleString()
-    found = scan(rows, key, text, names, name).groupBy(key).agg(F.collect_list(F.array("start", "end")).alias("hits"))  # one text
+    found = _scanned(rows, key, text, names, name)
+    if found is None:
+        found = rows.select(key, text).withColumn("found", F.array().cast("array<array<int>>"))
+
+    def cover(t: str, hits) -> tuple[str, list[str]]:
+        also = []
+        for a, b in hits if hits is not None else []:
+            said = _GENITIVE.match(t, b)
+            also.append((a, said.end(), t[a:b] + genitive(t[a:b])) if said else (a, b, t[a:b]))
+        return mask(t, also)
 
-    def cover(frames):
+    def covered(frames):
         for frame in frames:
-            out = [(None, None) if t is None else mask(t, [tuple(h) for h in (hits if hits is not None else [])]) for t, hits in zip(frame[text], frame["hits"])]
+            out = [(None, None) if t is None else cover(t, hits) for t, hits in zip(frame[text], frame["found"])]
             yield pd.DataFrame({key: frame[key], "masked": [m for m, _ in out], "tokens": [list(x) if x is not None else None for _, x in out]})
 
-    return rows.select(key, text).join(found, key, "left").mapInPandas(cover, f"`{key}` {kind}, masked string, tokens array<string>")
+    return found.mapInPandas(covered, f"`{key}` {kind}, masked string, tokens array<string>")
+
+
+def _is_format(token: str) -> bool:
+    whole = spans(token)
+    return token in ("{", "}", ":", "?") or (len(whole) == 1 and whole[0][1] - whole[0][0] == len(token))
+
+
+def restore(masked: str, tokens: list[str]) -> str | None:
+    """The text with names and tokens back, or null if any is lost or doubled. Letters that a provider set right beside a name are parted from it by a blank."""
+    parts = unmask_parts(masked, tokens)
+    if parts is None:
+        return None
+    out = []
+    for i, part in enumerate(parts):
+        beside = [p for p in (i - 1, i + 1) if 0 <= p < len(parts) and i % 2 == 0 and not _is_format(parts[p])]
+        left = i - 1 in beside and part[:1].isalpha()
+        right = i + 1 in beside and part[-1:].isalpha()
+        out.append(" " * left + part + " " * right)
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def restored(masked: pd.Series, tokens: pd.Series) -> pd.Series:
+    """``restore`` of two columns."""
+    return pd.Series([None if m is None or t is None else restore(m, list(t)) for m, t in zip(masked, tokens)], dtype=object)
 
 
-def restored(masked: Column, tokens: Column) -> Column:
-    """The text with names and tokens back (null if any is lost or doubled); letters that a provider set right behind a name stand behind an apostrophe."""
-    apart = F.regexp_replace(masked, f"([{chr(MASK_FROM)}-{chr(MASK_TO)}])(\\p{{L}})", "$1'$2")
-    named = F.exists(tokens, lambda t: t.rlike(r"\p{L}$"))
-    return unmasked_text(F.when(named, apart).otherwise(masked), tokens)
+_JOINED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_SUFFIX = re.compile(r"['’][^\W\d_]+\Z")
+
+
+def _trie(block: list[tuple]) -> dict:
+    """Names as paths of words; the key None ends one."""
+    root: dict = {}
+    for (name,) in block:
+        node = root
+        for word in _JOINED.findall(name):
+            node = node.setdefault(word, {})
+        if node is not root:
+            node[None] = True
+    return root
+
+
+def word_hits(widest: int, text: str, trie: dict) -> dict[int, int]:
+    """For each word of the text at which names begin, twice the words of the longest one, and one more if it is there without a suffix to its last word."""
+    words = _JOINED.findall(text)
+    best = {}
+    for i in range(len(words)):
+        node = trie
+        for n, word in enumerate(words[i : i + widest], 1):
+            if None in node.get(word, ()):
+                best[i] = 2 * n + 1
+            elif None in node.get(_SUFFIX.sub("", word), ()):
+                best[i] = 2 * n
+            node = node.get(word)
+            if node is None:
+                break
+    return best
 
 
 def longest_matches(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, widest: int = 8) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary names of up to ``widest`` words in each text: ``key, names`` in text order.
 
     Words may hold apostrophes and hyphens; a name also matches where its last
-    word has a suffix behind an apostrophe. Word windows are joined with the
-    names by their words; matches are folded from the left. The words of a text
-    are taken out once: the explode of one array keeps them a column, which the
-    optimizer does not put back into the windows' expressions.
+    word has a suffix behind an apostrophe, and is then given without it,
+    unless the dictionary has it with the suffix too. Names are paths of words
+    in a trie, walked from every word.
     """
-    words = rows.select(key, F.explode(F.array(X.joined_words(F.col(text)))).alias("w"))
-    firsts = F.sequence(F.lit(1), F.size("w"))
-    window = lambda i, n: F.array_join(F.slice("w", i, n), " ")
-    spans = F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), window(i, n).alias("name")))))
-    windows = words.where(F.size("w") > 0).select(key, F.explode(spans).alias("s")).select(key, "s.at", "s.n", "s.name")
-    bare = F.regexp_replace("name", r"['’]\p{L}+$", "")
-    windows = windows.select(key, "at", "n", F.explode(F.array_distinct(F.array("name", bare))).alias("name"))
-    known = names.select(F.array_join(X.joined_words(F.col(name)), " ").alias("name")).where("name <> ''").distinct()
-    hits = windows.join(known, "name")
-    sorted_ = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("less"), "name"))).alias("m"))  # one text's matches
-    start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("names"))
-    step = lambda acc, m: F.when(m["at"] >= acc["free"], F.struct((m["at"] - m["less"]).alias("free"), F.concat(acc["names"], F.array(m["name"])).alias("names"))).otherwise(acc)
-    return sorted_.select(key, F.aggregate("m", start, step)["names"].alias("names"))
+
+    def choose(t: str, best: dict[int, int]) -> list[str]:
+        words = _JOINED.findall(t or "")
+        spans_ = leftmost({i: i + n // 2 for i, n in best.items()})
+        return [" ".join([*words[a : b - 1], words[b - 1] if best[a] % 2 else _SUFFIX.sub("", words[b - 1])]) for a, b in spans_]
+
+    kind = rows.schema[key].dataType.simpleString()
+    found = _passed(rows, key, text, name_blocks(names, name), _trie, lambda t, trie: word_hits(widest, t, trie), choose, "array<string>")
+    if found is None:
+        return rows.sparkSession.createDataFrame([], f"`{key}` {kind}, names array<string>")
+    return found.where(F.size("found") > 0).select(key, F.col("found").alias("names"))

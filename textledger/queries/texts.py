@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import language as G
+from ..functions import numbers as D
 from ..functions import text as X
 from ..functions import tokens as T
 from ..plans import names as N
@@ -69,42 +70,56 @@ def stripped_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.trim(F.regexp_replace(text, " +", " ")).alias("bare"))
 
 
+# The sentence's parts are cut apart first: clocks, then thousands, then what is left.
 _NUMBERS = r"""list_sort(list_concat(
  list_transform(regexp_extract_all(t, '[0-9]{1,2}:[0-5][0-9]'), lambda x: 'time:' || lpad(x, 5, '0')),
- list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]{1,2}:[0-5][0-9]', ' ', 'g'), '([0-9]+) bin ', '\1000 ', 'g'), ' x([0-9])', ' \1', 'g'), '[+-]?% ?[0-9]+(?:[.,][0-9]+)*|[+-]?[0-9]+(?:[.,][0-9]+)*(?: ?%)?'), lambda r:
+ list_transform(regexp_extract_all(t, 'saat ([0-9]{2}\.[0-5][0-9])', 1), lambda x: 'time:' || replace(x, '.', ':')),
+ list_transform(regexp_extract_all(t, '([0-9]+(?:,[0-9]+)?) bin', 1), lambda x: CAST(CAST(round(CAST(replace(x, ',', '.') AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)),
+ list_transform(regexp_extract_all(regexp_replace(regexp_replace(t, '[0-9]{1,2}:[0-5][0-9]|saat [0-9.]+|[0-9]+(?:,[0-9]+)? bin', ' ', 'g'), ' x([0-9])', ' \1', 'g'), '[+-]?% ?[0-9]+(?:[.,][0-9]+)*|[+-]?[0-9]+(?:[.,][0-9]+)*(?: ?%)?'), lambda r:
   CASE WHEN contains(r, '-') THEN '-' ELSE '' END || regexp_replace(CASE WHEN NOT contains(r, '%') AND regexp_full_match(regexp_replace(r, '[ +%-]', '', 'g'), '[0-9]{1,3}(?:[.,][0-9]{3})+') THEN regexp_replace(r, '[ +%.,-]', '', 'g') ELSE replace(regexp_replace(r, '[ +%-]', '', 'g'), ',', '.') END, '^0+([0-9])', '\1') || CASE WHEN contains(r, '%') THEN '%' ELSE '' END)))"""
-_SAID = "concat_ws(' ', 'at', CAST(o_orderkey % 24 AS VARCHAR) || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0'), 'pay', CAST(o_custkey % 90 AS VARCHAR) || ',' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), 'or', '%' || CAST(o_custkey % 100 AS VARCHAR), 'and', CAST(o_orderkey % 100 AS VARCHAR) || ' %', 'of', CAST(o_custkey % 9 AS VARCHAR) || ' bin coins', 'x' || CAST(o_orderkey % 7 AS VARCHAR), '-' || CAST(o_custkey % 50 AS VARCHAR) || '.5', '+007')"
+_SAID = "concat_ws(' ', 'at', CAST(o_orderkey % 24 AS VARCHAR) || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0'), 'pay', CAST(o_custkey % 90 AS VARCHAR) || ',' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), 'or', '%' || CAST(o_custkey % 100 AS VARCHAR), 'and', CAST(o_orderkey % 100 AS VARCHAR) || ' %', 'of', CAST(o_custkey % 9 AS VARCHAR) || ' bin coins', 'x' || CAST(o_orderkey % 7 AS VARCHAR), '-' || CAST(o_custkey % 50 AS VARCHAR) || '.5', '+007', 'saat 0' || CAST(o_custkey % 10 AS VARCHAR) || '.' || CAST(10 + o_orderkey % 50 AS VARCHAR), 'ile', CAST(o_custkey % 7 AS VARCHAR) || ',' || CAST(1 + o_orderkey % 9 AS VARCHAR) || ' bin', 'ya da', '%' || CAST(o_custkey % 80 AS VARCHAR) || ',5')"
 
 
 def _said():
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: x.cast("string")
-    return F.concat_ws(" ", F.lit("at"), F.concat(s(k % 24), F.lit(":"), F.lpad(s(c % 60), 2, "0")), F.lit("pay"), F.concat(s(c % 90), F.lit(","), F.lpad(s(k % 1000), 3, "0")), F.lit("or"), F.concat(F.lit("%"), s(c % 100)), F.lit("and"), F.concat(s(k % 100), F.lit(" %")), F.lit("of"), F.concat(s(c % 9), F.lit(" bin coins")), F.concat(F.lit("x"), s(k % 7)), F.concat(F.lit("-"), s(c % 50), F.lit(".5")), F.lit("+007"))
+    return F.concat_ws(" ", F.lit("at"), F.concat(s(k % 24), F.lit(":"), F.lpad(s(c % 60), 2, "0")), F.lit("pay"), F.concat(s(c % 90), F.lit(","), F.lpad(s(k % 1000), 3, "0")), F.lit("or"), F.concat(F.lit("%"), s(c % 100)), F.lit("and"), F.concat(s(k % 100), F.lit(" %")), F.lit("of"), F.concat(s(c % 9), F.lit(" bin coins")), F.concat(F.lit("x"), s(k % 7)), F.concat(F.lit("-"), s(c % 50), F.lit(".5")), F.lit("+007"), F.concat(F.lit("saat 0"), s(c % 10), F.lit("."), s(10 + k % 50)), F.lit("ile"), F.concat(s(c % 7), F.lit(","), s(1 + k % 9), F.lit(" bin")), F.lit("ya da"), F.concat(F.lit("%"), s(c % 80), F.lit(",5")))
 
 
 @query(f"SELECT o_orderkey, array_to_string({_NUMBERS}, ' ') AS numbers FROM (SELECT o_orderkey, {_SAID} AS t FROM orders)")
 def numeric_signatures(spark, sf_dir):
     """Times, thousands, percentages, signs and decimals of a sentence in one spelling."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(G.numeric_signature(_said()), " ").alias("numbers"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(D.numeric_signature(_said()), " ").alias("numbers"))
 
 
-@query("SELECT o_orderkey, o_custkey % 4 <> 3 AS explained FROM orders")
-def number_words(spark, sf_dir):
-    """Digits on one side and the same number as a word on the other agree; another number, or none, does not."""
-    n, kind = F.col("o_orderkey") % 10, F.col("o_custkey") % 4
-    en, tr = (F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int")) for words in (["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"], ["bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz", "on"]))
-    digits = (n + 1).cast("string")
-    source = F.concat(F.lit("take "), F.when(kind.isin(0, 2), en).otherwise(digits), F.lit(" coins"))
-    target = F.concat(F.when(kind == 0, digits).when(kind == 3, (n + 2).cast("string")).otherwise(tr), F.lit(" para al"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", G.numbers_explained(source, target).alias("explained"))
+# Words of the numbers 21 to 99 and of thousands of them, said by the query; 0 to 3: digits or words on either side, another number, a lost sign.
+_EN_UNITS, _EN_TENS = "one two three four five six seven eight nine".split(), "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_TR_UNITS, _TR_TENS = "bir iki üç dört beş altı yedi sekiz dokuz".split(), "yirmi otuz kırk elli altmış yetmiş seksen doksan".split()
 
 
-@query("SELECT o_orderkey, o_custkey % 5 <> 0 AS same FROM orders")
+@query("SELECT o_orderkey, o_custkey % 5 <> 3 AS explained FROM orders")
+def number_words(spark, sf_dir):
+    """Digits on one side and the same number in words on the other agree (a loss may be said by a verb); another number does not."""
+    kind, k = F.col("o_custkey") % 5, F.col("o_orderkey")
+    unit, ten = (k % 9).cast("int"), (k % 8).cast("int")
+    word = lambda words, at: F.element_at(F.array(*map(F.lit, words)), at + 1)
+    n = 10 * (ten + 2) + unit + 1
+    large = k % 2 == 1
+    digits = F.when(large, n * 1000).otherwise(n).cast("string")
+    en = F.concat(word(_EN_TENS, ten), F.lit("-"), word(_EN_UNITS, unit), F.when(large, " thousand").otherwise(""))
+    tr = F.concat(word(_TR_TENS, ten), F.lit(" "), word(_TR_UNITS, unit), F.when(large, " bin").otherwise(""))
+    source = F.concat(F.lit("take "), F.when(kind.isin(0, 2), en).when(kind == 4, F.concat(F.lit("-"), digits)).otherwise(digits), F.lit(" coins"))
+    target = F.concat(F.when(kind == 0, digits).when(kind == 4, F.concat(digits, F.lit(" azalır"))).when(kind == 3, (n + 1).cast("string")).otherwise(tr), F.lit(" para al"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.numbers_explained(source, target).alias("explained"))
+
+
+@query("SELECT o_orderkey, o_custkey % 5 NOT IN (0, 4) AS same FROM orders")
 def percent_lists(spark, sf_dir):
-    k = (F.col("o_orderkey") % 90).cast("string")
-    target = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("yarım "), k, F.lit(" fazla"))).otherwise(F.concat(F.lit("yüzde "), k, F.lit("% fazla ve 7%")))
-    source = F.concat(F.lit("7% and "), k, F.lit("% more"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", (X.percentages(source) == X.percentages(target)).alias("same"))
+    """``%50`` and ``50 %`` agree, and so do decimals with comma and point; a lost digit or sign does not."""
+    k, kind = (F.col("o_orderkey") % 90).cast("string"), F.col("o_custkey") % 5
+    target = F.when(kind == 0, F.concat(F.lit("yarım "), k, F.lit(" fazla"))).when(kind == 4, F.concat(F.lit("%3,5 ve %7"), k)).otherwise(F.concat(F.lit("% "), k, F.lit(",5 fazla ve 7%")))
+    source = F.when(kind == 4, F.concat(F.lit("13,5% and 7"), k, F.lit("%"))).otherwise(F.concat(F.lit("%7 and "), k, F.lit(".5 % more")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (D.percentages(source) == D.percentages(target)).alias("same"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN regexp_extract(p_name, '^[a-z]+') || 'taşı' END AS glued, CASE WHEN p_size % 3 = 1 AND length(regexp_extract(p_name, '[a-z]+$')) >= 4 AND regexp_extract(p_name, '[a-z]+$') <> 'ring' THEN regexp_extract(p_name, '[a-z]+$') END AS copied FROM part WHERE length(regexp_extract(p_name, '^[a-z]+')) >= 4")
@@ -221,13 +236,17 @@ def masked_tokens(spark, sf_dir):
     return pages.select("page_id", F.size("m.tokens").cast("long").alias("tokens"), F.sha2(T.unmasked_text("m.masked", "m.tokens"), 256).alias("restored_sha256"))
 
 
-@query("SELECT p_partkey, '<b>' || CASE WHEN p_name LIKE 'red %' THEN 'kırmızı' ELSE p_name END || '</b>' || chr(92) || 'n[#1] ' || p_type AS translated, CASE WHEN p_name LIKE 'red %' THEN 1 ELSE 2 END AS missing FROM part")
+_KNOWN = "CASE WHEN p_name LIKE 'red %' THEN 'kırmızı' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, '<b>' || {_KNOWN} || '</b>' || chr(92) || 'n[#1] ' || p_type || '{{[~1]?s:}} {{[>1]?' || {_KNOWN} || ' {{[=2]?' || p_brand || ':iki [#2]}}:' || {_KNOWN} || '}}' AS translated, CASE WHEN p_name LIKE 'red %' THEN 2 ELSE 5 END AS missing FROM part")
 def translated_segments(spark, sf_dir):
-    """Prose between tokens looked up in a dictionary; tokens are never looked up."""
+    """Prose between tokens and in the branches of nested conditionals looked up in a dictionary; tokens and a word's endings are never looked up."""
     part = table(spark, sf_dir, "part")
-    rows = part.select("p_partkey", F.concat(F.lit("<b>"), "p_name", F.lit("</b>\\n[#1] "), "p_type").alias("text"))
+    text = F.concat(F.lit("<b>"), "p_name", F.lit("</b>\\n[#1] "), "p_type", F.lit("{[~1]?s:} {[>1]?"), "p_name", F.lit(" {[=2]?"), "p_brand", F.lit(":two [#2]}:"), "p_name", F.lit("}"))
     known = part.where(F.col("p_name").like("red %")).select(F.col("p_name").alias("source"), F.lit("kırmızı").alias("value"))
-    out = T.translate_segments(rows, "p_partkey", "text", known)
+    known = known.union(spark.createDataFrame([("two", "iki"), ("s", "wrong")], known.schema))
+    out = T.translate_segments(part.select("p_partkey", text.alias("text")), "p_partkey", "text", known)
     return out.select("p_partkey", "translated", F.col("missing").cast("int").alias("missing"))
 
 
