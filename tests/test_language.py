@@ -99,3 +99,34 @@ def test_json_and_fingerprints(spark):
     import hashlib
 
     assert got == [hashlib.sha256(small.encode()).hexdigest(), hashlib.sha256(b"100ababab"[:3] + b"abab" + b"abab").hexdigest()]
+
+
+def test_inflected_rules():
+    rules = G.inflected_rules("Bonta", "Kıyı")
+    assert (rules["Bonta"], rules["Bonta'ta"], rules["Bonta'dan"], rules["Bonta'ın"], rules["Bonta'a"]) == ("Kıyı", "Kıyıda", "Kıyıdan", "Kıyının", "Kıyıya")
+    assert G.inflected_rules("Kale'de", "hisarda")["Kale'den"] == "hisardan" and G.inflected_rules("x", "y") == {"x": "y"}
+    assert [G.with_ending(w, c) for w, c in (("evleri", "dative"), ("evleri", "locative"), ("kitap", "locative"), ("göz", "genitive"), ("su", "accusative"), ("brk", "dative"))] == ["evlerine", "evlerinde", "kitapta", "gözün", "suyu", "brka"]
+
+
+def test_edits_one_after_another(spark):
+    edits = spark.createDataFrame([(1, "k1", "go to Bonta", "go to Kıyı"), (2, "k9", "old Kıyı", "old Sahil"), (3, "k1", "a", "b"), (4, "k1", None, "b"), (5, "k1", "x {y}", "x {z}")], "edit int, key string, old string, new string")
+    rules = E.edit_rules(edits, "edit", "key", "old", "new")
+    assert {r["edit"] for r in rules.collect()} == {1, 2}
+    rows = spark.createDataFrame([("k1", "Bonta"), ("k2", "Bonta'da Bonta"), ("k3", "none"), ("k4", None), ("k5", "Bonta"), ("k9", "Kıyı")], "key string, v string")
+    got = dict(map(tuple, E.propagate_edits(rows, "key", "v", rules, F.col("key") == "k5").collect()))
+    assert got == {"k2": "Sahilda Sahil"}
+    assert E.propagate_edits(rows, "key", "v", rules.limit(0), F.lit(False)).count() == 0
+
+
+def test_glued_and_copied_words(spark):
+    pairs = [("guild House", "GuildEvi"), ("the house", "evHouse"), ("see https://x.y/house", "house"), ("[#house] {[~1]?house:} x", "house"), ("eht dna rof house", "house"), ("House rules", "House kurallar"), ("nagged", "nagged"), (None, "x")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = [tuple(r) for r in rows.select(G.glued_word(F.col("a"), F.col("b"), ["lar"], joinable=["guild"]), G.copied_word(F.col("a"), F.col("b"), [], generic=["house"])).collect()]
+    assert got == [("GuildEvi", None), ("evHouse", None), (None, None), (None, None), (None, None), (None, "House"), (None, "nagged"), (None, None)]
+
+
+def test_long_texts_are_no_slower_than_they_are_long(spark):
+    long = " ".join(f"w{i}x" for i in range(60_000))
+    rows = spark.createDataFrame([(long, long + " end end end end")], "a string, b string")
+    got = rows.select(G.changed_span("a", "b").alias("s"), A.repeated_word(F.col("a"), F.col("b"), 4).alias("w"), G.copied_word(F.col("a"), F.col("b"), []).alias("c")).first()
+    assert (got["s"]["prefix"], got["s"]["now"], got["w"]) == (len(long), " end end end end", "end")

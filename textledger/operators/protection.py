@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,25 @@ def keeps_value(rows: DataFrame, value: str, category: str, values: DataFrame, e
     return out.withColumn("protected", F.coalesce("_known", F.lit(False)) & ~F.col(category).isin(*exempt)).drop("_known")
 
 
-def visible_world(text: Column, singles: list[str], descriptor: str) -> Column:
-    """A known single word, a text with a descriptor, or prose: words enough, several of them in lower case."""
-    shown = F.regexp_replace(F.replace(text, F.lit("\\n"), F.lit(" ")), "<[^>]+>", " ")
-    words = F.regexp_extract_all(shown, F.lit(r"\p{L}[\p{L}'’-]*"), F.lit(0))
-    low = F.size(F.filter(words, lambda w: F.left(w, F.lit(1)).rlike(r"\p{Ll}")))
-    marked = text.contains("\\n") | text.contains("<") | text.rlike("[.!?;:]")
-    return F.lower(F.trim(text)).isin(*singles) | shown.rlike(descriptor) | ((F.size(words) >= 4) & (low >= 2) & marked) | ((F.size(words) >= 7) & (low >= 3))
+@dataclass(frozen=True)
+class Prose:
+    """When words make prose: how many there are, and how many of them begin in lower case."""
+
+    words: int
+    low: int
+
+
+# Prose with a sign of sentences or markup, and prose without one.
+SIGNED, BARE = Prose(4, 2), Prose(7, 3)
+SIGN = r"\\n|<|[.!?;:]"
+
+
+def visible_world(text: Column, singles: list[str], descriptor: str, prose: tuple[Prose, Prose] = (SIGNED, BARE)) -> Column:
+    """A known single word, a text with a descriptor, or prose by the shape of its words: see ``Prose``."""
+    plain = F.regexp_replace(text, r"\\n|<[^>]+>", " ")
+    low, all_ = F.regexp_count(plain, F.lit(r"(?<![\p{L}'’-])\p{Ll}")), F.regexp_count(plain, F.lit(r"\p{L}[\p{L}'’-]*"))
+    enough = lambda p: (all_ >= p.words) & (low >= p.low)
+    return F.lower(F.trim(text)).isin(*singles) | plain.rlike(descriptor) | F.when(text.rlike(SIGN), enough(prose[0])).otherwise(False) | enough(prose[1])
 
 
 def internal_text(text: Column, markers: str) -> Column:

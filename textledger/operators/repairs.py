@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as X
+from ..functions.language import inflected_rules, span_of_change
+from ..plans.names import BLOCK_CHARS
 from .stats import first_members
 
 
@@ -77,6 +82,81 @@ def propagate(rows: DataFrame, key: str, value: str, rules: list[tuple[str, str]
     return rows.where(hit & ~protected).select(key, text.alias(value))
 
 
+# Characters of structure, which no propagated change may hold.
+STRUCTURE = re.compile(r"[\[\]{}<>%\\]")
+
+
+def edit_rules(edits: DataFrame, edit: str, key: str, old: str, new: str) -> DataFrame:
+    """``edit, key, was, now``: what each edit (in the order of ``edit``) asks for elsewhere.
+
+    The part that changed, its stem, and the stem's every case, each with its
+    new form. Edits of a single letter, to nothing, or of structure ask for nothing.
+    """
+    kind, key_kind = (edits.schema[c].dataType.simpleString() for c in (edit, key))
+
+    def make(frames):
+        for frame in frames:
+            out = []
+            for e, k, a, b in zip(frame[edit], frame[key], frame[old], frame[new]):
+                if not (a or "").strip() or not (b or "").strip() or a == b:
+                    continue
+                _, _, was, now = span_of_change(a, b)
+                if len(was) >= 2 and now and not STRUCTURE.search(was + now):
+                    out += [(e, k, x, y) for x, y in inflected_rules(was, now).items()]
+            yield pd.DataFrame(out, columns=["edit", "key", "was", "now"])
+
+    return edits.select(edit, key, old, new).mapInPandas(make, f"edit {kind}, key {key_kind}, was string, now string")
+
+
+def propagate_edits(rows: DataFrame, key: str, value: str, rules: DataFrame, protected: Column) -> DataFrame:
+    """``key, value``: unprotected values that the rules of ``edit_rules`` change, with all of them applied.
+
+    Edits apply one after another, each with its longest rules first, and never
+    to the key that was edited. The rules are an edit session's, and so a
+    broadcast of bounded size (``BLOCK_CHARS`` of text, else an error); values
+    are searched for all of them at once by one automaton where they lie.
+    """
+    listed = rules.select("edit", F.col("key").cast("string").alias("key"), "was", "now").orderBy("edit").toLocalIterator()
+    by_edit: dict = {}
+    size = 0
+    for r in listed:
+        by_edit.setdefault((r["edit"], r["key"]), []).append((r["was"], r["now"]))
+        size += len(r["was"]) + len(r["now"])
+        if size > BLOCK_CHARS:
+            raise ValueError("too many rules for one session of edits")
+    edits = [(k, sorted(pairs, key=lambda p: (-len(p[0]), p[0]))) for (_, k), pairs in by_edit.items()]
+    kind = rows.schema[key].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(edits)
+
+    def apply(frames):
+        import ahocorasick
+
+        auto, asked = ahocorasick.Automaton(), {}
+        for n, (_, pairs) in enumerate(shared.value):
+            for was, _ in pairs:
+                asked.setdefault(was, []).append(n)
+        for was, numbers in asked.items():
+            auto.add_word(was, numbers)
+        if asked:
+            auto.make_automaton()
+        for frame in frames:
+            out = []
+            for k, text in zip(frame[key], frame[value]):
+                now, after = text or "", 0
+                while asked:
+                    todo = [n for _, numbers in auto.iter(now) for n in numbers if n >= after and shared.value[n][0] != str(k)]
+                    if not todo:
+                        break
+                    after = min(todo) + 1
+                    for was, new in shared.value[after - 1][1]:
+                        now = now.replace(was, new)
+                if after:
+                    out.append((k, now))
+            yield pd.DataFrame(out, columns=[key, value])
+
+    return rows.where(~protected).select(key, value).mapInPandas(apply, f"`{key}` {kind}, `{value}` string")
+
+
 def one_safe_value(rows: DataFrame, valid) -> DataFrame:
     """``key, value, problem`` for rows ``key, identity, main, source, value`` that share keys.
 

@@ -6,16 +6,24 @@ expression that Catalyst compiles, whatever the number of rules.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions import language as X
 from ..functions.numbers import percentages
 from ..operators.stats import first_members
+from . import names
 from .rules import Rule, condition
 
+_WORD = re.compile(r"[^\W\d_]+")
+#: Words may hold apostrophes and hyphens.
+_JOINED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
 
 def classify(key: Column, prefixes: list[tuple[str, str]], patterns: list[tuple[str, str]], default: str) -> Column:
     """The category of the first prefix that a key begins with, else of the first pattern it matches, else the default."""
@@ -53,13 +61,19 @@ class Gate:
 
 
 def repeated_word(source: Column, target: Column, times: int, exempt: tuple[str, ...] = ()) -> Column:
-    """The first word that the target has ``times`` times or more, and more often than the source, or null."""
-    low = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0))
-    ours, theirs = low(source), low(target)
-    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    often = lambda w: (count(theirs, w) >= times) & (count(theirs, w) > count(ours, w)) & ~F.array_contains(F.array(*map(F.lit, exempt)).cast("array<string>"), w)
-    # A word can be repeated so often only in a text with so many words.
-    return F.when(F.size(theirs) >= times, F.get(F.filter(F.array_distinct(theirs), often), F.lit(0)))
+    """The first word that the target has ``times`` times or more, and more often than the source, or null. Every text's words are counted once."""
+
+    @F.pandas_udf(StringType())
+    def find(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(sources, targets):
+            theirs = Counter(_WORD.findall((t or "").lower()))
+            often = [w for w, n in theirs.items() if n >= times and w not in exempt]
+            ours = Counter(_WORD.findall((s or "").lower())) if often else {}
+            out.append(next((w for w in often if s is not None and theirs[w] > ours.get(w, 0)), None))
+        return pd.Series(out, dtype=object)
+
+    return find(source, target)
 
 
 def gate_problem(gate: Gate, source: Column, target: Column) -> Column:
@@ -92,20 +106,57 @@ def generated_problem(gate: Gate, source: Column, target: Column, same_form: Col
 def terms_problem(rows: DataFrame, key: str, source: str, target: str, terms: DataFrame, stem: int = 4) -> DataFrame:
     """``key, term, expected`` of the longest term (``term, value``) in each source whose value is not in the target.
 
-    Terms are single words or phrases of words; they are joined by their first
-    word, so texts and terms meet only there. A value counts as used where the
+    Terms are words or phrases of words, found where the texts lie by walking a
+    trie of the terms' words (see ``names``); texts are neither copied nor
+    shuffled, whatever the number of terms. A value counts as used where the
     target has a word that begins like each of its words: with the whole word,
     or but for its last letters, of which ``stem`` at least must stay.
     """
-    low = lambda t: X.joined_words(F.lower(t))
-    words = rows.select(F.col(key).alias("key"), F.col(source).alias("_s"), F.explode(F.array(low(F.col(target)))).alias("_t"))
-    at = words.select("key", "_t", F.concat(F.lit(" "), F.array_join(low(F.col("_s")), " "), F.lit(" ")).alias("_s"), F.explode(F.array_distinct(low(F.col("_s")))).alias("first"))
-    listed = terms.select(F.array_join(low(F.col("term")), " ").alias("term"), F.col("value").alias("expected"), low(F.col("value")).alias("_v")).where("term <> ''").withColumn("first", F.substring_index("term", " ", 1))
-    met = at.join(listed, "first").where(F.col("_s").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
-    like = lambda v, t: t.startswith(v) | ((F.length(v) > stem) & t.startswith(F.left(v, F.greatest(F.lit(stem), F.length(v) - 2))))
-    used = F.forall("_v", lambda v: F.exists("_t", lambda t: like(v, t)))
-    best = met.groupBy("key").agg(F.max_by(F.struct("term", "expected", used.alias("used")), F.struct(F.length("term"), "term", "expected")).alias("t"))
-    return best.where("not t.used").select("key", "t.term", "t.expected")
+    words = lambda t: _JOINED.findall(t.lower())
+    listed = terms.select(F.lower("value").alias("value"), F.struct("value").alias("as"), F.lower("term").alias("term")).select("value", F.col("as.value").alias("spelt"), "term")
+    known = names.name_blocks(listed, "spelt", "term")
+    kind = rows.schema[key].dataType.simpleString()
+    found = names.passed(rows.select(key, source, target), [key, target], source, known, _term_trie, lambda t, trie: _terms_in(words(t), trie), None, "map<string,array<string>>")
+    if found is None:
+        return rows.sparkSession.createDataFrame([], f"key {kind}, term string, expected string")
+
+    def judge(frames):
+        for frame in frames:
+            out = []
+            for k, t, hits in zip(frame[key], frame[target], frame["found"]):
+                if hits is None or not len(hits) or t is None:
+                    continue
+                term, value = max(((term, v) for term, values in dict(hits).items() for v in values), key=lambda x: (len(x[0]), x[0], x[1]))
+                begins = {w[:n] for w in words(t) for n in range(1, len(w) + 1)}
+                used = all(v in begins or (len(v) > stem and v[: max(stem, len(v) - 2)] in begins) for v in words(value))
+                if not used:
+                    out.append((k, term, value))
+            yield pd.DataFrame(out, columns=["key", "term", "expected"])
+
+    return found.mapInPandas(judge, f"key {kind}, term string, expected string")
+
+
+def _term_trie(block: list[tuple]) -> dict:
+    root: dict = {}
+    for value, term in block:
+        node = root
+        for word in _JOINED.findall(term):
+            node = node.setdefault(word, {})
+        if node is not root:
+            node.setdefault(None, []).append(value)
+    return root
+
+
+def _terms_in(words: list[str], trie: dict) -> dict[str, list[str]]:
+    """All terms that stand in a text, each with its values."""
+    out = {}
+    for i in range(len(words)):
+        node, j = trie.get(words[i]), i + 1
+        while node is not None:
+            if None in node:
+                out[" ".join(words[i:j])] = node[None]
+            node, j = (node.get(words[j]) if j < len(words) else None), j + 1
+    return out
 
 
 def by_severity(findings: DataFrame, order: list[str]) -> DataFrame:

@@ -112,14 +112,17 @@ def leftmost(best: dict[int, int]) -> list[tuple[int, int]]:
     return out
 
 
-def _passed(rows: DataFrame, key: str, text: str, blocks: Iterator[list[tuple]], build: Callable, find: Callable, choose: Callable, last: str) -> DataFrame | None:
-    """``key, text, found``: rows past all blocks of names.
+def passed(rows: DataFrame, keep: list[str], text: str, blocks: Iterator[list[tuple]], build: Callable, find: Callable, choose: Callable | None, last: str) -> DataFrame | None:
+    """``keep``, ``text`` and ``found``: rows past all blocks of names; None where there are none.
 
-    ``build`` makes a matcher of a block, ``find`` gives ``{place: longest}`` of
-    a text, and ``choose`` makes of it what the last block writes (type ``last``).
+    ``build`` makes a matcher of a block, ``find`` gives what it finds in a text
+    by place, of which the greatest stays, and ``choose`` makes of all that what
+    the last block writes (type ``last``). Without ``choose`` what is found is
+    lists by any key, which are joined, and ``last`` is the type of all blocks.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    frame = rows.select(key, text).withColumn("found", F.lit(None).cast("map<int,int>"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in dict.fromkeys([*keep, text])}
+    between = "map<int,int>" if choose else last
+    frame = rows.select(*kinds).withColumn("found", F.lit(None).cast(between))
     block = next(blocks, None)
     if block is None:
         return None
@@ -134,18 +137,19 @@ def _passed(rows: DataFrame, key: str, text: str, blocks: Iterator[list[tuple]],
                 for t, old in zip(frame[text], frame["found"]):
                     best = dict(old) if old is not None else {}
                     for place, n in (find(t, matcher) if t else {}).items():
-                        best[place] = max(n, best.get(place, 0))
-                    out.append(choose(t, best) if done else best)
-                yield pd.DataFrame({key: frame[key], text: frame[text], "found": out})
+                        best[place] = max(n, best.get(place, 0)) if choose else [*best.get(place, []), *n]
+                    out.append(choose(t, best) if done and choose else best)
+                yield pd.DataFrame({c: frame[c] for c in kinds} | {"found": out})
 
-        frame = frame.mapInPandas(step, f"`{key}` {kind}, `{text}` string, found {last if after is None else 'map<int,int>'}")
+        schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+        frame = frame.mapInPandas(step, f"{schema}, found {last if after is None else between}")
         block = after
     return frame
 
 
 def _scanned(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame | None:
     build = lambda block: _automaton({w.casefold(): None for (w,) in block})
-    return _passed(rows, key, text, name_blocks(names, name), build, border_hits, lambda t, best: [list(x) for x in leftmost(best)], "array<array<int>>")
+    return passed(rows, [key], text, name_blocks(names, name), build, border_hits, lambda t, best: [list(x) for x in leftmost(best)], "array<array<int>>")
 
 
 def scan(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -267,7 +271,7 @@ def longest_matches(rows: DataFrame, key: str, text: str, names: DataFrame, name
         return [" ".join([*words[a : b - 1], words[b - 1] if best[a] % 2 else _SUFFIX.sub("", words[b - 1])]) for a, b in spans_]
 
     kind = rows.schema[key].dataType.simpleString()
-    found = _passed(rows, key, text, name_blocks(names, name), _trie, lambda t, trie: word_hits(widest, t, trie), choose, "array<string>")
+    found = passed(rows, [key], text, name_blocks(names, name), _trie, lambda t, trie: word_hits(widest, t, trie), choose, "array<string>")
     if found is None:
         return rows.sparkSession.createDataFrame([], f"`{key}` {kind}, names array<string>")
     return found.where(F.size("found") > 0).select(key, F.col("found").alias("names"))

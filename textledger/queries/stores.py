@@ -176,6 +176,25 @@ def propagated_edits(spark, sf_dir):
     return E.propagate(table(spark, sf_dir, "part"), "p_partkey", "p_name", [("ring", "hoop"), ("red widget", "ruby gadget")], F.col("p_size") % 4 == 0)
 
 
+# What two edits ask for: Bonta's cases by those of Kıyı, and widget by parça, each text's case by the remainder of its key.
+_ENDS = ["", "'a", "'da", "'dan", "'ın", "'ı", "'ta", "lar"]
+_FORMS = ["", "ya", "da", "dan", "nın", "yı", "da", "lar"]
+
+
+def _cased(stem: str, ends: list[str]) -> str:
+    return "CASE p_partkey % 8 " + " ".join(f"WHEN {n} THEN '{stem}" + end.replace("'", "''") + "'" for n, end in enumerate(ends)) + " END"
+
+
+@query(f"SELECT p_partkey, {_cased('Kıyı', [f.replace('a', 'a') for f in ['', 'ya', 'da', 'dan', 'nın', 'yı', 'da', 'lar']])} || ' ' || replace(p_name, 'widget', 'parça') AS text FROM part WHERE p_size % 4 <> 0 AND p_partkey <> 8")
+def inflected_edits(spark, sf_dir):
+    """Two edits and all cases of what they changed, carried to every unprotected value."""
+    part = table(spark, sf_dir, "part")
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    rows = part.select("p_partkey", "p_size", F.concat(F.lit("Bonta"), end, F.lit(" "), "p_name").alias("text"))
+    edits = spark.createDataFrame([(1, 8, "Eski Bonta'ya git", "Eski Kıyı'ya git"), (2, 8, "bir widget al", "bir parça al"), (3, 8, "x", "y"), (4, 8, "a [#1] b", "a [#2] b")], "edit int, key long, old string, new string")
+    return E.propagate_edits(rows, "p_partkey", "text", E.edit_rules(edits, "edit", "key", "old", "new"), F.col("p_size") % 4 == 0)
+
+
 @query("""WITH r AS (SELECT p_brand AS key, p_partkey, p_size % 2 = 0 AS main, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_type ELSE CASE WHEN p_size % 3 = 0 THEN ' Text' ELSE 'text' END END AS source, CASE WHEN p_brand = 'Brand#3' THEN 'one' WHEN p_brand = 'Brand#4' THEN NULL WHEN p_brand = 'Brand#5' THEN 'no' || p_name ELSE p_name END AS value FROM part),
 b AS (SELECT key, value, min(CASE WHEN main THEN 0 ELSE 1 END * 10000000 + p_partkey) AS rank FROM r WHERE value IS NOT NULL GROUP BY ALL),
 g AS (SELECT key, count(*) AS n, min_by(value, rank) AS first, min_by(value, rank) FILTER (NOT starts_with(value, 'no') AND length(value) > 6) AS safe FROM b GROUP BY key),
