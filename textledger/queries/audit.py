@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import protection as K
 from ..plans import audit as A
+from ..plans import gates as J
 from ..plans import rules as R
+from ..plans import ruletable as B
 from .registry import query, table
 from .texts import PAIRS, pairs
 
@@ -161,6 +164,43 @@ def required_terms(spark, sf_dir):
     return A.terms_problem(rows, "k", "a", "b", terms)
 
 
+# A rule for each longer word of the benchmark (lost, or new in the target), behind the statuses' rules.
+_ASKED = "(SELECT w, row_number() OVER (ORDER BY w) AS i FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 4)"
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query(f"""WITH p AS (SELECT k, a, b, {_TOKENS.format('a')} AS wa, {_TOKENS.format('b')} AS wb FROM {_FAULTY}), t AS (SELECT unnest([1, 2]) AS n),
+s AS (SELECT k, CASE status WHEN 'PROTECTED' THEN 1 WHEN 'MISSING' THEN 2 WHEN 'FORM_BROKEN' THEN 3 WHEN 'LEAK' THEN 4 WHEN 'ENCODING' THEN 5 WHEN 'RESIDUE' THEN 6 WHEN 'PUNCTUATION' THEN 7 END AS priority, status AS code FROM {_STATUS} WHERE status <> 'DONE'),
+w AS (SELECT k, 1000 + 2 * i AS priority, 'WORD_LOST' AS code, w AS reason FROM (SELECT k, wb, unnest(wa) AS u FROM p) JOIN {_ASKED} ON u = w WHERE NOT list_contains(wb, w)
+ UNION ALL SELECT k, 1001 + 2 * i, 'WORD_NEW', w FROM (SELECT k, wa, unnest(wb) AS u FROM p) JOIN {_ASKED} ON u = w WHERE NOT list_contains(wa, w))
+SELECT p.k, coalesce(min_by(coalesce(s.code, w.code), coalesce(s.priority, w.priority)), 'DONE') AS first, count(w.k) AS word_rules FROM p LEFT JOIN w ON w.k = p.k LEFT JOIN s ON s.k = p.k GROUP BY p.k""")
+def rule_table_audit(spark, sf_dir):
+    """Statuses by a table of hundreds of rules, most of them made of the benchmark's words: the first one's code, and how many of the words' rules fire."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) >= 4").distinct()
+    numbered = words.withColumn("i", F.row_number().over(W.orderBy("w")))  # a rule table goes with the code, whole
+    made = [numbered.select((F.col("i") * 2 + base).alias("priority"), F.lit(code).alias("code"), F.col("w").alias("reason"), F.array("w").alias(has), F.array("w").alias(lacks)) for base, code, has, lacks in ((1000, "WORD_LOST", "source_words", "not_target_words"), (1001, "WORD_NEW", "target_words", "not_source_words"))]
+    given = spark.createDataFrame([(i + 1, r.code, r.severity, r.reason, r.key, r.target and r.target.replace(r"\p{L}", r"^\W\d_").replace("[^^", "["), r.not_source) for i, r in enumerate(STATUSES)], "priority int, code string, severity string, reason string, key string, target string, not_source string")
+    rules = given.unionByName(made[0], allowMissingColumns=True).unionByName(made[1], allowMissingColumns=True)
+    out = B.audited(faulty(spark, sf_dir), rules, "k", "a", "b")
+    codes = F.transform("found", lambda f: f["code"])
+    return out.select("k", F.coalesce(F.get(codes, F.lit(0)), F.lit("DONE")).alias("first"), F.size(F.filter(codes, lambda c: c.startswith("WORD_"))).cast("long").alias("word_rules"))
+
+
+_SHOWN = "lower(regexp_replace(replace({0}, '{{{{[~1]?s:}}}}', ' s '), '<[^>]*>', ' ', 'g'))"
+_SEEN = "regexp_extract_all(" + _SHOWN + ", '\\p{{{{L}}}}+(?:[''’]\\p{{{{L}}}}+)?')"
+
+
+@query(f"""SELECT k, CASE WHEN len(wb) = 0 THEN 'EMPTY' WHEN rep IS NOT NULL THEN 'REPEATED_WORD' WHEN len(wa) >= 2 AND wa = wb THEN 'COPY' WHEN res IS NOT NULL THEN 'RESIDUE' END AS code,
+ CASE WHEN len(wb) > 0 AND rep IS NOT NULL THEN rep WHEN len(wb) > 0 AND NOT (len(wa) >= 2 AND wa = wb) THEN res END AS detail FROM (
+ SELECT *, list_filter(wb, lambda w: w NOT IN ({', '.join(f"'{w}'" for w in sorted(J.COMMON))}) AND len(list_filter(wb, lambda x: x = w)) >= 4 AND len(list_filter(wb, lambda x: x = w)) > len(list_filter(wa, lambda x: x = w)))[1] AS rep,
+ list_filter(wb, lambda w: w IN ({', '.join(f"'{w}'" for w in sorted(J.RESIDUE))}))[1] AS res
+ FROM (SELECT k, {_SEEN.format('a').format()} AS wa, {_SEEN.format('b').format()} AS wb FROM (SELECT k, a || ' quest' AS a, CASE WHEN k % 3 = 0 THEN b || ' quest' ELSE b END AS b FROM {_FAULTY})))""")
+def quality_reasons(spark, sf_dir):
+    """The whole quality gate on every pair: the first reason and the word it is about."""
+    rows = faulty(spark, sf_dir).select("k", F.concat("a", F.lit(" quest")).alias("a"), F.when(F.col("k") % 3 == 0, F.concat("b", F.lit(" quest"))).otherwise(F.col("b")).alias("b"))
+    return rows.select("k", J.first_reason(J.QUALITY, F.col("a"), F.col("b")).alias("r")).select("k", "r.code", "r.detail")
+
+
 @query(f"SELECT status AS grp, n, list_sort(ids)[1:5] AS first FROM (SELECT status, count(DISTINCT k) AS n, list(DISTINCT k) AS ids FROM {_STATUS} GROUP BY status)")
 def first_examples(spark, sf_dir):
     return A.first_k(statuses_of(spark, sf_dir).withColumnRenamed("status", "grp"), "grp", "k", 5)
