@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import numbers as D
 from ..functions import text as X
 from ..operators import protection as K
 from ..plans import audit as A
@@ -44,7 +45,7 @@ def faulty(spark, sf_dir):
 
 CONTROL, MOJIBAKE, ARTIFACT, SCRIPT, GRAMMAR = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "Ã|Â[ -¿]", "</?think>", "[Ѐ-ӿ]", "(birşey|herşey)"
 _TAGS = "array_to_string(regexp_extract_all(lower({0}), '<[^>]*>|\\{{\\[[^\\]]*\\]\\?|\\}}'), ' ')"
-_DIGITS = "array_to_string(list_sort(regexp_extract_all({0}, '[0-9]+ ?%?')), ' ')"
+_DIGITS = "array_to_string(list_sort(regexp_extract_all(replace({0}, '{{[~1]?s:}}', ' '), '[0-9]+ ?%?')), ' ')"
 
 
 def finding_rules() -> list[R.Rule]:
@@ -53,7 +54,6 @@ def finding_rules() -> list[R.Rule]:
     words = lambda t: F.size(F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)))
     marks = lambda t: t.rlike(r"!{4,}|\?{4,}|\.{4,}|,{4,}|;{4,}|:{4,}")
     form = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"<[^>]*>|\{\[[^\]]*\]\?|\}"), F.lit(0))
-    numbers = lambda t: F.array_sort(F.regexp_extract_all(t, F.lit("[0-9]+ ?%?"), F.lit(0)))
     return [
         R.Rule("PROTECTED_NAME_CHANGED", "critical", key="^(.*00)?0$", test=a != b),
         R.Rule("FORMAT_MISMATCH", "critical", test=form(a) != form(b)),
@@ -65,7 +65,7 @@ def finding_rules() -> list[R.Rule]:
         R.Rule("ENGLISH_RESIDUE", "high", target=r"(^|[^\p{L}])(the|and)([^\p{L}]|$)"),
         R.Rule("PROTECTED_REFERENCE_CHANGED", "review", source="Zorgan", not_target="Zorgan"),
         R.Rule("TARGET_GRAMMAR", "high", target=GRAMMAR),
-        R.Rule("NUMBER_MISMATCH", "review", test=numbers(a) != numbers(b)),
+        R.Rule("NUMBER_MISMATCH", "review", test=~D.numbers_explained(a, b)),
         R.Rule("EXTRA_SPACES", "review", target="  ", not_source="  "),
         R.Rule("SPACE_BEFORE_PUNCTUATION", "review", target=r"[ \t\n]+[,.!?;:]", not_source=r"[ \t\n]+[,.!?;:]"),
         R.Rule("REPEATED_PUNCTUATION", "review", test=marks(b) & ~marks(a)),
