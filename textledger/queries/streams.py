@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import catalogs as C
+from ..streaming import cache as K
 from ..streaming import live as S
 from .registry import query, table
 
@@ -39,3 +40,11 @@ def stream_chat(spark, sf_dir):
     S.run_json_lines(S.unseen(S.chat_messages(stream).select("sender", "text"), ["sender", "text"]), out)
     rows = C.read_jsonl(spark, f"{out}/rows", "sender string, text string")
     return rows.groupBy(F.col("sender").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, count(DISTINCT event_type) AS asked, count(*) - count(DISTINCT event_type) AS known FROM events GROUP BY user_id")
+def stream_cache(spark, sf_dir):
+    """A cache of each user's texts over several micro-batches: asked for once, known from then on."""
+    stream = S.limited(spark, _files(spark, sf_dir, "events", "true"), table(spark, sf_dir, "events").schema, 2)
+    out = K.run_cached(stream, key="user_id", time="ts", text="event_type", late="10000 days", idle="10000 days")
+    return out.groupBy("key").agg(F.count_if(F.col("action") == "ASK").alias("asked"), F.count_if(F.col("action") == "KNOWN").alias("known"))

@@ -13,20 +13,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts of the live state; a micro-batch writes only those that it has keys of.
-BUCKETS = 64
+#: Runs of a level that become one run of the next.
+FANOUT = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``; a local session, as in tests, is given one where it has none."""
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -35,42 +30,48 @@ def latest_rows(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 class LiveState:
-    """The last row of each key, in ``BUCKETS`` parts by hash; an index per batch says which batch wrote each part last.
-
-    Tombstones are kept, so late older rows cannot revive a key. Batch ``n``
-    reads index ``n - 1`` and the parts it touches, and writes these parts and
-    index ``n``; run again it writes the same. Older versions of parts may be
-    deleted by the caller once no reader needs them.
+    """The last row of each key, as runs of rows in levels; an index per batch lists the runs that count.
+
+    Batch ``n`` writes its own keys' last rows as a run of level 0. Where a
+    level has ``FANOUT`` runs, they become one run of the next, so a row is
+    written once a level, and levels grow with the logarithm of the state: what
+    a batch writes is in proportion to it, on the average. Tombstones are kept,
+    so late older rows cannot revive a key. Batch ``n`` reads index ``n - 1``
+    and writes runs and an index that are named after it; run again it writes
+    the same. Runs that no index lists any more may be deleted by the caller
+    once no reader needs them.
     """
 
     def __init__(self, base: str, schema, key: str, order: list[Column]):
         self.base, self.schema, self.key, self.order = base, schema, key, order
 
-    def index(self, spark: SparkSession, number: int) -> dict[int, int]:
-        """Part to the batch that wrote it (at most ``BUCKETS`` entries)."""
+    def index(self, spark: SparkSession, number: int) -> list[tuple[int, str]]:
+        """Level and name of the runs that count after a batch (FANOUT a level at most)."""
         try:
-            return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch long").parquet(f"{self.base}/index-{number}").collect()}
+            return sorted((r["level"], r["run"]) for r in spark.read.schema("level int, run string").parquet(f"{self.base}/index-{number}").collect())
         except AnalysisException:
-            return {}
+            return []
 
-    def rows(self, spark: SparkSession, parts: dict[int, int]) -> DataFrame:
-        paths = [f"{self.base}/state-{n}/_bucket={b}" for b, n in sorted(parts.items())]
+    def rows(self, spark: SparkSession, runs: list[str]) -> DataFrame:
+        paths = [f"{self.base}/{run}" for run in runs]
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
+    def _write(self, rows: DataFrame, run: str) -> str:
+        latest_rows(rows, self.key, self.order).select(*self.schema.names).write.mode("overwrite").parquet(f"{self.base}/{run}")
+        return run
+
     def merge(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
-        known = self.index(spark, number - 1)
-        touched = {r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()}  # BUCKETS at most
-        if touched:
-            old = self.rows(spark, {b: n for b, n in known.items() if b in touched})
-            rows = latest_rows(batch.select(*self.schema.names).unionByName(old), self.key, self.order).select(*self.schema.names)
-            rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.base}/state-{number}")
-        index = known | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(index.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index-{number}")
+        runs = [*self.index(spark, number - 1), (0, self._write(batch.select(*self.schema.names), f"run-{number}-0"))]
+        level = 0
+        while len(own := [run for n, run in runs if n == level]) >= FANOUT:
+            merged = self._write(self.rows(spark, own), f"run-{number}-{level + 1}")
+            runs = [x for x in runs if x[0] != level] + [(level + 1, merged)]
+            level += 1
+        spark.createDataFrame(runs, "level int, run string").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index-{number}")
 
     def last(self, spark: SparkSession, number: int) -> DataFrame:
-        return self.rows(spark, self.index(spark, number))
+        return latest_rows(self.rows(spark, [run for _, run in self.index(spark, number)]), self.key, self.order).select(*self.schema.names)
 
 
 def run_latest(stream: DataFrame, key: str, order: list[Column], status: str, live: list[str], tombstone: str) -> DataFrame:
