@@ -54,8 +54,9 @@ def test_whole_categories_are_packed_from_end_to_end(spark, monkeypatch):
     kinds = {"a": lambda i: rng.choice([5, 60, 119]), "b": lambda i: rng.choice([0, 90, 120, 121, 700, 1400, 1401]), None: lambda i: rng.choice([3, 3, 3, 3, 3, 500 if i % 50 else 2000])}
     rows = [(i * 3 if cat == "a" else i, cat, "x" * kinds[cat](i)) for cat in kinds for i in range(1000)] + [(None, "a", "xy"), (None, "a", None)]
     work = spark.createDataFrame(rows, "id long, cat string, body string").repartition(3)
-    for chunk in (64, 100, P.CHUNK):
+    for chunk, together in ((64, 2), (100, 3), (64, 256), (P.CHUNK, P.TOGETHER)):
         monkeypatch.setattr(P, "CHUNK", chunk)
+        monkeypatch.setattr(P, "TOGETHER", together)
         got = P.pack_whole(work, "cat", "id", "body").collect()
         assert len(got) == len(rows)
         for cat in kinds:

@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..streaming.live import shared_folder
 
 #: Rows in a chunk of a category; chunks are packed apart and then put together.
 CHUNK = 4096
+#: Chunks, or maps of chunks, that one task puts together.
+TOGETHER = 256
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, as more than one later step asks for it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batch_numbers(sizes: Iterable[int], rows: int, chars: int, alone: int, long: int = 120, long_rows: int = 8, long_chars: int = 5000) -> Iterator[int]:
@@ -53,7 +64,9 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
     A category is cut into chunks of ``CHUNK`` rows. Where a batch starts in a
     chunk decides all later starts in it, and the first start is at most
     ``rows`` behind the chunk's begin: so each chunk is packed from each of
-    these, and one pass over the chunks' maps (a row each) picks the right one.
+    these, which makes it a map from the first start to the next chunk's.
+    ``TOGETHER`` maps of neighbours are composed to one, and so on up to one a
+    category; the starts come down the same tree. No task has more maps than that.
     Only keys and lengths are shuffled. A null text counts as empty; null keys
     come first.
     """
@@ -64,8 +77,12 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
         F.coalesce(F.floor(F.col(key) / CHUNK).cast("long"), F.lit(-(2**63))).alias("span"),
     )
     spans = sized.groupBy("category", "span").agg(F.count("*").alias("n"))
-    before = W.partitionBy("category").orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # a row per span
-    spans = spans.select(F.col("category").alias("_category"), F.col("span").alias("_span"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Rows before a span: those of spans of the same far begin, and those of all earlier far begins (a row for TOGETHER spans).
+    spans = spans.withColumn("far", F.expr(f"span div {TOGETHER}"))
+    earlier = lambda *by: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("span" if len(by) > 1 else "far").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fars = spans.groupBy("category", "far").agg(F.sum("n").alias("n")).select(F.col("category").alias("_category"), F.col("far").alias("_far"), earlier("category").alias("past"))
+    spans = spans.withColumn("near", earlier("category", "far")).join(fars, F.col("category").eqNullSafe(F.col("_category")) & (F.col("far") == F.col("_far")))
+    spans = spans.select(F.col("category").alias("_category"), F.col("span").alias("_span"), (F.col("past") + F.col("near")).alias("base"))
     order = W.partitionBy("category", "span").orderBy(F.col("key").asc_nulls_first(), "size")
     placed = sized.withColumn("at", F.row_number().over(order)).join(spans, F.col("category").eqNullSafe(F.col("_category")) & (F.col("span") == F.col("_span")))
     placed = placed.withColumn("at", F.col("base") + F.col("at") - 1).select("category", "key", "size", "at", F.expr(f"at div {CHUNK}").alias("chunk"))
@@ -78,8 +95,18 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
         ends, begun = chunk_map(frame["size"].tolist(), own, rows, chars, alone, **limits)
         return pd.DataFrame({"category": [frame["category"].iloc[0]], "chunk": [frame["chunk"].iloc[0]], "ends": [ends], "begun": [begun]})
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, first, base, out = frame.sort_values("chunk"), 0, 0, []
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        """The map of neighbouring chunks one after another."""
+        ends, begun = np.arange(rows + 1), np.zeros(rows + 1, np.int64)
+        frame = frame.sort_values("chunk")
+        for e, b in zip(frame["ends"], frame["begun"]):
+            begun, ends = begun + np.asarray(b)[ends], np.asarray(e)[ends]
+        return pd.DataFrame({"category": [frame["category"].iloc[0]], "chunk": [frame["chunk"].iloc[0] // TOGETHER], "ends": [ends.tolist()], "begun": [begun.tolist()]})
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        """Each chunk's first start and batch number, from those of the chunks together."""
+        frame, out = frame.sort_values("chunk"), []
+        first, base = int(frame["first"].iloc[0]), int(frame["base"].iloc[0])
         for ends, begun in zip(frame["ends"], frame["begun"]):
             out.append((first, base))
             first, base = int(ends[first]), base + int(begun[first])
@@ -93,8 +120,20 @@ def pack_whole(work: DataFrame, category: str, key: str, text: str, rows: int =
         return frame.assign(batch=batch)[["category", "key", "batch"]]
 
     halo = placed.where((F.col("at") % CHUNK <= rows) & (F.col("chunk") > 0)).withColumn("chunk", F.col("chunk") - 1)
-    done = placed.unionByName(halo).groupBy("category", "chunk").applyInPandas(maps, f"category {kind}, chunk long, ends array<long>, begun array<long>")
-    starts = done.groupBy("category").applyInPandas(chain, f"category {kind}, chunk long, first long, base long")  # a row per chunk
+    maps_kind = f"category {kind}, chunk long, ends array<long>, begun array<long>"
+    done = placed.unionByName(halo).groupBy("category", "chunk").applyInPandas(maps, maps_kind)
+    most = sized.groupBy("category").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    chunks, levels = -(-most // CHUNK), [done]
+    if chunks > 1:  # else there is no map to look at
+        levels = [kept(done)]
+    while chunks > 1:
+        levels.append(levels[-1].groupBy("category", F.expr(f"chunk div {TOGETHER}")).applyInPandas(compose, maps_kind))
+        chunks = -(-chunks // TOGETHER)
+    starts = levels.pop().select("category", "chunk", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("base"))  # one a category
+    for level in reversed(levels):
+        known = starts.withColumnsRenamed({"category": "_category", "chunk": "_chunk"})
+        met = level.withColumn("_above", F.expr(f"chunk div {TOGETHER}")).join(known, F.col("category").eqNullSafe(F.col("_category")) & (F.col("_above") == F.col("_chunk")))
+        starts = met.select("category", "chunk", "ends", "begun", "first", "base", "_above").groupBy("category", "_above").applyInPandas(lambda f: begin(f.drop(columns="_above")), f"category {kind}, chunk long, first long, base long")
     starts = starts.withColumnsRenamed({"category": "_category", "chunk": "_chunk"})
     joined = placed.join(starts, F.col("category").eqNullSafe(F.col("_category")) & (F.col("chunk") == F.col("_chunk"))).select("category", "key", "size", "at", "chunk", "first", "base")
     out = joined.groupBy("category", "chunk").applyInPandas(fill, f"category {kind}, key long, batch long")
