@@ -28,6 +28,31 @@ def latest_state(log: DataFrame, key: str, order: list[Column], status: str, liv
     return last.where(F.col(f"_row.{status}") != tombstone).select(key, "_row.*")
 
 
+def first_and_last(rows: DataFrame, by: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """``by`` and, for each column, ``first_`` and ``last_`` of it: the rows that win where the first, or the last, of equal keys does."""
+    row, at = F.struct(*columns), F.struct(*order)
+    ends = rows.groupBy(*by).agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
+    return ends.select(*by, *[F.col(f"_{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in columns])
+
+
+def distinct_in_order(rows: DataFrame, by: list[str], item: str, order: Column, out: str) -> DataFrame:
+    """``by, out``: each group's distinct items in order of their first appearance (a list as long as a group has distinct items)."""
+    each = rows.groupBy(*by, item).agg(F.min(order).alias("_at"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", item))), lambda x: x[item]).alias(out))
+
+
+def set_operation(left: DataFrame, right: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """The distinct ``keys`` of both tables together (``union``), of both (``intersection``) or of the left alone (``difference``); null keys equal each other."""
+    x, y = left.select(*keys), right.select(*keys)
+    return {"union": x.union(y).distinct, "intersection": lambda: x.intersect(y), "difference": lambda: x.subtract(y)}[kind]()
+
+
+def gate_matches(requests: DataFrame, manifests: DataFrame, version: str = "version", sha: str = "sha") -> DataFrame:
+    """Requests with the manifests of the same version and hash; blanks around them and the case of hashes do not matter, nulls match nothing."""
+    same = lambda d: d.withColumns({version: F.trim(version), sha: F.lower(F.trim(sha))})
+    return same(requests).join(same(manifests), [version, sha])
+
+
 def first_members(rows: DataFrame, by: list[str], member: str, k: int, out: str = "first") -> DataFrame:
     """``by, out``: the first ``k`` distinct members of each group, in order.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as D
 from ..functions import text as X
 from ..operators import protection as K
+from ..operators import stats as O
 from ..plans import audit as A
 from ..plans import gates as J
 from ..plans import rules as R
@@ -346,7 +347,7 @@ def gate_matches(spark, sf_dir):
     line = F.col("l_linenumber").cast("string")
     requests = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"), F.upper(F.sha2((F.col("o_custkey") % 3 + 1).cast("string"), 256)).alias("sha"))
     manifests = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("version"), F.sha2(line, 256).alias("sha"), "l_linenumber")
-    return requests.withColumn("sha", F.lower("sha")).join(manifests.withColumn("sha", F.lower("sha")), ["version", "sha"]).select("o_orderkey", "l_linenumber")
+    return O.gate_matches(requests, manifests).select("o_orderkey", "l_linenumber")
 
 
 @query("SELECT count(*) > 0 AS present FROM conversations WHERE contains(text, 'nicht')")

@@ -10,6 +10,7 @@ from ..operators import approvals as V
 from ..operators import files as Z
 from ..operators import ladder as L
 from ..operators import repairs as E
+from ..operators import stats as O
 from ..sources import catalogs as C
 from ..sources import reports as W
 from ..streaming.live import shared_folder
@@ -218,15 +219,15 @@ def composed_phrases(spark, sf_dir):
 @query("SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS first, max_by(o_orderpriority, o_orderkey) AS last, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS states FROM orders GROUP BY o_custkey")
 def first_and_last(spark, sf_dir):
     """First wins, last wins, and the distinct states of each customer."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey")
-    return o.agg(F.min_by("o_orderpriority", "o_orderkey").alias("first"), F.max_by("o_orderpriority", "o_orderkey").alias("last"), F.array_sort(F.collect_set("o_orderstatus")).alias("states"))
+    o = table(spark, sf_dir, "orders")
+    ends = O.first_and_last(o, ["o_custkey"], [F.col("o_orderkey")], ["o_orderpriority"]).withColumnsRenamed({"first_o_orderpriority": "first", "last_o_orderpriority": "last"})
+    return ends.join(o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("states")), "o_custkey")
 
 
 @query("SELECT o_custkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS states FROM (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey)")
 def ordered_distinct(spark, sf_dir):
     """Each customer's states in order of first appearance."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("k"))  # three states a customer
-    return o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "o_orderstatus"))), lambda x: x["o_orderstatus"]).alias("states"))
+    return O.distinct_in_order(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", F.col("o_orderkey"), "states")
 
 
 # --- files ------------------------------------------------------------------
