@@ -147,12 +147,11 @@ def quality_gate(spark, sf_dir):
 
 
 @query(f"""SELECT k, CASE WHEN trim(b) = '' THEN 'EMPTY' WHEN contains(b, '<think>') THEN 'ARTIFACT' WHEN contains(b, '<b>') <> contains(a, '<b>') THEN 'FORM'
- WHEN f = 6 THEN 'PERCENTAGE' WHEN len(regexp_extract_all(a, '\\p{{L}}+')) >= 8 AND len(regexp_extract_all(b, '\\p{{L}}+')) < ceil(len(regexp_extract_all(a, '\\p{{L}}+')) * 0.35) THEN 'SHORT' WHEN a = b AND len(regexp_extract_all(a, '\\p{{L}}+')) >= 2 THEN 'COPY' END AS problem FROM {_FAULTY} WHERE NOT regexp_matches(a || b, '[0-9] ?%|% ?[0-9]') OR f = 6""")
+ WHEN f = 6 THEN 'PERCENTAGE' WHEN len(regexp_extract_all(a, '\\p{{L}}+')) >= 8 AND len(regexp_extract_all(b, '\\p{{L}}+')) < ceil(len(regexp_extract_all(a, '\\p{{L}}+')) * 0.35) THEN 'SHORT' WHEN a = b AND len(regexp_extract_all(a, '\\p{{L}}+')) >= 2 THEN 'COPY' END AS problem FROM {_FAULTY}""")
 def generated_gate(spark, sf_dir):
     """Why generated values are turned down."""
     a, b = F.col("a"), F.col("b")
-    rows = faulty(spark, sf_dir).where(~F.concat("a", "b").rlike("[0-9] ?%|% ?[0-9]") | (F.col("f") == 6))
-    return rows.select("k", A.generated_problem(A.Gate(repeats=10**6), a, b, a.contains("<b>") == b.contains("<b>")).alias("problem"))
+    return faulty(spark, sf_dir).select("k", A.generated_problem(A.Gate(repeats=10**6), a, b, a.contains("<b>") == b.contains("<b>")).alias("problem"))
 
 
 @query(f"""SELECT CAST(k AS VARCHAR) AS key, CASE WHEN regexp_matches(a, '(^|[^\\p{{L}}’''-])(die und)([^\\p{{L}}’''-]|$)') THEN 'die und' ELSE 'und' END AS term, CASE WHEN regexp_matches(a, '(^|[^\\p{{L}}’''-])(die und)([^\\p{{L}}’''-]|$)') THEN 'ile beraber' ELSE 've' END AS expected
@@ -161,7 +160,7 @@ def generated_gate(spark, sf_dir):
 def required_terms(spark, sf_dir):
     """Pairs whose source has a term that the target does not render, the longest term of each."""
     terms = spark.createDataFrame([("und", "ve"), ("die und", "ile beraber")], "term string, value string")
-    rows = faulty(spark, sf_dir).select(F.col("k").cast("string").alias("k"), F.regexp_replace("a", "[^\\p{L}’'-]+", " ").alias("a"), "b")
+    rows = faulty(spark, sf_dir).select(F.col("k").cast("string").alias("k"), "a", "b")
     return A.terms_problem(rows, "k", "a", "b", terms)
 
 
@@ -249,13 +248,12 @@ def protected_values(spark, sf_dir):
     return K.keeps_value(c, "c_mktsegment", "category", values, ["1", "2"]).select("c_custkey", "protected")
 
 
-@query("""SELECT doc_id, lower(trim(text)) IN ('door') OR regexp_matches(s, '(?i)lorem') OR (n >= 4 AND low >= 2 AND (regexp_matches(text, '[.!?;:<]') OR contains(text, chr(92) || 'n'))) OR (n >= 7 AND low >= 3) AS visible, n = 1 AND contains(text, '_') AS internal, length(text) >= 2 AND (length(text) > 600 OR regexp_matches(text, '[\\p{Latin}\\p{Cyrillic}]')) AS worth
-FROM (SELECT *, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{Ll}'))) AS low FROM (SELECT doc_id, text, s, regexp_extract_all(s, '\\p{L}[\\p{L}''’-]*') AS w FROM (SELECT doc_id, text, regexp_replace(replace(text, chr(92) || 'n', ' '), '<[^>]+>', ' ', 'g') AS s FROM documents WHERE NOT contains(text, '_') AND NOT regexp_matches(text, '^\\s*\\['))))""")
+@query("""SELECT doc_id, lower(trim(text)) IN ('door') OR regexp_matches(s, '(?i)lorem') OR (n >= 4 AND low >= 2 AND (regexp_matches(text, '[.!?;:<]') OR contains(text, chr(92) || 'n'))) OR (n >= 7 AND low >= 3) AS visible, regexp_matches(text, '%%% [A-Z]') OR (contains(text, '_') AND NOT regexp_matches(text, '\\s')) OR regexp_matches(text, '^\\s*\\[[^\\]]*\\]\\s*$') AS internal, length(text) >= 2 AND (length(text) > 600 OR regexp_matches(text, '[\\p{Latin}\\p{Cyrillic}]')) AS worth
+FROM (SELECT *, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{Ll}'))) AS low FROM (SELECT doc_id, text, s, regexp_extract_all(s, '\\p{L}[\\p{L}''’-]*') AS w FROM (SELECT doc_id, text, regexp_replace(replace(text, chr(92) || 'n', ' '), '<[^>]+>', ' ', 'g') AS s FROM documents)))""")
 def text_kinds(spark, sf_dir):
     """Which texts players see, which are developers' notes, and which are worth a translator's time."""
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").contains("_") & ~F.col("text").rlike(r"^\s*\["))
-    t = F.col("text")
-    return rows.select("doc_id", K.visible_world(t, ["door"], "(?i)lorem").alias("visible"), K.internal_text(t, "\x00").alias("internal"), K.worth_translating(t).alias("worth"))
+    rows, t = table(spark, sf_dir, "documents"), F.col("text")
+    return rows.select("doc_id", K.visible_world(t, ["door"], "(?i)lorem").alias("visible"), K.internal_text(t, "%%% [A-Z]").alias("internal"), K.worth_translating(t).alias("worth"))
 
 
 @query("SELECT min(p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || upper(p_type) END) AS name, length(min(p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || upper(p_type) END)) AS length FROM part WHERE p_brand LIKE 'Brand#1%' AND regexp_matches(p_name, '\\p{L}{2}') GROUP BY lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || upper(p_type) END)")

@@ -269,10 +269,10 @@ def file_states(spark, sf_dir):
     return Z.file_states(docs.where("doc_id % 9 <> 8").select("component", "sha"), same(0), same(1), same(2))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN sha256(text) ELSE sha256(CAST(strlen(text) AS VARCHAR) || left(text, 100) || right(text, 100)) END AS fingerprint FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN sha256(text) ELSE sha256(encode(CAST(strlen(text) AS VARCHAR)) || unhex(left(hex(encode(text)), 200)) || unhex(right(hex(encode(text)), 200))) END AS fingerprint FROM documents")
 def quick_fingerprints(spark, sf_dir):
-    """Fingerprints of large contents from their length and ends; texts in ASCII, so bytes are characters."""
-    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    """Fingerprints of large contents from their length and the bytes of their ends."""
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", Z.quick_fingerprint(F.col("text").cast("binary"), 2000, 100).alias("fingerprint"))
 
 

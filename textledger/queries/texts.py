@@ -122,13 +122,13 @@ def percent_lists(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (D.percentages(source) == D.percentages(target)).alias("same"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN regexp_extract(p_name, '^[a-z]+') || 'taşı' END AS glued, CASE WHEN p_size % 3 = 1 AND length(regexp_extract(p_name, '[a-z]+$')) >= 4 AND regexp_extract(p_name, '[a-z]+$') <> 'ring' THEN regexp_extract(p_name, '[a-z]+$') END AS copied FROM part WHERE length(regexp_extract(p_name, '^[a-z]+')) >= 4")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND length(regexp_extract(p_name, '^[a-z]+')) >= 4 THEN regexp_extract(p_name, '^[a-z]+') || 'taşı' END AS glued, CASE WHEN p_size % 3 = 1 AND length(regexp_extract(p_name, '[a-z]+$')) >= 4 AND regexp_extract(p_name, '[a-z]+$') <> 'ring' THEN regexp_extract(p_name, '[a-z]+$') END AS copied FROM part")
 def glued_and_copied(spark, sf_dir):
     """Source words glued to others in the target, and source words left as they are."""
     first, last = F.regexp_extract("p_name", "^[a-z]+", 0), F.regexp_extract("p_name", "[a-z]+$", 0)
     kind = F.col("p_size") % 3
     target = F.when(kind == 0, F.concat(first, F.lit("taşı"))).when(kind == 1, F.concat(F.lit("bir "), last)).otherwise(F.concat(first, F.lit("lar")))
-    rows = table(spark, sf_dir, "part").where(F.length(first) >= 4)
+    rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", G.glued_word(F.col("p_name"), target, ["lar", "ler"]).alias("glued"), G.copied_word(F.col("p_name"), target, ["ring"]).alias("copied"))
 
 
@@ -185,9 +185,10 @@ def generated_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(G.generated(said), 256).alias("clean_sha256"), G.short_error(F.col("text")).alias("short"))
 
 
-@query("SELECT conv_id, turn, sha256(replace(CASE WHEN turn % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END, chr(10), chr(92) || 'n')) AS as_was, sha256(replace(text, chr(10), chr(92) || 'n')) AS repaired FROM conversations WHERE NOT contains(text, chr(10) || chr(10))")
+@query("SELECT conv_id, turn, sha256(replace(CASE WHEN turn % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END, chr(10), chr(92) || 'n')) AS as_was, sha256(CASE WHEN turn % 2 = 0 AND contains(text, chr(10) || chr(10)) THEN replace(text, chr(10), chr(92) || 'n' || chr(92) || 'n') ELSE replace(text, chr(10), chr(92) || 'n') END) AS repaired FROM conversations")
 def newline_repairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n\n"))
+    """Doubled line feeds made single where the source has single ones only."""
+    rows = table(spark, sf_dir, "conversations")
     one = F.replace("text", F.lit("\n"), F.lit("\\n"))
     was = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\\n\\n"))).otherwise(one)
     return rows.select("conv_id", "turn", F.sha2(was, 256).alias("as_was"), F.sha2(G.single_newlines(one, was), 256).alias("repaired"))
@@ -220,19 +221,26 @@ def gibberish_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.gibberish(text).alias("gibberish"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<[^>]*>')) AS tokens, length(html) AS rejoined FROM (SELECT page_id, translate(html, '[]{}%\\', '') AS html FROM pages)")
+# Whole pages with every kind of token behind them.
+_TOKENED = "(SELECT page_id, html || ' [#1] %name% ' || chr(92) || 'n{[~1]?word:} x' AS html FROM pages)"
+
+
+def tokened(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(" [#1] %name% \\n{[~1]?word:} x")).alias("html"))
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(html, '<[^>]*>')) + 5 AS tokens, length(html) AS rejoined FROM {_TOKENED}")
 def token_segments(spark, sf_dir):
-    """Pages cut into tokens, blanks and prose, and joined again; without the marks of bracket atoms, variables and escapes."""
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.translate("html", "[]{}%\\", ""))
-    cut = pages.select("page_id", "html", T.token_segments("html").alias("s"))
-    tokens = F.size(F.filter("s", lambda x: ~x["prose"] & x["text"].startswith("<")))
+    """Pages cut into tokens, blanks and prose, and joined again: tags, and the last five tokens of other kinds."""
+    cut = tokened(spark, sf_dir).select("page_id", "html", T.token_segments("html").alias("s"))
+    tokens = F.size(F.filter("s", lambda x: ~x["prose"] & (x["text"].startswith("<") | x["text"].isin("[#1]", "%name%", "\\n", "{[~1]?", ":"))))
     return cut.select("page_id", tokens.cast("long").alias("tokens"), F.length(F.array_join(F.transform("s", lambda x: x["text"]), "")).cast("long").alias("rejoined"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<[^>]*>')) AS tokens, sha256(html) AS restored_sha256 FROM (SELECT page_id, translate(html, '[]{}%\\', '') AS html FROM pages)")
+@query(f"SELECT page_id, len(regexp_extract_all(regexp_replace(html, '[{{]\\[~1\\][?]word:[}}]', ''), '<[^>]*>|[{{}}]')) + 6 AS tokens, sha256(html) AS restored_sha256 FROM {_TOKENED}")
 def masked_tokens(spark, sf_dir):
-    """Pages with tokens masked by private characters, and restored."""
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.translate("html", "[]{}%\\", "")).select("page_id", T.masked_text("html").alias("m"))
+    """Pages with tokens masked by private characters, and restored: tags, braces, and six tokens of other kinds."""
+    pages = tokened(spark, sf_dir).select("page_id", T.masked_text("html").alias("m"))
     return pages.select("page_id", F.size("m.tokens").cast("long").alias("tokens"), F.sha2(T.unmasked_text("m.masked", "m.tokens"), 256).alias("restored_sha256"))
 
 

@@ -7,6 +7,7 @@ micro-batches is in Spark's state store, or in tables below
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -18,10 +19,13 @@ FANOUT = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``."""
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) gets one of its own; on a cluster it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
 
 
