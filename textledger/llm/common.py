@@ -219,6 +219,43 @@ def slices(batches: Iterable, rows: int = 256) -> Iterator:
             yield batch.slice(i, rows)
 
 
+#: Bits of a key filter: a fixed size, so it may go to every task. With ever more keys it lets ever more rows pass, but loses none.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of two bits a key, as words of 32 bits; see ``may_be_in``."""
+    h = F.xxhash64(key)
+    places = keys.select(F.explode(F.array(h, F.shiftright(h, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 31 as int))")
+    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # FILTER_BITS / 32 rows at most
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def may_be_in(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether keys of these ``xxhash64`` values may be in a filter (those that are, are)."""
+    out = np.ones(len(hashes), bool)
+    for h in (hashes, hashes >> 32):
+        at = h & (FILTER_BITS - 1)
+        out &= (filter_[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+    return out
+
+
+def likely(df: DataFrame, wanted: DataFrame, key: str = "text_key") -> DataFrame:
+    """``df`` without most of its rows whose ``key`` is none of ``wanted``'s; all others stay."""
+    names, shared = df.columns, df.sparkSession.sparkContext.broadcast(key_filter(wanted, key))  # FILTER_BITS
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            yield batch.filter(pa.array(may_be_in(shared.value, batch.column("_hash").to_numpy()))).select(names)
+
+    return df.withColumn("_hash", F.xxhash64(key)).mapInArrow(keep, df.schema)
+
+
 def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with its column ``text`` as compressed bytes, for shuffles that texts make up most of; nulls stay."""
     from pyspark.sql.types import BinaryType, StructField, StructType

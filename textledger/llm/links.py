@@ -5,7 +5,8 @@ its own (``rep``), whatever their ids, so repeated and null ids lose nothing.
 Nulls: a null text is in a class of its own; a null id counts behind all
 others. Empty texts and texts without words equal each other only where they
 are the same text. Very long texts are compared whole. Ties go to the least id,
-then to the least text digest. Repeated rows share a class. An empty table
+then to the least text digest. Similarity is exact but for shingles of one
+text whose 32-bit hashes are equal, which count as one. Repeated rows share a class. An empty table
 gives no classes. Other columns of the input are not looked at.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, runs, settle, shingles, slices, squeezed, unsqueezed
+from .common import column, likely, runs, settle, shingles, slices, squeezed, unsqueezed
 
 #: Samples in a band; two texts of similarity s agree in one band with probability s ** BAND_ROWS.
 BAND_ROWS = 4
@@ -91,7 +92,8 @@ def vectors_of(wanted: DataFrame, rows: DataFrame, vectors: Callable, known: Dat
     ``known`` (``doc_id, text_key, dfs``) has what ``vectors`` needs besides the text.
 
     The texts are as many as the input makes them, so none are broadcast: texts
-    are shuffled once, compressed, whatever the size, and one row of each is kept.
+    are shuffled once, compressed, whatever the size, and one row of each is
+    kept. A filter of fixed size keeps most texts that no one wants out of it, and their frequencies.
     """
 
     def pack(batches):
@@ -100,10 +102,11 @@ def vectors_of(wanted: DataFrame, rows: DataFrame, vectors: Callable, known: Dat
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([_pack(v) for v in vectors(*given)], pa.binary())], names=["rep", "vector"])
 
     more, key = [], ["at", "text_key"]
+    asked = wanted = settle(wanted, "wanted")
     if known is not None:
         more.append("dfs")
-        wanted = known.select(_at().alias("at"), "text_key", "dfs").join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
-    found = squeezed(rows.select(_at().alias("at"), "text_key", "text")).join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
+        wanted = likely(known.select(_at().alias("at"), "text_key", "dfs"), asked).join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
+    found = squeezed(likely(rows.select(_at().alias("at"), "text_key", "text"), asked)).join(wanted.hint("shuffle_hash"), key).dropDuplicates(key)
     return settle(found.select("rep", "text", *more).mapInArrow(pack, "rep long, vector binary"), "vectors")
 
 

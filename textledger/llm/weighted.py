@@ -2,9 +2,10 @@
 
 A shingle's weight is its count in the text times its inverse document
 frequency, and document frequencies are exact: texts are written in blocks,
-each block deals its sorted 64-bit shingle hashes to ``cells`` by their first
-bits, all cells of the same bits are counted together, and each cell gets back
-the counts in the order of its shingles. So every text has the frequencies of
+each block deals its distinct 64-bit shingle hashes, with how many of its texts
+have each, to ``cells`` by their first bits, all cells of the same bits are added
+up together, and each cell gets back the sums in the order of its shingles. So
+the most frequent shingle is one entry a block, however many texts have it. So every text has the frequencies of
 its own shingles, and no table of all shingles is shared.
 
 Nulls: a null text is in a class of its own; an empty text or one without
@@ -36,7 +37,8 @@ _DRAWS = 1 << 16
 SEED = 20240602
 
 _BLOCKS = "block long, doc_id array<long>, text_key array<string>, text array<string>"
-_CELLS = "block long, part long, data binary"
+_CELLS = "block long, part long, data binary, n binary"
+_REPLIES = "block long, part long, data binary"
 _COUNTED = "doc_id long, text_key string, bands array<long>, dfs binary"
 
 
@@ -104,6 +106,19 @@ def _unfold(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _often(n: np.ndarray) -> bytes:
+    """Which counts are more than one, and those counts."""
+    at = np.flatnonzero(n > 1)
+    return np.concatenate((at, n[at])).astype("<u4").tobytes()
+
+
+def _times(data: bytes, size: int) -> np.ndarray:
+    at, n = np.frombuffer(data, "<u4").reshape(2, -1)
+    out = np.ones(size, np.int64)
+    out[at] = n
+    return out
+
+
 def _entries(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """The texts' distinct shingles, and all of them laid end to end."""
     own = [h for h, _ in _distinct(texts)]
@@ -135,20 +150,21 @@ def _cells(bits: int):
     def cells(batches):
         for batch in slices(batches, 1):
             block = batch.column("block")[0].as_py()
-            hashes = np.sort(_entries(batch.column("text")[0].as_py())[1])
+            hashes, n = np.unique(_entries(batch.column("text")[0].as_py())[1], return_counts=True)
             parts = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.diff(parts, prepend=-1))
             for a, b in zip(at, np.append(at[1:], len(parts))):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts[a]], pa.int64()), pa.array([_fold(hashes[a:b])], pa.binary())], names=["block", "part", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts[a]], pa.int64()), pa.array([_fold(hashes[a:b])], pa.binary()), pa.array([_often(n[a:b])], pa.binary())], names=["block", "part", "data", "n"])
 
     return cells
 
 
 def _count(cells: pa.Table) -> pa.Table:
-    """For all cells of a part: how many texts have each entry's shingle."""
+    """For all cells of a part: in how many texts of all blocks each entry's shingle is."""
     found = [_unfold(x) for x in cells.column("data").to_pylist()]
-    _, which, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    counts = np.split(n[which].astype("<u4"), np.cumsum([len(x) for x in found])[:-1])
+    own = np.concatenate([_times(x, len(f)) for x, f in zip(cells.column("n").to_pylist(), found)])
+    _, which = np.unique(np.concatenate(found), return_inverse=True)
+    counts = np.split(np.bincount(which, own)[which].astype("<u4"), np.cumsum([len(x) for x in found])[:-1])
     return pa.Table.from_arrays([cells.column("block").combine_chunks(), cells.column("part").combine_chunks(), pa.array([x.tobytes() for x in counts], pa.binary())], names=["block", "part", "data"])
 
 
@@ -158,8 +174,7 @@ def _banded(n: int):
         texts = block.column("text")[0].as_py()
         own, hashes = _entries(texts)
         replies = sorted(zip(counts.column("part").to_pylist(), counts.column("data").to_pylist()))
-        flat = np.zeros(len(hashes), "<u4")
-        flat[np.argsort(hashes, kind="stable")] = np.frombuffer(b"".join(x for _, x in replies), "<u4")
+        flat = np.frombuffer(b"".join(x for _, x in replies), "<u4")[np.unique(hashes, return_inverse=True)[1]]
         dfs = [x.tobytes() for x in np.split(flat, np.cumsum([len(x) for x in own])[:-1])]
         samples = np.concatenate([consistent_samples(counted_vectors(texts[i:j], dfs[i:j], n)) for i, j in runs(texts)])
         bare = np.flatnonzero(~samples.any(axis=1))  # no words: near nothing else
@@ -219,7 +234,7 @@ def counted_bands(rows: DataFrame) -> tuple[DataFrame, int]:
     size = blocks.select(F.size("doc_id").alias("n"), F.expr("aggregate(text, 0L, (s, t) -> s + length(t))").alias("chars")).agg(F.sum("n"), F.sum("chars")).first()
     n, chars = size[0] or 0, size[1] or 0
     bits = (max(GROUPS, chars // GROUP_CHARS) - 1).bit_length()
-    counts = blocks.select("block", "text").mapInArrow(_cells(bits), _CELLS).groupBy("part").applyInArrow(_count, _CELLS)
+    counts = blocks.select("block", "text").mapInArrow(_cells(bits), _CELLS).groupBy("part").applyInArrow(_count, _REPLIES)
     return settle(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_banded(n), _COUNTED), "icws-bands"), n
 
 
