@@ -398,13 +398,20 @@ def test_op10_digests_and_ranks(spark, documents):
     for i, text, _, _ in documents:
         own = np.array(plain.encode(text, add_special_tokens=False).ids + [0], "<u4")
         assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(own), zlib.crc32(own.tobytes()))
+        assert (rows[i]["first_id"], rows[i]["ends"]) == (own[0], (own == 0).sum())
         at += len(own)
         ids.append(own)
-    ids = np.concatenate(ids)
+    plain_ids, ids = dict(zip([d[0] for d in documents], ids)), np.concatenate(ids)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found, locations = 0, []
     token = int(np.bincount(ids).argmax())
-    parts = tokens.write_shards(docs, registry.TOKENIZER).orderBy("bucket", "part").collect()
+    shards = tokens.write_shards(docs, registry.TOKENIZER)
+    rare = int(np.unique(ids)[7])
+    want = {(i, t): int((own == t).sum()) for i, own in plain_ids.items() for t in (token, rare) if (own == t).any()}
+    assert {(r["doc_id"], r["token"]): r["n"] for r in tokens.token_counts(shards, [token, rare, 2**30]).collect()} == want
+    assert sorted(map(tuple, tokens.token_places(shards, token).collect())) == [(i, int(k)) for i, own in plain_ids.items() for k in np.flatnonzero(own == token)]
+    assert {r["doc_id"]: r["id"] for r in tokens.ids_at(shards, 3).collect()} == {i: int(own[3]) if len(own) > 3 else None for i, own in plain_ids.items()}
+    parts = shards.orderBy("bucket", "part").collect()
     base = 0
     for p in parts:
         w = tokens.Wavelet(p["n_tokens"], [(q["bits"], q["ranks"], q["zeros"]) for q in p["planes"]])

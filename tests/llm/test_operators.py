@@ -332,6 +332,9 @@ def test_wavelet(ids, data):
     assert w.access(i) == ids[i] and w.count(ids[i]) == ids.count(ids[i]) and w.count(ids[i], 0, i) == ids[:i].count(ids[i])
     k = data.draw(st.integers(0, ids.count(ids[i]) - 1))
     assert w.locate(ids[i], k) == [j for j, x in enumerate(ids) if x == ids[i]][k]
+    at = np.arange(len(ids))
+    assert w.accesses(at).tolist() == ids and w.places(ids[i]).tolist() == [j for j, x in enumerate(ids) if x == ids[i]] and not len(w.places(2**20))
+    assert w.counts(ids[i], np.zeros(len(at), np.int64), at + 1).tolist() == np.cumsum(seq == ids[i]).tolist() and not w.counts(2**20, at, at + 1).any()
 
 
 def test_token_files(docs, none, texts):

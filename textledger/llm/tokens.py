@@ -204,6 +204,7 @@ class Wavelet:
         self.raw = [np.frombuffer(bits, np.uint8) for bits, _, _ in planes]
         self.ranks = [np.frombuffer(ranks, "<u4") for _, ranks, _ in planes]
         self.zeros = [z for _, _, z in planes]
+        self._padded = None
 
     @staticmethod
     def build(ids: np.ndarray) -> list[tuple[bytes, bytes, int]]:
@@ -277,6 +278,63 @@ class Wavelet:
             i = self.select(level, one, i - self.zeros[level] if one else i)
         return i
 
+    def _rows(self, level: int, group: np.ndarray) -> np.ndarray:
+        """The bytes of groups of bits, as rows."""
+        if self._padded is None:
+            size = _GROUP // 8
+            self._padded = [np.pad(raw, (0, size - len(raw) % size)).reshape(-1, size) for raw in self.raw]
+        return self._padded[level][np.minimum(group, len(self._padded[level]) - 1)]
+
+    def ranks1(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each of many positions: the directory's count and those of the group's bytes."""
+        group, rest = at // _GROUP, at % _GROUP
+        known = np.append(self.ranks[level].astype(np.int64), self.n - self.zeros[level])
+        rows = self._rows(level, group)
+        whole = np.bitwise_count(rows) * (np.arange(_GROUP // 8) < (rest >> 3)[:, None])
+        last = np.take_along_axis(rows, (rest >> 3)[:, None], 1)[:, 0] & (0xFF00 >> (rest & 7)).astype(np.uint8)
+        return np.where(at >= self.n, known[-1], known[np.minimum(group, len(known) - 1)] + whole.sum(axis=1, dtype=np.int64) + np.bitwise_count(last))
+
+    def selects(self, level: int, one: bool, k: np.ndarray) -> np.ndarray:
+        """Positions of the ones or zeros of many ranks."""
+        starts = self.ranks[level].astype(np.int64)
+        if not one:
+            starts = np.arange(len(starts)) * _GROUP - starts
+        group = np.searchsorted(starts, k, "right") - 1
+        bits = np.unpackbits(self._rows(level, group), axis=1)
+        bits = bits if one else 1 - bits
+        return group * _GROUP + np.argmax(np.cumsum(bits, axis=1) > (k - starts[group])[:, None], axis=1)
+
+    def accesses(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many positions."""
+        out = np.zeros(len(at), np.int64)
+        for level in range(self.depth):
+            ones = self.ranks1(level, at)
+            bit = self.raw[level][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            out = out << 1 | bit
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+        return out
+
+    def counts(self, token: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Occurrences of ``token`` in many ranges of positions."""
+        if token >> self.depth:
+            return np.zeros(len(a), np.int64)
+        for level in range(self.depth):
+            x, y = self.ranks1(level, a), self.ranks1(level, b)
+            one = token >> (self.depth - 1 - level) & 1
+            a, b = (self.zeros[level] + x, self.zeros[level] + y) if one else (a - x, b - y)
+        return b - a
+
+    def places(self, token: int) -> np.ndarray:
+        """The positions of all occurrences of ``token``, ascending."""
+        if token >> self.depth:
+            return np.zeros(0, np.int64)
+        a, b = self._range(token, 0, self.n)
+        at = np.arange(a, b)
+        for level in range(self.depth - 1, -1, -1):
+            one = bool(token >> (self.depth - 1 - level) & 1)
+            at = self.selects(level, one, at - self.zeros[level] if one else at) if len(at) else at
+        return at
+
     def decode(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last level up."""
         kind = np.uint16 if self.depth <= 16 else np.uint32
@@ -334,18 +392,75 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = END_ID) -> DataFram
     return settle(dealt.mapInArrow(_pack(tokenizer, end), SHARD), "tokens")
 
 
-def _documents(batches):
-    for batch in slices(batches, 1):
-        row = batch.to_pylist()[0]
-        ids = Wavelet(row["n_tokens"], [(p["bits"], p["ranks"], p["zeros"]) for p in row["planes"]]).decode().astype("<u4")
-        at = np.concatenate(([0], np.cumsum(row["lengths"])))
-        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at, at[1:])]
-        n = len(crc)
-        yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at[:-1] + row["before"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64()), pa.array([row["bucket"]] * n, pa.int32()), pa.array([row["part"]] * n, pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "bucket", "part"])
+def _open(row: dict) -> tuple[Wavelet, np.ndarray]:
+    """A shard's matrix, and where its documents begin and end."""
+    wavelet = Wavelet(row["n_tokens"], [(p["bits"], p["ranks"], p["zeros"]) for p in row["planes"]])
+    return wavelet, np.concatenate(([0], np.cumsum(row["lengths"]))).astype(np.int64)
+
+
+def _documents(end: int):
+    def documents(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            wavelet, at = _open(row)
+            ids = wavelet.decode().astype("<u4")
+            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at, at[1:])]
+            n = len(crc)
+            more = [wavelet.accesses(at[:-1]), wavelet.counts(end, at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at[:-1] + row["before"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64()), pa.array([row["bucket"]] * n, pa.int32()), pa.array([row["part"]] * n, pa.int32()), *[pa.array(x, pa.int64()) for x in more]], names=["doc_id", "start", "n_tokens", "ids_crc32", "bucket", "part", "first_id", "ends"])
 
+    return documents
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """From written shards: ``doc_id, start, n_tokens, ids_crc32, bucket, part`` of every document."""
+
+def ids_at(shards: DataFrame, offset: int) -> DataFrame:
+    """``doc_id, id``: the id at ``offset`` of every document, by access alone; null where the document is shorter."""
+
+    def find(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            wavelet, at = _open(row)
+            there = np.array(row["lengths"], np.int64) > offset
+            ids = np.zeros(len(there), np.int64)
+            ids[there] = wavelet.accesses(at[:-1][there] + offset)
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(ids, pa.int64(), mask=~there)], names=["doc_id", "id"])
+
+    return shards.mapInArrow(find, "doc_id long, id long")
+
+
+def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``doc_id, token, n``: how often every document has each of ``tokens``, by rank alone; documents without one have no row for it."""
+
+    def find(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            wavelet, at = _open(row)
+            for token in tokens:
+                n = wavelet.counts(token, at[:-1], at[1:])
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in some], pa.int64()), pa.array([token] * len(some), pa.int64()), pa.array(n[some])], names=["doc_id", "token", "n"])
+
+    return shards.mapInArrow(find, "doc_id long, token long, n long")
+
+
+def token_places(shards: DataFrame, token: int) -> DataFrame:
+    """``doc_id, offset`` of every occurrence of ``token``, by rank and select alone."""
+
+    def find(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            wavelet, at = _open(row)
+            places = wavelet.places(token)
+            doc = np.searchsorted(at, places, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in doc], pa.int64()), pa.array(places - at[doc])], names=["doc_id", "offset"])
+
+    return shards.mapInArrow(find, "doc_id long, offset long")
+
+
+def read_documents(shards: DataFrame, end: int = END_ID) -> DataFrame:
+    """From written shards: ``doc_id, start, n_tokens, ids_crc32, bucket, part, first_id, ends`` of every document.
+
+    The first id is found by access and the number of end ids by rank.
+    """
     sizes = shards.groupBy("bucket").agg(F.sum("n_tokens").alias("all"))  # a row per bucket
     base = sizes.withColumn("base", F.coalesce(F.sum("all").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("bucket", "base")
     parts = shards.select("bucket", "part", "n_tokens")
@@ -353,4 +468,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
     offsets = parts.join(base, "bucket").select("bucket", "part", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).alias("before"))
     # Three numbers per shard. They grow with the input, so the join is Spark's choice, by the size of the written table.
     placed = shards.join(settle(offsets, "offsets"), ["bucket", "part"])
-    return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, bucket int, part int")
+    return placed.mapInArrow(_documents(end), "doc_id long, start long, n_tokens long, ids_crc32 long, bucket int, part int, first_id long, ends long")
