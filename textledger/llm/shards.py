@@ -123,6 +123,8 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
 
 
 def document_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Shards of documents by their length and language."""
-    lang = F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return kd_shards(docs, {"length": F.log(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + F.lit(1.0)), "language": lang}, shards=shards)
+    """Shards of documents by how long they are and how densely words stand in them (words a byte; 0 where there is no text)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(text)
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    return kd_shards(docs, {"length": F.log(size + F.lit(1.0)), "density": words / F.greatest(size, F.lit(1))}, shards=shards)
