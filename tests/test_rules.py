@@ -111,3 +111,23 @@ def test_names_are_no_leftovers(spark):
     rows = spark.createDataFrame([("The Lord nagged", "The Lord geldi"), (None, "x")], "a string, b string")
     got = [tuple(r["r"]) for r in rows.select(G.first_reason(G.ACCEPTANCE, F.col("a"), F.col("b"), ["The Lord"]).alias("r")).collect()]
     assert got == [(None, None), (None, None)]
+
+
+def test_desktop_analysis(spark):
+    from textledger.plans import statuses as S
+
+    cases = [
+        ("the name", "ad?'ın", "BOZUK_KODLAMA"), ("a b", "ad?ın", "BOZUK_NOKTALAMA"), ("see https://a.b/x?y=1 now", "bak https://a.b/x?y=1 şimdi", "CEVRILDI"),
+        ("Action points", "eylem noktası", "YANLIS_TERIM"), ("5 x", "5 puanlar", "YAZIM_ANLAM_SUPHESI"), ("each turn", "dönüş başına", "YAZIM_ANLAM_SUPHESI"),
+        ("Dragoturkey", "atlı hindi", "YANLIS_TERIM"), ("Defeat Bob", "Yenilgi Bob", "YANLIS_TERIM"), ("on a thing", "bir a şey", "INGILIZCE_KALINTISI"),
+        ("Open the chest", "göğsü aç", "YANLIS_TERIM"), ("Harvest it", "harvest et", "INGILIZCE_KALINTISI"), ("HP +5", "", "TEKNIK_KORUNAN"), ("some words", " ", "EKSIK"),
+        ("some words", None, "EKSIK"), ("[#1] {x}", "y", "TEKNIK_KORUNAN"), ("a [#1] word", "bir sözcük", "BICIM_HATASI"), ("some words", "some words", "INGILIZCE_KALDI"),
+        ("one two three four five six seven eight nine", "bir", "EKSIK_CUMLE"), ("some words", "bÃ¼yü", "KODLAMA_HATASI"), ("some words", "Herşey iyi", "YAZIM_ANLAM_SUPHESI"),
+        ("some words", "gücü sahip", "YAZIM_ANLAM_SUPHESI"), ("some words", "Çeviri: x", "MODEL_ACIKLAMASI"), ("some words", "bazı The sözler", "INGILIZCE_KALINTISI"), ("some words", "bazı sözler", "CEVRILDI"), ("Bob", "Bob", "KORUNAN_AD"),
+    ]
+    rows = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(cases)], "k long, s string, t string")
+    out = {r["k"]: r for r in S.desktop_analysis(rows, "k", "s", "t", F.col("s") == "Bob").collect()}
+    assert [(s, t, out[i]["status"]) for i, (s, t, _) in enumerate(cases)] == cases
+    assert not out[11]["issue"] and out[12]["issue"]
+    more = spark.createDataFrame([(5, "CEVRILDI", "OK", "reviewed", "^24$")], "priority int, code string, severity string, reason string, key string")
+    assert S.desktop_analysis(rows, "k", "s", "t", F.col("s") == "Bob", more).where("k = 24").first()["reason"] == "reviewed"

@@ -13,6 +13,7 @@ from ..plans import audit as A
 from ..plans import gates as J
 from ..plans import rules as R
 from ..plans import ruletable as B
+from ..plans import statuses as S
 from .registry import query, table
 from .texts import PAIRS, pairs
 
@@ -201,6 +202,31 @@ def quality_reasons(spark, sf_dir):
     return rows.select("k", J.first_reason(J.QUALITY, F.col("a"), F.col("b")).alias("r")).select("k", "r.code", "r.detail")
 
 
+_DESKTOP = "list_has_any(list_transform(regexp_extract_all(b, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)), [" + ", ".join(f"'{w}'" for w in S.LEFT) + "])"
+
+
+@query(f"""SELECT k, CASE WHEN k % 7 = 0 THEN 'KORUNAN_AD' WHEN trim(b) = '' THEN 'EKSIK' WHEN f IN (11, 15) THEN 'BICIM_HATASI' WHEN trim(a) = trim(b) THEN 'INGILIZCE_KALDI'
+ WHEN (aw >= 8 AND bw < ceil(aw * 25 / 100)) OR (length(a) >= 45 AND length(b) < ceil(length(a) * 35 / 100)) THEN 'EKSIK_CUMLE' WHEN regexp_matches(b, 'Ã|Ä|Å|â€') THEN 'KODLAMA_HATASI' WHEN f = 12 THEN 'YAZIM_ANLAM_SUPHESI'
+ WHEN {_DESKTOP} THEN 'INGILIZCE_KALINTISI' ELSE 'CEVRILDI' END AS status, k % 7 <> 0 AND NOT (status = 'CEVRILDI') AS issue
+ FROM (SELECT *, len(regexp_extract_all(a, '\\p{{L}}+')) AS aw, len(regexp_extract_all(b, '\\p{{L}}+')) AS bw FROM {_FAULTY})""")
+def desktop_statuses(spark, sf_dir):
+    """The desktop analysis of every pair by its whole rule table."""
+    return S.desktop_analysis(faulty(spark, sf_dir), "k", "a", "b", F.col("k") % 7 == 0).drop("reason")
+
+
+_LEFT, _SHARED = (", ".join(f"'{w}'" for w in sorted(ws)) for ws in (J.LEFTOVERS, J.SHARED))
+
+
+@query(f"""SELECT k, CASE WHEN trim(b) = '' THEN 'EMPTY' WHEN f = 6 THEN 'PERCENTAGE' WHEN trim(a) = trim(b) AND regexp_matches(a, '[A-Za-z]{{3}}') THEN 'COPY'
+ WHEN la >= 8 AND lb < greatest(2, CAST(floor(la * 0.35) AS BIGINT)) THEN 'FEW_WORDS' WHEN length(a) >= 45 AND length(b) < CAST(floor(length(a) * 0.3) AS BIGINT) THEN 'SHORT' WHEN lo IS NOT NULL THEN 'LEFTOVER' WHEN co IS NOT NULL THEN 'COPIED_WORD' END AS code FROM (
+ SELECT k, f, a, b, len(regexp_extract_all(a, '[A-Za-zÇĞİÖŞÜçğıöşüÀ-ž'']+')) AS la, len(regexp_extract_all(b, '[A-Za-zÇĞİÖŞÜçğıöşüÀ-ž'']+')) AS lb,
+ list_filter(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w) IN ({_LEFT}))[1] AS lo,
+ list_filter(regexp_extract_all(a, '[A-Za-z]+'), lambda w: length(w) >= 4 AND lower(w) NOT IN ({_SHARED}) AND list_contains(list_transform(regexp_extract_all(b, '[A-Za-z]+'), lambda x: lower(x)), lower(w)))[1] AS co FROM {_FAULTY})""")
+def acceptance_reasons(spark, sf_dir):
+    """The whole acceptance gate on every pair."""
+    return faulty(spark, sf_dir).select("k", J.first_reason(J.ACCEPTANCE, F.col("a"), F.col("b"))["code"].alias("code"))
+
+
 @query(f"SELECT status AS grp, n, list_sort(ids)[1:5] AS first FROM (SELECT status, count(DISTINCT k) AS n, list(DISTINCT k) AS ids FROM {_STATUS} GROUP BY status)")
 def first_examples(spark, sf_dir):
     return A.first_k(statuses_of(spark, sf_dir).withColumnRenamed("status", "grp"), "grp", "k", 5)
