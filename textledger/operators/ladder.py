@@ -92,14 +92,22 @@ def origin_pivot(resolved: DataFrame, group: str, names: list[str]) -> DataFrame
     return resolved.groupBy(group).pivot("origin", names).agg(F.count(F.lit(1))).na.fill(0, names)
 
 
-def violations(proposals: DataFrame, changes: DataFrame) -> DataFrame:
-    """Proposals that must not be applied: unknown identity, unchanged or removed record, blank value."""
+def violations(proposals: DataFrame, changes: DataFrame, sources: DataFrame | None = None, form_ok=None) -> DataFrame:
+    """Proposals that must not be applied: unknown identity, unchanged or removed record, blank value, or a value of another form.
+
+    Forms are compared by ``form_ok(source, value)``, a condition on columns,
+    with the texts of ``sources`` (``identity, source``).
+    """
     joined = proposals.join(changes.select("identity", "kind"), "identity", "left")
+    if sources is not None:
+        joined = joined.join(sources.select("identity", F.col("source").alias("_source")), "identity", "left")
     reason = (
         F.when(F.col("kind").isNull(), "UNKNOWN")
         .when(~F.col("kind").isin("NEW", "MODIFIED"), "NOT_CHANGED")
         .when(F.trim(F.coalesce("value", F.lit(""))) == "", "BLANK")
     )
+    if sources is not None:
+        reason = reason.when(~form_ok(F.col("_source"), F.col("value")), "FORM")
     return joined.withColumn("reason", reason).where("reason is not null").select("identity", "reason")
 
 

@@ -75,11 +75,27 @@ def units(rows: DataFrame, by: list[str], member: str, members: int = 0) -> Data
     return counts.join(first_members(rows, by, member, members, "listed"), by) if members else counts
 
 
-def inconsistent(rows: DataFrame, source: str, target: str) -> DataFrame:
-    """Trimmed sources with more than one target: the targets with their counts, sorted by target."""
+def variants(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """``source, target, n``: trimmed sources with more than one target, a row a target; nothing is gathered."""
     per = rows.where(F.trim(target) != "").groupBy(F.trim(source).alias(source), target).agg(F.count("*").alias("n"))
-    listed = per.groupBy(source).agg(F.count("*").alias("variants"), F.array_sort(F.collect_list(F.struct(target, "n"))).alias("v")).where("variants > 1")
-    return listed.select(source, "variants", F.array_join(F.transform("v", lambda x: F.concat(x[target], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ").alias("listing"))
+    several = per.groupBy(source).agg(F.count("*").alias("variants")).where("variants > 1")
+    return per.join(several, source)
+
+
+def inconsistent(rows: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """Trimmed sources with more than one target, and the targets with their counts as one text, sorted by target.
+
+    With ``most``, only the first so many are listed, found in two steps, so a
+    source of any number of targets is never gathered (``variants`` has them all).
+    """
+    per = variants(rows, source, target)
+    if most is not None:
+        part = F.pmod(F.xxhash64(target), F.lit(PARTS))
+        rank = F.row_number().over(W.partitionBy(source, "_part").orderBy(target))
+        per = per.withColumn("_part", part).withColumn("_rank", rank).where(F.col("_rank") <= most)
+    listed = per.groupBy(source).agg(F.first("variants").alias("variants"), F.array_sort(F.collect_list(F.struct(target, "n"))).alias("v"))
+    shown = F.col("v") if most is None else F.slice("v", 1, most)
+    return listed.select(source, "variants", F.array_join(F.transform(shown, lambda x: F.concat(x[target], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ").alias("listing"))
 
 
 def top_by_count(rows: DataFrame, group: str, item: str, n: int) -> DataFrame:

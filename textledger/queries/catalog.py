@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tokens import format_signature
+from ..functions.tokens import format_ok, format_signature
 from ..operators import chunks as C
 from ..operators import ladder as L
 from ..operators import packing as P
@@ -153,12 +153,14 @@ def ladder_pivot(spark, sf_dir):
     return out.withColumnRenamed("glossary-value", "glossary_value")
 
 
-@query(f"""SELECT p.identity, CASE WHEN d.kind IS NULL THEN 'UNKNOWN' WHEN d.kind NOT IN ('NEW', 'MODIFIED') THEN 'NOT_CHANGED' ELSE 'BLANK' END AS reason
-FROM (SELECT CAST(doc_id * 2 AS VARCHAR) AS identity, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'x' END AS value FROM documents) p LEFT JOIN ({_DIFF}) d ON d.identity = p.identity
-WHERE d.kind IS NULL OR d.kind NOT IN ('NEW', 'MODIFIED') OR trim(p.value) = ''""")
+@query(f"""SELECT p.identity, CASE WHEN d.kind IS NULL THEN 'UNKNOWN' WHEN d.kind NOT IN ('NEW', 'MODIFIED') THEN 'NOT_CHANGED' WHEN trim(p.value) = '' THEN 'BLANK' ELSE 'FORM' END AS reason
+FROM (SELECT CAST(doc_id * 2 AS VARCHAR) AS identity, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 5 = 0 THEN '<b>x' ELSE 'x' END AS value FROM documents) p LEFT JOIN ({_DIFF}) d ON d.identity = p.identity
+WHERE d.kind IS NULL OR d.kind NOT IN ('NEW', 'MODIFIED') OR trim(p.value) = '' OR p.value = '<b>x'""")
 def proposal_violations(spark, sf_dir):
-    proposals = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).cast("string").alias("identity"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("x").alias("value"))
-    return L.violations(proposals, _changes(spark, sf_dir))
+    """Proposals for unknown or unchanged records, blank ones, and ones with a tag that their source has not."""
+    value = F.when(F.col("doc_id") % 7 == 0, " ").when(F.col("doc_id") % 5 == 0, "<b>x").otherwise("x")
+    proposals = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).cast("string").alias("identity"), value.alias("value"))
+    return L.violations(proposals, _changes(spark, sf_dir), _changed(spark, sf_dir).select("identity", "source"), format_ok)
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 10 <> 3 AND doc_id % 10 <> 1 THEN 'PREPARED' WHEN doc_id % 4 = 0 OR doc_id % 10 = 1 THEN 'MEMORY' ELSE 'SOURCE' END AS choice,
@@ -246,6 +248,13 @@ def inconsistent_targets(spark, sf_dir):
     return S.inconsistent(table(spark, sf_dir, "documents"), "text", "source").select(F.sha2("text", 256).alias("text_sha256"), "variants", "listing")
 
 
+@query("""SELECT p_type, count(*) AS variants, array_to_string(list_transform(list_sort(list(p_name || ' (' || n || ')'))[1:5], lambda x: x), '; ') AS listing
+ FROM (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_type HAVING count(*) > 1""")
+def first_variants(spark, sf_dir):
+    """Types with several names: how many, and the first five."""
+    return S.inconsistent(table(spark, sf_dir, "part"), "p_type", "p_name", 5)
+
+
 @query("SELECT event_type, user_id, n, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS rank FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)) WHERE rank <= 5")
 def profile_top(spark, sf_dir):
     return S.top_by_count(table(spark, sf_dir, "events"), "event_type", "user_id", 5).select("event_type", "user_id", "n", F.col("rank").cast("long").alias("rank"))

@@ -202,11 +202,14 @@ def encoding_repairs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(G.repaired(broken), 256).alias("repaired_sha256"))
 
 
-@query("SELECT page_id, length(html) AS n, sha256(array_to_string(list_transform(regexp_extract_all(html, '(?s)<[^>]*>|[^<]+|<'), lambda p: CASE WHEN regexp_full_match(p, '(?s)<[^>]*>') THEN repeat(' ', length(p)) ELSE p END), '')) AS blank_sha256 FROM pages")
+_BLANK = "array_to_string(list_transform(regexp_extract_all(translate(html, '{{}}', '  '), '(?s)<[^>]*>|[^<]+|<'), lambda p: CASE WHEN regexp_full_match(p, '(?s)<[^>]*>') THEN repeat(' ', length(p)) ELSE p END), '')"
+
+
+@query(f"SELECT page_id, length(html) + 29 AS n, sha256({_BLANK.format()} || repeat(' ', 21) || 'word   x') AS blank_sha256 FROM pages")
 def blanked_tokens(spark, sf_dir):
-    """Pages with each tag as blanks of its length."""
-    blank = G.blanked(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(blank).cast("long").alias("n"), F.sha2(blank, 256).alias("blank_sha256"))
+    """Pages, with tokens of every kind behind them, and each token as blanks of its length."""
+    rows = tokened(spark, sf_dir).select("page_id", D.visible_text("html").alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("blank_sha256"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(p_name || ' / ' || p_brand, '[^A-Za-z0-9]+', '-', 'g'), '-') || '-' || left(sha256(p_name || ' / ' || p_brand), 12) AS slug FROM part")
