@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from textledger.llm import filters, manifest, registry, simhash
+from textledger.llm.common import likely, lookup
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -96,6 +97,22 @@ def test_audit_of_awkward_rows(spark):
     assert filters.audit(docs.limit(0), given_).count() == 0
 
 
+def test_lookup_of_hot_and_rare_keys(spark):
+    """A key of most rows, rare keys, keys that are not there, and null keys."""
+    rows = [(i, "hot") for i in range(3000)] + [(i, f"k{i % 7}") for i in range(50)] + [(1, "absent"), (2, None)]
+    known = [("hot", 3000, "h")] + [(f"k{i}", 8 - (i > 0), str(i)) for i in range(7)]
+    got = lookup(spark.createDataFrame(rows, "i long, k string"), spark.createDataFrame(known, "k string, n long, v string"), "k").select("i", "k", "v").collect()
+    values = {k: v for k, _, v in known}
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, k, values.get(k)) for i, k in rows), key=repr)
+
+
+def test_key_filter_loses_none(spark):
+    wanted = spark.range(2000).selectExpr("cast(id * 3 as string) k")
+    rows = spark.range(6000).selectExpr("cast(id as string) k", "id")
+    kept = {r["id"] for r in likely(rows, wanted, "k").collect()}
+    assert {3 * i for i in range(2000)} <= kept and len(kept) < 2200
+
+
 # --- op12 -------------------------------------------------------------------------
 
 

@@ -71,11 +71,13 @@ def test_op2_equals_a_scan_of_all_pairs(spark, documents):
     assert got == want and want
 
 
-def test_op2_short_items(spark):
+def test_op2_short_items(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "say Hello, World now"), (2, "hello worlds"), (None, "hello world"), (4, None), (5, ""), (5, "他说你好世界吧")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "hello world"), (2, "!?"), (3, None), (4, "你好世界")], "item_id long, text string")
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect()), key=str) == sorted([(1, 1, 0), (None, 1, 0), (5, 4, 0)], key=str)
     assert sorted((r["doc_id"], r["text"]) for r in decontaminate.clean(docs, items).collect() if r["text"]) == [(2, "hello worlds")]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 5)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect()), key=str) == sorted([(1, 1, 0), (None, 1, 0), (5, 4, 0)], key=str)
 
 
 def test_op2_cleans_rows_by_their_own_text(spark, monkeypatch):
