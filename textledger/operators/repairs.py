@@ -64,6 +64,53 @@ def staged(text: Column, replacements: list[tuple[str, str]]) -> Column:
     return X.typography(text)
 
 
+def repair_pass(
+    store: DataFrame,
+    sources: DataFrame,
+    by_key: DataFrame,
+    by_source: DataFrame,
+    patterns: list[tuple[str, str]],
+    name_variants: list[tuple[str, str, str]],
+    key_variants: DataFrame,
+    protected: Column,
+) -> DataFrame:
+    """The store (``key, value``) after a pass of repairs: ``key, value, change`` (null: as it was; ``REMOVED``: no entry any more).
+
+    For each key of ``sources`` (``key, source``): its own value, else that of
+    its source, else what the first pattern makes of the source, else what the
+    store has. Then what names in the source are wrongly called in it
+    (``name, old, new``), then a key's own wordings (``key, old, new, at`` in
+    the order of ``at``) are replaced. Typography is mended in all entries, in
+    the store alone too, and entries of protected keys go, whatever put them
+    there. A second pass changes nothing more where replacements do not feed
+    each other.
+    """
+    one = lambda d, k, n: d.groupBy(F.col(k).alias(f"_{n}k")).agg(F.max("value").alias(f"_{n}"))
+    own = key_variants.groupBy(F.col("key").alias("_wk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "old", "new"))), lambda x: F.struct(x["old"], x["new"])).alias("_w"))  # a key's wordings
+    rows = store.select("key", F.col("value").alias("_was")).join(sources.select("key", "source"), "key", "full_outer")
+    rows = rows.join(one(by_key, "key", "k"), F.col("key") == F.col("_kk"), "left").join(one(by_source, "source", "s"), F.col("source") == F.col("_sk"), "left").join(own, F.col("key") == F.col("_wk"), "left")
+    made = X.first_template(F.col("source"), patterns) if patterns else F.lit(None).cast("string")
+    rows = rows.withColumn("_p", made)
+    given = F.coalesce("_k", "_s", "_p", F.when(F.col("source").isNotNull(), F.col("_was")))
+    text = given
+    for name, old, new in name_variants:
+        text = F.when(F.col("source").contains(name), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+    text = F.when(F.col("_w").isNull(), text).otherwise(F.aggregate("_w", text, lambda t, w: F.replace(t, w["old"], w["new"])))
+    rows = rows.withColumns({"_given": given, "_varied": F.when(F.col("source").isNotNull(), text).otherwise(F.col("_was"))})
+    rows = rows.withColumn("value", X.typography(F.col("_varied"))).where("value is not null or _was is not null")
+    stage = (
+        F.when(protected, "REMOVED")
+        .when(F.col("value").eqNullSafe(F.col("_was")), F.lit(None))
+        .when(F.col("value") != F.col("_varied"), "TYPOGRAPHY")
+        .when(~F.col("_varied").eqNullSafe(F.coalesce("_given", "_was")), "VARIANT")
+        .when(F.col("_k").isNotNull(), "KEY")
+        .when(F.col("_s").isNotNull(), "SOURCE")
+        .otherwise("PATTERN")
+    )
+    out = rows.withColumn("change", stage).where(~protected | F.col("_was").isNotNull())
+    return out.select("key", F.when(~protected, F.col("value")).alias("value"), "change")
+
+
 def propose(rows: DataFrame, manual: DataFrame, cache: DataFrame, memory: DataFrame) -> DataFrame:
     """``key, value, origin`` for rows ``key, source``: manual by key over cache by source over memory by source; others are left out."""
     one = lambda d, by, n: d.groupBy(F.col(by).alias(f"_{n}k")).agg(F.max("value").alias(f"_{n}"))

@@ -177,6 +177,25 @@ def propagated_edits(spark, sf_dir):
     return E.propagate(table(spark, sf_dir, "part"), "p_partkey", "p_name", [("ring", "hoop"), ("red widget", "ruby gadget")], F.col("p_size") % 4 == 0)
 
 
+_PASS = """(SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey AS n, p_name AS source, CASE WHEN p_partkey % 4 <> 0 THEN p_type || '  ' || p_name END AS was FROM part)"""
+
+
+@query(f"""SELECT key, CASE WHEN n % 11 = 0 THEN NULL ELSE v END AS value, CASE WHEN n % 11 = 0 THEN 'REMOVED' WHEN v IS NOT DISTINCT FROM was THEN NULL WHEN v <> varied THEN 'TYPOGRAPHY' WHEN varied IS DISTINCT FROM given THEN 'VARIANT' WHEN n % 5 = 0 THEN 'KEY' WHEN starts_with(source, 'blue') THEN 'SOURCE' ELSE 'PATTERN' END AS change FROM (
+ SELECT *, trim(regexp_replace(varied, '  +', ' ', 'g')) AS v FROM (
+ SELECT *, CASE WHEN n % 7 = 0 THEN replace(replace(named, 'gadget', 'thing'), 'thing', 'object') ELSE named END AS varied FROM (
+ SELECT *, CASE WHEN contains(source, 'ring') THEN replace(given, 'ring', 'hoop') ELSE given END AS named FROM (
+ SELECT *, CASE WHEN n % 5 = 0 THEN 'key ' || source WHEN starts_with(source, 'blue') THEN 'mavi' WHEN regexp_full_match(source, 'red [a-z]+') THEN 'kırmızı ' || source[5:] ELSE was END AS given FROM {_PASS}))))
+ WHERE v IS NOT NULL AND n % 11 <> 0 OR was IS NOT NULL""")
+def repair_passes(spark, sf_dir):
+    """A pass of repairs over a store: own values, values of sources, patterns, variants, typography and protected entries."""
+    part = table(spark, sf_dir, "part").withColumn("key", F.col("p_partkey").cast("string"))
+    store = part.where("p_partkey % 4 <> 0").select("key", F.concat("p_type", F.lit("  "), "p_name").alias("value"))
+    by_key = part.where("p_partkey % 5 = 0").select("key", F.concat(F.lit("key "), "p_name").alias("value"))
+    by_source = part.where(F.col("p_name").startswith("blue")).select(F.col("p_name").alias("source"), F.lit("mavi").alias("value")).distinct()
+    words = part.where("p_partkey % 7 = 0").select("key", F.expr("inline(array(named_struct('at', 1, 'old', 'gadget', 'new', 'thing'), named_struct('at', 2, 'old', 'thing', 'new', 'object')))"))
+    return E.repair_pass(store, part.select("key", F.col("p_name").alias("source")), by_key, by_source, [("red ([a-z]+)", "kırmızı $1")], [("ring", "ring", "hoop")], words, F.col("key").cast("long") % 11 == 0)
+
+
 # What two edits ask for: Bonta's cases by those of Kıyı, and widget by parça, each text's case by the remainder of its key.
 _ENDS = ["", "'a", "'da", "'dan", "'ın", "'ı", "'ta", "lar"]
 _FORMS = ["", "ya", "da", "dan", "nın", "yı", "da", "lar"]
