@@ -131,3 +131,15 @@ def test_desktop_analysis(spark):
     assert not out[11]["issue"] and out[12]["issue"]
     more = spark.createDataFrame([(5, "CEVRILDI", "OK", "reviewed", "^24$")], "priority int, code string, severity string, reason string, key string")
     assert S.desktop_analysis(rows, "k", "s", "t", F.col("s") == "Bob", more).where("k = 24").first()["reason"] == "reviewed"
+
+
+def test_repair_pass(spark):
+    from textledger.operators import repairs as E
+
+    store = spark.createDataFrame([("a", "old"), ("b", "old"), ("c", "big ring"), ("d", " two  blanks "), ("e", "alone  x"), ("p", "kept?"), ("f", None)], "key string, value string")
+    sources = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "the ring"), ("d", "D"), ("p", "P"), ("q", "Q"), ("n", "new 5"), ("m", "nothing"), ("f", "F")], "key string, source string")
+    by_key = spark.createDataFrame([("a", "own"), ("q", "gone")], "key string, value string")
+    by_source = spark.createDataFrame([("A", "of source"), ("B", "of source")], "source string, value string")
+    words = spark.createDataFrame([("c", 1, "big", "huge"), ("c", 2, "huge", "vast")], "key string, at int, old string, new string")
+    got = {r["key"]: (r["value"], r["change"]) for r in E.repair_pass(store, sources, by_key, by_source, [("new ([0-9]+)", "yeni $1")], [("ring", "ring", "halka")], words, F.col("key").isin("p", "q")).collect()}
+    assert got == {"a": ("own", "KEY"), "b": ("of source", "SOURCE"), "c": ("vast halka", "VARIANT"), "d": ("two blanks", "TYPOGRAPHY"), "e": ("alone x", "TYPOGRAPHY"), "p": (None, "REMOVED"), "n": ("yeni 5", "PATTERN")}

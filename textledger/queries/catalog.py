@@ -361,7 +361,19 @@ def name_scan(spark, sf_dir):
     return N.contained(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-@query()
+_JOINED = "regexp_extract_all({0}, '\\p{{L}}+(?:[''’-]\\p{{L}}+)*')"
+
+
+@query(f"""WITH RECURSIVE said AS (SELECT regexp_extract_all(text, '{X.WORDS.replace("'", "''")}') AS w FROM conversations WHERE turn = 1),
+listed AS (SELECT array_to_string(w[1:8], ' ') AS name FROM said UNION SELECT array_to_string(w[2:3], ' ') FROM said UNION SELECT p_name FROM part),
+known AS (SELECT DISTINCT array_to_string({_JOINED.format('name')}, ' ') AS name FROM listed),
+turns AS (SELECT conv_id || '/' || turn AS k, {_JOINED.format('text')} AS w FROM conversations),
+spans AS (SELECT k, i, n, w[i:i + n - 1] AS s FROM (SELECT *, unnest(range(1, least(8, len(w) - i + 1) + 1)) AS n FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM turns))),
+windows AS (SELECT k, i, n, array_to_string(s, ' ') AS name, 1 AS whole FROM spans UNION ALL SELECT k, i, n, regexp_replace(array_to_string(s, ' '), '[''’]\\p{{L}}+$', ''), 0 FROM spans),
+best AS (SELECT k, i, max_by({{'n': n, 'name': name}}, 2 * n + whole) AS m FROM windows JOIN known USING (name) WHERE name <> '' GROUP BY k, i),
+walk AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS free, CAST([] AS VARCHAR[]) AS names FROM best
+ UNION ALL SELECT walk.k, min_by(i + m.n, i), list_append(any_value(names), min_by(m.name, i)) FROM walk JOIN best ON best.k = walk.k AND i >= free GROUP BY walk.k)
+SELECT k, max_by(names, len(names)) AS names FROM walk GROUP BY k""")
 def longest_names(spark, sf_dir):
     """Leftmost-longest matches, of up to eight words, of whole user turns' first eight words and of part names, in all conversations."""
     turns = table(spark, sf_dir, "conversations")
