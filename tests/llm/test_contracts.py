@@ -1,6 +1,7 @@
 """The registered queries over whole given tables, against DuckDB or brute force, and their parts on awkward rows."""
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -136,6 +137,36 @@ def test_op4_equals_plain_em(documents):
     assert np.abs(w[0] - x).max() < 0.02
 
 
+def test_op4_equals_the_best_of_all_language_sets(documents):
+    """Languages taken one by one are those of the set with the highest penalised likelihood, found among all sets by long EM, for documents alone and run together."""
+    langs = sorted({d[2] for d in documents if d[2]})
+    counts = np.zeros((len(langs), languages.SLOTS))
+    for _, text, lang, _ in documents:
+        if lang:
+            _, slot, n = languages.trigrams([text], languages.SLOTS)
+            counts[langs.index(lang), slot] += n
+    model = languages.Model(langs, counts)
+    texts = [d[1][:3000] for d in documents]
+    texts = [*texts[:60], *[a + " " + b for a, b in zip(texts[:40], texts[60:])]]
+    w, _ = model.mixtures(texts)
+    same = []
+    for k, text in enumerate(texts):
+        _, slot, n = languages.trigrams([text], languages.SLOTS)
+        p = model.p[:, slot].T.astype(float)
+        best = None
+        for chosen in (c for m in range(1, len(langs) + 1) for c in itertools.combinations(range(len(langs)), m)):
+            q, x = p[:, chosen], np.full(len(chosen), 1 / len(chosen))
+            for _ in range(100 if len(chosen) > 1 else 0):
+                y = q * x
+                x = (y * (n / y.sum(axis=1))[:, None]).sum(axis=0) / n.sum()
+            value = (n * np.log(q @ x)).sum() - (len(chosen) - 1) * languages.PENALTY * np.log(n.sum() + 1)
+            if best is None or value > best[0]:
+                best = (value, chosen, x)
+        same.append(set(best[1]) == set(np.flatnonzero(w[k])))
+        assert best[1][int(best[2].argmax())] == w[k].argmax() or abs(best[2].max() - 0.5) < 0.05
+    assert np.mean(same) >= 0.97
+
+
 def test_op5_equals_sql_everywhere(spark):
     rows = registry.op5_chat_tree(spark, MORE)
     con = duckdb.connect()
