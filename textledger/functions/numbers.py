@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,11 +29,18 @@ _DOTTED_CLOCK = re.compile(r"([0-9]{1,2})[.]([0-5][0-9])(?![0-9])")
 _BODY = re.compile(r"[0-9]+(?:[.,](?![0-9]{1,2}:[0-5][0-9](?![0-9]))[0-9]+)*")
 _HOUR = re.compile(r"\bsaat\s+\Z", re.IGNORECASE)
 _THOUSANDS = re.compile(r"\s+bin\b", re.IGNORECASE)
+_PERCENT_BEHIND = re.compile(r"\s*%")
 _GROUPED = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{3})+")
 
 
+#: Without any of these, a text has no structural tokens.
+_MARKS = re.compile(r"[\\<\[{}%]")
+
+
 def visible(text: str) -> str:
     """The text with structural tokens as blanks of their length."""
+    if not _MARKS.search(text):
+        return text
     out, at = [], 0
     for a, b, _, _ in spans(text):
         out += [text[at:a], " " * (b - a)]
@@ -91,7 +99,7 @@ def digit_numbers(text: str) -> list[str]:
         thousand = _THOUSANDS.match(text, read)
         if thousand and len(re.findall("[.,]", value)) < 2:
             value, minus, read = _plain(Decimal(value.replace(",", ".")) * 1000), minus and percent, thousand.end()
-        behind = None if percent else re.compile(r"\s*%").match(text, read)
+        behind = None if percent else _PERCENT_BEHIND.match(text, read)
         if behind:
             percent, read = True, behind.end()
         out.append(("-" if minus else "") + _spelling(value, percent) + ("%" if percent else ""))
@@ -137,6 +145,7 @@ _LEXICONS = {x: _lexicon(x) for x in WORDS}
 _ONE_OF = re.compile(r"\b(?:a|an)\s+(?:level|turn|mp|ap|wp)\b", re.IGNORECASE)
 
 
+@lru_cache(1 << 16)
 def _meaning(word: str, language: str) -> tuple[str, int, bool] | None:
     """Kind and value of a number word, and whether a number ends with it (ordinals and suffixed words)."""
     known = _LEXICONS[language]
@@ -233,10 +242,11 @@ def agree(source: str, target: str, languages: tuple[str, str] = ("en", "tr")) -
     words, a minus sign by a verb of loss, one per cent by *per %*, and a
     missing percent sign where both sides speak of per cents.
     """
-    lost, new = Counter(digit_numbers(source)), Counter(digit_numbers(target))
-    lost, new = lost - new, new - lost
-    if not lost and not new:
+    found = digit_numbers(source), digit_numbers(target)
+    if found[0] == found[1]:
         return True
+    lost, new = map(Counter, found)
+    lost, new = lost - new, new - lost
     shown = visible(source), visible(target)
     same: list[tuple[str, str]] = []  # a lost number, and the new one that stands for it
     if LESS.search(shown[1]):
@@ -262,6 +272,13 @@ def percent_values(text: str) -> list[str]:
     return sorted((a or b).replace(",", ".") for a, b in _PERCENT.findall(text))
 
 
+@F.pandas_udf(StringType())
+def visible_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``visible`` of a column: places in the text stay."""
+    for s in texts:
+        yield s.map(visible, na_action="ignore")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def numeric_signature(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
