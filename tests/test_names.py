@@ -52,12 +52,12 @@ def test_names_in_blocks(spark, monkeypatch, size):
 
 
 def test_genitives_and_word_borders(spark):
-    rows = spark.createDataFrame([(1, "Iron Lord's sword and Ogrest’s [#1] chaos")], "k long, t string")
-    names = spark.createDataFrame([("iron lord",), ("ogrest",)], "name string")
+    rows = spark.createDataFrame([(1, "Iron Lord's sword and Ernest’s [#1] chaos")], "k long, t string")
+    names = spark.createDataFrame([("iron lord",), ("ernest",)], "name string")
     hidden = N.protect(rows, "k", "t", names, "name").withColumn("glued", F.regexp_replace("masked", " (sword|chaos)", "$1"))
     row = hidden.select("tokens", N.restored("masked", "tokens").alias("back"), N.restored("glued", "tokens").alias("glued")).first()
-    assert row["tokens"] == ["Iron Lord'un", "Ogrest'in", "[#1]"]
-    assert row["back"] == "Iron Lord'un sword and Ogrest'in [#1] chaos" and row["glued"] == "Iron Lord'un sword and Ogrest'in [#1]chaos"
+    assert row["tokens"] == ["Iron Lord'un", "Ernest'in", "[#1]"]
+    assert row["back"] == "Iron Lord'un sword and Ernest'in [#1] chaos" and row["glued"] == "Iron Lord'un sword and Ernest'in [#1]chaos"
     assert [N.genitive(x) for x in ("Ali", "Göz", "Bkt", "Ana", "Kulu", "Yıl")] == ["'nin", "'ün", "'ın", "'nın", "'nun", "'ın"]
 
 

@@ -40,7 +40,7 @@ BROKEN = re.compile("ÃƒÆ’|Ãƒâ€|Ãƒâ€¦|Ã¢â‚¬|ï¿½")
 PLACEHOLDER = re.compile("ZXQ|XQ|QXZ")
 CASE_BEFORE_OWNER = re.compile(r"\b[A-Za-zÇĞİÖŞÜçğıöşü]+(?:y?[ıiuü])\s+sahip\b", re.IGNORECASE)
 SHORT_WORDS, LEAST_WORDS, SHORT_CHARS, LEAST_CHARS = 8, 0.35, 45, 0.30
-# Phrases that only a machine writes, words that must not be left in a target, and words that both languages share.
+# Phrases that only a machine writes, words that must not be left in a target, and words that both languages share (names of games and places are the caller's).
 MACHINE_PHRASES = (
     "kullanıcı adınız", "yeterince iyileştim", "satın alma fırsatı", "sıfırsa sahip", "zerosa sahip", "görüşüm açıldı", "pencerem ekleyemezsiniz", "pencerem kayıt", "kilitedeki",
     "onaylıyormusunuz", "dağıttiniz", "güvenlikler", "emin misiniz ki", "pazar yeri'de", "pazar yeri’de", "savaş alanı katıl", "satırsınız", "yapı et",
@@ -53,7 +53,7 @@ LEFTOVERS = (
     "confirm yes no name description price quantity equipment achievement achievements fight turn round target range cost health armor critical penalty locked unlocked copy paste "
     "delete edit save load next previous back"
 ).split()
-SHARED = frozenset("bonus normal portal festival video internet arena robot radar test risk plan mode pixel server forum menu status premium wakfu dofus kama kamas".split())
+SHARED = frozenset("bonus normal portal festival video internet arena robot radar test risk plan mode pixel server forum menu status premium kama kamas".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LATIN = re.compile("[A-Za-z]+")

@@ -16,7 +16,7 @@ from . import ruletable
 
 # Statuses, and what a source and a target show (Python patterns; None: anything) where a known mistake was made.
 POINTS = (
-    r"(?i)(?:action|skill|specialty|experience|movement|wakfu|mastery|agility|ability|aptitude|characteristic|conquest|score|citizenship|health|life)\s+points?"
+    r"(?i)(?:action|skill|specialty|experience|movement|mastery|agility|ability|aptitude|characteristic|conquest|score|citizenship|health|life)\s+points?"
     r"|\bpoints?\s+(?:to distribute|available|remaining|earned|gained|lost|spent|bonus|penalty)"
 )
 CHESTS = (

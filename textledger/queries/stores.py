@@ -196,7 +196,7 @@ def repair_passes(spark, sf_dir):
     return E.repair_pass(store, part.select("key", F.col("p_name").alias("source")), by_key, by_source, [("red ([a-z]+)", "kırmızı $1")], [("ring", "ring", "hoop")], words, F.col("key").cast("long") % 11 == 0)
 
 
-# What two edits ask for: Bonta's cases by those of Kıyı, and widget by parça, each text's case by the remainder of its key.
+# What two edits ask for: Varna's cases by those of Kıyı, and widget by parça, each text's case by the remainder of its key.
 _ENDS = ["", "'a", "'da", "'dan", "'ın", "'ı", "'ta", "lar"]
 _FORMS = ["", "ya", "da", "dan", "nın", "yı", "da", "lar"]
 
@@ -210,8 +210,8 @@ def inflected_edits(spark, sf_dir):
     """Two edits and all cases of what they changed, carried to every unprotected value."""
     part = table(spark, sf_dir, "part")
     end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    rows = part.select("p_partkey", "p_size", F.concat(F.lit("Bonta"), end, F.lit(" "), "p_name").alias("text"))
-    edits = spark.createDataFrame([(1, 8, "Eski Bonta'ya git", "Eski Kıyı'ya git"), (2, 8, "bir widget al", "bir parça al"), (3, 8, "x", "y"), (4, 8, "a [#1] b", "a [#2] b")], "edit int, key long, old string, new string")
+    rows = part.select("p_partkey", "p_size", F.concat(F.lit("Varna"), end, F.lit(" "), "p_name").alias("text"))
+    edits = spark.createDataFrame([(1, 8, "Eski Varna'ya git", "Eski Kıyı'ya git"), (2, 8, "bir widget al", "bir parça al"), (3, 8, "x", "y"), (4, 8, "a [#1] b", "a [#2] b")], "edit int, key long, old string, new string")
     return E.propagate_edits(rows, "p_partkey", "text", E.edit_rules(edits, "edit", "key", "old", "new"), F.col("p_size") % 4 == 0)
 
 
