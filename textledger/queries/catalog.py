@@ -416,17 +416,21 @@ def chunk_reassembly(spark, sf_dir):
     return whole.select("doc_id", "pieces", F.sha2("data", 256).alias("data_sha256"), F.col("problem").isNull().alias("ok"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'MISSING_CHUNK' END AS problem, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS data_sha256 FROM documents WHERE doc_id % 7 <> 0 OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY left(text, 300) HAVING count(*) = 1)""")
+# A document of a lost bundle is whole where every chunk of it stands in some other bundle, be it as another document's last bytes.
+@query("""WITH p AS (SELECT doc_id, sha256(text) AS data_sha256, list_transform(range(CAST(greatest(ceil(strlen(text) / 1024.0), 1) AS BIGINT)), lambda i: sha1(substring(h, i * 2048 + 1, 2048))) AS shas FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL)),
+kept AS (SELECT DISTINCT unnest(shas) AS sha FROM p WHERE doc_id % 7 <> 0), lost AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(shas) AS sha FROM p WHERE doc_id % 7 = 0) WHERE sha NOT IN (SELECT sha FROM kept))
+SELECT CAST(p.doc_id AS VARCHAR) AS name, CASE WHEN lost.doc_id IS NOT NULL THEN 'MISSING_CHUNK' END AS problem, CASE WHEN lost.doc_id IS NULL THEN data_sha256 END AS data_sha256 FROM p LEFT JOIN lost ON lost.doc_id = p.doc_id""")
 def bundle_reassembly(spark, sf_dir):
-    """Documents cut to chunks, chunks laid into bundles, found again by bundle and byte range; bundles of every seventh document are lost."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"), F.left("text", F.lit(300)).alias("_begin"))
-    once = docs.groupBy("_begin").agg(F.count("*").alias("n")).where("n = 1").select("_begin")
-    kept = docs.where("doc_id % 7 <> 0").unionByName(docs.where("doc_id % 7 = 0").join(once, "_begin").select(*docs.columns))
-    cut = C.cut(kept, "name", "data", 1024).withColumn("size", F.octet_length("piece"))
+    """Documents cut to chunks, chunks laid into bundles, found again by bundle and byte range; bundles of every seventh document are lost.
+
+    A lost chunk that another document has too is taken from that one's bundle. Null texts are no files.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"))
+    cut = C.cut(docs, "name", "data", 1024).withColumn("size", F.octet_length("piece"))
     bundles = docs.where("doc_id % 7 <> 0").select(F.concat(F.lit("b"), "name").alias("bundle"), F.concat(F.lit("head").cast("binary"), "data").alias("data"), "name")
     listed = cut.where("cast(name as long) % 7 <> 0").select(F.concat(F.lit("b"), "name").alias("bundle"), (F.col("seq") * 1024 + 4).alias("offset"), "sha", "size")
     located = C.locate(cut.select("name", "seq", "sha", "size"), listed)
-    files = kept.select("name", F.sha2("data", 256).alias("file_sha256"))
+    files = docs.select("name", F.sha2("data", 256).alias("file_sha256"))
     whole = C.reassemble(cut.select("name", "seq", "sha").join(files, "name"), C.fetch(located, bundles), "name")
     return whole.select("name", "problem", F.sha2("data", 256).alias("data_sha256"))
 
