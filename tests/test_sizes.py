@@ -27,3 +27,8 @@ def test_lost_chunks_that_others_end_with(both):
     ours, theirs = both("bundle_reassembly", "documents", rows)
     assert ours == theirs
     assert [x.split(", ")[:2] for x in ours if "MISSING" in x] == [["('14'", "'MISSING_CHUNK'"]] and len(ours) == 6
+
+
+def test_words_of_a_language_in_capitals(both):
+    ours, theirs = both("language_guesses", "documents", "SELECT *, 'x' AS lang FROM (VALUES ('FÜR'), ('QUÊTE'), ('NÃO'), ('ſind'), ('DANKE'), ('DİE'), ('dıe')) t(text)")
+    assert ours == theirs == ["('x', 'de', 3)", "('x', 'en', 2)", "('x', 'fr', 1)", "('x', 'pt', 1)"]

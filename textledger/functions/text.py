@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,11 +38,20 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(text, TAG, " ")
 
 
+#: Letters that fold to an ASCII one, besides its own capital.
+_ALSO = {"k": "\u212a", "s": "ſ"}
+
+
+def any_case(words_: str) -> str:
+    """Lower-case words (alternatives) in either case by Unicode's simple folding: Java's ``(?i)`` knows ASCII only, and with ``u`` takes ``ı`` for ``i``."""
+    return re.sub(r"[^\W\d_]", lambda m: f"[{m[0]}{m[0].upper()}{_ALSO.get(m[0], '')}]", words_)
+
+
 def language_guess(text: Column) -> Column:
     """Russian for a Cyrillic letter, else the first language one of whose words occurs (in any case), else English."""
     out = F.lit("en")
     for lang, words_ in reversed(LANGUAGE_WORDS):
-        out = F.when(text.rlike(rf"(?i)(^|[^\p{{L}}])({words_})([^\p{{L}}]|$)"), lang).otherwise(out)
+        out = F.when(text.rlike(rf"(^|[^\p{{L}}])({any_case(words_)})([^\p{{L}}]|$)"), lang).otherwise(out)
     return F.when(text.rlike(CYRILLIC), "ru").otherwise(out)
 
 
