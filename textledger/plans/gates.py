@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import cached_property
 from unicodedata import normalize
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -142,14 +141,10 @@ def first_reason(gate: Iterable[Check], source: Column, target: Column, names: I
     listed = sorted((n for n in names if len(n) >= 3), key=len, reverse=True)
     hide = re.compile("|".join(map(re.escape, listed))) if listed else None
 
-    @F.pandas_udf(REASON)
-    def find(sources: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, t in zip(sources, targets):
-            pair = Pair(s, t, hide)
-            hits = ((c.code, x) for c in checks if (x := c.test(pair)))
-            code, detail = next(hits, (None, None))
-            out.append((code, detail if isinstance(detail, str) else None))
-        return pd.DataFrame(out, columns=["code", "detail"])
-
-    return find(source, target)
+    def find(s: str | None, t: str | None) -> tuple[str | None, str | None]:
+        pair = Pair(s, t, hide)
+        hits = ((c.code, x) for c in checks if (x := c.test(pair)))
+        code, detail = next(hits, (None, None))
+        return code, detail if isinstance(detail, str) else None
+
+    return F.udf(find, REASON, useArrow=False)(source, target)

@@ -15,13 +15,13 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.rowwise import of_two
 from ..functions.tokens import mask, spans, unmask_parts
 
 BLOCK_CHARS = 8_000_000
@@ -63,7 +63,7 @@ def contained(rows: DataFrame, key: str, text: str, names: DataFrame, name_key:
             for number, word in shared.value:
                 by.setdefault(word, []).append(number)
             auto = _automaton(by)
-            for batch in batches:
+            for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
                 hits = [sorted({n for _, (_, numbers) in auto.iter(t) for n in numbers}) if t else [] for t in batch.column(text).to_pylist()]
                 rows_ = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
                 found = pa.array([n for h in hits for n in h], to_arrow_type(schema[name_key].dataType))
@@ -130,19 +130,15 @@ def passed(rows: DataFrame, keep: list[str], text: str, blocks: Iterator[list[tu
         after = next(blocks, None)
         shared = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS, or the names of one key
 
-        def step(frames, shared=shared, done=after is None):
-            matcher = build(shared.value)
-            for frame in frames:
-                out = []
-                for t, old in zip(frame[text], frame["found"]):
-                    best = dict(old) if old is not None else {}
-                    for place, n in (find(t, matcher) if t else {}).items():
-                        best[place] = max(n, best.get(place, 0)) if choose else [*best.get(place, []), *n]
-                    out.append(choose(t, best) if done and choose else best)
-                yield pd.DataFrame({c: frame[c] for c in kinds} | {"found": out})
-
-        schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
-        frame = frame.mapInPandas(step, f"{schema}, found {last if after is None else between}")
+        def step(t, old, shared=shared, done=after is None, made=[]):  # noqa: B006  a task's own matcher
+            if not made:
+                made.append(build(shared.value))
+            best = dict(old) if old is not None else {}
+            for place, n in (find(t, made[0]) if t else {}).items():
+                best[place] = max(n, best.get(place, 0)) if choose else [*best.get(place, []), *n]
+            return choose(t, best) if done and choose else best
+
+        frame = frame.withColumn("found", F.udf(step, last if after is None else between, useArrow=False)(F.col(text), F.col("found")))
         block = after
     return frame
 
@@ -178,7 +174,6 @@ def protect(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -
     A name's English genitive is hidden with it and comes back as the Turkish
     one. ``restored`` undoes it. Texts without names have their tokens masked only.
     """
-    kind = rows.schema[key].dataType.simpleString()
     found = _scanned(rows, key, text, names, name)
     if found is None:
         found = rows.select(key, text).withColumn("found", F.array().cast("array<array<int>>"))
@@ -190,12 +185,8 @@ def protect(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -
             also.append((a, said.end(), t[a:b] + genitive(t[a:b])) if said else (a, b, t[a:b]))
         return mask(t, also)
 
-    def covered(frames):
-        for frame in frames:
-            out = [(None, None) if t is None else cover(t, hits) for t, hits in zip(frame[text], frame["found"])]
-            yield pd.DataFrame({key: frame[key], "masked": [m for m, _ in out], "tokens": [list(x) if x is not None else None for _, x in out]})
-
-    return found.mapInPandas(covered, f"`{key}` {kind}, masked string, tokens array<string>")
+    covered = F.udf(lambda t, hits: None if t is None else cover(t, hits), "masked string, tokens array<string>", useArrow=False)
+    return found.select(key, covered(text, "found").alias("m")).select(key, "m.masked", "m.tokens")
 
 
 def _is_format(token: str) -> bool:
@@ -217,10 +208,8 @@ def restore(masked: str, tokens: list[str]) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def restored(masked: pd.Series, tokens: pd.Series) -> pd.Series:
-    """``restore`` of two columns."""
-    return pd.Series([None if m is None or t is None else restore(m, list(t)) for m, t in zip(masked, tokens)], dtype=object)
+#: ``restore`` of two columns.
+restored = of_two(restore, StringType())
 
 
 _JOINED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
