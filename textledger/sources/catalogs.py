@@ -7,36 +7,54 @@ task that has its bytes; lines leave it in batches.
 
 from __future__ import annotations
 
+import codecs
 import io
+import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.rowwise import of_one
 from ..operators.versions import with_identity
 
 LINES = "package string, entry string, line_no long, raw string, newline string, key string, value string, problem string"
 #: Lines that leave a package at once.
 BATCH = 20_000
+#: Bytes of an entry that are read at once.
+PIECE = 1 << 20
 #: Where lines end: at any line boundary of Unicode, or at line feeds only.
 LINE_ENDS = {"unicode": re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), "feed": re.compile("\r\n|\n")}
 
 
-def entry_lines(text: str, ends: re.Pattern) -> Iterator[tuple]:
+def _cut(pieces: Iterable[str], ends: re.Pattern) -> Iterator[tuple[str, str]]:
+    """Each line and its end, of a text that comes in pieces."""
+    rest = ""
+    for piece in pieces:
+        rest, at = rest + piece, 0
+        for m in ends.finditer(rest):
+            if m.end() == len(rest) and m[0] == "\r":
+                break  # it may be half of a line end
+            yield rest[at : m.start()], m[0]
+            at = m.end()
+        rest = rest[at:]
+    if rest[-1:] == "\r" and ends.fullmatch("\r"):
+        yield rest[:-1], "\r"
+    elif rest:
+        yield rest, ""
+
+
+def entry_lines(text: str | Iterable[str], ends: re.Pattern) -> Iterator[tuple]:
     """``line_no, raw, newline, key, value, problem`` of every line: raw and newline together are the text.
 
     Blank lines and comments (``#`` or ``!`` in the first column) have no key;
     the key is what stands before the first equals sign, the value all behind it.
     """
-    at = 0
-    for n, m in enumerate([*ends.finditer(text), None], 1):
-        raw, newline = (text[at : m.start()], m[0]) if m else (text[at:], "")
-        if not m and not raw:
-            break
+    for n, (raw, newline) in enumerate(_cut([text] if isinstance(text, str) else text, ends), 1):
         key, eq, value = raw.partition("=")
         if not raw.strip() or raw[0] in "#!":
             yield n, raw, newline, None, None, None
@@ -44,7 +62,20 @@ def entry_lines(text: str, ends: re.Pattern) -> Iterator[tuple]:
             yield n, raw, newline, None, None, "NO_EQUALS"
         else:
             yield n, raw, newline, key, value, None if key else "EMPTY_KEY"
-        at = m.end() if m else len(text)
+
+
+def _decoded(file, errors: str) -> Iterator[str]:
+    """UTF-8 text in pieces, without its byte order mark, after a first one that is that mark or empty."""
+    decoder, first = codecs.getincrementaldecoder("utf-8")(errors), True
+    while data := file.read(PIECE):
+        if text := decoder.decode(data):
+            if first:
+                yield text[: text[0] == "\ufeff"]
+                text, first = text[text[0] == "\ufeff" :], False
+            yield text
+    if first:
+        yield ""
+    yield decoder.decode(b"", True)
 
 
 def package_lines(data: bytes, package: str, entries: list[str], fallback: bool = False, strict: bool = False, ends: str = "unicode") -> Iterator[tuple]:
@@ -62,10 +93,11 @@ def package_lines(data: bytes, package: str, entries: list[str], fallback: bool
         for entry in wanted[:1] if fallback else wanted:
             if strict and have.count(entry) > 1:
                 raise ValueError(f"{package}: entry {entry} is there {have.count(entry)} times")
-            text = z.read(entry).decode("utf-8", "strict" if strict else "replace")
-            bom = text[:1] == "\ufeff"
-            for n, raw, *rest in entry_lines(text[bom:], LINE_ENDS[ends]):
-                yield package, entry, n, ("\ufeff" if bom and n == 1 else "") + raw, *rest
+            with z.open(entry) as file:
+                pieces = _decoded(file, "strict" if strict else "replace")
+                bom = next(pieces)
+                for n, raw, *rest in entry_lines(pieces, LINE_ENDS[ends]):
+                    yield package, entry, n, (bom if n == 1 else "") + raw, *rest
 
 
 def read_lines(spark: SparkSession, path: str, entries: list[str], fallback: bool = False, mode: str = "PERMISSIVE", ends: str = "unicode", keyed_by: str | None = None) -> DataFrame:
@@ -181,26 +213,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def repeated_json_keys(texts: pd.Series) -> pd.Series:
-    """Keys that an object of a JSON text has twice, sorted; null where the text is no JSON."""
-    import json
+def _twice(text: str) -> list[str] | None:
+    twice = set()
 
-    def find(text):
-        twice = set()
+    def pairs(items):
+        seen = set()
+        for k, _ in items:
+            if k in seen:
+                twice.add(k)
+            seen.add(k)
+        return dict(items)
 
-        def pairs(items):
-            seen = set()
-            for k, _ in items:
-                if k in seen:
-                    twice.add(k)
-                seen.add(k)
-            return dict(items)
+    try:
+        json.loads(text.lstrip("\ufeff"), object_pairs_hook=pairs)
+    except ValueError:
+        return None
+    return sorted(twice)
 
-        try:
-            json.loads(text.lstrip("\ufeff"), object_pairs_hook=pairs)
-        except ValueError:
-            return None
-        return sorted(twice)
 
-    return texts.map(find, na_action="ignore")
+#: Keys that an object of a JSON text has twice, sorted; null where the text is no JSON.
+repeated_json_keys = of_one(_twice, ArrayType(StringType()))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,23 @@ def rewrite(lines: DataFrame, proposals: DataFrame) -> DataFrame:
 
 
 def pack(lines: DataFrame) -> DataFrame:
-    """``package, content``: each package's entries zipped; one package, which is one file, is one task's work."""
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for entry, own in frame.sort_values(["entry", "line_no"]).groupby("entry", sort=True):
-                info = zipfile.ZipInfo(entry, (1980, 1, 1, 0, 0, 0))  # the same lines give the same bytes
-                z.writestr(info, "".join(own["raw"] + own["newline"]).encode("utf-8"))
-        return pd.DataFrame({"package": [frame["package"].iloc[0]], "content": [out.getvalue()]})
-
-    return lines.select("package", "entry", "line_no", "raw", "newline").groupBy("package").applyInPandas(build, "package string, content binary")
+    """``package, content``: each package's entries zipped; one package, which is one file, is one task's work, through which its lines go as a stream."""
+
+    def build(batches):
+        lines_ = (row for b in batches for i in range(0, b.num_rows, 1024) for row in zip(*b.slice(i, 1024).to_pydict().values()))
+        for package, own in groupby(lines_, key=lambda r: r[0]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for entry, rows in groupby(own, key=lambda r: r[1]):
+                    info = zipfile.ZipInfo(entry, (1980, 1, 1, 0, 0, 0))  # the same lines give the same bytes
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    with z.open(info, "w", force_zip64=True) as file:
+                        for _, _, raw, newline in rows:
+                            file.write((raw + newline).encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([package], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["package", "content"])
+
+    ordered = lines.repartition("package").sortWithinPartitions("package", "entry", "line_no")
+    return ordered.select("package", "entry", "raw", "newline").mapInArrow(build, "package string, content binary")
 
 
 def rewrite_by_policy(lines: DataFrame, resolved: DataFrame, form_ok) -> tuple[DataFrame, DataFrame]:
