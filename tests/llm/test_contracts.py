@@ -476,3 +476,27 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
 
 def test_digest_of_turns():
     assert hashlib.sha256(b"").hexdigest() == sql("SELECT sha256('')")[0][0]
+
+
+def test_pipeline_hands_workers_bounded_batches(spark):
+    """However many rows a partition has and however long they are, a worker gets few of them at a time; a limit of the user's stays."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "a text", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        for key in keys:
+            spark.conf.unset(key)
+        stage(spark, docs, "/root/testdata/sf0.001")
+        for rows, length in ((5000, 10), (60, 500_000)):
+            got = spark.range(0, rows, 1, 1).selectExpr(f"repeat('x', {length}) as text").mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == rows, name
+            assert max(r["rows"] for r in got) <= 1024 and max(r["bytes"] for r in got) < 8_000_000, name
+    spark.conf.set(keys[0], 77)
+    corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert spark.conf.get(keys[0]) == "77"
+    spark.conf.unset(keys[0])
