@@ -41,6 +41,15 @@ def test_words_of_a_language_in_capitals(both):
     assert ours == theirs == ["('x', 'de', 3)", "('x', 'en', 2)", "('x', 'fr', 1)", "('x', 'pt', 1)"]
 
 
+def test_reasons_name_words_in_lower_case(both):
+    """``ß`` is no ``ss`` to SQL, neither where words are counted nor where one is named; numerals are no letters; texts may be null."""
+    texts = ["und", "Straße straße straße straße", "weiß weiß weiss weiss", "GROẞ groß groß groß", "İz iz iz iz", "x²y x²y x²y x²y", "ΑΣ ΑΣ ΑΣ ΑΣ", "don’t don’t don't don't", "a < b <i>", "[red] red red red", None, "eß eß eß eß", "haus", "quest", None]
+    said = ["NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in texts]
+    ours, theirs = both("quality_reasons", "conversations", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {t}, {x})" for i in range(16) for t, x in enumerate(said)) + ") t(conv_id, turn, text)")
+    assert ours == theirs and len(ours) == 16 * 14
+    assert any("'REPEATED_WORD', 'straße'" in x for x in ours) and not any("weiss" in x for x in ours)
+
+
 @pytest.mark.parametrize("name", ["normal_forms", "masked_tokens", "strict_forms", "token_segments", "generated_gate", "required_terms", "numeric_signatures", "translated_segments"])
 def test_texts_go_to_python_in_small_batches(spark, name):
     """Arrow's batches of 10,000 whole texts made a worker grow with the table."""

@@ -3,6 +3,7 @@
 A check is a code and a test of a ``Pair``, which reads and counts a source and
 its target once, however many checks ask for the same of them. A gate is a
 list of checks, so one can be made of others. Null texts are empty ones.
+Words are read by ``folded``, or by ``lowered`` where SQL is to see the same.
 """
 
 from __future__ import annotations
@@ -58,17 +59,29 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LATIN = re.compile("[A-Za-z]+")
 
 
-class Pair:
-    """A source and its target, each thing about them worked out at most once."""
+def folded(text: str) -> str:
+    """What is seen of a text, its letters told apart by neither case nor form: ``ß`` is ``ss``."""
+    return normalize("NFKC", visible(text)).replace("’", "'").casefold()
+
+
+def lowered(text: str) -> str:
+    """The text as SQL's ``lower`` has it, letter by letter: ``ß`` stays, ``İ`` is ``i``. Numerals as ``²`` are blanks, for they are no letters."""
+    text = text.replace("İ", "i").replace("Σ", "σ").lower()
+    if not text.isascii():
+        for c in set(text):
+            if c.isnumeric() and not (c.isalpha() or c.isdecimal()):
+                text = text.replace(c, " ")
+    return text
 
-    def __init__(self, source: str | None, target: str | None, names: re.Pattern | None = None):
-        self.source, self.target, self.names = source or "", target or "", names
 
-    def _shown(self, text: str) -> str:
-        return normalize("NFKC", visible(text)).replace("’", "'").casefold()
+class Pair:
+    """A source and its target, each thing about them worked out at most once. ``read`` gives what their words are taken from."""
+
+    def __init__(self, source: str | None, target: str | None, names: re.Pattern | None = None, read: Callable[[str], str] = folded):
+        self.source, self.target, self.names, self.read = source or "", target or "", names, read
 
-    shown = cached_property(lambda self: (self._shown(self.source), self._shown(self.target)))
-    words = cached_property(lambda self: tuple([w.casefold() for w in _WORD.findall(t)] for t in self.shown))
+    shown = cached_property(lambda self: (self.read(self.source), self.read(self.target)))
+    words = cached_property(lambda self: tuple(map(_WORD.findall, self.shown)))
     counts = cached_property(lambda self: tuple(map(Counter, self.words)))
     letters = cached_property(lambda self: tuple(len(re.findall(r"[A-Za-zÇĞİÖŞÜçğıöşüÀ-ž']+", t)) for t in (self.source, self.target)))
     unnamed = cached_property(lambda self: self.names.sub(" ", self.target) if self.names else self.target)
@@ -135,14 +148,14 @@ ACCEPTANCE = (
 REASON = StructType().add("code", StringType()).add("detail", StringType())
 
 
-def first_reason(gate: Iterable[Check], source: Column, target: Column, names: Iterable[str] = ()) -> Column:
-    """``{code, detail}`` of the first check that turns the value down, else nulls. ``names`` (of three letters or more) are no leftovers."""
+def first_reason(gate: Iterable[Check], source: Column, target: Column, names: Iterable[str] = (), read: Callable[[str], str] = folded) -> Column:
+    """``{code, detail}`` of the first check that turns the value down, else nulls. ``names`` (of three letters or more) are no leftovers; ``read`` as in ``Pair``."""
     checks = tuple(gate)
     listed = sorted((n for n in names if len(n) >= 3), key=len, reverse=True)
     hide = re.compile("|".join(map(re.escape, listed))) if listed else None
 
     def find(s: str | None, t: str | None) -> tuple[str | None, str | None]:
-        pair = Pair(s, t, hide)
+        pair = Pair(s, t, hide, read)
         hits = ((c.code, x) for c in checks if (x := c.test(pair)))
         code, detail = next(hits, (None, None))
         return code, detail if isinstance(detail, str) else None
