@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textledger.llm import chats, common, decontaminate, fingerprints, languages, links, mixing, quality, shards, tokens, urls, weighted
+from textledger.llm import chats, common, decontaminate, fingerprints, languages, links, mixing, quality, registry, shards, tokens, urls, weighted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, bucket string"
 SF = "/root/testdata/sf0.001"
@@ -97,6 +99,36 @@ def test_near_classes(spark, docs, none, texts):
     assert weighted.dedup(none).count() == 0
 
 
+def test_counting_takes_little_beside_its_entries():
+    """Sums of a part's shingles took over 60 bytes an entry, and parts grow with the table."""
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**56, 500_000, np.uint64))
+    cells = [np.sort(rng.choice(pool, 50_000, replace=False)) for _ in range(40)]
+    often = [rng.integers(1, 4, len(x)) for x in cells]
+    table = pa.Table.from_pydict({"block": [*range(40)], "part": [0] * 40, "data": [*map(weighted._fold, cells)], "n": [*map(weighted._often, often)]})
+    tracemalloc.start()
+    out = weighted._count(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sums = np.bincount(np.searchsorted(pool, np.concatenate(cells)), np.concatenate(often), len(pool))
+    assert out.column("block").to_pylist() == [*range(40)]
+    assert all(np.array_equal(np.frombuffer(d, "<u4"), sums[np.searchsorted(pool, x)]) for d, x in zip(out.column("data").to_pylist(), cells))
+    assert peak < 30 * 2_000_000
+
+
+def test_blocks_are_compressed(spark):
+    """A block is one row, which executors sort and hand on whole; op7 hands workers batches of bounded size."""
+    texts = ["", "a\ud800b", "ß\n" * 2000, *("one of many words " * i for i in range(50))]
+    assert common.unpressed(common.pressed(texts)) == texts and common.unpressed(common.pressed([])) == []
+    rows = links.keyed(spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i != 1] + [(None, None)], "doc_id long, text string").coalesce(1))
+    blocks = rows.mapInArrow(weighted._blocks, weighted._BLOCKS).collect()
+    found = [t for b in blocks for t in common.unpressed(bytes(b["texts"]))]
+    assert found == ["", *texts[2:], ""] and [b["chars"] for b in blocks] == [sum(map(len, common.unpressed(bytes(b["texts"])))) for b in blocks]
+    assert sum(len(b["texts"]) for b in blocks) < sum(map(len, texts)) / 10
+    registry.op7_weighted_sampling(spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+
+
 def test_frequencies_are_exact(spark, docs, texts, monkeypatch):
     """Weights from exact counts, over several blocks, with more distinct shingles than any small table has slots."""
     rng = np.random.default_rng(11)
