@@ -129,6 +129,13 @@ def test_blocks_are_compressed(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
 
 
+def test_few_rows_to_a_file(spark):
+    """A reader's batch does not go beyond a file, so large rows go a few to each."""
+    out = common.settle(spark.range(10).coalesce(1), "few", most=3)
+    assert sorted(r["count"] for r in out.groupBy(F.input_file_name()).count().collect()) == [1, 3, 3, 3]
+    assert common.settle(spark.range(10).coalesce(1), "all").groupBy(F.input_file_name()).count().count() == 1
+
+
 def test_frequencies_are_exact(spark, docs, texts, monkeypatch):
     """Weights from exact counts, over several blocks, with more distinct shingles than any small table has slots."""
     rng = np.random.default_rng(11)
